@@ -12,7 +12,7 @@ ESCAPED = r"([<\[\\])"
 
 def escape(text: Column) -> Column:
     """A backslash after every `<`, `[` and backslash: no control string survives in a text, and `unescape` takes it back."""
-    return F.regexp_replace(text, ESCAPED, r"$1\\\\")
+    return F.regexp_replace(text, ESCAPED, r"$1\\")
 
 
 def unescape(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import _text
 
-#: Rows of vectors, their width, and the character n-grams of a word (with its marks < and >).
+#: Rows of vectors, their width, and the character n-grams of a word (the last may hold its end).
 BUCKETS = 1 << 17
 WIDTH = 16
 GRAMS = (3, 4)
@@ -22,7 +22,10 @@ EPOCHS = 6
 RATE = 0.5
 SEED = 7
 
-_OPEN, _CLOSE = 0xFE, 0xFF  # bytes that UTF-8 never holds stand for a word's marks
+#: The features of a repeated word, and how often one counts (a word has some ten features besides).
+AGAIN, AGAIN_TIMES = 0x5EED, 3
+
+_CLOSE = 0xFF  # a byte that UTF-8 never holds stands for a word's end
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -30,6 +33,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     starts, ends, first = _text.word_spans(data, offsets, _text.NOT_SPACE)
     words = _text.span_hashes(data, starts, ends)
     parts, at = [words], [starts]
+    # a word that its text had one, or two to four, words before is also the token "again": repetition is no word's own trait
+    for near in ((1,), (2, 3, 4)):
+        again = np.zeros(len(words), bool)
+        for k in near:
+            again[k:] |= words[k:] == words[:-k]
+        place = np.flatnonzero(again)
+        place = place[place - near[0] >= first[np.searchsorted(first, place, "right") - 1]]
+        parts += [np.full(len(place), AGAIN + near[0], np.uint64)] * AGAIN_TIMES
+        at += [starts[place]] * AGAIN_TIMES
     # the text again with white space as closing marks and word starts marked: n-grams by byte, none across words
     marked = np.where(_text.SPACE[data], np.uint8(_CLOSE), data).astype(np.uint64) + np.uint64(1)
     inside = _text.NOT_SPACE[data]

@@ -16,15 +16,21 @@ from ._spark import cut
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+UPPER = np.zeros(256, bool)
+UPPER[65:91] = True
+MARKS = np.zeros(256, bool)
+MARKS[list(b"!\"'()+,-./:;=?@[\\]^_`{}~")] = True
 WINDOW = 8
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words")
 #: Names that no column of a caller's table has.
 PRE = "_quality_"
 
 #: Measure: (expression over the counts, lower fence too, least distance of a fence from its quartile).
 MEASURES = {
     "symbol_share": ("n_symbols / word_chars", False, 0.02),
+    "upper_share": ("n_upper / word_chars", False, 0.15),
+    "mark_share": ("n_marks / word_chars", False, 0.05),
     "dup_line_share": ("n_dup_lines / n_lines", False, 0.30),
     "repeat_share": ("n_repeat_words / n_words", False, 0.15),
     "word_length": ("word_chars / n_words", True, 1.50),
@@ -48,7 +54,7 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     for i in range(n):
         own = [x for x in raw[offsets[i] : offsets[i + 1]].split(b"\n") if x and not x.isspace()]
         lines[i], dup[i] = len(own), len(own) - len(set(own))
-    return [np.diff(first), chars, _text.sums(SYMBOLS[data], offsets), lines, dup, _repeats(_text.span_hashes(data, starts, ends), first)]
+    return [np.diff(first), chars, *(_text.sums(own[data], offsets) for own in (SYMBOLS, UPPER, MARKS)), lines, dup, _repeats(_text.span_hashes(data, starts, ends), first)]
 
 
 def _repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -78,10 +84,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         for rows, data, offsets in _text.text_slices(batches, text):
             yield pa.RecordBatch.from_arrays([*rows.columns, *map(pa.array, _counts(data, offsets))], names=[*rows.schema.names, *(PRE + c for c in COUNTS)])
 
-    schema = docs.schema
-    for c in COUNTS:
-        schema = schema.add(PRE + c, T.LongType())
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(PRE + c, T.LongType()) for c in COUNTS)]))
 
 
 def _measures(df: DataFrame) -> DataFrame:
