@@ -22,7 +22,7 @@ MARKS = np.zeros(256, bool)
 MARKS[list(b"!\"'()+,-./:;=?@[\\]^_`{}~")] = True
 WINDOW = 8
 
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words", "n_same_words")
 #: Names that no column of a caller's table has.
 PRE = "_quality_"
 
@@ -30,8 +30,9 @@ PRE = "_quality_"
 MEASURES = {
     "symbol_share": ("n_symbols / word_chars", False, 0.02),
     "upper_share": ("n_upper / word_chars", False, 0.15),
-    "mark_share": ("n_marks / word_chars", False, 0.05),
+    "mark_share": ("n_marks / word_chars", False, 0.10),
     "dup_line_share": ("n_dup_lines / n_lines", False, 0.30),
+    "same_share": ("n_same_words / n_words", False, 0.15),
     "repeat_share": ("n_repeat_words / n_words", False, 0.15),
     "word_length": ("word_chars / n_words", True, 1.50),
 }
@@ -54,7 +55,11 @@ def _counts(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     for i in range(n):
         own = [x for x in raw[offsets[i] : offsets[i + 1]].split(b"\n") if x and not x.isspace()]
         lines[i], dup[i] = len(own), len(own) - len(set(own))
-    return [np.diff(first), chars, *(_text.sums(own[data], offsets) for own in (SYMBOLS, UPPER, MARKS)), lines, dup, _repeats(_text.span_hashes(data, starts, ends), first)]
+    h = _text.span_hashes(data, starts, ends)
+    same = np.zeros(len(h), np.int64)
+    same[1:] = h[1:] == h[:-1]
+    same[first[:-1][np.diff(first) > 0]] = 0
+    return [np.diff(first), chars, *(_text.sums(own[data], offsets) for own in (SYMBOLS, UPPER, MARKS)), lines, dup, _repeats(h, first), _text.sums(same, first)]
 
 
 def _repeats(h: np.ndarray, first: np.ndarray) -> np.ndarray:
