@@ -135,11 +135,11 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source",
     )
     kept = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
     by_lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.struct("total", *kept).alias("by_lang"))
-    everything = wide.where("level = 2").select(F.struct("total", *kept).alias("by_all"), F.lit(1).alias("one"))
-    joined = wide.where("level = 0").join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left").withColumn("one", F.lit(1)).join(everything, "one", "left")
+    everything = wide.where("level = 2").first()  # one row, whatever the corpus
+    joined = wide.where("level = 0").join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
 
     def chosen(c: str) -> Column:
-        return F.when(F.col("total") >= least_group, F.col(c)).when(F.col("by_lang.total") >= least_group, F.col(f"by_lang.{c}")).otherwise(F.col(f"by_all.{c}"))
+        return F.when(F.col("total") >= least_group, F.col(c)).when(F.col("by_lang.total") >= least_group, F.col(f"by_lang.{c}")).otherwise(F.lit(everything[c] if everything else None).cast("double"))
 
     return joined.select("lang", "source", *[chosen(c).alias(c) for c in kept])
 
