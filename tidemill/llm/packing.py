@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -15,8 +17,8 @@ from ._spark import cut, row_key
 
 LENGTH = 4096
 END_ID = 1
-#: Words whose ids a task remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers (some 100 MB); the memory is emptied when full.
+REMEMBERED = 700_000
 #: Pieces of one length are numbered in groups of about this many, by hash.
 GROUP = 50_000
 
@@ -27,24 +29,53 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+# --- fixed values: the tokenizer's own pieces of a lower-cased word, and how it writes the bytes of a piece ---
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# --- end of fixed values ---
+_HIDDEN = [b for b in range(256) if b not in set(SHOWN)]
+_AS_CHAR = {b: chr(b) for b in SHOWN} | {b: chr(256 + i) for i, b in enumerate(_HIDDEN)}
+#: Words that are cut into pieces here: visible ASCII and Latin-1 letters. All others go through the whole tokenizer.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
 class WordIds(dict):
     """Ids (little-endian 32-bit) of words that ASCII white space parts, by a tokenizer that drops white space and never joins words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        whole = Tokenizer.from_file(path)
+        self.encode, self.merge = whole.encode, whole.model.tokenize
+
+    def _ids(self, word: str) -> list[int]:
+        # a word of plain letters needs no normaliser beyond lower case, and a marked special token has a <|
+        if not _PLAIN.fullmatch(word) or "<|" in word:
+            return self.encode(word, add_special_tokens=False).ids
+        pieces = PIECES.findall(word.lower())
+        return [t.id for p in pieces for t in self.merge(p if p.isascii() else "".join([_AS_CHAR[b] for b in p.encode()]))]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = ids = np.asarray(self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self._ids(word.decode("utf-8", "replace"))
+        self[word] = ids = struct.pack(f"<{len(ids)}I", *ids)
         return ids
 
     def of(self, text: bytes) -> bytes:
         return b"".join(map(self.__getitem__, text.split()))
 
 
+_known: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """One memory of words for all the tasks that a Python worker runs in turn."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
 def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
     """(doc_id, row, piece, start, length, ids_crc32): every document's ids and an end id, cut only where longer than `length`.
 
@@ -54,7 +85,7 @@ def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     size = 4 * length
 
     def run(batches):
-        known = WordIds(path)
+        known = word_ids(path)
         end = np.asarray([end_id], "<u4").tobytes()
         for rows, data, offsets in _text.text_slices(batches, "text"):
             raw, out = data.tobytes(), []

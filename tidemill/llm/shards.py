@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from . import _text
 from ._spark import cut, new_path, row_key
-from .packing import END_ID, WordIds, tokenizer_path
+from .packing import END_ID, tokenizer_path, word_ids
 
 #: Ids of a sequence, sequences of a shard file.
 LENGTH = 1024
@@ -28,7 +28,7 @@ def sequences(docs: DataFrame, path: str, id_column: str = "doc_id", text: str =
     little-endian 32-bit. Null counts as empty: an end id."""
 
     def run(batches):
-        known, end, size = WordIds(path), np.asarray([END_ID], "<u4").tobytes(), 4 * length
+        known, end, size = word_ids(path), np.asarray([END_ID], "<u4").tobytes(), 4 * length
         for rows, data, offsets in _text.text_slices(batches, "text"):
             raw, of, part, n, ids = data.tobytes(), [], [], [], []
             for i in range(rows.num_rows):
