@@ -22,14 +22,16 @@ END = 0xFF
 SLOTS = (256 * 256, 1 << 20, 1 << 21, 1 << 21)
 #: Counters travel and are summed in blocks of this many slots.
 BLOCK = 1 << 16
-#: Log-odds are kept in steps of 1 / STEP.
-STEP = 16
+#: A counter is kept as one byte: 64 levels of log-odds, STEP to a unit, and how much it has seen (none, up to 3, up to 20, more).
+STEP = 4
+SEEN = (0, 3, 20)
 INPUTS = len(SLOTS)
-GATES = 4
+#: Weight sets: how much the counters of four symbols and of the word so far have seen.
+GATES = 16
 BUCKETS = 64
-#: Decisions worked on at once, and bytes of a text between two updates of its own weights.
-LANE_BYTES = 192
-STEP_BYTES = 12_000
+#: Symbols of a text between two updates of its own weights, and symbols worked on at once.
+LANE_BYTES = 256
+STEP_BYTES = 24_000
 RATE, OWN_RATE = 0.4, 0.08
 #: Words whose counts are broadcast (some 10 MB); all others meet theirs by a join.
 HEAD_WORDS = 1 << 17
@@ -44,19 +46,17 @@ def fold(id_column: str = "doc_id") -> Column:
 
 @dataclass
 class Trees:
-    """Binary decisions of each (previous symbol, symbol): `first` and `count` into `node` and `bit`."""
+    """Binary decisions of each (previous symbol, symbol): `first` and `count` into `path`, which holds node * 2 + bit."""
 
     first: np.ndarray
     count: np.ndarray
-    node: np.ndarray
-    bit: np.ndarray
+    path: np.ndarray
 
 
 def trees(pairs: np.ndarray) -> Trees:
     """Huffman trees from counts by (previous symbol, symbol); every symbol has a code in every tree."""
     first, count = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
     nodes: list[int] = []
-    bits: list[int] = []
     for before in range(256):
         own = pairs[before]
         heap = [(int(own[s]) * 256 + 1, s, s) for s in range(256)]
@@ -75,9 +75,8 @@ def trees(pairs: np.ndarray) -> Trees:
                 path.append((at, b))
             first[before * 256 + s], count[before * 256 + s] = len(nodes), len(path)
             for at, b in reversed(path):
-                nodes.append(before * 256 + at - 256)
-                bits.append(b)
-    return Trees(first, count, np.asarray(nodes, np.uint32), np.asarray(bits, np.uint8))
+                nodes.append((before * 256 + at - 256) * 2 + b)
+    return Trees(first, count, np.asarray(nodes, np.uint32))
 
 
 @dataclass
@@ -89,20 +88,25 @@ class Lanes:
     offsets: np.ndarray
 
 
-def lanes(data: np.ndarray, offsets: np.ndarray) -> Lanes:
-    n = len(offsets) - 1
-    symbols = np.insert(_text.LOWER[data], offsets[1:], END)
-    at = offsets + np.arange(n + 1)
-    size = len(symbols)
-    place = np.arange(size) - np.repeat(at[:-1], np.diff(at))
+def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased texts, each with its end, and their n + 1 offsets."""
+    return np.insert(_text.LOWER[data], offsets[1:], END), offsets + np.arange(len(offsets))
 
-    def before(k: int) -> np.ndarray:
-        out = np.full(size, END, np.uint32)
-        out[k:] = symbols[: size - k]
-        out[place < k] = END
-        return out
 
-    b1, b2, b3, b4 = (before(k) for k in (1, 2, 3, 4))
+def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
+    """The symbol k places back in the same text, or END."""
+    out = np.full(len(symbols), END, np.uint32)
+    out[k:] = symbols[: len(symbols) - k]
+    for i in range(k):
+        starts = at[:-1] + i
+        out[starts[starts < at[1:]]] = END
+    return out
+
+
+def lanes(data: np.ndarray, offsets: np.ndarray) -> Lanes:
+    symbols, at = _symbols(data, offsets)
+    size = len(symbols)
+    b1, b2, b3, b4 = (_before(symbols, at, k) for k in (1, 2, 3, 4))
     with np.errstate(over="ignore"):
         two = (b2 + np.uint32(1)) * np.uint32(0x85EBCA6B)
         four = ((b2 << 16) | (b3 << 8) | b4) * np.uint32(0xC2B2AE35)
@@ -110,29 +114,38 @@ def lanes(data: np.ndarray, offsets: np.ndarray) -> Lanes:
         four *= np.uint32(0x27D4EB2F)
         p, q = _text._powers(size + 1)
         s = np.zeros(size + 1, np.uint64)
-        np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * p[:size], out=s[1:])
-        opens = np.where((place == 0) | _text.SPACE[b1], np.arange(size), 0)
-        start = np.maximum.accumulate(opens)
-        word = (_text.mixed((s[:-1] - s[start]) * q[start]) >> np.uint64(32)).astype(np.uint32)
+        np.cumsum((symbols + np.uint64(1)) * p[:size], out=s[1:])
+        opens = _text.SPACE[b1]
+        opens[at[:-1]] = True
+        start = np.flatnonzero(opens)
+        many = np.diff(np.append(start, size))
+        word = s[:-1] - np.repeat(s[start], many)
+        word *= np.repeat(q[start], many)
+        word ^= word >> np.uint64(29)
+        word *= np.uint64(0xBF58476D1CE4E5B9)
+        word = (word >> np.uint64(32)).astype(np.uint32)
     return Lanes((b1 << 8 | symbols).astype(np.int32), [two, four, word], at)
 
 
 def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each symbol's decisions in turn: the symbol's place, the node, the bit."""
+    """How many decisions each symbol takes, and all of them in turn: node, bit."""
     count = t.count[key]
-    total = np.cumsum(count)
-    of = np.repeat(np.arange(len(key), dtype=np.int32), count)
-    path = np.arange(total[-1] if len(total) else 0, dtype=np.int32) + np.repeat(t.first[key] - (total - count).astype(np.int32), count)
-    return of, t.node[path], t.bit[path]
+    total = np.cumsum(count, dtype=np.int32)
+    path = np.repeat(t.first[key] - total + count, count)
+    path += np.arange(len(path), dtype=np.int32)
+    step = np.take(t.path, path.astype(np.intp), mode="clip")
+    return count, step >> np.uint32(1), step & np.uint32(1)
 
 
-def slots(l: Lanes, of: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
+def slots(l: Lanes, count: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
     """The slot of each decision in each counter."""
-    yield node
-    with np.errstate(over="ignore"):
-        spread = node * NODE_FACTOR
-        for hashes, size in zip(l.hashes, SLOTS[1:]):
-            yield (hashes[pick][of] + spread) >> np.uint32(32 - size.bit_length() + 1)
+    yield node.astype(np.intp)
+    spread = node * NODE_FACTOR
+    for hashes, size in zip(l.hashes, SLOTS[1:]):
+        h = np.repeat(hashes[pick], count)
+        h += spread
+        h >>= np.uint32(32 - size.bit_length() + 1)
+        yield h.astype(np.intp)
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -157,48 +170,75 @@ class Mixer:
         for i in range(0, len(order), group):
             texts = order[i : i + group]
             own = np.zeros((len(texts), INPUTS), np.float32)
-            longest = int(sizes[texts].max())
-            if len(texts) > 1 or longest < 16 * STEP_BYTES:
-                pass
-            for at in range(0, longest, LANE_BYTES):
+            for at in range(0, int(sizes[texts].max()), LANE_BYTES):
                 live = np.flatnonzero(sizes[texts] > at)
                 many = np.minimum(sizes[texts[live]] - at, LANE_BYTES)
                 begin = l.offsets[texts[live]] + at
-                pick = np.arange(many.sum()) + np.repeat(begin - (np.cumsum(many) - many), many)
-                lane = np.cumsum(many) - many
-                self._step(l, pick, lane, live, own, texts, out, learn)
+                edge = np.cumsum(many)
+                pick = np.arange(edge[-1]) + np.repeat(begin - (edge - many), many)
+                gain, own[live] = self._step(l, pick, edge, own[live], learn)
+                out[texts[live]] += gain
         return out
 
-    def _step(self, l, pick, lane, live, own, texts, out, learn) -> None:
-        of, node, bit = decisions(self.trees, l.key[pick])
-        x = [table[s].astype(np.float32) for table, s in zip(self.tables, slots(l, of, node, pick))]
-        for v in x:
-            v *= np.float32(1 / STEP)
-        gate = (x[2] != 0).astype(np.int8) + 2 * (x[3] != 0).astype(np.int8)
-        first = np.searchsorted(of, lane)
-        per = np.diff(np.append(first, len(of)))
-        z = np.zeros(len(of), np.float32)
+    def _step(self, l: Lanes, pick: np.ndarray, edge: np.ndarray, own: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
+        count, node, bit = decisions(self.trees, l.key[pick])
+        ends = np.cumsum(count)[edge - 1]
+        first = np.concatenate(([0], ends[:-1]))
+        seen = [np.take(table, s, mode="clip") for table, s in zip(self.tables, slots(l, count, node, pick))]
+        gate = (seen[2] & 3) << 2 | (seen[3] & 3)
+        # the weights in force: those of the gate and the text's own corrections
+        which = np.repeat(np.arange(0, len(own) * GATES, GATES), ends - first)
+        which += gate
+        force = (self.weights[None] + own[:, None]).reshape(-1, INPUTS).T / np.float32(STEP)
+        z = np.zeros(len(node), np.float32)
+        x = []
         for k in range(INPUTS):
-            w = self.weights[:, k][gate]
-            w += np.repeat(own[live, k], per)
-            w *= x[k]
+            v = (seen[k] >> 2).astype(np.float32)
+            v -= 32
+            x.append(v)
+            w = np.take(np.ascontiguousarray(force[k]), which, mode="clip")
+            w *= v
             z += w
-        p = squash(z)
-        error = bit - p
-        bucket = (l.key[pick] >> 8)[of] * BUCKETS + np.clip(z * 4 + BUCKETS / 2, 0, BUCKETS - 1).astype(np.int32)
-        final = np.clip((p + self.refined[bucket]) * 0.5, 1e-6, 1 - 1e-6)
-        gain = np.log2(np.where(bit, final, 1 - final))
-        out[texts[live]] += np.add.reduceat(gain, first)
+        p = np.exp(-z)
+        p += 1
+        np.reciprocal(p, out=p)
+        hit = bit.astype(np.float32)
+        error = hit - p
+        z *= 4
+        z += BUCKETS / 2
+        np.clip(z, 0, BUCKETS - 1, out=z)
+        bucket = (node >> np.uint32(8)).astype(np.intp)
+        bucket *= BUCKETS
+        bucket += z.astype(np.uint8)
+        p += np.take(self.refined, bucket, mode="clip")
+        p *= 0.5
+        np.clip(p, 1e-6, 1 - 1e-6, out=p)
+        hit += p
+        hit -= 1
+        gain = np.log(np.abs(hit))
+        own = own.copy()
         for k in range(INPUTS):
-            step = error * x[k]
-            own[live, k] += OWN_RATE * np.add.reduceat(step, first) / per
+            x[k] *= error
+            own[:, k] += OWN_RATE / STEP * np.add.reduceat(x[k], first) / (ends - first)
             if learn:
-                self.weights[:, k] += RATE * np.bincount(gate, step, GATES) / (np.bincount(gate, minlength=GATES) + 256.0)
+                self.weights[:, k] += RATE / STEP * np.bincount(gate, x[k], GATES) / (np.bincount(gate, minlength=GATES) + 256.0)
         if learn:
             self.hits[:, 0] += np.bincount(bucket, minlength=len(self.hits))
             self.hits[:, 1] += np.bincount(bucket, bit, len(self.hits))
             self.steps += 1
             self.mean += self.weights
+        return np.add.reduceat(gain, first, dtype=np.float64) / math.log(2), own
+
+
+def packed_counts(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Counts of a slot's bits as one byte."""
+    odds = np.clip(np.rint(np.log((one + 0.4) / (zero + 0.4)) * STEP), -32, 31).astype(np.int32)
+    seen = np.searchsorted(SEEN, zero + one)
+    return ((odds + 32) << 2 | seen).astype(np.uint8)
+
+
+#: What a slot that nothing has filled holds: even odds, nothing seen.
+EMPTY = 32 << 2
 
 
 def start_weights() -> np.ndarray:
@@ -216,7 +256,8 @@ def _pair_counts(source: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(65536, np.int64)
         for _, data, offsets in _text.text_slices(batches, "text"):
-            total += np.bincount(lanes(data, offsets).key, minlength=65536)
+            symbols, at = _symbols(data, offsets)
+            total += np.bincount(_before(symbols, at, 1) << 8 | symbols, minlength=65536)
         have = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(total[have])], names=["pair", "n"])
 
@@ -231,18 +272,17 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
     shared = source.sparkSession.sparkContext.broadcast(t)
 
     def count(batches):
-        own = [np.zeros((2, size), np.int32) for size in SLOTS]
+        own = [np.zeros(2 * size, np.int32) for size in SLOTS]  # 42 MB, whatever the task reads
         for _, data, offsets in _text.text_slices(batches, "text"):
             l = lanes(data, offsets)
-            for i in range(0, len(l.key), 1 << 19):
-                pick = slice(i, i + (1 << 19))
-                of, node, bit = decisions(shared.value, l.key[pick])
-                for total, s in zip(own, slots(l, of, node, pick)):
-                    size = total.shape[1]
-                    total += np.bincount(s + bit * np.uint32(size), minlength=2 * size).reshape(2, size)
+            for i in range(0, len(l.key), 1 << 16):
+                pick = slice(i, i + (1 << 16))
+                many, node, bit = decisions(shared.value, l.key[pick])
+                for total, s in zip(own, slots(l, many, node, pick)):
+                    np.add.at(total, s * 2 + bit, np.int32(1))
         for k, total in enumerate(own):
-            for b in range(total.shape[1] // BLOCK):
-                part = total[:, b * BLOCK : (b + 1) * BLOCK]
+            for b in range(len(total) // (2 * BLOCK)):
+                part = total[b * 2 * BLOCK : (b + 1) * 2 * BLOCK]
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k * 1000 + b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
 
@@ -253,20 +293,19 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
                 if b != block:
                     if block is not None:
                         yield done(block, total)
-                    block, total = b, np.zeros((2, BLOCK), np.int64)
-                total += np.frombuffer(zlib.decompress(c.as_buffer()), np.int32).reshape(2, BLOCK)
+                    block, total = b, np.zeros(2 * BLOCK, np.int64)
+                total += np.frombuffer(zlib.decompress(c.as_buffer()), np.int32)
         if block is not None:
             yield done(block, total)
 
     def done(block, total):
-        odds = np.log((total[1] + 0.4) / (total[0] + 0.4))
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.clip(np.rint(odds * STEP), -127, 127).astype(np.int8).tobytes()], pa.binary())], names=["block", "odds"])
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed_counts(total[::2], total[1::2]).tobytes()], pa.binary())], names=["block", "odds"])
 
     summed = source.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
-    out = [np.zeros(size, np.int8) for size in SLOTS]
+    out = [np.full(size, EMPTY, np.uint8) for size in SLOTS]
     for r in summed.toLocalIterator():  # sum(SLOTS) bytes in all
         k, b = divmod(r["block"], 1000)
-        out[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r["odds"], np.int8)
+        out[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r["odds"], np.uint8)
     return out
 
 

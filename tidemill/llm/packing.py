@@ -20,7 +20,7 @@ END_ID = 1
 #: Words whose ids a Python worker remembers (some 100 MB); the memory is emptied when full.
 REMEMBERED = 700_000
 #: Pieces of one length are numbered in groups of about this many, by hash.
-GROUP = 50_000
+GROUP = 2_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -192,8 +192,8 @@ def pack(cut_pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     spark = cut_pieces.sparkSession
     histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    groups = max(1, -(-sum(histogram.values()) // GROUP))
-    salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)))
+    groups = spark.createDataFrame([(n, -(-c // GROUP)) for n, c in histogram.items()] or [(0, 1)], "length bigint, _groups bigint")
+    salted = cut_pieces.join(F.broadcast(groups), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), "_groups")).drop("_groups")
     inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "row", "piece")
     ranked = salted.withColumn("_rank", F.row_number().over(inner) - 1)
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n"))
