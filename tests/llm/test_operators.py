@@ -239,8 +239,8 @@ def test_mixing_head_and_tail_agree(docs, monkeypatch):
 def test_mixing_is_a_distribution():
     """The probabilities of all symbols at a place, each coded by its own decisions, add up to one."""
     rng = np.random.default_rng(0)
-    pairs_ = rng.integers(0, 50, (256, 256))
-    t = mixing.trees(pairs_)
+    of_pair = np.tile(np.arange(256, dtype=np.int32), 256)
+    t = mixing.trees(of_pair, rng.integers(0, 50, (256, 256)))
     tables = [rng.integers(40, 200, s).astype(np.uint8) for s in mixing.SLOTS]
     text = b"ab cd"
     total = 0.0
@@ -248,13 +248,13 @@ def test_mixing_is_a_distribution():
     whole = 0.0
     for s in range(256):
         data = np.frombuffer(text + bytes([s]), np.uint8)
-        l = mixing.lanes(data, np.array([0, len(data)]))
+        l = mixing.lanes(data, np.array([0, len(data)]), of_pair)
         l.offsets = np.array([0, len(data)])  # without the end of the text
         if 65 <= s < 91:
             continue
         total += 2.0 ** base.run(l, learn=False)[0]
     data = np.frombuffer(text, np.uint8)
-    l = mixing.lanes(data, np.array([0, len(data)]))
+    l = mixing.lanes(data, np.array([0, len(data)]), of_pair)
     l.offsets = np.array([0, len(data)])
     whole = 2.0 ** base.run(l, learn=False)[0]
     assert total / whole <= 1 + 1e-4

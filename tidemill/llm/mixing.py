@@ -10,16 +10,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import cut, row_key
+from ._spark import cut
 
-#: Every symbol is coded by binary decisions, those of a Huffman tree per previous symbol. 0xFF, which UTF-8 never holds, ends a text.
+#: Every symbol is coded by binary decisions, those of a Huffman tree per previous symbol, or per previous two where these are common.
+#: 0xFF, which UTF-8 never holds, ends a text.
 END = 0xFF
-#: Slots of the hashed counters: previous symbol (by node alone), two, four, the word so far.
-SLOTS = (256 * 256, 1 << 20, 1 << 21, 1 << 21)
+#: Pairs of symbols that have a tree of their own.
+PAIR_TREES = 1024
+TREES = 256 + PAIR_TREES
+#: Slots of the hashed counters: the node alone (and with it the tree's symbols), three symbols, four, the word so far.
+SLOTS = (1 << 19, 1 << 20, 1 << 21, 1 << 21)
 #: Counters travel and are summed in blocks of this many slots.
 BLOCK = 1 << 16
 #: A counter is kept as one byte: 64 levels of log-odds, STEP to a unit, and how much it has seen (none, up to 3, up to 20, more).
@@ -46,37 +51,34 @@ def fold(id_column: str = "doc_id") -> Column:
 
 @dataclass
 class Trees:
-    """Binary decisions of each (previous symbol, symbol): `first` and `count` into `path`, which holds node * 2 + bit."""
+    """Binary decisions of each (tree, symbol): `first` and `count` into `path`, which holds node * 2 + bit. of_pair: each pair's tree."""
 
+    of_pair: np.ndarray
     first: np.ndarray
     count: np.ndarray
     path: np.ndarray
 
 
-def trees(pairs: np.ndarray) -> Trees:
-    """Huffman trees from counts by (previous symbol, symbol); every symbol has a code in every tree."""
-    first, count = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
-    nodes: list[int] = []
-    for before in range(256):
-        own = pairs[before]
-        heap = [(int(own[s]) * 256 + 1, s, s) for s in range(256)]
+def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
+    """Huffman trees from counts by (tree, symbol); every symbol has a code in every tree."""
+    first, count = np.zeros(len(counts) * 256, np.int32), np.zeros(len(counts) * 256, np.int32)
+    steps: list[int] = []
+    for tree, own in enumerate(counts.tolist()):
+        heap = [(n * 256 + 1, s) for s, n in enumerate(own)]
         heapq.heapify(heap)
         up: dict[int, tuple[int, int]] = {}
-        fresh = 256
-        while len(heap) > 1:
-            x, y = heapq.heappop(heap), heapq.heappop(heap)
-            up[x[2]], up[y[2]] = (fresh, 0), (fresh, 1)
-            heapq.heappush(heap, (x[0] + y[0], fresh, fresh))
-            fresh += 1
+        for node in range(256, 511):
+            (x, left), (y, right) = heapq.heappop(heap), heapq.heappop(heap)
+            up[left], up[right] = (node, 0), (node, 1)
+            heapq.heappush(heap, (x + y, node))
         for s in range(256):
             path, at = [], s
             while at in up:
                 at, b = up[at]
-                path.append((at, b))
-            first[before * 256 + s], count[before * 256 + s] = len(nodes), len(path)
-            for at, b in reversed(path):
-                nodes.append((before * 256 + at - 256) * 2 + b)
-    return Trees(first, count, np.asarray(nodes, np.uint32))
+                path.append((tree * 256 + at - 256) * 2 + b)
+            first[tree * 256 + s], count[tree * 256 + s] = len(steps), len(path)
+            steps += reversed(path)
+    return Trees(of_pair, first, count, np.asarray(steps, np.uint32))
 
 
 @dataclass
@@ -103,12 +105,14 @@ def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def lanes(data: np.ndarray, offsets: np.ndarray) -> Lanes:
+def lanes(data: np.ndarray, offsets: np.ndarray, of_pair: np.ndarray) -> Lanes:
     symbols, at = _symbols(data, offsets)
     size = len(symbols)
     b1, b2, b3, b4 = (_before(symbols, at, k) for k in (1, 2, 3, 4))
     with np.errstate(over="ignore"):
-        two = (b2 + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        three = ((b2 << 8) | b3) * np.uint32(0x85EBCA6B)
+        three ^= three >> np.uint32(15)
+        three *= np.uint32(0x2C1B3C6D)
         four = ((b2 << 16) | (b3 << 8) | b4) * np.uint32(0xC2B2AE35)
         four ^= four >> np.uint32(15)
         four *= np.uint32(0x27D4EB2F)
@@ -124,7 +128,7 @@ def lanes(data: np.ndarray, offsets: np.ndarray) -> Lanes:
         word ^= word >> np.uint64(29)
         word *= np.uint64(0xBF58476D1CE4E5B9)
         word = (word >> np.uint64(32)).astype(np.uint32)
-    return Lanes((b1 << 8 | symbols).astype(np.int32), [two, four, word], at)
+    return Lanes(np.take(of_pair, b2 << 8 | b1).astype(np.int32) << 8 | symbols, [three, four, word], at)
 
 
 def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,7 +161,7 @@ class Mixer:
 
     def __init__(self, t: Trees, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray):
         self.trees, self.tables, self.weights, self.refined = t, tables, weights, refined
-        self.hits = np.zeros((256 * BUCKETS, 2))
+        self.hits = np.zeros((TREES * BUCKETS, 2))
         self.steps, self.mean = 0, np.zeros_like(weights)
 
     def run(self, l: Lanes, learn: bool) -> np.ndarray:
@@ -247,24 +251,33 @@ def start_weights() -> np.ndarray:
 
 def plain_refinement() -> np.ndarray:
     """The refinement that changes nothing: each bucket's own probability."""
-    return np.tile(squash((np.arange(BUCKETS) + 0.5 - BUCKETS / 2) / 4), 256).astype(np.float32)
+    return np.tile(squash((np.arange(BUCKETS) + 0.5 - BUCKETS / 2) / 4), TREES).astype(np.float32)
 
 
-def _pair_counts(source: DataFrame) -> np.ndarray:
-    """Counts by (previous symbol, symbol) over all texts: 65,536 numbers from each task, summed by Spark."""
+def _counted_keys(source: DataFrame, size: int, keys) -> np.ndarray:
+    """How often each key below `size` occurs in all texts: `size` numbers from a task at most, summed by Spark."""
 
     def run(batches):
-        total = np.zeros(65536, np.int64)
-        for _, data, offsets in _text.text_slices(batches, "text"):
-            symbols, at = _symbols(data, offsets)
-            total += np.bincount(_before(symbols, at, 1) << 8 | symbols, minlength=65536)
+        total = np.zeros(size, np.int64)
+        for _, data, offsets in _text.text_slices(batches, "text", 1 << 19):
+            total += np.bincount(keys(*_symbols(data, offsets)), minlength=size)
         have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(total[have])], names=["pair", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(total[have])], names=["key", "n"])
+
+    found = source.select("text").mapInArrow(run, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size, np.int64)
+    out[found["key"].to_numpy()] = found["n"].to_numpy()
+    return out
+
 
-    out = np.zeros(65536, np.int64)
-    for r in source.select("text").mapInArrow(run, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        out[r["pair"]] = r["n"]
-    return out.reshape(256, 256)
+def _learnt_trees(source: DataFrame) -> Trees:
+    pairs = _counted_keys(source, 65536, lambda s, at: _before(s, at, 2) << 8 | _before(s, at, 1))
+    of_pair = np.tile(np.arange(256, dtype=np.int32), 256)
+    common = np.argsort(-pairs, kind="stable")[:PAIR_TREES]
+    common = common[pairs[common] > 0]
+    of_pair[common] = 256 + np.arange(len(common))
+    counts = _counted_keys(source, TREES * 256, lambda s, at: np.take(of_pair, _before(s, at, 2) << 8 | _before(s, at, 1)) << 8 | s)
+    return trees(of_pair, counts.reshape(TREES, 256))
 
 
 def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
@@ -274,7 +287,7 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
     def count(batches):
         own = [np.zeros(2 * size, np.int32) for size in SLOTS]  # 42 MB, whatever the task reads
         for _, data, offsets in _text.text_slices(batches, "text"):
-            l = lanes(data, offsets)
+            l = lanes(data, offsets, shared.value.of_pair)
             for i in range(0, len(l.key), 1 << 16):
                 pick = slice(i, i + (1 << 16))
                 many, node, bit = decisions(shared.value, l.key[pick])
@@ -316,14 +329,14 @@ def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.
     def run(batches):
         mixer = Mixer(*shared.value, start_weights(), plain_refinement())
         for _, data, offsets in _text.text_slices(batches, "text"):
-            mixer.run(lanes(data, offsets), learn=True)
+            mixer.run(lanes(data, offsets, mixer.trees.of_pair), learn=True)
         if mixer.steps:
             n = float(mixer.hits[:, 0].sum())
             flat = np.concatenate([(mixer.mean / mixer.steps).ravel() * n, mixer.hits.ravel()])
             have = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(flat[have])], names=["i", "x"])
 
-    flat = np.zeros(GATES * INPUTS + 512 * BUCKETS)
+    flat = np.zeros(GATES * INPUTS + 2 * TREES * BUCKETS)
     for r in source.select("text").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
         flat[r["i"]] = r["x"]
     hits = flat[GATES * INPUTS :].reshape(-1, 2)
@@ -337,7 +350,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text"):
     """(trees, counters, weights, refinement) learnt from the rows whose fold isn't 0: folds 1 to 8 fill the counters, fold 9, which
     the counters haven't seen, teaches the weights and the refinement. Sizes don't depend on the corpus."""
     source = docs.select(fold(id_column).alias("fold"), F.col(text).alias("text"))
-    t = trees(_pair_counts(source.where("fold > 0")))
+    t = _learnt_trees(source.where("fold > 0"))
     tables = _counters(source.where("fold BETWEEN 1 AND 8"), t)
     return t, tables, *_weights(source.where("fold = 9"), t, tables)
 
@@ -381,17 +394,23 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     below = n + 0.1 * (v + 1)
     end = counts.where("word IS NULL").first()
     end_count = end["n"] if end else 0
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
-    head = {r["word"].encode(): math.log10((r["n"] + 0.1) / below) for r in top}
-    least = (top[-1]["n"], top[-1]["word"]) if len(top) == HEAD_WORDS else None
+    words = counts.where("word IS NOT NULL").withColumn("bucket", F.floor(F.log2("n") * 16).cast("int"))
+    sizes = sorted(words.groupBy("bucket").agg(F.count("*").alias("n")).collect(), reverse=True)  # 16 rows for each doubling
+    least, taken = sizes[0]["bucket"] + 1 if sizes else 0, 0
+    for r in sizes:
+        if taken + r["n"] > HEAD_WORDS:
+            break
+        least, taken = r["bucket"], taken + r["n"]
+    head = {r["word"].encode(): math.log10((r["n"] + 0.1) / below) for r in words.where(F.col("bucket") >= least).collect()}  # HEAD_WORDS at most
     shared = spark.sparkContext.broadcast((model, head))
     end_score = math.log10((end_count + 0.1) / below) if below else math.log10(0.5)
 
     def run(batches):
         (t, tables, weights, refined), known = shared.value
         mixer = Mixer(t, tables, weights, refined)
+        number = TaskContext.get().partitionId() << 40
         for rows, data, offsets in _text.text_slices(batches, "text"):
-            bits = mixer.run(lanes(data, offsets), learn=False)
+            bits = mixer.run(lanes(data, offsets, t.of_pair), learn=False)
             raw = _text.LOWER[data].tobytes()
             tokens, have, base, rest, times = [], [], [], [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -405,22 +424,21 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
                 rest.append(list(missed.keys()))
                 times.append(list(missed.values()))
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), rows.column(2), pa.array(tokens, pa.int64()), pa.array(have, pa.int64()), pa.array(base), pa.array(bits), pa.array(np.diff(offsets)),
+                [rows.column(0), rows.column(1), pa.array(np.arange(number, number + rows.num_rows)), pa.array(tokens, pa.int64()), pa.array(have, pa.int64()), pa.array(base), pa.array(bits), pa.array(np.diff(offsets)),
                  pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                names=["doc_id", "row", "held_out", "n_tokens", "have", "base", "bits", "n_bytes", "rest", "times"],
+                names=["doc_id", "held_out", "number", "n_tokens", "have", "base", "bits", "n_bytes", "rest", "times"],
             )
+            number += rows.num_rows
 
-    source = docs.select(F.col(id_column).alias("doc_id"), row_key(text).alias("row"), (fold(id_column) == 0).alias("held_out"), F.col(text).alias("text"))
+    source = docs.select(F.col(id_column).alias("doc_id"), (fold(id_column) == 0).alias("held_out"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = cut(source.mapInArrow(run, f"doc_id {kind}, row bigint, held_out boolean, n_tokens bigint, have bigint, base double, bits double, n_bytes bigint, rest array<string>, times array<bigint>"))
-    tail = scored.select("doc_id", "row", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("doc_id", "row", F.col("w.rest").alias("word"), F.col("w.times").alias("times")).distinct()
-    rare = counts.where("word IS NOT NULL")
-    if least:
-        rare = rare.where((F.col("n") < least[0]) | ((F.col("n") == least[0]) & (F.col("word") > least[1])))
+    scored = cut(source.mapInArrow(run, f"doc_id {kind}, held_out boolean, number bigint, n_tokens bigint, have bigint, base double, bits double, n_bytes bigint, rest array<string>, times array<bigint>"))
+    # a row's number is its task's and its place there; the checkpoint holds it fast
+    tail = scored.select("number", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("number", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
+    rare = words.where(F.col("bucket") < least).select("word", "n")
     one = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(below or 0.2))
-    added = tail.join(rare, "word", "left").groupBy("doc_id", "row").agg(F.sum(F.col("times") * one).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    added = added.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
-    out = scored.join(added, scored["doc_id"].eqNullSafe(added["_id"]) & (scored["row"] == added["_row"]), "left")
+    added = tail.join(rare, "word", "left").groupBy("number").agg(F.sum(F.col("times") * one).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
+    out = scored.join(added, "number", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("have") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), "n_bytes", (-F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
