@@ -4,22 +4,40 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from functools import wraps
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 
-@F.pandas_udf("string")
+def _lazily(kind: str):
+    """A pandas UDF that is made at its first call: importing this module needs no session."""
+
+    def wrap(f):
+        made = []
+
+        @wraps(f)
+        def call(*columns):
+            if not made:
+                made.append(F.pandas_udf(f, kind))
+            return made[0](*columns)
+
+        return call
+
+    return wrap
+
+
+@_lazily("string")
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@_lazily("string")
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-@F.pandas_udf("double")
+@_lazily("double")
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching characters of two texts, by longest matching blocks: 2 M / T; 1 for two empty ones, null for a null."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
@@ -32,9 +50,10 @@ def similar(a, b, least: float):
     return F.coalesce(both & (sequence_ratio(F.when(both, a), F.when(both, b)) >= least), F.lit(False))
 
 
-@F.pandas_udf("string")
+@_lazily("string")
 def cut_repeated_lines(s: pd.Series) -> pd.Series:
-    """Without units of one to four lines that a text repeats three times or more at its end; blank lines don't count."""
+    """Without units of one to four lines that a text repeats three times or more at its end; blank lines don't count.
+    The sanitiser's own rule says the same in native expressions."""
     return s.map(_cut_repeated, na_action="ignore")
 
 
@@ -65,6 +84,6 @@ def decode_text(raw: bytes) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@_lazily("string")
 def decoded(raw: pd.Series) -> pd.Series:
     return raw.map(lambda x: decode_text(bytes(x)), na_action="ignore")

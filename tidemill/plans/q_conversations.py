@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tidemill.operators import conversations as C
 from tidemill.plans.tables import conversations, documents
 
-_LANG = F.when(F.col("text").rlike("(^|[^a-z])(the|of)([^a-z]|$)"), "en").when(F.col("text").rlike("(^|[^a-z])(der|und)([^a-z]|$)"), "de")
+def _lang():
+    return F.when(F.col("text").rlike("(^|[^a-z])(the|of)([^a-z]|$)"), "en").when(F.col("text").rlike("(^|[^a-z])(der|und)([^a-z]|$)"), "de")
 _SQL_LANG = "CASE WHEN regexp_matches(text, '(^|[^a-z])(the|of)([^a-z]|$)') THEN 'en' WHEN regexp_matches(text, '(^|[^a-z])(der|und)([^a-z]|$)') THEN 'de' END"
 
 
@@ -31,7 +32,7 @@ def _erased(s, d, part):
 
 
 def _user_turns(s, d):
-    return conversations(s, d).where("role = 'user'").select("conv_id", "turn", "text", _LANG.alias("department"))
+    return conversations(s, d).where("role = 'user'").select("conv_id", "turn", "text", _lang().alias("department"))
 
 
 QUERIES = {
@@ -46,7 +47,7 @@ QUERIES = {
     "win7_history": lambda s, d: C.history(C.pairs(conversations(s, d)), 6, 2000).select("conv_id", "turn", "back", "sum_chars"),
     "win8_expanded_queries": lambda s, d: C.expanded_queries(_user_turns(s, d)),
     "win10_titles": lambda s, d: C.titles(conversations(s, d)),
-    "win11_sticky_category": lambda s, d: C.sticky_category(conversations(s, d).where("role = 'assistant'").select("conv_id", "turn", _LANG.alias("department"), (F.length("text") < 200).alias("is_fallback"))),
+    "win11_sticky_category": lambda s, d: C.sticky_category(conversations(s, d).where("role = 'assistant'").select("conv_id", "turn", _lang().alias("department"), (F.length("text") < 200).alias("is_fallback"))),
     "agg22_by_category": lambda s, d: C.by_category(_heads(s, d)),
     "top11_newest_first": lambda s, d: _heads(s, d).withColumn("place", F.row_number().over(C.Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "conv_id"))).select("user_id", "conv_id", "place"),
 }

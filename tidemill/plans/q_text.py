@@ -6,7 +6,6 @@ from tidemill.functions import text as X
 from tidemill.functions import udfs
 from tidemill.plans.tables import benchmark, conversations, documents, embeddings, events, labels, pages
 
-T = F.col("text")
 _JUNK = r"[^가-힣a-zA-Z0-9\s.,%()\-/·α-ω]"
 _S = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _REASON = rf"""CASE WHEN length({_S}) < 15 THEN 'too_short' WHEN regexp_matches({_S}, '[\x{{FFFD}}\x00-\x08\x0b\x0c\x0e-\x1f]') THEN 'broken_unicode'
@@ -37,16 +36,16 @@ FROM (SELECT {x} AS x, {y} AS y, coalesce(list_sum(list_transform(list_distinct(
 
 
 def _reports(s, d):
-    reason = X.reject_reason(T)
-    return documents(s, d).withColumn("reason", reason).withColumn("hash", X.content_hash(T))
+    reason = X.reject_reason(F.col("text"))
+    return documents(s, d).withColumn("reason", reason).withColumn("hash", X.content_hash(F.col("text")))
 
 
-def _doc(*columns):
-    return lambda s, d: documents(s, d).select("doc_id", *columns)
+def _doc(s, d, *columns):
+    return documents(s, d).select("doc_id", *columns)
 
 
 def _confusion(s, d):
-    flagged = documents(s, d).select("doc_id", X.contains_any(F.lower(T), ("idiot", "clown", "worthless")).alias("flag")).join(labels(s, d), "doc_id")
+    flagged = documents(s, d).select("doc_id", X.contains_any(F.lower(F.col("text")), ("idiot", "clown", "worthless")).alias("flag")).join(labels(s, d), "doc_id")
     one = flagged.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(n) for n, c in (("tp", (F.col("toxic") == 1) & F.col("flag")), ("fn", (F.col("toxic") == 1) & ~F.col("flag")), ("fp", (F.col("toxic") == 0) & F.col("flag")), ("tn", (F.col("toxic") == 0) & ~F.col("flag")))])
     return one.withColumns({"recall": F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), 6), "fpr": F.round(F.col("fp") / F.nullif(F.col("fp") + F.col("tn"), F.lit(0)), 6)})
 
@@ -77,47 +76,47 @@ def _flag_report(s, d):
 
 def _review(s, d):
     words = {"legal": "(licen[sc]ed|rights reserved)", "contact": r"@|\+\d", "secret": "(token|password)"}
-    found = documents(s, d).select(F.explode(F.filter(F.array(*[F.when(T.rlike(p), F.lit(k)) for k, p in words.items()]), lambda x: x.isNotNull())).alias("category"))
+    found = documents(s, d).select(F.explode(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in words.items()]), lambda x: x.isNotNull())).alias("category"))
     n = documents(s, d).count()
     return found.groupBy("category").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(n), 6))
 
 
 QUERIES = {
-    "scl1_content_hash": _doc(X.content_hash(T).alias("hash")),
-    "scl2_split_sentences": _doc(X.split_sentences(T).alias("sentences")),
-    "scl3_hard_blocks": _doc(F.size(X.hard_blocks(T)).alias("n_blocks")),
-    "scl4_count_tokens": _doc(X.count_tokens(T).alias("n_tokens")),
-    "scl5_clean_text": _doc(X.clean_text(T).alias("clean")),
-    "scl5_clean_text_nfc": _doc(X.clean_text(T, udfs.nfc).alias("clean")),
-    "scl6_strip_restatement": lambda s, d: conversations(s, d).select("conv_id", "turn", X.strip_restatement(T).alias("answer")),
-    "scl7_mask_pii": _doc(X.mask_pii(T).alias("masked"), X.count_pii(T).cast("long").alias("n_pii")),
-    "scl8_clean_document_text": _doc(X.clean_document_text(T).alias("clean")),
-    "scl8_clean_document_text_nfkc": _doc(X.clean_document_text(T, udfs.nfkc, True).alias("clean")),
-    "scl9_strip_reasoning": lambda s, d: conversations(s, d).select("conv_id", "turn", X.strip_reasoning(F.concat(F.lit("<think>plan\nmore</think>\nStep 2: "), T)).alias("answer")),
-    "scl10_normalize_answer": lambda s, d: benchmark(s, d).select("item_id", X.normalize_answer(T).alias("answer")),
+    "scl1_content_hash": lambda s, d: _doc(s, d, X.content_hash(F.col("text")).alias("hash")),
+    "scl2_split_sentences": lambda s, d: _doc(s, d, X.split_sentences(F.col("text")).alias("sentences")),
+    "scl3_hard_blocks": lambda s, d: _doc(s, d, F.size(X.hard_blocks(F.col("text"))).alias("n_blocks")),
+    "scl4_count_tokens": lambda s, d: _doc(s, d, X.count_tokens(F.col("text")).alias("n_tokens")),
+    "scl5_clean_text": lambda s, d: _doc(s, d, X.clean_text(F.col("text")).alias("clean")),
+    "scl5_clean_text_nfc": lambda s, d: _doc(s, d, X.clean_text(F.col("text"), udfs.nfc).alias("clean")),
+    "scl6_strip_restatement": lambda s, d: conversations(s, d).select("conv_id", "turn", X.strip_restatement(F.col("text")).alias("answer")),
+    "scl7_mask_pii": lambda s, d: _doc(s, d, X.mask_pii(F.col("text")).alias("masked"), X.count_pii(F.col("text")).cast("long").alias("n_pii")),
+    "scl8_clean_document_text": lambda s, d: _doc(s, d, X.clean_document_text(F.col("text")).alias("clean")),
+    "scl8_clean_document_text_nfkc": lambda s, d: _doc(s, d, X.clean_document_text(F.col("text"), udfs.nfkc, True).alias("clean")),
+    "scl9_strip_reasoning": lambda s, d: conversations(s, d).select("conv_id", "turn", X.strip_reasoning(F.concat(F.lit("<think>plan\nmore</think>\nStep 2: "), F.col("text"))).alias("answer")),
+    "scl10_normalize_answer": lambda s, d: benchmark(s, d).select("item_id", X.normalize_answer(F.col("text")).alias("answer")),
     "scl11_exact_match": lambda s, d: _pairs(s, d).select("conv_id", "turn", X.exact_match(F.col("question"), F.concat(F.lit("  "), "question", F.lit("\n"))).alias("same"), X.exact_match(F.col("question"), F.col("answer")).alias("other")),
     "scl12_token_f1": lambda s, d: _pairs(s, d).select("conv_id", "turn", F.round(X.token_f1(F.col("question"), F.col("answer")), 9).alias("f1")),
     "scl13_character_similarity": lambda s, d: _pairs(s, d).select("conv_id", "turn", udfs.sequence_ratio(X.normalize_answer(F.col("question")), X.normalize_answer(F.col("answer"))).alias("similarity")),
     "scl15_pad_and_narrow": lambda s, d: embeddings(s, d).select("vec_id", F.size(X.pad_vector(F.col("embedding"), 80)).alias("padded"), F.round(F.aggregate(X.narrow_vector(X.pad_vector(F.col("embedding"), 80), 32), F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("narrow_sum")),
     "scl16_cosine": lambda s, d: embeddings(s, d).select("vec_id", F.round(X.cosine(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)), 6).alias("cosine"), F.round(X.norm(F.col("embedding")), 6).alias("norm")),
-    "scl18_input_language": _doc(X.input_language(T).alias("language")),
-    "scl19_foreign_ratio": _doc(F.round(X.foreign_ratio(T, "en"), 6).alias("ratio")),
+    "scl18_input_language": lambda s, d: _doc(s, d, X.input_language(F.col("text")).alias("language")),
+    "scl19_foreign_ratio": lambda s, d: _doc(s, d, F.round(X.foreign_ratio(F.col("text"), "en"), 6).alias("ratio")),
     "scl20_nested_path": lambda s, d: events(s, d).select("event_id", F.get_json_object("props", "$.k").alias("k"), F.expr("try_variant_get(parse_json(props), '$.k', 'string')").alias("same_k")),
-    "flt1_too_short": lambda s, d: documents(s, d).where(X.too_short(T)).select("doc_id"),
-    "flt2_broken_unicode": _doc(X.broken_unicode(T).alias("broken")),
+    "flt1_too_short": lambda s, d: documents(s, d).where(X.too_short(F.col("text"))).select("doc_id"),
+    "flt2_broken_unicode": lambda s, d: _doc(s, d, X.broken_unicode(F.col("text")).alias("broken")),
     "flt3_html_residue": lambda s, d: pages(s, d).select("page_id", X.html_residue(F.col("html")).alias("residue")),
-    "flt4_prompt_wrapper": _doc(X.prompt_wrapper(T).alias("wrapper")),
-    "flt5_junk_ratio": _doc(F.round(X.junk_ratio(T), 6).alias("ratio")),
-    "flt6_refusals": _doc(X.contains_any(T, ("All rights reserved", "licensed under")).alias("refusal")),
+    "flt4_prompt_wrapper": lambda s, d: _doc(s, d, X.prompt_wrapper(F.col("text")).alias("wrapper")),
+    "flt5_junk_ratio": lambda s, d: _doc(s, d, F.round(X.junk_ratio(F.col("text")), 6).alias("ratio")),
+    "flt6_refusals": lambda s, d: _doc(s, d, X.contains_any(F.col("text"), ("All rights reserved", "licensed under")).alias("refusal")),
     "flt7_leakage": lambda s, d: _pairs(s, d).select("conv_id", "turn", udfs.similar(F.col("question"), F.col("answer"), 0.5).alias("leak")),
-    "flt8_clean_content": _doc(X.clean_content(T).alias("content"), X.reject_reason(T).alias("reason")),
-    "flt9_needs_review": _doc(X.needs_review(T, "(token|licensed\\s*under|rights)").alias("needs_review")),
-    "flt10_garbage": _doc(X.garbage(T).alias("garbage")),
+    "flt8_clean_content": lambda s, d: _doc(s, d, X.clean_content(F.col("text")).alias("content"), X.reject_reason(F.col("text")).alias("reason")),
+    "flt9_needs_review": lambda s, d: _doc(s, d, X.needs_review(F.col("text"), "(token|licensed\\s*under|rights)").alias("needs_review")),
+    "flt10_garbage": lambda s, d: _doc(s, d, X.garbage(F.col("text")).alias("garbage")),
     "flt11_quality_verdict": lambda s, d: _pairs(s, d).select("conv_id", "turn", X.quality_verdict(F.col("question"), F.col("answer"), 30, 200, 1000).alias("reason")),
     "flt15_chunk_flags": lambda s, d: _chunk_flags(s, d).drop("text"),
-    "flt16_emergency": _doc(X.emergency(T, ("idiot", "clown th", "worthless")).alias("emergency")),
-    "flt17_risky_dosage": _doc(X.risky_dosage(T).alias("risky")),
-    "flt18_non_answer": _doc(X.contains_any(T, ("All rights reserved",)).alias("non_answer")),
+    "flt16_emergency": lambda s, d: _doc(s, d, X.emergency(F.col("text"), ("idiot", "clown th", "worthless")).alias("emergency")),
+    "flt17_risky_dosage": lambda s, d: _doc(s, d, X.risky_dosage(F.col("text")).alias("risky")),
+    "flt18_non_answer": lambda s, d: _doc(s, d, X.contains_any(F.col("text"), ("All rights reserved",)).alias("non_answer")),
     "flt19_embedding_problem": lambda s, d: embeddings(s, d).select("vec_id", X.embedding_problem(F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 9)).otherwise(F.col("embedding")), 64).alias("problem")),
     "flt20_canonical_url": lambda s, d: pages(s, d).select("page_id", X.canonical_url(F.col("url")).alias("url")),
     "agg7_ingestion_report": lambda s, d: _reports(s, d).groupBy("source").agg(
@@ -128,7 +127,7 @@ QUERIES = {
     "agg10_chunk_quality": _flag_report,
     "agg14_answer_metrics": lambda s, d: _pairs(s, d).agg(F.count("*").alias("cases"), F.round(F.avg(X.exact_match(F.col("question"), F.col("answer"))), 6).alias("exact_match"), F.round(F.avg(X.token_f1(F.col("question"), F.col("answer"))), 6).alias("token_f1")),
     "agg15_detector": _confusion,
-    "agg16_mcq_accuracy": lambda s, d: documents(s, d).select(F.avg((F.substring("text", 1, 20).rlike("(?i)(^|[^a-z])(the|le|der)([^a-z]|$)") | F.contains(T, F.lit("and"))).cast("double")).alias("accuracy")).select(F.round("accuracy", 6).alias("accuracy")),
+    "agg16_mcq_accuracy": lambda s, d: documents(s, d).select(F.avg((F.substring("text", 1, 20).rlike("(?i)(^|[^a-z])(the|le|der)([^a-z]|$)") | F.contains(F.col("text"), F.lit("and"))).cast("double")).alias("accuracy")).select(F.round("accuracy", 6).alias("accuracy")),
 }
 
 SQL = {

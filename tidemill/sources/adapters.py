@@ -65,7 +65,8 @@ def _or_null(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-_STRINGS = F.array().cast("array<string>")
+def _strings() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _record(raw: DataFrame, keep: Column, kind: str, content: Column, original_id: Column, dataset: str, department: Column | None = None, generated: Column | None = None, extras: dict | None = None, **fields: Column) -> DataFrame:
@@ -78,8 +79,8 @@ def _record(raw: DataFrame, keep: Column, kind: str, content: Column, original_i
     )
     return raw.where(keep).select(
         F.lit(dataset).alias("source"), F.lit(kind).alias("source_type"), content.alias("content"), original_id.cast("string").alias("original_id"), F.lit(dataset).alias("original_dataset"),
-        *[fields.get(f, null).cast("string").alias(f) for f in ("title", "question", "answer", "category")], (department if department is not None else _STRINGS).alias("department"),
-        _STRINGS.alias("disease"), _STRINGS.alias("symptoms"), metadata.alias("metadata"),
+        *[fields.get(f, null).cast("string").alias(f) for f in ("title", "question", "answer", "category")], (department if department is not None else _strings()).alias("department"),
+        _strings().alias("disease"), _strings().alias("symptoms"), metadata.alias("metadata"),
     )
 
 
@@ -108,7 +109,7 @@ def clinical_qa(raw: DataFrame, dataset: str = "clinical_qa") -> DataFrame:
     q, e, exam = _text("question"), _text("explanation"), _text("exam")
     category = _or_null(_text("category"))
     found = F.element_at(F.create_map(*[F.lit(x) for kv in DEPARTMENT_OF_CATEGORY.items() for x in kv]), F.lower(category))
-    department = F.when(found.isNull(), _STRINGS).otherwise(F.array(found))
+    department = F.when(found.isNull(), _strings()).otherwise(F.array(found))
     return _record(
         raw, _has(q, e), "clinical_qa", _joined(drop_trailing_questions(q), exam, e), F.coalesce(_or_null(_text("question_id")), F.col("idx").cast("string")), dataset, department,
         F.when(found.isNotNull(), True), {"reference": _or_null(_text("source"))}, title=_or_null(_text("chief_complaint")), question=q, answer=e, category=category,
@@ -154,7 +155,7 @@ def dialogue(raw: DataFrame, dataset: str = "dialogue", names=DEPARTMENTS) -> Da
     """input (the patient), output (the doctor): the department is the single one that the answer names."""
     q, a = _text("input"), _text("output")
     found = single_department(a, names)
-    return _record(raw, _has(q, a), "dialogue", _joined(q, a), F.col("idx"), dataset, F.when(found.isNull(), _STRINGS).otherwise(F.array(found)), F.when(found.isNotNull(), True), question=q, answer=a)
+    return _record(raw, _has(q, a), "dialogue", _joined(q, a), F.col("idx"), dataset, F.when(found.isNull(), _strings()).otherwise(F.array(found)), F.when(found.isNotNull(), True), question=q, answer=a)
 
 
 def government(pages: DataFrame, dataset: str = "government") -> DataFrame:
