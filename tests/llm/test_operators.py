@@ -96,10 +96,32 @@ def test_simhash_links_beyond_pairwise_groups(spark):
 def test_survivors(odd):
     kept = simhash.survivors(odd)
     assert kept.columns == odd.columns
-    named = {r.id for r in simhash.clusters(odd, shingle=5).collect() if r.id == r.component_id}
+    named = {r.id for r in simhash.near_duplicates(odd).collect() if r.id == r.component_id}
     assert {r.doc_id for r in kept.collect()} == named
 
 
+def test_near_duplicates_of_similarity_0_8(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    shared = " ".join(rng.choices(vocabulary, k=55))
+    rows, groups = [], {}
+    for base in range(60):
+        words = rng.choices(vocabulary[:60], k=120) + rng.choices(vocabulary, k=180)
+        rng.shuffle(words)
+        for copy in range(4):
+            w = list(words)
+            for i in rng.sample(range(len(w)), 0 if copy == 0 else copy + 1):
+                w[i] = rng.choice(vocabulary)
+            groups[len(rows)] = base
+            rows.append((len(rows), " ".join(w)))
+    for i in range(20):  # a long shared passage doesn't make texts alike
+        groups[len(rows)] = 1000 + i
+        rows.append((len(rows), shared + " " + " ".join(rng.choices(vocabulary, k=150))))
+    found = {r.id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(groups[i] == groups[c] for i, c in found.items())
+    assert sum(i != c for i, c in found.items()) >= 0.95 * 180
+
+
 def test_decontamination(spark, odd, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert got(decontam.report(docs, bench)) == brute.decontaminate(pairs(docs), pairs(bench, "item_id", "text"))
