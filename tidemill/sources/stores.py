@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 
 from tidemill.functions import text as X
 
@@ -74,7 +74,7 @@ class Store:
         for batch, make in batches:
             try:
                 self.write(batch, make())
-            except (Py4JJavaError, RuntimeError, ValueError, AnalysisException) as e:
+            except (PySparkException, Py4JJavaError, RuntimeError, ValueError) as e:
                 keys(batch).select(F.col("document_key"), F.lit(batch).alias("batch"), F.lit(str(e)[:500]).alias("error")).write.mode("append").parquet(f"{self.path}/errors")
 
     def replace_document(self, batch: str, chunks: DataFrame, key: str = "document_key") -> DataFrame:
