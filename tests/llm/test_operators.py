@@ -189,16 +189,24 @@ def test_packing_plan_uses_exact_complements():
 
 
 def test_shards(spark, docs, odd, tmp_path):
+    import zstandard
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(packing.tokenizer_path()).encode
     for df in (docs, odd):
-        rows = shards.report(df).toPandas()
-        assert sorted(rows.slot) == list(range(len(rows)))
-        again = shards.report(df.repartition(3)).toPandas()
-        assert sorted(rows.drop(columns="slot").itertuples(index=False), key=repr)[:5] != [] and set(zip(rows.slot, rows.ids_crc32)) == set(zip(again.slot, again.ids_crc32))
-    made = shards.ordered(shards.cut(shards.sequences(docs, packing.tokenizer_path())), 5)
-    shards.write(made, f"{tmp_path}/s", shard=64)
-    want = {r.slot: shards.zlib.crc32(r.ids) for r in made.collect()}
-    assert {r.slot: r.ids_crc32 for r in shards.read(spark, f"{tmp_path}/s", shard=64).collect()} == want
-    assert {r.slot for r in shards.read(spark, f"{tmp_path}/s", shard=64, from_slot=100).collect()} == {s for s in want if s >= 100}
+        one = df.coalesce(1)
+        rows = shards.report(one).toPandas().sort_values("sequence")
+        assert sorted(rows.slot) == list(range(len(rows))) and list(rows.sequence) == list(range(len(rows)))
+        ids = np.array([i for _, t in pairs(one) for i in [*encode(t or "", add_special_tokens=False).ids, 1]], "<u2")
+        want = [np.pad(ids[i : i + 4096], (0, max(0, 4096 - len(ids[i : i + 4096])))).tobytes() for i in range(0, len(ids), 4096)]
+        assert list(rows.ids_crc32) == [shards.zlib.crc32(w) for w in want]
+    made = shards.ordered(shards.cut(shards.sequences(docs.repartition(3), packing.tokenizer_path(), length=64)), 5)
+    shards.write(made, f"{tmp_path}/s", length=64, shard=64)
+    unpack = zstandard.ZstdDecompressor().decompress
+    want = {r.slot: shards.zlib.crc32(unpack(r.ids, max_output_size=128).ljust(128, b"\0")) for r in made.collect()}
+    assert sorted(want) == list(range(len(want)))
+    assert {r.slot: r.ids_crc32 for r in shards.read(spark, f"{tmp_path}/s", 64, 64).collect()} == want
+    assert {r.slot for r in shards.read(spark, f"{tmp_path}/s", 64, 64, from_slot=100).collect()} == {x for x in want if x >= 100}
     assert shards.report(docs.limit(0)).count() == 0
 
 

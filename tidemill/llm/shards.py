@@ -3,46 +3,57 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import _text
-from ._spark import cut, new_path, row_key
+from ._spark import cut, new_path
 from .packing import END_ID, tokenizer_path, word_ids
 
 #: Ids of a sequence, sequences of a shard file.
-LENGTH = 1024
+LENGTH = 4096
 SHARD = 2048
 PAD_ID = 0
 ROUNDS = 4
-#: Sequences are numbered in groups of about this many, by hash.
-GROUP = 50_000
+#: Bytes of an id in a shard: the vocabulary has fewer than 65,536.
+WIDTH = 2
 
 
-def sequences(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(doc_id, row, part, n_ids, ids): each document's ids and an end id in sequences of `length`, the last padded; ids are raw
-    little-endian 32-bit. Null counts as empty: an end id."""
+def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH) -> DataFrame:
+    """(task, at, n_ids, ids): the documents' ids, each followed by an end id, as one stream a task, cut into sequences of `length`
+    (a task's last may be shorter). ids are little-endian 16-bit, compressed. Null counts as empty: an end id.
+
+    No document is padded. The stream follows the table's own order within a task and tasks in turn, as `numbered` counts them.
+    """
+    size = WIDTH * length
 
     def run(batches):
-        known, end, size = word_ids(path), np.asarray([END_ID], "<u4").tobytes(), 4 * length
-        for rows, data, offsets in _text.text_slices(batches, "text"):
-            raw, of, part, n, ids = data.tobytes(), [], [], [], []
-            for i in range(rows.num_rows):
-                own = known.of(raw[offsets[i] : offsets[i + 1]]) + end
-                for p, at in enumerate(range(0, len(own), size)):
-                    piece = own[at : at + size]
-                    of.append(i)
-                    part.append(p)
-                    n.append(len(piece) // 4)
-                    ids.append(piece.ljust(size, np.asarray([PAD_ID], "<u4").tobytes()[:1]))
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(of)), rows.column(1).take(pa.array(of)), pa.array(part, pa.int32()), pa.array(n, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "row", "part", "n_ids", "ids"])
-
-    source = docs.select(F.col(id_column).alias("doc_id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, row bigint, part int, n_ids int, ids binary")
+        known, end, pack = word_ids(path), np.asarray([END_ID], "<u4").tobytes(), zstandard.ZstdCompressor(level=3).compress
+        task, at, rest = TaskContext.get().partitionId(), 0, b""
+
+        def rows(stream: bytes, whole: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal at, rest
+            stop = len(stream) if whole else len(stream) - len(stream) % size
+            parts = [stream[i : min(i + size, stop)] for i in range(0, stop, size)]
+            rest = stream[stop:]
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(at, at + len(parts)), pa.int64()), pa.array([len(p) // WIDTH for p in parts], pa.int32()), pa.array([pack(p) for p in parts], pa.binary())], names=["task", "at", "n_ids", "ids"])
+                at += len(parts)
+
+        for _, data, offsets in _text.text_slices(batches, "text"):
+            raw = data.tobytes()
+            ids = b"".join([known.of(raw[i:j]) + end for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+            yield from rows(rest + np.frombuffer(ids, "<u4").astype("<u2").tobytes(), False)
+        yield from rows(rest, True)
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "task int, at bigint, n_ids int, ids binary")
 
 
 def permuted(index: Column, n: int, key: int) -> Column:
@@ -72,57 +83,60 @@ WALK = 256
 
 
 def ordered(cut_sequences: DataFrame, key: int) -> DataFrame:
-    """cut_sequences with `slot`: a dense number by hashed groups (as many as the count asks for), permuted under the key.
+    """cut_sequences with `sequence`, a dense number by task and place, and `slot`, that number permuted under the key.
 
-    The numbering depends on the rows alone, not on how they lie, so a rerun gives every sequence the same slot.
+    Only the tasks' counts are added up, one row a task; sequences stay where they are.
     """
+    sizes = cut_sequences.groupBy("task").agg(F.count("*").alias("_n"))
+    before = sizes.select("task", (F.sum("_n").over(Window.orderBy("task")) - F.col("_n")).alias("_before"))
     n = cut_sequences.count()
-    groups = max(1, -(-n // GROUP))
-    salted = cut_sequences.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "row", "part"), F.lit(groups)))
-    before = salted.groupBy("_salt").agg(F.count("*").alias("_n"))
-    # one row a group, GROUP sequences each: the running sum is over n / GROUP rows
-    before = before.withColumn("_before", F.sum("_n").over(Window.orderBy("_salt")) - F.col("_n")).select("_salt", "_before")
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("_salt").orderBy("doc_id", "row", "part")) - 1)
-    return ranked.join(before, "_salt").withColumn("slot", permuted(F.col("_before") + F.col("_rank"), n, key)).drop("_salt", "_rank", "_before")
+    return cut_sequences.join(F.broadcast(before), "task").withColumn("sequence", F.col("_before") + F.col("at")).withColumn("slot", permuted(F.col("sequence"), n, key)).drop("_before")
 
 
 def write(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
-    """Writes shards of `shard` slots under path/shard=<n>: a file holds its slots in order, 4 * length bytes each, raw ids.
+    """Writes shards of `shard` slots under path/shard=<n>: a file holds its slots in order, each WIDTH * length bytes of ids (padded)
+    and one separator byte, which Spark's text sink adds. Its commits leave nothing of a lost task behind."""
+    size, pad = WIDTH * length, np.asarray([PAD_ID], "<u2").tobytes()
 
-    Spark's text sink writes them, so a lost task leaves nothing behind: ids are below 2 ** 24, the last byte of every sequence is a
-    zero, and that byte is the sink's line separator.
-    """
-    out = slotted.select((F.col("slot") / shard).cast("long").alias("shard"), "slot", F.expr(f"substring(ids, 1, {4 * length - 1})").cast("string").alias("value"))
-    out.repartition("shard").sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option("lineSep", "\0").text(path)
+    def opened(batches):
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                ids = [unpack(x.as_py(), max_output_size=size) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + pad * ((size - len(x)) // WIDTH) for x in ids], pa.binary())], names=["shard", "value"])
+
+    dealt = slotted.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "ids").repartition("shard").sortWithinPartitions("shard", "slot")
+    lines = dealt.select("shard", "ids").mapInArrow(opened, "shard bigint, value binary")
+    lines.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, from_slot: int = 0) -> DataFrame:
     """(slot, ids_crc32) of every sequence from from_slot on; a shard below it isn't opened, as strides are fixed."""
-    size = 4 * length
+    size = WIDTH * length
 
     def run(batches):
         for batch in batches:
             for s, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = memoryview(content.as_buffer())
-                first = max(0, from_slot - s * shard)
-                at = range(first * size, len(raw), size)
-                yield pa.RecordBatch.from_arrays([pa.array([s * shard + x // size for x in at], pa.int64()), pa.array([zlib.crc32(raw[x : x + size]) for x in at], pa.int64())], names=["slot", "ids_crc32"])
+                at = range(max(0, from_slot - s * shard) * (size + 1), len(raw), size + 1)
+                yield pa.RecordBatch.from_arrays([pa.array([s * shard + x // (size + 1) for x in at], pa.int64()), pa.array([zlib.crc32(raw[x : x + size]) for x in at], pa.int64())], names=["slot", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
     return files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= from_slot // shard).mapInArrow(run, "slot bigint, ids_crc32 bigint")
 
 
 def report(docs: DataFrame, key: int = 20_240_601, path: str | None = None) -> DataFrame:
-    """Writes every document's sequences in training order into the shared folder and reads the shards back: doc_id, part, n_ids,
-    slot, shard, place (in its shard), ids_crc32 (of the padded sequence, as read back).
+    """Writes all documents' sequences in training order into the shared folder and reads the shards back: sequence, n_ids, slot,
+    shard, place (in its shard), ids_crc32 (of the padded sequence, as read back).
 
-    Null and empty texts make one sequence; repeated rows each get slots; an empty table writes nothing.
+    Null and empty texts are an end id; repeated rows are repeated in the stream; an empty table writes nothing.
     """
     spark = docs.sparkSession
-    slotted = cut(ordered(cut(sequences(docs, tokenizer_path())), key))
-    path = path or new_path(spark, "shards")
+    slotted = ordered(cut(sequences(docs, tokenizer_path())), key)
+    small = slotted.select("sequence", "n_ids", "slot", F.floor(F.col("slot") / SHARD).cast("long").alias("shard"), (F.col("slot") % SHARD).alias("place"))
     if slotted.isEmpty():
-        return slotted.select("doc_id", "part", "n_ids", "slot", F.col("slot").alias("shard"), F.col("slot").alias("place"), F.col("slot").alias("ids_crc32"))
+        return small.withColumn("ids_crc32", F.lit(0).cast("long"))
+    path = path or new_path(spark, "shards")
     write(slotted, path)
-    back = read(spark, path)
-    return slotted.select("doc_id", "part", "n_ids", "slot").join(back, "slot").select("doc_id", "part", "n_ids", "slot", (F.col("slot") / SHARD).cast("long").alias("shard"), (F.col("slot") % SHARD).alias("place"), "ids_crc32")
+    return small.join(read(spark, path), "slot").select("sequence", "n_ids", "slot", "shard", "place", "ids_crc32")
