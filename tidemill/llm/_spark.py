@@ -36,6 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
+    """df in as many partitions as `rows` of them ask for: rounds over a small state needn't write a file for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def row_key(*texts: str) -> Column:
     """A hash that tells apart rows which share an id."""
     return F.xxhash64(*[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in texts])

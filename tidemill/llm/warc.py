@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import bloom, cut, in_bloom, new_path
+from ._spark import bloom, cut, gathered, in_bloom, new_path
 
 MAGIC = b"WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -143,18 +143,20 @@ def reachable(links: DataFrame) -> DataFrame:
     Pointer jumping: each round doubles the jumps and adds what the records reached so far jump to, so a file of n records takes
     log2(n) rounds of equality joins; every round is cut by a checkpoint. Candidates inside payloads are never jumped to.
     """
-    jump = cut(links.select("file", "at", "next"))
-    reached = cut(jump.where("at = 0").select("file", "at"))
+    rows = links.count()
+    small = lambda df: cut(gathered(df, rows))
+    places = small(links.select("file", "at", "next"))
+    jump, reached = places, small(places.where("at = 0").select("file", "at"))
     n = reached.count()
     while True:
         step = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        more = step.join(links.select("file", "at"), ["file", "at"], "left_semi")
-        reached = cut(reached.unionByName(more).distinct())
+        more = step.join(places.select("file", "at"), ["file", "at"], "left_semi")
+        reached = small(reached.unionByName(more).distinct())
         now = reached.count()
         if now == n:
             return reached
         n = now
-        jump = cut(jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("then")), ["file", "next"]).select("file", "at", F.col("then").alias("next")))
+        jump = small(jump.join(jump.select("file", F.col("at").alias("next"), F.col("next").alias("then")), ["file", "next"]).select("file", "at", F.col("then").alias("next")))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
