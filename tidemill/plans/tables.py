@@ -25,3 +25,12 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_LOG = """log AS (SELECT event_id, ts AS created_at, user_id, event_type AS model_id, event_type = 'error' AS is_fallback, event_type = 'signup' AS is_emergency,
     CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS rag_hit_count, value AS response_time_ms FROM events)"""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path that driver and executors share: in the cluster's checkpoint folder, or where that is unset in a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
