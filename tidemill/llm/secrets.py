@@ -54,7 +54,7 @@ def _places(text: Column, pattern: str, kind: str, group: int, least: int) -> Co
     return F.when(text.rlike(pattern), walked).otherwise(none)
 
 
-def base_spans(docs: DataFrame, text: str = "text", into: str = "_base") -> DataFrame:
+def base_spans(docs: DataFrame, text: str = "text", into: str = "_secret_base") -> DataFrame:
     """docs with an array of base spans per text, by start and then kind as listed."""
     t = _texts(docs, text)
     every = F.concat(*[_places(t, p, k, g, n) for k, (p, g, n) in BASE.items()])
@@ -78,12 +78,12 @@ def samples(docs: DataFrame, id_column: str = "doc_id", text: str = "text", most
     are random; distinct words of eight characters or more without a base span in their text are ordinary."""
     pick = docs.select(F.col(id_column).alias("_pick")).distinct().orderBy(F.xxhash64("_pick"), "_pick").limit(most_docs)
     texts = docs.select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(pick), F.col("_id").eqNullSafe(F.col("_pick")), "left_semi")
-    spans = base_spans(texts, "_text", "_base")
-    value = spans.select(F.explode("_base").alias("s")).select(F.col("s.value").alias("v")).distinct()
+    spans = base_spans(texts, "_text", "_secret_base")
+    value = spans.select(F.explode("_secret_base").alias("s")).select(F.col("s.value").alias("v")).distinct()
     hexed = F.when(F.col("v").rlike("^[0-9a-f]{16,}$") & (F.length("v") % 2 == 0), F.col("v"))
     forms = F.array("v", F.upper(hexed), F.base64(F.unhex(hexed)))
     random = value.select(F.explode(forms).alias("value")).where("value IS NOT NULL").select("value", F.lit(True).alias("random"))
-    plain = spans.where("size(_base) = 0").select(F.explode(F.regexp_extract_all("_text", F.lit(IDENTIFIER), F.lit(0))).alias("value")).distinct()
+    plain = spans.where("size(_secret_base) = 0").select(F.explode(F.regexp_extract_all("_text", F.lit(IDENTIFIER), F.lit(0))).alias("value")).distinct()
     return random.unionByName(plain.select("value", F.lit(False).alias("random")))
 
 
@@ -125,19 +125,19 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.when(F.length(value) > 1, total / (F.length(value) - 1)).otherwise(F.lit(0.0))
 
 
-def scan(docs: DataFrame, model: list[float], text: str = "text", least_ratio: float = LEAST_RATIO, into: str = "_spans") -> DataFrame:
+def scan(docs: DataFrame, model: list[float], text: str = "text", least_ratio: float = LEAST_RATIO, into: str = "_secret_spans") -> DataFrame:
     """docs with `into`: base spans and those that the models add, by start and then kind. Added spans overlap no base span.
 
     Null and empty texts have none. One pass over whole texts, no shuffle, no Python; other columns pass through.
     """
     t = _texts(docs, text)
-    based = base_spans(docs, text, "_base")
+    based = base_spans(docs, text, "_secret_base")
     runs = _places(t, CANDIDATE, "markov", 0, 20)
     added = F.filter(
         runs,
-        lambda x: ~F.exists(F.col("_base"), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & x["value"].rlike("[0-9]") & (ratio(x["value"], model) >= least_ratio),
+        lambda x: ~F.exists(F.col("_secret_base"), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & x["value"].rlike("[0-9]") & (ratio(x["value"], model) >= least_ratio),
     )
-    return based.withColumn(into, _ordered(F.concat("_base", added)))
+    return based.withColumn(into, _ordered(F.concat("_secret_base", added)))
 
 
 def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -145,14 +145,14 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str =
     scanned = scan(docs, model, text)
     t = F.col(text)
     walked = F.aggregate(
-        F.col("_spans"),
+        F.col("_secret_spans"),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
         lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["stop"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(
             F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["out"].alias("out"))
         ),
         lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
     )
-    return scanned.withColumn(text, F.when(F.size("_spans") > 0, walked).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scanned.withColumn(text, F.when(F.size("_secret_spans") > 0, walked).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def joined(spans: Column) -> Column:
@@ -163,5 +163,5 @@ def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     source = docs.select("doc_id", "text")
     scanned = scan(source, train(samples(source)))
-    count = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return scanned.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(F.col("_base")), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter("_secret_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return scanned.select("doc_id", *[count(k) for k in BASE], F.sha2(joined(F.col("_secret_base")), 256).alias("base_sha256"), joined(F.col("_secret_spans")).alias("spans"))
