@@ -23,7 +23,7 @@ END = 0xFF
 #: Pairs of symbols that have a tree of their own.
 PAIR_TREES = 1024
 TREES = 256 + PAIR_TREES
-#: Slots of the hashed counters: the node alone (and with it the tree's symbols), three symbols, four, the word so far.
+#: Slots of the counters: the node alone (and with it the tree's symbols), three symbols, four, the word so far.
 SLOTS = (1 << 19, 1 << 20, 1 << 21, 1 << 21)
 #: Counters travel and are summed in blocks of this many slots.
 BLOCK = 1 << 16
@@ -35,9 +35,11 @@ INPUTS = len(SLOTS)
 GATES = 16
 BUCKETS = 64
 #: Symbols of a text between two updates of its own weights, and symbols worked on at once.
-LANE_BYTES = 256
+LANE_BYTES = 512
 STEP_BYTES = 24_000
 RATE, OWN_RATE = 0.4, 0.08
+#: Text bytes whose contexts are laid out at once: they fit a core's cache.
+SLICE = 1 << 19
 #: Words whose counts are broadcast (some 10 MB); all others meet theirs by a join.
 HEAD_WORDS = 1 << 17
 #: Distinct words a task counts before it sends them on.
@@ -51,17 +53,20 @@ def fold(id_column: str = "doc_id") -> Column:
 
 @dataclass
 class Trees:
-    """Binary decisions of each (tree, symbol): `first` and `count` into `path`, which holds node * 2 + bit. of_pair: each pair's tree."""
+    """Binary decisions of each (tree, symbol): `first` and `count` into `path`, which holds node * 2 + bit. of_pair: each pair's tree.
+    counter: what each node has seen of its two sides, as a counter's bytes."""
 
     of_pair: np.ndarray
     first: np.ndarray
     count: np.ndarray
     path: np.ndarray
+    counter: np.ndarray
 
 
 def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
     """Huffman trees from counts by (tree, symbol); every symbol has a code in every tree."""
     first, count = np.zeros(len(counts) * 256, np.int32), np.zeros(len(counts) * 256, np.int32)
+    seen = np.zeros((SLOTS[0], 2))
     steps: list[int] = []
     for tree, own in enumerate(counts.tolist()):
         heap = [(n * 256 + 1, s) for s, n in enumerate(own)]
@@ -70,6 +75,7 @@ def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
         for node in range(256, 511):
             (x, left), (y, right) = heapq.heappop(heap), heapq.heappop(heap)
             up[left], up[right] = (node, 0), (node, 1)
+            seen[tree * 256 + node - 256] = x // 256, y // 256  # a leaf weighs 256 times its count, and 1
             heapq.heappush(heap, (x + y, node))
         for s in range(256):
             path, at = [], s
@@ -78,7 +84,7 @@ def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
                 path.append((tree * 256 + at - 256) * 2 + b)
             first[tree * 256 + s], count[tree * 256 + s] = len(steps), len(path)
             steps += reversed(path)
-    return Trees(of_pair, first, count, np.asarray(steps, np.uint32))
+    return Trees(of_pair, first, count, np.asarray(steps, np.uint32), packed_counts(seen[:, 0], seen[:, 1]))
 
 
 @dataclass
@@ -142,8 +148,7 @@ def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def slots(l: Lanes, count: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
-    """The slot of each decision in each counter."""
-    yield node.astype(np.intp)
+    """The slot of each decision in each hashed counter."""
     spread = node * NODE_FACTOR
     for hashes, size in zip(l.hashes, SLOTS[1:]):
         h = np.repeat(hashes[pick], count)
@@ -188,7 +193,7 @@ class Mixer:
         count, node, bit = decisions(self.trees, l.key[pick])
         ends = np.cumsum(count)[edge - 1]
         first = np.concatenate(([0], ends[:-1]))
-        seen = [np.take(table, s, mode="clip") for table, s in zip(self.tables, slots(l, count, node, pick))]
+        seen = [np.take(self.trees.counter, node.astype(np.intp), mode="clip"), *(np.take(table, s, mode="clip") for table, s in zip(self.tables, slots(l, count, node, pick)))]
         gate = (seen[2] & 3) << 2 | (seen[3] & 3)
         # the weights in force: those of the gate and the text's own corrections
         which = np.repeat(np.arange(0, len(own) * GATES, GATES), ends - first)
@@ -285,8 +290,8 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
     shared = source.sparkSession.sparkContext.broadcast(t)
 
     def count(batches):
-        own = [np.zeros(2 * size, np.int32) for size in SLOTS]  # 42 MB, whatever the task reads
-        for _, data, offsets in _text.text_slices(batches, "text"):
+        own = [np.zeros(2 * size, np.int32) for size in SLOTS[1:]]  # 42 MB, whatever the task reads
+        for _, data, offsets in _text.text_slices(batches, "text", SLICE):
             l = lanes(data, offsets, shared.value.of_pair)
             for i in range(0, len(l.key), 1 << 16):
                 pick = slice(i, i + (1 << 16))
@@ -315,8 +320,8 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed_counts(total[::2], total[1::2]).tobytes()], pa.binary())], names=["block", "odds"])
 
     summed = source.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
-    out = [np.full(size, EMPTY, np.uint8) for size in SLOTS]
-    for r in summed.toLocalIterator():  # sum(SLOTS) bytes in all
+    out = [np.full(size, EMPTY, np.uint8) for size in SLOTS[1:]]
+    for r in summed.toLocalIterator():  # sum(SLOTS[1:]) bytes in all
         k, b = divmod(r["block"], 1000)
         out[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r["odds"], np.uint8)
     return out
@@ -328,7 +333,7 @@ def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.
 
     def run(batches):
         mixer = Mixer(*shared.value, start_weights(), plain_refinement())
-        for _, data, offsets in _text.text_slices(batches, "text"):
+        for _, data, offsets in _text.text_slices(batches, "text", SLICE):
             mixer.run(lanes(data, offsets, mixer.trees.of_pair), learn=True)
         if mixer.steps:
             n = float(mixer.hits[:, 0].sum())
@@ -409,7 +414,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
         (t, tables, weights, refined), known = shared.value
         mixer = Mixer(t, tables, weights, refined)
         number = TaskContext.get().partitionId() << 40
-        for rows, data, offsets in _text.text_slices(batches, "text"):
+        for rows, data, offsets in _text.text_slices(batches, "text", SLICE):
             bits = mixer.run(lanes(data, offsets, t.of_pair), learn=False)
             raw = _text.LOWER[data].tobytes()
             tokens, have, base, rest, times = [], [], [], [], []
