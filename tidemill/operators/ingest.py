@@ -68,7 +68,8 @@ def ingest(records: DataFrame, priority: str = "priority", order: str = "idx", o
     One pass of gates and one shuffle on the hash. observers: {stage: function of a DataFrame} are called with raw, processed,
     duplicate and record rows; they cannot change the result.
     """
-    judged = records.withColumns({"reason": X.reject_reason(F.col("content")), "cleaned": X.clean_content(F.col("content"))})
+    stripped = records.withColumn("_stripped", X.strip(F.col("content"))).withColumn("reason", X.reject_reason(F.col("_stripped")))
+    judged = stripped.withColumn("cleaned", F.when(F.col("reason").isNull(), F.col("_stripped"))).drop("_stripped")
     hashed = judged.withColumn("content_hash", F.when(F.col("reason").isNull(), F.sha2("cleaned", 256)).otherwise(F.concat(F.lit("-"), F.col(order).cast("string"))))
     placed = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy(priority, order)))
     out = placed.withColumn("status", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_n") > 1, "duplicate").otherwise("kept")).drop("_n")
