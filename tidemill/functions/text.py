@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# --- fixed values: patterns, keyword lists and limits of the reference rules ---
+# --- fixed values: patterns, keyword lists and limits of the rules ---
 MIN_CHARS = 15
 BROKEN_UNICODE = "[�\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]"
 HTML_RESIDUE = r"<[a-zA-Z/][^>]{0,80}>|&[a-z]+;|\{\{.*?\}\}"
