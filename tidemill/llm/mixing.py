@@ -352,8 +352,8 @@ def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.
 
 
 def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text"):
-    """(trees, counters, weights, refinement) learnt from the rows whose fold isn't 0: folds 1 to 8 fill the counters, fold 9, which
-    the counters haven't seen, teaches the weights and the refinement. Sizes don't depend on the corpus."""
+    """(trees, counters, weights, refinement) learnt from the rows whose fold isn't 0: all of them shape the trees and their nodes'
+    counts, folds 1 to 8 fill the hashed counters, fold 9, which those haven't seen, teaches the weights and the refinement. Sizes don't depend on the corpus."""
     source = docs.select(fold(id_column).alias("fold"), F.col(text).alias("text"))
     t = _learnt_trees(source.where("fold > 0"))
     tables = _counters(source.where("fold BETWEEN 1 AND 8"), t)
