@@ -36,7 +36,7 @@ GATES = 16
 BUCKETS = 64
 #: Symbols of a text between two updates of its own weights, and symbols worked on at once.
 LANE_BYTES = 512
-STEP_BYTES = 24_000
+STEP_BYTES = 48_000
 RATE, OWN_RATE = 0.4, 0.08
 #: Text bytes whose contexts are laid out at once: they fit a core's cache.
 SLICE = 1 << 19
@@ -228,11 +228,12 @@ class Mixer:
         hit -= 1
         gain = np.log(np.abs(hit))
         own = own.copy()
+        many = np.bincount(gate, minlength=GATES) + 256.0 if learn else None
         for k in range(INPUTS):
             x[k] *= error
             own[:, k] += OWN_RATE / STEP * np.add.reduceat(x[k], first) / (ends - first)
             if learn:
-                self.weights[:, k] += RATE / STEP * np.bincount(gate, x[k], GATES) / (np.bincount(gate, minlength=GATES) + 256.0)
+                self.weights[:, k] += RATE / STEP * np.bincount(gate, x[k], GATES) / many
         if learn:
             self.hits[:, 0] += np.bincount(bucket, minlength=len(self.hits))
             self.hits[:, 1] += np.bincount(bucket, bit, len(self.hits))
