@@ -122,6 +122,27 @@ def test_near_duplicates_of_similarity_0_8(spark):
     assert sum(i != c for i, c in found.items()) >= 0.95 * 180
 
 
+def test_near_duplicates_that_differ_by_a_block(spark):
+    """Truncated, prepended and appended copies at similarities from 0.6 to 0.9, against brute force over shingle sets."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20000)]
+    texts = []
+    for level in (0.6, 0.7, 0.78, 0.8, 0.85, 0.9):
+        for kind in ("cut", "before", "after") * 8:
+            words = rng.choices(vocabulary, k=200)
+            more = rng.choices(vocabulary, k=int(196 / level - 196))
+            texts += [words, words[: math.ceil(196 * level) + 4] if kind == "cut" else more + words if kind == "before" else words + more]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    least = list(range(len(texts)))
+    for j, t in enumerate(sets):
+        for i, s in enumerate(sets[:j]):
+            if 5 * len(s & t) >= 4 * len(s | t):
+                least[j] = min(least[j], least[i])
+    assert sum(i != c for i, c in enumerate(least)) == 3 * 24
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert {r.id: r.component_id for r in found.collect()} == dict(enumerate(least))
+
+
 def test_decontamination(spark, odd, docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert got(decontam.report(docs, bench)) == brute.decontaminate(pairs(docs), pairs(bench, "item_id", "text"))

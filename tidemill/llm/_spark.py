@@ -65,6 +65,17 @@ def in_bloom(words: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _maybe_in(keys: DataFrame, column: str):
+    """A function of a long column: whether a Bloom filter of keys' column may hold it."""
+    shared = keys.sparkSession.sparkContext.broadcast(bloom(keys, column))
+
+    @F.pandas_udf("boolean")
+    def maybe(key: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(shared.value, key.to_numpy("int64").view(np.uint64)))
+
+    return maybe
+
+
 def without(docs: DataFrame, removed: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs whose (id, row key) isn't among those of removed (id, row).
 
@@ -72,15 +83,22 @@ def without(docs: DataFrame, removed: DataFrame, id_column: str = "doc_id", text
     are read. Null ids are matched as equal.
     """
     gone = cut(removed.select("id", "row").distinct().withColumn("_key", F.xxhash64("id", "row")))
-    shared = docs.sparkSession.sparkContext.broadcast(bloom(gone, "_key"))
-
-    @F.pandas_udf("boolean")
-    def maybe(key: pd.Series) -> pd.Series:
-        return pd.Series(in_bloom(shared.value, key.to_numpy("int64").view(np.uint64)))
-
+    maybe = _maybe_in(gone, "_key")
     keyed = docs.withColumn("_without_row", row_key(text)).withColumn("_without_key", F.xxhash64(F.col(id_column), F.col("_without_row")))
     marked = keyed.withColumn("_without_maybe", maybe("_without_key"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     own = marked.where("_without_maybe").alias("own")
     left = own.join(gone.alias("gone"), F.col(f"own.{id_column}").eqNullSafe(F.col("gone.id")) & (F.col("own._without_row") == F.col("gone.row")), "left_anti")
     return marked.where("NOT _without_maybe").select(*columns).unionByName(left.select(*columns))
+
+
+def among(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """wanted (id, row, ...), each with the text (_among_text) of the rows of docs that have its id and row key.
+
+    Only rows that pass a Bloom filter are shuffled, as in `without`. Null ids are matched as equal.
+    """
+    asked = cut(wanted.withColumn("_key", F.xxhash64("id", "row")))
+    maybe = _maybe_in(asked, "_key")
+    own = docs.select(F.col(id_column).alias("_among_id"), row_key(text).alias("_among_row"), F.col(text).alias("_among_text"))
+    own = own.withColumn("_among_maybe", maybe(F.xxhash64("_among_id", "_among_row"))).where("_among_maybe")
+    return own.join(asked, F.col("_among_id").eqNullSafe(F.col("id")) & (F.col("_among_row") == F.col("row")))

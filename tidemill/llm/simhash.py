@@ -11,24 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text, graph
-from ._spark import cut, row_key, without
+from ._spark import among, cut, row_key, without
 
 BITS = 64
 #: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already.
 PAIRWISE = 8
 
 
-def _fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
+def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words, repeats included; of all words where they are fewer, of nothing where there are none."""
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     hashed = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return hashed(joined, seed)
+        return np.array([hashed(joined, seed)], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts, stops = (ends - lengths)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist()
-    h = np.fromiter((hashed(joined[i:j], seed) for i, j in zip(starts, stops)), np.uint64, len(starts))
+    return np.fromiter((hashed(joined[i:j], seed) for i, j in zip(starts, stops)), np.uint64, len(starts))
+
+
+def _fingerprint(words: list[bytes], shingle: int, seed: int) -> int:
+    h = _shingles(words, shingle, seed)
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 14):
         part = h[i : i + (1 << 14)]
@@ -136,9 +141,6 @@ def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), c
     kind = ", ".join(f"{c} bigint" for c in ("key", *columns))
     verifier = _Verifier(segments, distance, check[1] if check else None)
 
-    def array(x: np.ndarray) -> pa.Array:
-        return pa.array(np.ascontiguousarray(x).view(np.int64))
-
     def sign(batches):
         for batch in batches:
             whole = [c.to_numpy().view(np.uint64) for c in batch.columns]
@@ -146,7 +148,18 @@ def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), c
                 part = [c[i : i + 4096] for c in whole]
                 for r in range(len(fps)):
                     keys = _signatures(part[r], segments, r * segments)
-                    yield pa.RecordBatch.from_arrays([array(keys.ravel()), *(array(np.tile(c, len(keys))) for c in (part[r], *part[len(fps) :]))], names=["key", *columns])
+                    yield pa.RecordBatch.from_arrays([_array(keys.ravel()), *(_array(np.tile(c, len(keys))) for c in (part[r], *part[len(fps) :]))], names=["key", *columns])
+
+    signed = nodes.select(*fps, *kept).mapInArrow(sign, kind)
+    return _verified(signed, verifier)
+
+
+def _array(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def _verified(signed: DataFrame, verifier: _Verifier) -> DataFrame:
+    """The links (a, b) among rows (key, then the verifier's columns) that share a key."""
 
     def verify(batches):
         held: list[np.ndarray] = []
@@ -166,9 +179,8 @@ def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), c
 
     def pairs(rows):
         a, b = verifier.linked(rows[:, 0], rows[:, 1:]) if len(rows) else (np.zeros(0, np.uint64),) * 2
-        return pa.RecordBatch.from_arrays([array(a), array(b)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([_array(a), _array(b)], names=["a", "b"])
 
-    signed = nodes.select(*fps, *kept).mapInArrow(sign, kind)
     return signed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint")
 
 
@@ -183,11 +195,17 @@ def clusters(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shi
     return _named(prints, nodes, links(nodes, distance), "fp").select("id", "row", "fp", "component_id")
 
 
-#: How near-duplicates are told: fingerprints of the words, and of the five-word shingles as a check on similarity.
+#: Near-duplicates share this part of all shingles that either of them holds.
+SIMILAR = (4, 5)
+#: Candidates have near fingerprints of the words, or the same fingerprint of one of PARTS parts.
 WORD_SEEDS = (42, 43)
 WORD_DISTANCE = 5
-#: Shingle fingerprints of texts at a Jaccard similarity of 0.8 differ in 9.7 of 64 bits on average, and in 15 or more once in 25 times.
-CHECK_DISTANCE = 14
+#: A part is the PART_SHINGLES shingles that come first in as many random orders: two texts of similarity J share a given part's
+#: fingerprint with probability J ** PART_SHINGLES wherever they differ, so at 0.8 all PARTS miss 1 pair in 38,000.
+PARTS, PART_SHINGLES = 20, 4
+#: One bit of each of the first 64 of these shingles. At 0.8 some 6.4 of them differ, and 21 or more less than once in a million.
+CHECK_DISTANCE = 20
+_ORDERS = np.random.default_rng(42).integers(0, 1 << 63, (2, PARTS * PART_SHINGLES), dtype=np.uint64)
 
 
 def _bits(hashes: np.ndarray, weights: np.ndarray) -> int:
@@ -205,27 +223,111 @@ def _word_fingerprint(words: list[bytes], seed: int) -> int:
     return _bits(hashes, np.fromiter((n.bit_length() for n in counted.values()), np.int64, len(counted)))
 
 
+def _parts(distinct: np.ndarray) -> tuple[np.ndarray, int]:
+    """The keys of a text's parts, in the form of _signatures, and its check value; `distinct` are its shingles."""
+    least = np.full(PARTS * PART_SHINGLES, ~np.uint64(0), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(0, len(distinct), 1 << 12):
+            np.minimum(least, ((distinct[i : i + (1 << 12), None] ^ _ORDERS[0]) * (_ORDERS[1] << np.uint64(1) | np.uint64(1))).min(axis=0), out=least)
+        check = np.packbits((least[:BITS] >> np.uint64(20) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)[0]
+        mixed, own = np.zeros(PARTS, np.uint64), least.reshape(PARTS, PART_SHINGLES)
+        for k in range(PART_SHINGLES):
+            mixed = _text.mixed(mixed + own[:, k])
+    return mixed >> np.uint64(16) | np.arange(PARTS, dtype=np.uint64) << np.uint64(56) | np.uint64(0xFF << 48), int(check)
+
+
+def _part_links(nodes: DataFrame) -> DataFrame:
+    """(a, b) pairs of nodes (node, check, parts) that share a part's key and whose check values are near."""
+
+    def sign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.concatenate([np.frombuffer(p.as_buffer(), np.uint64) for p in batch.column(2)])
+                check, node = (np.repeat(batch.column(i).to_numpy(), PARTS) for i in (1, 0))
+                yield pa.RecordBatch.from_arrays([_array(keys), _array(check), _array(node)], names=["key", "fp", "node"])
+
+    return _verified(nodes.select("node", "check", "parts").mapInArrow(sign, "key bigint, fp bigint, node bigint"), _Verifier(1, CHECK_DISTANCE, None))
+
+
+def _alike(sets: list[np.ndarray], checks: np.ndarray, at: int, left: np.ndarray) -> np.ndarray:
+    """Which of the sets `left` share SIMILAR of all their members with the set `at`."""
+    share, of = SIMILAR
+    one, size = sets[at], np.fromiter((len(sets[i]) for i in left), np.int64, len(left))
+    out = (of * np.minimum(size, len(one)) >= share * np.maximum(size, len(one))) & (size > 0) & (np.bitwise_count(checks[left] ^ checks[at]) <= CHECK_DISTANCE)
+    maybe = np.flatnonzero(out)
+    for i in range(0, len(maybe), 256):
+        some = maybe[i : i + 256]
+        members = np.concatenate([sets[j] for j in left[some]])
+        hit = one[np.minimum(np.searchsorted(one, members), len(one) - 1)] == members
+        both = np.add.reduceat(hit, np.cumsum(size[some]) - size[some], dtype=np.int64)
+        out[some] = of * both >= share * (size[some] + len(one) - both)
+    return out
+
+
+def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """(a, b) pairs of nodes whose shingle sets are SIMILAR, enough to join every component, given candidates `found`.
+
+    Candidates that hang together meet in one task, each text once; the task keeps their shingles, 8 bytes each.
+    """
+    groups = graph.components(found)
+    wanted = nodes.join(groups, "node").select("one.id", "one.row", "node", "check", "root")
+
+    def run(batches):
+        root, sets, kept = None, [], []
+        for batch in batches:
+            for rows, data, offsets in _text.text_slices([batch], "text"):
+                raw = _text.LOWER[data].tobytes()
+                for (r, node, check), i, j in zip(zip(*(rows.column(c).to_pylist() for c in range(3))), offsets[:-1], offsets[1:]):
+                    if r != root:
+                        yield links_of(sets, kept)
+                        root, sets, kept = r, [], []
+                    if not kept or kept[-1][0] != node:
+                        sets.append(np.unique(_shingles(raw[i:j].split(), shingle, 42)))
+                        kept.append((node, check))
+        yield links_of(sets, kept)
+
+    def links_of(sets, kept):
+        a, b, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(sets))
+        names, checks = (np.array([k[i] for k in kept], np.int64) for i in (0, 1))
+        while len(left) > 1:
+            todo, left = [left[0]], left[1:]
+            while todo and len(left):
+                at = todo.pop()
+                hit = _alike(sets, checks.view(np.uint64), at, left)
+                near, left = left[hit], left[~hit]
+                a.append(np.full(len(near), names[at]))
+                b.append(names[near])
+                todo.extend(near)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    texts = among(docs, wanted, id_column, text).select("root", "node", "check", F.col("_among_text").alias("text"))
+    return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
-    """(id, row, component_id) for every row: groups of texts of a similarity of about 0.8 or more over five-word shingles.
+    """(id, row, component_id) for every row: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-    At that similarity the SimHash of the shingles themselves differs in some ten bits, too many for its segments. Few words differ,
-    though, so either of two fingerprints of the words (WORD_DISTANCE bits, three segments) finds the pair, and the shingles'
-    fingerprint then tells its similarity. Texts without words form one group.
+    Candidates are texts of which either of two fingerprints of the words is near (WORD_DISTANCE bits, three segments: scattered
+    edits), or of which a part's fingerprint is the same (any edits, blocks cut off or added too). Candidates are then compared by
+    their shingles themselves. Texts without words form one group.
     """
 
     def run(batches):
         for rows, data, offsets in _text.text_slices(batches, "text"):
             raw = _text.LOWER[data].tobytes()
             words = [raw[i:j].split() for i, j in zip(offsets[:-1], offsets[1:])]
-            fps = [np.fromiter((_word_fingerprint(w, s) for w in words), np.uint64, len(words)) for s in WORD_SEEDS]
-            fps.append(np.fromiter((_fingerprint(w, shingle, 42) for w in words), np.uint64, len(words)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(f.view(np.int64)) for f in fps)], names=["id", "row", "fp0", "fp1", "shingles"])
+            prints = [np.fromiter((_word_fingerprint(w, s) for w in words), np.uint64, len(words)) for s in WORD_SEEDS]
+            sets = [np.unique(_shingles(w, shingle, 42)) for w in words]
+            parts, checks = zip(*map(_parts, sets))
+            prints += [np.array(checks, np.uint64), np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(_array, prints), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "row", "fp0", "fp1", "check", "node", "parts"])
 
     source = docs.select(F.col(id_column).alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    prints = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp0 bigint, fp1 bigint, shingles bigint")
-    prints = cut(prints.withColumn("node", F.xxhash64("fp0", "fp1", "shingles")))
-    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "shingles")]))
-    return _named(prints, nodes, links(nodes, WORD_DISTANCE, ("fp0", "fp1"), ("shingles", CHECK_DISTANCE), "node"), "node").select("id", "row", "component_id")
+    prints = cut(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp0 bigint, fp1 bigint, check bigint, node bigint, parts binary"))
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("one"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "check", "parts")]))
+    found = links(nodes, WORD_DISTANCE, ("fp0", "fp1"), ("check", CHECK_DISTANCE), "node").unionByName(_part_links(nodes))
+    similar = _similar(docs, nodes, found, id_column, text, shingle)
+    return _named(prints.select("id", "row", "node"), nodes.select("node", "least"), similar, "node").select("id", "row", "component_id")
 
 
 def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
