@@ -18,7 +18,7 @@ def _store(s, d):
 
 
 def _queries(s, d):
-    own = embeddings(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("department"))
+    own = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("department"))
     return own.join(_store(s, d).withColumnRenamed("id", "query_id"), "query_id")
 
 
@@ -28,7 +28,7 @@ def _documents(s, d):
 
 def _search(s, d, top_k=5, rerank=True, boosts=True):
     docs = _documents(s, d)
-    asked = embeddings(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("_q"), F.col("embedding").alias("asked"))
+    asked = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("_q"), F.col("embedding").alias("asked"))
     if not rerank:
         return R.hybrid_search(_queries(s, d), _store(s, d), docs, top_k, boosts=boosts)
     providers = sorted(_HALF)
@@ -97,7 +97,7 @@ def _evaluation(s, d, configs):
     for name, df in configs.items():
         one = df.select(F.lit(name).alias("config"), "query_id", "id", "rank")
         r = one if r is None else r.unionByName(one)
-    near = embeddings(s, d).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("relevant_id"))
+    near = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("relevant_id"))
     return V.relevant_ranks(r, near, list(configs))
 
 
