@@ -31,3 +31,9 @@ def from_spark(spark, name):
 def test_every_twentieth_row_is_a_query(spark, name):
     sql = q_retrieval.SQL[name].replace("id % 50 = 0", "id % 20 = 0")
     assert from_spark(spark, name) == from_duckdb(sql)
+
+
+def test_embedding_is_evaluated_among_all_documents(spark):
+    cut = " WHERE doc_id IN (SELECT relevant_id FROM passages)"
+    assert cut in q_retrieval.SQL["evl2_retrieval_evaluation"]
+    assert from_spark(spark, "evl2_retrieval_evaluation") == from_duckdb(q_retrieval.SQL["evl2_retrieval_evaluation"].replace(cut, ""))

@@ -132,8 +132,7 @@ FROM (SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest({_WORD
 
 def _evl2(s, d):
     p = _passages(s, d)
-    corpus = documents(s, d).join(p.select(F.col("relevant_id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text")
-    return V.evaluate_embedding(corpus, p.select(F.col("item_id").alias("query_id"), F.col("query").alias("text"), "relevant_id"), "hashing", 64)
+    return V.evaluate_embedding(documents(s, d).select(F.col("doc_id").alias("id"), "text"), p.select(F.col("item_id").alias("query_id"), F.col("query").alias("text"), "relevant_id"), "hashing", 64)
 
 
 _VEC = """SELECT id, list(coalesce(value, 0) ORDER BY b) AS v FROM (SELECT ids.id, b, value FROM (SELECT DISTINCT id FROM {0}) ids CROSS JOIN (SELECT unnest(range(64)) AS b) LEFT JOIN {1} t ON t.id = ids.id AND t.bucket = b) GROUP BY id"""
