@@ -1,6 +1,7 @@
 """Plain restatements of the operators, for small inputs."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -108,3 +109,51 @@ def chat(rows):
         loss = "".join(t for _, r, t in turns if r == "assistant")
         out[conv] = (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in turns).encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     return out
+
+
+def mixed(model, symbols):
+    """Log2 probability of each symbol of one text under (trees, counters, weights, refinement), one decision at a time."""
+    from tidemill.llm import mixing as m
+
+    trees, tables, weights, refined = model
+    own, tally, out = [0.0] * m.INPUTS, [[0.0, 0.0] for _ in range(m.OWN_BUCKETS)], []
+    edges = m.lane_edges(len(symbols))
+    for low, high in zip(edges, edges[1:]):
+        slope, many, fresh = [0.0] * m.INPUTS, 0, [[0, 0] for _ in range(m.OWN_BUCKETS)]
+        for i in range(low, high):
+            b1, b2, b3, b4 = (symbols[i - k] if i >= k else 255 for k in (1, 2, 3, 4))
+            word, k = [], i
+            while k > 0 and symbols[k - 1] not in (32, 9, 10, 11, 12, 13):
+                k -= 1
+            word = sum((symbols[j] + 1) * pow(0x9E3779B97F4A7C15, j - k, 1 << 64) for j in range(k, i)) % (1 << 64)
+            word = (word ^ word >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) >> 32
+            tree = int(trees.of_pair[b2 << 8 | b1])
+            three = b3 << 16 | b2 << 8 | b1
+            places = []
+            for h, size in zip((three * 0x85EBCA6B, (three | b4 << 24) * 0xC2B2AE35, word + tree * 0x9E3779B1), m.SLOTS[1:]):
+                h %= 1 << 32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % (1 << 32)
+                places.append(h >> 33 - size.bit_length())
+            code, gain = int(trees.code[tree << 8 | symbols[i]]), 0.0
+            for step in trees.path[code >> 8 : (code >> 8) + (code & 255)].tolist():
+                node, bit = step >> 1, step & 1
+                seen = [int(trees.counter[node]), *(int(t[p ^ (node & 255)]) for t, p in zip(tables, places))]
+                gate = (seen[2] & 3) << 2 | (seen[3] & 3)
+                x = [(v >> 2) - 32 for v in seen]
+                z = sum((float(weights[gate, k]) + own[k]) / m.STEP * x[k] for k in range(m.INPUTS))
+                p = 1 / (1 + math.exp(-z))
+                level = int(min(max(4 * z + m.BUCKETS / 2, 0), m.BUCKETS - 1))
+                mine = level // (m.BUCKETS // m.OWN_BUCKETS)
+                centre = 1 / (1 + math.exp(-(mine + 0.5 - m.OWN_BUCKETS / 2) * (m.BUCKETS / m.OWN_BUCKETS) / 4))
+                n, ones = tally[mine]
+                final = (2 * p + float(refined[(node >> 8) * m.BUCKETS + level]) + (ones + m.OWN_PRIOR * centre) / (n + m.OWN_PRIOR)) / 4
+                final = min(max(final, 1e-6), 1 - 1e-6)
+                gain += math.log2(final if bit else 1 - final)
+                slope = [s + v * (bit - p) for s, v in zip(slope, x)]
+                many += 1
+                fresh[mine][0] += 1
+                fresh[mine][1] += bit
+            out.append(gain)
+        own = [o + m.OWN_RATE / m.STEP * s / many for o, s in zip(own, slope)]
+        tally = [[a + c, b + d] for (a, b), (c, d) in zip(tally, fresh)]
+    return out

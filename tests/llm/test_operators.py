@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -265,50 +266,100 @@ def test_chat(spark):
     assert chat.report(df.limit(0)).count() == 1
 
 
+def fold(d):
+    return zlib.crc32(str("" if d is None else d).encode()) % 10
+
+
+def base_rows(rows):
+    words = [(d, [*brute.WORD.findall(brute.lower(t)), None]) for d, t in rows]
+    c = Counter(w for d, ws in words if fold(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    return sorted(((d, fold(d) == 0, len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for d, ws in words), key=repr)
+
+
+def scored(df, *more):
+    out = got(mixing.score(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", *more))
+    return [x[:5] for x in out], np.array([x[5] for x in out]), np.array([x[6] for x in out])
+
+
 def test_mixing_base(odd, docs):
     for df in (docs, odd):
-        rows = pairs(df)
-        import zlib
-
-        words = [(d, [*brute.WORD.findall(brute.lower(t)), None]) for d, t in rows]
-        fold = lambda d: zlib.crc32(str("" if d is None else d).encode()) % 10
-        c = Counter(w for d, ws in words if fold(d) for w in ws)
-        n, v = sum(c.values()), len(c)
-        out = got(mixing.score(df).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
-        want = sorted(((d, fold(d) == 0, len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)) for d, ws in words), key=repr)
-        assert [x[:5] for x in out] == [x[:5] for x in want]
-        assert np.allclose([x[5] for x in out], [x[5] for x in want]) and all(x[6] < 0 for x in out)
+        want = base_rows(pairs(df))
+        exact, base, score = scored(df)
+        assert exact == [x[:5] for x in want] and np.allclose(base, [x[5] for x in want]) and (score < 0).all()
+    assert mixing.score(docs.limit(0)).count() == 0
+    assert mixing.score(docs.where(mixing.fold() == 0)).where("train_tokens <> 0 OR score IS NULL OR isnan(base_score)").count() == 0
 
 
 def test_mixing_head_and_tail_agree(docs, monkeypatch):
-    whole = got(mixing.score(docs).select("doc_id", "n_known", "base_score"))
+    whole = scored(docs)
     monkeypatch.setattr(mixing, "HEAD_WORDS", 50)
-    parted = got(mixing.score(docs).select("doc_id", "n_known", "base_score"))
-    assert [x[:2] for x in whole] == [x[:2] for x in parted] and np.allclose([x[2] for x in whole], [x[2] for x in parted])
-
-
-def test_mixing_is_a_distribution():
+    monkeypatch.setattr(mixing, "HEAD_PHRASES", 3)
+    monkeypatch.setattr(mixing, "ROW_ITEMS", 7)
+    parted = scored(docs)
+    assert whole[0] == parted[0] and np.allclose(whole[1], parted[1]) and np.allclose(whole[2], parted[2])
+
+
+def test_mixing_parts_of_long_texts(spark, monkeypatch):
+    """Words that a part's end cuts are counted whole, and every symbol is scored once."""
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgé", k=rng.randint(1, 30))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=n))) for i, n in enumerate([5, 0, 3000, 40, 1200, 2, 60, 10, 20, 700, 30])] + [(11, "x" * 9000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(mixing, "SLICE", 4096)
+    want = base_rows(rows)
+    exact, base, score = scored(df)
+    assert exact == [x[:5] for x in want] and np.allclose(base, [x[5] for x in want]) and (score < 0).all()
+
+
+def small_model(rng, docs):
+    texts = [brute.lower(t).encode() for _, t in pairs(docs)][:60]
+    symbols = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)
+    of_pair = np.tile(np.arange(256), 256)
+    of_pair[[ord("e") << 8 | ord(" "), ord("t") << 8 | ord("h")]] = [256, 257]
+    counts = np.zeros((mixing.TREES, 256), np.int64)
+    np.add.at(counts, (of_pair[symbols[:-2].astype(int) << 8 | symbols[1:-1]], symbols[2:]), 1)
+    tables = [rng.integers(0, 256, s).astype(np.uint8) for s in mixing.SLOTS[1:]]
+    weights = rng.random((mixing.GATES, mixing.INPUTS)).astype(np.float32) * 0.3
+    refined = np.clip(mixing.plain_refinement() + rng.normal(0, 0.02, mixing.TREES * mixing.BUCKETS).astype(np.float32), 0.01, 0.99)
+    return mixing.trees(of_pair, counts), tables, weights, refined
+
+
+def test_mixing_follows_its_rule(docs):
+    """Scores of texts side by side against a symbol-by-symbol restatement, weights and refinement fed back as texts go by."""
+    model = small_model(np.random.default_rng(4), docs)
+    texts = [brute.lower(t).encode()[:n] for (_, t), n in zip(pairs(docs), (0, 20, 33, 300, 700, 1500, 90))]
+    symbols, at = mixing._symbols(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    gains = mixing.Mixer(*model).run(mixing.lanes(symbols, at, model[0].of_pair), learn=False)
+    for t, i, j in zip(texts, at, at[1:]):
+        assert np.allclose(gains[i:j], brute.mixed(model, [*t, 255]), atol=2e-3)
+
+
+def test_mixing_is_a_distribution(docs):
     """The probabilities of all symbols at a place, each coded by its own decisions, add up to one."""
-    rng = np.random.default_rng(0)
-    of_pair = np.tile(np.arange(256, dtype=np.int32), 256)
-    t = mixing.trees(of_pair, rng.integers(0, 50, (256, 256)))
-    tables = [rng.integers(40, 200, s).astype(np.uint8) for s in mixing.SLOTS[1:]]
-    text = b"ab cd"
-    total = 0.0
-    base = mixing.Mixer(t, tables, mixing.start_weights(), mixing.plain_refinement())
-    whole = 0.0
-    for s in range(256):
-        data = np.frombuffer(text + bytes([s]), np.uint8)
-        l = mixing.lanes(data, np.array([0, len(data)]), of_pair)
-        l.offsets = np.array([0, len(data)])  # without the end of the text
-        if 65 <= s < 91:
-            continue
-        total += 2.0 ** base.run(l, learn=False)[0]
-    data = np.frombuffer(text, np.uint8)
-    l = mixing.lanes(data, np.array([0, len(data)]), of_pair)
-    l.offsets = np.array([0, len(data)])
-    whole = 2.0 ** base.run(l, learn=False)[0]
-    assert total / whole <= 1 + 1e-4
+    model = small_model(np.random.default_rng(0), docs)
+    for text in (b"", b"ab cd", b"the way there" * 9):
+        chance = 0.0
+        for s in range(256):
+            symbols = np.frombuffer(text + bytes([s]), np.uint8)
+            chance += 2.0 ** mixing.Mixer(*model).run(mixing.lanes(symbols, np.array([0, len(symbols)]), model[0].of_pair), learn=False)[-1]
+        assert abs(chance - 1) < 1e-4
+
+
+def test_mixing_knows_texts_of_the_corpus(spark):
+    """A held-out copy of a training text scores far above held-out texts without a copy, and so does a training text with a copy."""
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(vocabulary, k=400)) for _ in range(120)]
+    rows = list(enumerate(texts))
+    twice = [next(i for i in range(start, start + 500) if fold(i) == f) for start, f in ((1000, 0), (2000, 3))]
+    plain = [next(i for i in range(start, start + 500) if fold(i) == f) for start, f in ((3000, 0), (4000, 3))]
+    trained = [i for i in range(120) if fold(i)]
+    rows += [(twice[0], texts[trained[0]]), (twice[1], texts[trained[1]]), (plain[0], " ".join(rng.choices(vocabulary, k=400))), (plain[1], " ".join(rng.choices(vocabulary, k=400)))]
+    bits = {r.doc_id: r.bits_per_byte for r in mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in (*twice, trained[1]):
+        assert bits[i] < 0.6 * min(bits[plain[0]], bits[plain[1]])
+    assert bits[trained[2]] > 0.8 * bits[plain[1]]
 
 
 def test_classifier(spark):

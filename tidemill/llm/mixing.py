@@ -1,15 +1,20 @@
-"""Language-model scoring by online logistic context mixing, beside a smoothed unigram base."""
+"""Language-model scoring by online logistic context mixing, beside a smoothed unigram base.
+
+Every symbol is coded by binary decisions whose hashed-context predictors are mixed by gated weights and refined. Counters of short
+contexts have a fixed size. What texts share beyond those contexts is gathered by phrases, runs of some 32 words cut where the words
+themselves say so: the corpus' table of phrases grows with it and is never in one place, and a text's phrases meet it by a join.
+"""
 
 from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,16 +39,29 @@ INPUTS = len(SLOTS)
 #: Weight sets: how much the counters of four symbols and of the word so far have seen.
 GATES = 16
 BUCKETS = 64
-#: Symbols of a text between two updates of its own weights, and symbols worked on at once.
+#: Buckets of a text's own refinement, and what its prior weighs in decisions.
+OWN_BUCKETS, OWN_PRIOR = 16, 32.0
+#: Symbols of a text between two updates of its own weights and refinement, once it has gone on for a while (see lane_edges); symbols
+#: worked on at once, which fit a core's cache.
 LANE_BYTES = 512
-STEP_BYTES = 48_000
+STEP_BYTES = 32_000
 RATE, OWN_RATE = 0.4, 0.08
-#: Text bytes whose contexts are laid out at once: they fit a core's cache.
-SLICE = 1 << 19
+#: Text bytes whose contexts are laid out at once. A longer text is laid out in parts, each with so many symbols of context.
+SLICE = 1 << 21
+BACK = 64
+#: Words of a phrase on average (a power of two), and the part of the probability that phrases of the corpus get.
+PHRASE_WORDS = 32
+PHRASE_SHARE = 1 / 16
+#: Phrases whose counts are broadcast (some 0.5 MB); all others meet theirs by a join.
+HEAD_PHRASES = 1 << 15
 #: Words whose counts are broadcast (some 20 MB); all others meet theirs by a join.
 HEAD_WORDS = 1 << 18
-#: Distinct words a task counts before it sends them on.
+#: Distinct words, or phrases, a task counts before it sends them on.
 COUNTED = 600_000
+#: Groups in which the tasks' counters are summed before they are summed by block.
+SUMMED = 64
+#: Words or phrases of one text in one row; a text with more has more rows.
+ROW_ITEMS = 50_000
 NODE_FACTOR = np.uint32(0x9E3779B1)
 
 
@@ -53,19 +71,18 @@ def fold(id_column: str = "doc_id") -> Column:
 
 @dataclass
 class Trees:
-    """Binary decisions of each (tree, symbol): `first` and `count` into `path`, which holds node * 2 + bit. of_pair: each pair's tree.
-    counter: what each node has seen of its two sides, as a counter's bytes."""
+    """Binary decisions of each (tree, symbol): code is 256 times where they begin in `path`, which holds node * 2 + bit, and how many
+    there are. of_pair: each pair's tree. counter: what each node has seen of its two sides, as a counter's bytes."""
 
     of_pair: np.ndarray
-    first: np.ndarray
-    count: np.ndarray
+    code: np.ndarray
     path: np.ndarray
     counter: np.ndarray
 
 
 def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
     """Huffman trees from counts by (tree, symbol); every symbol has a code in every tree."""
-    first, count = np.zeros(len(counts) * 256, np.int32), np.zeros(len(counts) * 256, np.int32)
+    code = np.zeros(len(counts) * 256, np.int64)
     seen = np.zeros((SLOTS[0], 2))
     steps: list[int] = []
     for tree, own in enumerate(counts.tolist()):
@@ -82,18 +99,21 @@ def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
             while at in up:
                 at, b = up[at]
                 path.append((tree * 256 + at - 256) * 2 + b)
-            first[tree * 256 + s], count[tree * 256 + s] = len(steps), len(path)
+            code[tree * 256 + s] = len(steps) << 8 | len(path)
             steps += reversed(path)
-    return Trees(of_pair, first, count, np.asarray(steps, np.uint32), packed_counts(seen[:, 0], seen[:, 1]))
+    return Trees(of_pair.astype(np.int64), code, np.asarray(steps, np.int64), packed_counts(seen[:, 0], seen[:, 1]))
 
 
 @dataclass
 class Lanes:
-    """A slice of texts as symbols, each with its code's key and the hashes of its contexts."""
+    """A slice of texts as symbols, each with its code's key and where its contexts' slots are in each counter; the phrases that the
+    slice falls into, by their ends, and their hashes."""
 
     key: np.ndarray
-    hashes: list[np.ndarray]
+    places: list[np.ndarray]
     offsets: np.ndarray
+    stops: np.ndarray
+    phrases: np.ndarray
 
 
 def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,6 +121,20 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.insert(_text.LOWER[data], offsets[1:], END), offsets + np.arange(len(offsets))
 
 
+def parts(batches, most: int):
+    """Rows in slices of about `most` bytes as (rows, symbols, offsets, skip, last). A longer text comes alone, in parts cut at
+    fixed places; the first `skip` symbols of a part are only there as the context of the others."""
+    for rows, data, offsets in _text.text_slices(batches, "text", most):
+        if len(data) <= most or rows.num_rows > 1:
+            yield rows, *_symbols(data, offsets), 0, True
+            continue
+        for i in range(0, len(data), most):
+            low, last = max(0, i - BACK), i + most >= len(data)
+            part = _text.LOWER[data[low : i + most]]
+            part = np.append(part, np.uint8(END)) if last else part
+            yield rows, part, np.array([0, len(part)]), i - low, last
+
+
 def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     """The symbol k places back in the same text, or END."""
     out = np.full(len(symbols), END, np.uint32)
@@ -111,17 +145,11 @@ def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def lanes(data: np.ndarray, offsets: np.ndarray, of_pair: np.ndarray) -> Lanes:
-    symbols, at = _symbols(data, offsets)
+def lanes(symbols: np.ndarray, at: np.ndarray, of_pair: np.ndarray | None, skip: int = 0) -> Lanes:
+    """Without of_pair only the phrases."""
     size = len(symbols)
-    b1, b2, b3, b4 = (_before(symbols, at, k) for k in (1, 2, 3, 4))
+    b1 = _before(symbols, at, 1)
     with np.errstate(over="ignore"):
-        three = ((b2 << 8) | b3) * np.uint32(0x85EBCA6B)
-        three ^= three >> np.uint32(15)
-        three *= np.uint32(0x2C1B3C6D)
-        four = ((b2 << 16) | (b3 << 8) | b4) * np.uint32(0xC2B2AE35)
-        four ^= four >> np.uint32(15)
-        four *= np.uint32(0x27D4EB2F)
         p, q = _text._powers(size + 1)
         s = np.zeros(size + 1, np.uint64)
         np.cumsum((symbols + np.uint64(1)) * p[:size], out=s[1:])
@@ -133,70 +161,110 @@ def lanes(data: np.ndarray, offsets: np.ndarray, of_pair: np.ndarray) -> Lanes:
         word *= np.repeat(q[start], many)
         word ^= word >> np.uint64(29)
         word *= np.uint64(0xBF58476D1CE4E5B9)
-        word = (word >> np.uint64(32)).astype(np.uint32)
-    return Lanes(np.take(of_pair, b2 << 8 | b1).astype(np.int32) << 8 | symbols, [three, four, word], at)
+        # a phrase ends after a word that three words' hash chooses, one in PHRASE_WORDS, and with its text
+        done = np.flatnonzero(_text.SPACE[symbols] & ~opens)
+        three = _text.gram_hashes(word[done], 3) & np.uint64(PHRASE_WORDS - 1)
+        ends = done[2:][three == 0]
+        text = np.searchsorted(at, ends, "right")
+        first = np.searchsorted(done, at[:-1])  # a text's first word that ends before a space
+        ends = ends[(np.searchsorted(done, ends) >= first[text - 1] + 2) & (ends > skip)]
+        stops = np.sort(np.concatenate((ends, at[1:])))
+        starts = np.concatenate(([skip], stops[:-1]))
+        phrases = _text.mixed((s[stops] - s[starts]) * q[starts])
+        if of_pair is None:
+            return Lanes(symbols[:0], [], at, stops, phrases)
+        b2, b3, b4 = (_before(symbols, at, k) for k in (2, 3, 4))
+        tree = np.take(of_pair, b2 << 8 | b1)
+        three = b3 << 16 | b2 << 8 | b1
+        contexts = [three * np.uint32(0x85EBCA6B), (three | b4 << 24) * np.uint32(0xC2B2AE35), (word >> np.uint64(32)).astype(np.uint32) + tree.astype(np.uint32) * NODE_FACTOR]
+        for h, size in zip(contexts, SLOTS[1:]):
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            h >>= np.uint32(33 - size.bit_length())
+    at = np.maximum(at - skip, 0)
+    return Lanes((tree << 8 | symbols)[skip:], [h[skip:].astype(np.intp) for h in contexts], at, stops - skip, phrases)
+
+
+def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where each symbol's decisions begin; the symbol that each decision is of, its node and its bit."""
+    code = np.take(t.code, key, mode="clip")
+    count = code & 0xFF
+    begin = np.cumsum(count) - count
+    of = np.repeat(np.arange(len(key)), count)
+    path = np.take((code >> 8) - begin, of, mode="clip")
+    path += np.arange(len(path))
+    step = np.take(t.path, path, mode="clip")
+    return begin, of, step >> 1, step & 1
+
+
+def slots(l: Lanes, of: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
+    """The slot of each decision in each hashed counter: those of one symbol are near each other."""
+    near = node & 0xFF
+    for places in l.places:
+        h = np.take(places[pick], of, mode="clip")
+        h ^= near
+        yield h
 
 
-def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many decisions each symbol takes, and all of them in turn: node, bit."""
-    count = t.count[key]
-    total = np.cumsum(count, dtype=np.int32)
-    path = np.repeat(t.first[key] - total + count, count)
-    path += np.arange(len(path), dtype=np.int32)
-    step = np.take(t.path, path.astype(np.intp), mode="clip")
-    return count, step >> np.uint32(1), step & np.uint32(1)
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
 
 
-def slots(l: Lanes, count: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
-    """The slot of each decision in each hashed counter."""
-    spread = node * NODE_FACTOR
-    for hashes, size in zip(l.hashes, SLOTS[1:]):
-        h = np.repeat(hashes[pick], count)
-        h += spread
-        h >>= np.uint32(32 - size.bit_length() + 1)
-        yield h.astype(np.intp)
+def lane_edges(size: int) -> list[int]:
+    """Where a text's own weights and refinement are updated: often at its start, less so as it goes on."""
+    edges = [x for x in (0, 32, 64, 128, 256) if x < size]
+    while edges[-1] + LANE_BYTES < size and edges[-1] < 16 * LANE_BYTES:
+        edges.append((edges[-1] // LANE_BYTES + 1) * LANE_BYTES)
+    while edges[-1] + 4 * LANE_BYTES < size:
+        edges.append(edges[-1] + 4 * LANE_BYTES)
+    return [*edges, size]
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+#: The middle of each bucket of a text's own refinement, as a probability.
+_CENTRES = squash((np.arange(OWN_BUCKETS) + 0.5 - OWN_BUCKETS / 2) * (BUCKETS / OWN_BUCKETS) / 4)
 
 
 class Mixer:
-    """Gated weights over the predictors' log-odds, then a refinement of the mixed probability, both fed back as texts go by."""
+    """Gated weights over the predictors' log-odds, then refinements of the mixed probability: one that all texts share, by tree, and
+    the text's own. A text's weights and refinement are fed back as it goes by; learning, so are the shared ones."""
 
     def __init__(self, t: Trees, tables: list[np.ndarray], weights: np.ndarray, refined: np.ndarray):
         self.trees, self.tables, self.weights, self.refined = t, tables, weights, refined
         self.hits = np.zeros((TREES * BUCKETS, 2))
+        self.prior = refined
         self.steps, self.mean = 0, np.zeros_like(weights)
 
     def run(self, l: Lanes, learn: bool) -> np.ndarray:
-        """Log2 probability of each text. A text starts from the shared weights and adds its own corrections, updated after every
-        LANE_BYTES symbols from the errors so far. learn: shared weights and the refinement's counts are updated too."""
+        """Log2 probability of each symbol. A text starts from the shared weights and refinement and adds its own corrections,
+        updated at lane_edges from the errors so far; texts move on side by side."""
         sizes = np.diff(l.offsets)
-        out = np.zeros(len(sizes))
-        order = np.argsort(sizes, kind="stable")
-        group = max(1, STEP_BYTES // LANE_BYTES)
-        for i in range(0, len(order), group):
-            texts = order[i : i + group]
-            own = np.zeros((len(texts), INPUTS), np.float32)
-            for at in range(0, int(sizes[texts].max()), LANE_BYTES):
-                live = np.flatnonzero(sizes[texts] > at)
-                many = np.minimum(sizes[texts[live]] - at, LANE_BYTES)
-                begin = l.offsets[texts[live]] + at
-                edge = np.cumsum(many)
-                pick = np.arange(edge[-1]) + np.repeat(begin - (edge - many), many)
-                gain, own[live] = self._step(l, pick, edge, own[live], learn)
-                out[texts[live]] += gain
-        return out
-
-    def _step(self, l: Lanes, pick: np.ndarray, edge: np.ndarray, own: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray]:
-        count, node, bit = decisions(self.trees, l.key[pick])
-        ends = np.cumsum(count)[edge - 1]
-        first = np.concatenate(([0], ends[:-1]))
-        seen = [np.take(self.trees.counter, node.astype(np.intp), mode="clip"), *(np.take(table, s, mode="clip") for table, s in zip(self.tables, slots(l, count, node, pick)))]
+        gains = np.zeros(len(l.key), np.float32)
+        order = np.argsort(-sizes, kind="stable")
+        own, tally = np.zeros((len(sizes), INPUTS), np.float32), np.zeros((len(sizes), OWN_BUCKETS, 2), np.float32)
+        edges = lane_edges(int(sizes.max())) if len(l.key) else [0]
+        for low, high in zip(edges, edges[1:]):
+            live = order[: np.searchsorted(-sizes[order], -low)]
+            many = np.minimum(sizes[live], high) - low
+            done = np.cumsum(many)
+            i = 0
+            while i < len(live):
+                j = max(i + 1, int(np.searchsorted(done, done[i] - many[i] + STEP_BYTES, "right")))
+                texts, n = live[i:j], many[i:j]
+                edge = np.cumsum(n)
+                pick = np.arange(edge[-1]) + np.repeat(l.offsets[texts] + low - (edge - n), n)
+                gains[pick], own[texts], tally[texts] = self._step(l, pick, edge, own[texts], tally[texts], learn)
+                i = j
+        return gains
+
+    def _step(self, l: Lanes, pick: np.ndarray, edge: np.ndarray, own: np.ndarray, tally: np.ndarray, learn: bool):
+        begin, of, node, bit = decisions(self.trees, l.key[pick])
+        first = np.take(begin, np.concatenate(([0], edge[:-1])))
+        n = np.diff(np.append(first, len(of)))
+        seen = [np.take(self.trees.counter, node, mode="clip"), *(np.take(table, s, mode="clip") for table, s in zip(self.tables, slots(l, of, node, pick)))]
         gate = (seen[2] & 3) << 2 | (seen[3] & 3)
         # the weights in force: those of the gate and the text's own corrections
-        which = np.repeat(np.arange(0, len(own) * GATES, GATES), ends - first)
+        text = np.repeat(np.arange(len(own)), n)
+        which = text * GATES
         which += gate
         force = (self.weights[None] + own[:, None]).reshape(-1, INPUTS).T / np.float32(STEP)
         z = np.zeros(len(node), np.float32)
@@ -217,29 +285,40 @@ class Mixer:
         z += BUCKETS / 2
         np.maximum(z, 0, out=z)
         np.minimum(z, BUCKETS - 1, out=z)
-        bucket = (node >> np.uint32(8)).astype(np.intp)
+        level = z.astype(np.uint8)
+        bucket = node >> 8
         bucket *= BUCKETS
-        bucket += z.astype(np.uint8)
+        bucket += level
+        mine = text
+        mine *= OWN_BUCKETS
+        mine += level // np.uint8(BUCKETS // OWN_BUCKETS)
+        p *= 2
         p += np.take(self.refined, bucket, mode="clip")
-        p *= 0.5
+        p += np.take(((tally[..., 1] + OWN_PRIOR * _CENTRES) / (tally[..., 0] + OWN_PRIOR)).astype(np.float32).ravel(), mine, mode="clip")
+        p *= 0.25
         np.maximum(p, np.float32(1e-6), out=p)
         np.minimum(p, np.float32(1 - 1e-6), out=p)
-        hit += p
-        hit -= 1
-        gain = np.log(np.abs(hit))
-        own = own.copy()
+        p += hit
+        p -= 1
+        gain = np.log(np.abs(p, out=p), out=p)
+        own, tally = own.copy(), tally.copy()
+        hit *= 1 << 20
+        hit += 1
+        both = np.bincount(mine, hit, tally.size // 2).astype(np.int64)  # how many decisions, and how many ones
+        tally += np.stack((both & 0xFFFFF, both >> 20), axis=-1).reshape(tally.shape)
         many = np.bincount(gate, minlength=GATES) + 256.0 if learn else None
         for k in range(INPUTS):
             x[k] *= error
-            own[:, k] += OWN_RATE / STEP * np.add.reduceat(x[k], first) / (ends - first)
+            own[:, k] += OWN_RATE / STEP * np.add.reduceat(x[k], first) / n
             if learn:
                 self.weights[:, k] += RATE / STEP * np.bincount(gate, x[k], GATES) / many
         if learn:
             self.hits[:, 0] += np.bincount(bucket, minlength=len(self.hits))
             self.hits[:, 1] += np.bincount(bucket, bit, len(self.hits))
+            self.refined = refined_by(self.hits, self.prior)
             self.steps += 1
             self.mean += self.weights
-        return np.add.reduceat(gain, first, dtype=np.float64) / math.log(2), own
+        return np.add.reduceat(gain, begin) / np.float32(math.log(2)), own, tally
 
 
 def packed_counts(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
@@ -262,82 +341,155 @@ def plain_refinement() -> np.ndarray:
     return np.tile(squash((np.arange(BUCKETS) + 0.5 - BUCKETS / 2) / 4), TREES).astype(np.float32)
 
 
-def _counted_keys(source: DataFrame, size: int, keys) -> np.ndarray:
-    """How often each key below `size` occurs in all texts: `size` numbers from a task at most, summed by Spark."""
+def refined_by(hits: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    return ((hits[:, 1] + 20 * prior) / (hits[:, 0] + 20)).astype(np.float32)
+
+
+class _Words:
+    """The words of parts in turn: one list a text. A word that a part's end cuts is kept for the next part."""
+
+    def __init__(self):
+        self.left = b""
+
+    def of(self, symbols: np.ndarray, at: np.ndarray, skip: int, last: bool) -> list[list[bytes]]:
+        raw = symbols[skip:].tobytes()
+        if last and not self.left:
+            edges = np.maximum(at - skip, 0).tolist()
+            return [raw[i : j - 1].split() for i, j in zip(edges[:-1], edges[1:])]
+        raw = self.left + raw
+        if last:
+            self.left = b""
+            return [raw[:-1].split()]
+        space = np.flatnonzero(_text.SPACE[np.frombuffer(raw, np.uint8)])
+        stop = int(space[-1]) if len(space) else 0
+        self.left = raw[stop:]
+        return [raw[:stop].split()]
+
+
+#: What `gathered` counts.
+WORDS, TRIPLES, PHRASES, TEXTS = range(4)
+
+
+def gathered(source: DataFrame) -> DataFrame:
+    """(kind, word, key, n) over all texts, in one pass: words, runs of three symbols, phrases by their hash, and the texts themselves.
+    Tasks add up what they see (at most COUNTED words and phrases at once), the rest is one grouped sum."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for _, data, offsets in _text.text_slices(batches, "text", 1 << 19):
-            total += np.bincount(keys(*_symbols(data, offsets)), minlength=size)
-        have = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array(total[have])], names=["key", "n"])
-
-    found = source.select("text").mapInArrow(run, "key int, n bigint").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[found["key"].to_numpy()] = found["n"].to_numpy()
-    return out
+        triples, seen, texts, phrases, held, words = np.zeros(1 << 24, np.int32), Counter(), 0, [], 0, _Words()  # 64 MB
+        for _, symbols, at, skip, last in parts(batches, SLICE):
+            l = lanes(symbols, at, None, skip)
+            phrases.append(l.phrases)
+            held += len(l.phrases)
+            np.add.at(triples, ((_before(symbols, at, 2) << 16 | _before(symbols, at, 1) << 8) | symbols)[skip:].astype(np.intp), np.int32(1))
+            for w in words.of(symbols, at, skip, last):
+                seen.update(w)
+            texts += last * (len(at) - 1)
+            if len(seen) > COUNTED:
+                yield _found(WORDS, words=seen)
+                seen = Counter()
+            if held > COUNTED:
+                yield _found(PHRASES, *np.unique(np.concatenate(phrases), return_counts=True))
+                phrases, held = [], 0
+        yield _found(WORDS, words=seen)
+        if texts:
+            yield _found(PHRASES, *np.unique(np.concatenate([np.zeros(0, np.uint64), *phrases]), return_counts=True))
+            have = np.flatnonzero(triples)
+            yield _found(TRIPLES, have, triples[have])
+            yield _found(TEXTS, np.zeros(1, np.int64), np.array([texts]))
+
+    found = source.select("text").mapInArrow(run, "kind int, word string, key bigint, n bigint")
+    return cut(found.groupBy("kind", "word", "key").agg(F.sum("n").alias("n")))
+
 
+def _found(kind: int, key: np.ndarray | None = None, n: np.ndarray | None = None, words: Counter | None = None) -> pa.RecordBatch:
+    size = len(words) if words is not None else len(key)
+    word = pa.nulls(size, pa.string()) if words is None else pa.array(list(words.keys()), pa.binary()).cast(pa.string())
+    count = pa.array(list(words.values()) if words is not None else n, pa.int64())
+    keys = pa.nulls(size, pa.int64()) if words is not None else pa.array(key.astype(np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), word, keys, count], names=["kind", "word", "key", "n"])
 
-def _learnt_trees(source: DataFrame) -> Trees:
-    pairs = _counted_keys(source, 65536, lambda s, at: _before(s, at, 2) << 8 | _before(s, at, 1))
+
+def learnt_trees(counts: DataFrame) -> Trees:
+    """The driver gets 65,536 counts of pairs and TREES * 256 of symbols by tree at most."""
+    triples = counts.where(F.col("kind") == TRIPLES).select(F.shiftright("key", 8).cast("int").alias("pair"), (F.col("key") % 256).cast("int").alias("symbol"), "n")
+    pairs = np.zeros(65536, np.int64)
+    for r in triples.groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        pairs[r["pair"]] = r["n"]
     of_pair = np.tile(np.arange(256, dtype=np.int32), 256)
     common = np.argsort(-pairs, kind="stable")[:PAIR_TREES]
     common = common[pairs[common] > 0]
     of_pair[common] = 256 + np.arange(len(common))
-    counts = _counted_keys(source, TREES * 256, lambda s, at: np.take(of_pair, _before(s, at, 2) << 8 | _before(s, at, 1)) << 8 | s)
-    return trees(of_pair, counts.reshape(TREES, 256))
+    own = counts.sparkSession.createDataFrame([(int(p), 256 + i) for i, p in enumerate(common)] or [(-1, 0)], "pair int, tree int")
+    by_tree = triples.join(F.broadcast(own), "pair", "left").groupBy(F.coalesce("tree", F.col("pair") % 256).alias("tree"), "symbol").agg(F.sum("n").alias("n")).toPandas()
+    found = np.zeros((TREES, 256), np.int64)
+    found[by_tree["tree"].to_numpy(), by_tree["symbol"].to_numpy()] = by_tree["n"].to_numpy()
+    return trees(of_pair, found)
 
 
 def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
-    """Quantised log-odds of each counter's slots, from counts over all texts. Tasks sum their own, then blocks meet by hash."""
+    """Each counter's slots, from counts over all texts. Tasks sum their own; blocks are summed over groups of tasks, then over all."""
     shared = source.sparkSession.sparkContext.broadcast(t)
 
     def count(batches):
         own = [np.zeros(2 * size, np.int32) for size in SLOTS[1:]]  # 42 MB, whatever the task reads
-        for _, data, offsets in _text.text_slices(batches, "text", SLICE):
-            l = lanes(data, offsets, shared.value.of_pair)
-            for i in range(0, len(l.key), 1 << 16):
-                pick = slice(i, i + (1 << 16))
-                many, node, bit = decisions(shared.value, l.key[pick])
-                for total, s in zip(own, slots(l, many, node, pick)):
-                    np.add.at(total, s * 2 + bit, np.int32(1))
+        group = TaskContext.get().partitionId() % SUMMED
+        for _, symbols, at, skip, _ in parts(batches, SLICE):
+            l = lanes(symbols, at, shared.value.of_pair, skip)
+            for i in range(0, len(l.key), STEP_BYTES):
+                pick = slice(i, i + STEP_BYTES)
+                _, of, node, bit = decisions(shared.value, l.key[pick])
+                for total, s in zip(own, slots(l, of, node, pick)):
+                    s *= 2
+                    s += bit
+                    np.add.at(total, s, np.int32(1))
         for k, total in enumerate(own):
             for b in range(len(total) // (2 * BLOCK)):
                 part = total[b * 2 * BLOCK : (b + 1) * 2 * BLOCK]
                 if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * 1000 + b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names=["block", "counts"])
-
-    def add(batches):
-        block, total = None, None
-        for batch in batches:
-            for b, c in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if b != block:
-                    if block is not None:
-                        yield done(block, total)
-                    block, total = b, np.zeros(2 * BLOCK, np.int64)
-                total += np.frombuffer(zlib.decompress(c.as_buffer()), np.int32)
-        if block is not None:
-            yield done(block, total)
-
-    def done(block, total):
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([packed_counts(total[::2], total[1::2]).tobytes()], pa.binary())], names=["block", "odds"])
-
-    summed = source.select("text").mapInArrow(count, "block int, counts binary").repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, odds binary")
+                    yield _block(k * 1000 + b, group, part)
+
+    def add(last: bool):
+        def run(batches):
+            key, total = None, None
+            for batch in batches:
+                for b, g, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if key is None or b != key[0] or (g != key[1] and not last):
+                        if key is not None:
+                            yield done(*key, total)
+                        key, total = (b, g), np.zeros(2 * BLOCK, np.int64)
+                    own = np.frombuffer(zstandard.ZstdDecompressor().decompress(c.as_buffer()), np.int32)
+                    total += own if len(own) == 2 * BLOCK else own.view(np.int64)
+            if key is not None:
+                yield done(*key, total)
+
+        def done(block, group, total):
+            return _block(block, group, packed_counts(total[::2], total[1::2]) if last else total)
+
+        return run
+
+    kind = "block int, part int, counts binary"
+    tasks = source.select("text").mapInArrow(count, kind)
+    groups = tasks.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(add(False), kind)
+    summed = groups.repartition("block").sortWithinPartitions("block").mapInArrow(add(True), kind)
     out = [np.full(size, EMPTY, np.uint8) for size in SLOTS[1:]]
-    for r in summed.toLocalIterator():  # sum(SLOTS[1:]) bytes in all
+    for r in summed.collect():  # sum(SLOTS[1:]) bytes at most
         k, b = divmod(r["block"], 1000)
-        out[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(r["odds"], np.uint8)
+        out[k][b * BLOCK : (b + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["counts"]), np.uint8)
     return out
 
 
+def _block(block: int, group: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([group], pa.int32()), pa.array([zstandard.ZstdCompressor(level=1).compress(counts.tobytes())], pa.binary())], names=["block", "part", "counts"])
+
+
 def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights (the mean of those that tasks learn online, by decisions) and the refinement."""
     shared = source.sparkSession.sparkContext.broadcast((t, tables))
 
     def run(batches):
         mixer = Mixer(*shared.value, start_weights(), plain_refinement())
-        for _, data, offsets in _text.text_slices(batches, "text", SLICE):
-            mixer.run(lanes(data, offsets, mixer.trees.of_pair), learn=True)
+        for _, symbols, at, skip, _ in parts(batches, SLICE):
+            mixer.run(lanes(symbols, at, mixer.trees.of_pair, skip), learn=True)
         if mixer.steps:
             n = float(mixer.hits[:, 0].sum())
             flat = np.concatenate([(mixer.mean / mixer.steps).ravel() * n, mixer.hits.ravel()])
@@ -350,104 +502,139 @@ def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.
     hits = flat[GATES * INPUTS :].reshape(-1, 2)
     n = hits[:, 0].sum()
     weights = (flat[: GATES * INPUTS] / n).reshape(GATES, INPUTS).astype(np.float32) if n else start_weights()
-    prior = plain_refinement()
-    return weights, ((hits[:, 1] + 20 * prior) / (hits[:, 0] + 20)).astype(np.float32)
+    return weights, refined_by(hits, plain_refinement())
 
 
-def train(docs: DataFrame, id_column: str = "doc_id", text: str = "text"):
-    """(trees, counters, weights, refinement) learnt from the rows whose fold isn't 0: all of them shape the trees and their nodes'
-    counts, folds 1 to 8 fill the hashed counters, fold 9, which those haven't seen, teaches the weights and the refinement. Sizes don't depend on the corpus."""
-    source = docs.select(fold(id_column).alias("fold"), F.col(text).alias("text"))
-    t = _learnt_trees(source.where("fold > 0"))
+def train(source: DataFrame, counts: DataFrame):
+    """(trees, counters, weights, refinement) learnt from rows (fold, text) whose fold isn't 0, and what `gathered` counted in them.
+
+    All of them shape the trees and their nodes' counts, folds 1 to 8 fill the hashed counters, fold 9, which those haven't seen,
+    teaches the weights and the refinement. This part of the model is of a fixed size; words and phrases are as many as the corpus has.
+    """
+    t = learnt_trees(counts)
     tables = _counters(source.where("fold BETWEEN 1 AND 8"), t)
     return t, tables, *_weights(source.where("fold = 9"), t, tables)
 
 
-def word_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(word, n) over the training rows; the end of a text is the word null."""
-
-    def run(batches):
-        seen: Counter = Counter()
-        texts = 0
-        for _, data, offsets in _text.text_slices(batches, "text"):
-            raw = _text.LOWER[data].tobytes()
-            seen.update(b"\n".join([raw[i:j] for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())]).split())
-            texts += len(offsets) - 1
-            if len(seen) > COUNTED:
-                yield _counted(seen)
-                seen = Counter()
-        yield _counted(seen)
-        if texts:
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([texts], pa.int64())], names=["word", "n"])
-
-    source = docs.where(fold(id_column) > 0).select(F.col(text).alias("text"))
-    return source.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+def _head(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, list, int]:
+    """counts (<key>, n) by how common they are: with a bucket, the rows of at most `most` of the commonest, and their least bucket.
+    A key below it has less than 1 / most of all occurrences, so none is hot in a join."""
+    by = counts.withColumn("bucket", F.floor(F.log2("n") * 16).cast("int"))
+    sizes = sorted(by.groupBy("bucket").agg(F.count("*").alias("n")).collect(), reverse=True)  # 16 rows for each doubling
+    least, taken = sizes[0]["bucket"] + 1 if sizes else 0, 0
+    for r in sizes:
+        if taken + r["n"] > most:
+            break
+        least, taken = r["bucket"], taken + r["n"]
+    return by.where(F.col("bucket") < least).select(key, "n"), by.where(F.col("bucket") >= least).select(key, "n").collect(), least
 
 
-def _counted(seen: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def mixed_in(bits: np.ndarray, n: np.ndarray, of: int) -> np.ndarray:
+    """What phrases gain in log2 probability by their counts n among `of`: they get PHRASE_SHARE of it, their symbols the rest."""
+    own = bits + math.log2(1 - PHRASE_SHARE)
+    with np.errstate(divide="ignore"):
+        return np.where(n > 0, np.logaddexp2(np.log2(np.maximum(n, 1e-300) * (PHRASE_SHARE / max(of, 1))), own) - own, 0.0)
 
 
 def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     score is the log10 probability of the whole lower-cased text (A-Z) and its end under the mixed model; base_score that of its
-    words and end under the smoothed unigrams. Null counts as empty: its end alone. Without training rows the model is uniform-like
-    and N and V are 0. The HEAD_WORDS commonest words' counts are broadcast; the rest meet theirs by a join, so nothing is left out.
+    words and end under the smoothed unigrams. A phrase's probability is PHRASE_SHARE of its share of all phrases of training rows
+    (but for the row's own, if it is one of them) and the rest by its symbols. The commonest words' and phrases' counts are broadcast
+    (HEAD_WORDS, HEAD_PHRASES); all others meet theirs by a join, so nothing is left out.
+
+    Null and empty texts: their end alone. Rows that repeat an id or a text are rows of their own, with equal scores if they are on the
+    same side of held_out. Without training rows the model is uniform-like and N and V are 0. An empty table gives an empty one. A text
+    above SLICE bytes is worked on in parts, each with weights and a refinement of its own.
     """
     spark = docs.sparkSession
-    model = train(docs, id_column, text)
-    counts = cut(word_counts(docs, id_column, text))
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    source = docs.select(fold(id_column).alias("fold"), F.col(text).alias("text"))
+    counts = gathered(source.where("fold > 0"))
+    model = train(source, counts)
+    totals = {r["kind"]: (r["n"], r["v"]) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    end_count, phrases_in_all = totals.get(TEXTS, (0, 0))[0], totals.get(PHRASES, (0, 0))[0]
+    n, v = totals.get(WORDS, (0, 0))[0] + end_count, totals.get(WORDS, (0, 0))[1] + (end_count > 0)
     below = n + 0.1 * (v + 1)
-    end = counts.where("word IS NULL").first()
-    end_count = end["n"] if end else 0
-    words = counts.where("word IS NOT NULL").withColumn("bucket", F.floor(F.log2("n") * 16).cast("int"))
-    sizes = sorted(words.groupBy("bucket").agg(F.count("*").alias("n")).collect(), reverse=True)  # 16 rows for each doubling
-    least, taken = sizes[0]["bucket"] + 1 if sizes else 0, 0
-    for r in sizes:
-        if taken + r["n"] > HEAD_WORDS:
-            break
-        least, taken = r["bucket"], taken + r["n"]
-    head = {r["word"].encode(): math.log10((r["n"] + 0.1) / below) for r in words.where(F.col("bucket") >= least).collect()}  # HEAD_WORDS at most
-    shared = spark.sparkContext.broadcast((model, head))
+    rare, common, _ = _head(counts.where(F.col("kind") == WORDS).select("word", "n"), "word", HEAD_WORDS)
+    head = {r["word"].encode(): math.log10((r["n"] + 0.1) / below) for r in common}
+    rare_phrases, common, _ = _head(counts.where(F.col("kind") == PHRASES).select("key", "n"), "key", HEAD_PHRASES)
+    often = np.array(sorted((r["key"], r["n"]) for r in common), np.int64).reshape(-1, 2)
+    shared = spark.sparkContext.broadcast((model, head, often))
     end_score = math.log10((end_count + 0.1) / below) if below else math.log10(0.5)
 
     def run(batches):
-        (t, tables, weights, refined), known = shared.value
-        mixer = Mixer(t, tables, weights, refined)
+        (t, tables, weights, refined), known, often = shared.value
+        mixer, words, long = Mixer(t, tables, weights, refined), _Words(), None
         number = TaskContext.get().partitionId() << 40
-        for rows, data, offsets in _text.text_slices(batches, "text", SLICE):
-            bits = mixer.run(lanes(data, offsets, t.of_pair), learn=False)
-            raw = _text.LOWER[data].tobytes()
-            tokens, have, base, rest, times = [], [], [], [], []
-            for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                words = raw[i:j].split()
-                found = list(map(known.get, words))
+        for rows, symbols, at, skip, last in parts(batches, SLICE):
+            l = lanes(symbols, at, t.of_pair, skip)
+            total = np.concatenate(([0.0], np.cumsum(mixer.run(l, learn=False), dtype=np.float64)))
+            bits = np.diff(total[np.concatenate(([0], l.stops))])
+            edges = np.searchsorted(l.stops, l.offsets[1:], "right").tolist()
+            out = []
+            for w, i, j in zip(words.of(symbols, at, skip, last), [0, *edges], edges):
+                found = list(map(known.get, w))
                 hit = list(filter(None, found))  # a logarithm of a probability is never 0
-                missed = Counter([w for w, f in zip(words, found) if f is None]) if len(hit) < len(words) else {}
-                tokens.append(len(words) + 1)
-                have.append(len(hit) + (end_count > 0))
-                base.append(sum(hit) + end_score)
-                rest.append(list(missed.keys()))
-                times.append(list(missed.values()))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0), rows.column(1), pa.array(np.arange(number, number + rows.num_rows)), pa.array(tokens, pa.int64()), pa.array(have, pa.int64()), pa.array(base), pa.array(bits), pa.array(np.diff(offsets)),
-                 pa.array(rest, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
-                names=["doc_id", "held_out", "number", "n_tokens", "have", "base", "bits", "n_bytes", "rest", "times"],
-            )
-            number += rows.num_rows
-
-    source = docs.select(F.col(id_column).alias("doc_id"), (fold(id_column) == 0).alias("held_out"), F.col(text).alias("text"))
+                missed = Counter([x for x, f in zip(w, found) if f is None]) if len(hit) < len(w) else Counter()
+                out.append([len(w), len(hit), sum(hit), missed, l.phrases[i:j], bits[i:j]])
+            if long is not None or not last:
+                out = [out[0] if long is None else [*(x + y for x, y in zip(long[:4], out[0][:4])), *(np.concatenate((x, y)) for x, y in zip(long[4:], out[0][4:]))]]
+                long = None if last else out[0]
+            if last:
+                yield from _rows(rows, out, number, often, phrases_in_all, end_count, end_score)
+                number += rows.num_rows
+
+    source = docs.select(F.col(id_column).alias("doc_id"), (fold(id_column) == 0).alias("held_out"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    scored = cut(source.mapInArrow(run, f"doc_id {kind}, held_out boolean, number bigint, n_tokens bigint, have bigint, base double, bits double, n_bytes bigint, rest array<string>, times array<bigint>"))
+    kinds = f"doc_id {kind}, held_out boolean, n_bytes bigint, number bigint, whole boolean, n_tokens bigint, have bigint, base double, bits double, rest array<string>, times array<bigint>, phrases array<bigint>, own array<bigint>, each array<double>"
     # a row's number is its task's and its place there; the checkpoint holds it fast
+    scored = cut(source.mapInArrow(run, kinds))
     tail = scored.select("number", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("number", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
-    rare = words.where(F.col("bucket") < least).select("word", "n")
     one = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(below or 0.2))
-    added = tail.join(rare, "word", "left").groupBy("number").agg(F.sum(F.col("times") * one).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    out = scored.join(added, "number", "left")
+    none = F.lit(0.0)
+    of_words = tail.join(rare, "word", "left").select("number", (F.col("times") * one).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"), none.alias("more_bits"))
+    tail = scored.select("number", F.explode(F.arrays_zip("phrases", "own", "each")).alias("p")).select("number", F.col("p.phrases").alias("key"), F.col("p.own").alias("own"), F.col("p.each").alias("bits"))
+    met = tail.join(rare_phrases, "key").where("n > own")
+    other, symbols = F.log2((F.col("n") - F.col("own")) * F.lit(PHRASE_SHARE / max(phrases_in_all, 1))), F.col("bits") + F.lit(math.log2(1 - PHRASE_SHARE))
+    gain = F.greatest(other, symbols) + F.log2(1 + F.pow(F.lit(2.0), -F.abs(other - symbols))) - symbols
+    of_phrases = met.select("number", none.alias("more"), F.lit(0).cast("long").alias("more_known"), gain.alias("more_bits"))
+    added = of_words.unionByName(of_phrases).groupBy("number").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_bits")])
+    out = scored.where("whole").drop("rest", "times", "phrases", "own", "each").join(added, "number", "left")
+    bits = F.col("bits") + F.coalesce("more_bits", none)
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("have") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("bits") * math.log10(2)).alias("score"), "n_bytes", (-F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", none)).alias("base_score"), (bits * math.log10(2)).alias("score"), "n_bytes", (-bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
+
+
+def _rows(rows: pa.RecordBatch, out: list, number: int, often: np.ndarray, of: int, end_count: int, end_score: float):
+    """Texts as rows: what the common words and phrases give at once, and all others as lists, in more rows where they are many."""
+    held = rows.column(1).to_pylist()
+    text = np.repeat(np.arange(len(out)), [len(x[4]) for x in out])
+    phrases, bits = (np.concatenate([x[k] for x in out]) for k in (4, 5))
+    with np.errstate(over="ignore"):
+        _, at, times = np.unique(_text.mixed(phrases + np.uint64(0x9E3779B97F4A7C15) * (text + 1).astype(np.uint64)), return_inverse=True, return_counts=True)
+    own = np.where(np.array(held, bool)[text], 0, times[at])
+    key = phrases.view(np.int64)
+    place = np.minimum(np.searchsorted(often[:, 0], key), max(len(often) - 1, 0))
+    known = often[place, 0] == key if len(often) else np.zeros(len(key), bool)
+    gain = bits + math.log2(1 - PHRASE_SHARE)
+    gain[known] += mixed_in(bits[known], often[place[known], 1] - own[known], of)
+    total = np.bincount(text, gain, len(out))
+    edges = np.searchsorted(text, np.arange(len(out) + 1))
+    made = {k: [] for k in ("at", "whole", "n_tokens", "have", "base", "bits", "rest", "times", "phrases", "own", "each")}
+    for i, x in enumerate(out):
+        left = np.flatnonzero(~known[edges[i] : edges[i + 1]]) + edges[i]
+        rest, many = list(x[3].keys()), list(x[3].values())
+        for j in range(0, max(1, len(rest), len(left)), ROW_ITEMS):
+            some, one = left[j : j + ROW_ITEMS], slice(j, j + ROW_ITEMS)
+            values = (i, j == 0, x[0] + 1, x[1] + (end_count > 0), x[2] + end_score, total[i], rest[one], many[one], key[some], own[some], bits[some])
+            for c, value in zip(made.values(), values):
+                c.append(value)
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+    place = pa.array(made.pop("at"))
+    columns = [pa.array(c, k) for c, k in zip(made.values(), kinds)]
+    columns[5] = columns[5].cast(pa.list_(pa.string()))
+    yield pa.RecordBatch.from_arrays([*(rows.column(k).take(place) for k in range(3)), pa.array(place.to_numpy() + number), *columns], names=["doc_id", "held_out", "n_bytes", "number", *made])
+
