@@ -11,9 +11,11 @@ import heapq
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -47,14 +49,14 @@ LANE_BYTES = 512
 STEP_BYTES = 32_000
 RATE, OWN_RATE = 0.4, 0.08
 #: Text bytes whose contexts are laid out at once. A longer text is laid out in parts, each with so many symbols of context.
-SLICE = 1 << 21
+SLICE = 1 << 20
 BACK = 64
 #: Words of a phrase on average (a power of two), and the part of the probability that phrases of the corpus get.
 PHRASE_WORDS = 32
 PHRASE_SHARE = 1 / 16
 #: Phrases whose counts are broadcast (some 0.5 MB); all others meet theirs by a join.
 HEAD_PHRASES = 1 << 15
-#: Words whose counts are broadcast (some 20 MB); all others meet theirs by a join.
+#: Words whose counts are broadcast (4 MB); all others meet theirs by a join.
 HEAD_WORDS = 1 << 18
 #: Distinct words, or phrases, a task counts before it sends them on.
 COUNTED = 600_000
@@ -182,7 +184,7 @@ def lanes(symbols: np.ndarray, at: np.ndarray, of_pair: np.ndarray | None, skip:
             h *= np.uint32(0x2C1B3C6D)
             h >>= np.uint32(33 - size.bit_length())
     at = np.maximum(at - skip, 0)
-    return Lanes((tree << 8 | symbols)[skip:], [h[skip:].astype(np.intp) for h in contexts], at, stops - skip, phrases)
+    return Lanes((tree << 8 | symbols)[skip:], [h[skip:].view(np.int32) for h in contexts], at, stops - skip, phrases)
 
 
 def decisions(t: Trees, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,9 +203,7 @@ def slots(l: Lanes, of: np.ndarray, node: np.ndarray, pick: np.ndarray | slice):
     """The slot of each decision in each hashed counter: those of one symbol are near each other."""
     near = node & 0xFF
     for places in l.places:
-        h = np.take(places[pick], of, mode="clip")
-        h ^= near
-        yield h
+        yield np.take(places[pick], of, mode="clip") ^ near
 
 
 def squash(x: np.ndarray) -> np.ndarray:
@@ -370,8 +370,13 @@ class _Words:
 WORDS, TRIPLES, PHRASES, TEXTS = range(4)
 
 
+def word_keys(words) -> np.ndarray:
+    """64 bits of each word: what stands for it in all tables."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
 def gathered(source: DataFrame) -> DataFrame:
-    """(kind, word, key, n) over all texts, in one pass: words, runs of three symbols, phrases by their hash, and the texts themselves.
+    """(kind, key, n) over all texts, in one pass: words and phrases by their hash, runs of three symbols, and the texts themselves.
     Tasks add up what they see (at most COUNTED words and phrases at once), the rest is one grouped sum."""
 
     def run(batches):
@@ -385,28 +390,24 @@ def gathered(source: DataFrame) -> DataFrame:
                 seen.update(w)
             texts += last * (len(at) - 1)
             if len(seen) > COUNTED:
-                yield _found(WORDS, words=seen)
+                yield _found(WORDS, word_keys(seen), list(seen.values()))
                 seen = Counter()
             if held > COUNTED:
                 yield _found(PHRASES, *np.unique(np.concatenate(phrases), return_counts=True))
                 phrases, held = [], 0
-        yield _found(WORDS, words=seen)
         if texts:
+            yield _found(WORDS, word_keys(seen), list(seen.values()))
             yield _found(PHRASES, *np.unique(np.concatenate([np.zeros(0, np.uint64), *phrases]), return_counts=True))
             have = np.flatnonzero(triples)
             yield _found(TRIPLES, have, triples[have])
-            yield _found(TEXTS, np.zeros(1, np.int64), np.array([texts]))
+            yield _found(TEXTS, np.zeros(1, np.int64), [texts])
 
-    found = source.select("text").mapInArrow(run, "kind int, word string, key bigint, n bigint")
-    return cut(found.groupBy("kind", "word", "key").agg(F.sum("n").alias("n")))
+    found = source.select("text").mapInArrow(run, "kind int, key bigint, n bigint")
+    return cut(found.groupBy("kind", "key").agg(F.sum("n").alias("n")))
 
 
-def _found(kind: int, key: np.ndarray | None = None, n: np.ndarray | None = None, words: Counter | None = None) -> pa.RecordBatch:
-    size = len(words) if words is not None else len(key)
-    word = pa.nulls(size, pa.string()) if words is None else pa.array(list(words.keys()), pa.binary()).cast(pa.string())
-    count = pa.array(list(words.values()) if words is not None else n, pa.int64())
-    keys = pa.nulls(size, pa.int64()) if words is not None else pa.array(key.astype(np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(size, kind, np.int32)), word, keys, count], names=["kind", "word", "key", "n"])
+def _found(kind: int, key: np.ndarray, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
 
 def learnt_trees(counts: DataFrame) -> Trees:
@@ -516,9 +517,9 @@ def train(source: DataFrame, counts: DataFrame):
     return t, tables, *_weights(source.where("fold = 9"), t, tables)
 
 
-def _head(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, list, int]:
-    """counts (<key>, n) by how common they are: with a bucket, the rows of at most `most` of the commonest, and their least bucket.
-    A key below it has less than 1 / most of all occurrences, so none is hot in a join."""
+def _head(counts: DataFrame, most: int) -> tuple[DataFrame, np.ndarray]:
+    """counts (kind, key, n) but for at most `most` of the commonest, and those as sorted (key, n).
+    A key that isn't among them has less than 1 / most of all occurrences, so none is hot in a join."""
     by = counts.withColumn("bucket", F.floor(F.log2("n") * 16).cast("int"))
     sizes = sorted(by.groupBy("bucket").agg(F.count("*").alias("n")).collect(), reverse=True)  # 16 rows for each doubling
     least, taken = sizes[0]["bucket"] + 1 if sizes else 0, 0
@@ -526,7 +527,17 @@ def _head(counts: DataFrame, key: str, most: int) -> tuple[DataFrame, list, int]
         if taken + r["n"] > most:
             break
         least, taken = r["bucket"], taken + r["n"]
-    return by.where(F.col("bucket") < least).select(key, "n"), by.where(F.col("bucket") >= least).select(key, "n").collect(), least
+    common = by.where(F.col("bucket") >= least).select("key", "n").toPandas().sort_values("key")
+    return by.where(F.col("bucket") < least).drop("bucket"), common.to_numpy(np.int64).reshape(-1, 2)
+
+
+def _among(common: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are among the sorted (key, n), and n."""
+    if not len(common):
+        return np.zeros(len(key), bool), np.zeros(len(key), np.int64)
+    place = np.minimum(np.searchsorted(common[:, 0], key), len(common) - 1)
+    known = common[place, 0] == key
+    return known, np.where(known, common[place, 1], 0)
 
 
 def mixed_in(bits: np.ndarray, n: np.ndarray, of: int) -> np.ndarray:
@@ -556,59 +567,65 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
     end_count, phrases_in_all = totals.get(TEXTS, (0, 0))[0], totals.get(PHRASES, (0, 0))[0]
     n, v = totals.get(WORDS, (0, 0))[0] + end_count, totals.get(WORDS, (0, 0))[1] + (end_count > 0)
     below = n + 0.1 * (v + 1)
-    rare, common, _ = _head(counts.where(F.col("kind") == WORDS).select("word", "n"), "word", HEAD_WORDS)
-    head = {r["word"].encode(): math.log10((r["n"] + 0.1) / below) for r in common}
-    rare_phrases, common, _ = _head(counts.where(F.col("kind") == PHRASES).select("key", "n"), "key", HEAD_PHRASES)
-    often = np.array(sorted((r["key"], r["n"]) for r in common), np.int64).reshape(-1, 2)
-    shared = spark.sparkContext.broadcast((model, head, often))
+    rare, often = zip(*(_head(counts.where(F.col("kind") == k), most) for k, most in ((WORDS, HEAD_WORDS), (PHRASES, HEAD_PHRASES))))
+    shared = spark.sparkContext.broadcast((model, often))
     end_score = math.log10((end_count + 0.1) / below) if below else math.log10(0.5)
 
     def run(batches):
-        (t, tables, weights, refined), known, often = shared.value
+        (t, tables, weights, refined), (often_words, often_phrases) = shared.value
         mixer, words, long = Mixer(t, tables, weights, refined), _Words(), None
+        known: dict[bytes, float] = {}  # the common words met so far, HEAD_WORDS at most
         number = TaskContext.get().partitionId() << 40
         for rows, symbols, at, skip, last in parts(batches, SLICE):
             l = lanes(symbols, at, t.of_pair, skip)
             total = np.concatenate(([0.0], np.cumsum(mixer.run(l, learn=False), dtype=np.float64)))
             bits = np.diff(total[np.concatenate(([0], l.stops))])
             edges = np.searchsorted(l.stops, l.offsets[1:], "right").tolist()
+            said = words.of(symbols, at, skip, last)
+            found = [list(map(known.get, w)) for w in said]
+            missed = [Counter([x for x, f in zip(w, one) if f is None]) for w, one in zip(said, found)]
+            fresh = list(set().union(*missed))
+            key = word_keys(fresh).view(np.int64)
+            common, n = _among(often_words, key)
+            one = dict(zip(compress(fresh, common), np.log10((n[common] + 0.1) / below).tolist()))
+            known |= one
+            keys = dict(zip(fresh, key.tolist()))
             out = []
-            for w, i, j in zip(words.of(symbols, at, skip, last), [0, *edges], edges):
-                found = list(map(known.get, w))
-                hit = list(filter(None, found))  # a logarithm of a probability is never 0
-                missed = Counter([x for x, f in zip(w, found) if f is None]) if len(hit) < len(w) else Counter()
-                out.append([len(w), len(hit), sum(hit), missed, l.phrases[i:j], bits[i:j]])
+            for w, f, m, i, j in zip(said, found, missed, [0, *edges], edges):
+                hit = list(filter(None, f))  # a logarithm of a probability is never 0
+                also = [(one[x], k) for x, k in m.items() if x in one]
+                rest = Counter({keys[x]: k for x, k in m.items() if x not in one})
+                out.append([len(w), len(hit) + sum(k for _, k in also), sum(hit) + sum(x * k for x, k in also), rest, l.phrases[i:j], bits[i:j]])
             if long is not None or not last:
                 out = [out[0] if long is None else [*(x + y for x, y in zip(long[:4], out[0][:4])), *(np.concatenate((x, y)) for x, y in zip(long[4:], out[0][4:]))]]
                 long = None if last else out[0]
             if last:
-                yield from _rows(rows, out, number, often, phrases_in_all, end_count, end_score)
+                yield _rows(rows, out, number, often_phrases, phrases_in_all, end_count, end_score)
                 number += rows.num_rows
 
     source = docs.select(F.col(id_column).alias("doc_id"), (fold(id_column) == 0).alias("held_out"), F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"), F.col(text).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    kinds = f"doc_id {kind}, held_out boolean, n_bytes bigint, number bigint, whole boolean, n_tokens bigint, have bigint, base double, bits double, rest array<string>, times array<bigint>, phrases array<bigint>, own array<bigint>, each array<double>"
+    kinds = f"doc_id {kind}, held_out boolean, n_bytes bigint, number bigint, whole boolean, n_tokens bigint, have bigint, base double, bits double, rest array<bigint>, times array<bigint>, phrases array<bigint>, own array<bigint>, each array<double>"
     # a row's number is its task's and its place there; the checkpoint holds it fast
     scored = cut(source.mapInArrow(run, kinds))
-    tail = scored.select("number", F.explode(F.arrays_zip("rest", "times")).alias("w")).select("number", F.col("w.rest").alias("word"), F.col("w.times").alias("times"))
-    one = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.1) / F.lit(below or 0.2))
-    none = F.lit(0.0)
-    of_words = tail.join(rare, "word", "left").select("number", (F.col("times") * one).alias("more"), F.when(F.col("n") > 0, F.col("times")).otherwise(0).alias("more_known"), none.alias("more_bits"))
-    tail = scored.select("number", F.explode(F.arrays_zip("phrases", "own", "each")).alias("p")).select("number", F.col("p.phrases").alias("key"), F.col("p.own").alias("own"), F.col("p.each").alias("bits"))
-    met = tail.join(rare_phrases, "key").where("n > own")
-    other, symbols = F.log2((F.col("n") - F.col("own")) * F.lit(PHRASE_SHARE / max(phrases_in_all, 1))), F.col("bits") + F.lit(math.log2(1 - PHRASE_SHARE))
+    of_words = scored.select("number", F.lit(WORDS).alias("kind"), F.explode(F.arrays_zip(F.col("rest").alias("key"), F.col("times").alias("own"))).alias("x")).select("number", "kind", "x.key", "x.own", F.lit(0.0).alias("bits"))
+    of_phrases = scored.select("number", F.lit(PHRASES).alias("kind"), F.explode(F.arrays_zip(F.col("phrases").alias("key"), "own", F.col("each").alias("bits"))).alias("x")).select("number", "kind", "x.key", "x.own", "x.bits")
+    met = of_words.unionByName(of_phrases).join(rare[0].unionByName(rare[1]), ["kind", "key"], "left")
+    is_word, n_, own = F.col("kind") == WORDS, F.coalesce("n", F.lit(0)), F.col("own")
+    other, symbols = F.log2((n_ - own) * F.lit(PHRASE_SHARE / max(phrases_in_all, 1))), F.col("bits") + F.lit(math.log2(1 - PHRASE_SHARE))
     gain = F.greatest(other, symbols) + F.log2(1 + F.pow(F.lit(2.0), -F.abs(other - symbols))) - symbols
-    of_phrases = met.select("number", none.alias("more"), F.lit(0).cast("long").alias("more_known"), gain.alias("more_bits"))
-    added = of_words.unionByName(of_phrases).groupBy("number").agg(*[F.sum(c).alias(c) for c in ("more", "more_known", "more_bits")])
+    added = met.groupBy("number").agg(
+        F.sum(F.when(is_word, own * F.log10((n_ + 0.1) / F.lit(below or 0.2)))).alias("more"), F.sum(F.when(is_word & (n_ > 0), own)).alias("more_known"), F.sum(F.when(~is_word & (n_ > own), gain)).alias("more_bits")
+    )
     out = scored.where("whole").drop("rest", "times", "phrases", "own", "each").join(added, "number", "left")
-    bits = F.col("bits") + F.coalesce("more_bits", none)
+    bits = F.col("bits") + F.coalesce("more_bits", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("have") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", none)).alias("base_score"), (bits * math.log10(2)).alias("score"), "n_bytes", (-bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (bits * math.log10(2)).alias("score"), "n_bytes", (-bits / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"),
     )
 
 
-def _rows(rows: pa.RecordBatch, out: list, number: int, often: np.ndarray, of: int, end_count: int, end_score: float):
+def _rows(rows: pa.RecordBatch, out: list, number: int, often: np.ndarray, of: int, end_count: int, end_score: float) -> pa.RecordBatch:
     """Texts as rows: what the common words and phrases give at once, and all others as lists, in more rows where they are many."""
     held = rows.column(1).to_pylist()
     text = np.repeat(np.arange(len(out)), [len(x[4]) for x in out])
@@ -617,10 +634,9 @@ def _rows(rows: pa.RecordBatch, out: list, number: int, often: np.ndarray, of: i
         _, at, times = np.unique(_text.mixed(phrases + np.uint64(0x9E3779B97F4A7C15) * (text + 1).astype(np.uint64)), return_inverse=True, return_counts=True)
     own = np.where(np.array(held, bool)[text], 0, times[at])
     key = phrases.view(np.int64)
-    place = np.minimum(np.searchsorted(often[:, 0], key), max(len(often) - 1, 0))
-    known = often[place, 0] == key if len(often) else np.zeros(len(key), bool)
+    known, n = _among(often, key)
     gain = bits + math.log2(1 - PHRASE_SHARE)
-    gain[known] += mixed_in(bits[known], often[place[known], 1] - own[known], of)
+    gain[known] += mixed_in(bits[known], (n - own)[known], of)
     total = np.bincount(text, gain, len(out))
     edges = np.searchsorted(text, np.arange(len(out) + 1))
     made = {k: [] for k in ("at", "whole", "n_tokens", "have", "base", "bits", "rest", "times", "phrases", "own", "each")}
@@ -632,9 +648,7 @@ def _rows(rows: pa.RecordBatch, out: list, number: int, often: np.ndarray, of: i
             values = (i, j == 0, x[0] + 1, x[1] + (end_count > 0), x[2] + end_score, total[i], rest[one], many[one], key[some], own[some], bits[some])
             for c, value in zip(made.values(), values):
                 c.append(value)
-    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), *(pa.list_(k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()))]
     place = pa.array(made.pop("at"))
     columns = [pa.array(c, k) for c, k in zip(made.values(), kinds)]
-    columns[5] = columns[5].cast(pa.list_(pa.string()))
-    yield pa.RecordBatch.from_arrays([*(rows.column(k).take(place) for k in range(3)), pa.array(place.to_numpy() + number), *columns], names=["doc_id", "held_out", "n_bytes", "number", *made])
-
+    return pa.RecordBatch.from_arrays([*(rows.column(k).take(place) for k in range(3)), pa.array(place.to_numpy() + number), *columns], names=["doc_id", "held_out", "n_bytes", "number", *made])
