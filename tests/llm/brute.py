@@ -157,3 +157,33 @@ def mixed(model, symbols):
         own = [o + m.OWN_RATE / m.STEP * s / many for o, s in zip(own, slope)]
         tally = [[a + c, b + d] for (a, b), (c, d) in zip(tally, fresh)]
     return out
+
+
+def poly(data, base=0x9E3779B97F4A7C15):
+    return finalised(sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(data)) % (1 << 64))
+
+
+def finalised(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % (1 << 64)
+    return h ^ h >> 31
+
+
+def classified(text, slope, bias):
+    from tidemill.llm import classifier as c
+
+    words = [w.encode() for w in WORD.findall(lower(text))]
+    ended = (text or "").encode()[-1:] not in (b"", *(bytes([x]) for x in (32, 9, 10, 11, 12, 13)))
+    found = [poly(w) for w in words]
+    for near in ((1,), (2, 3, 4)):
+        found += [c.AGAIN + near[0]] * c.AGAIN_TIMES * sum(any(i >= k and words[i - k] == w for k in near) for i, w in enumerate(words))
+    for i, w in enumerate(words):
+        marked = [*w, *([] if ended and i == len(words) - 1 else [c._CLOSE])]
+        for n in c.GRAMS:
+            for j in range(len(marked) - n + 1):
+                h = 0
+                for b in marked[j : j + n]:
+                    h = (h * 0x100000001B3 + b + 1) % (1 << 64)
+                found.append(finalised((h + (n << 56)) % (1 << 64)))
+    total = sum(float(slope[f % c.BUCKETS]) for f in found)
+    return 1 / (1 + math.exp(-(total / max(1, len(found)) + bias)))

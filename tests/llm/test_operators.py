@@ -370,6 +370,29 @@ def test_classifier(spark):
     assert classifier.report(df.limit(5), marks.limit(0)).where("score = 0.5").count() == 5
 
 
+def test_classifier_scores_follow_their_rule(spark, odd, docs):
+    """Every score from its own text alone, however rows are dealt, against a restatement of the features."""
+    rng = np.random.default_rng(2)
+    model = rng.normal(0, 1, classifier.BUCKETS).astype(np.float32), 0.25
+    extra = spark.createDataFrame([(9000, "p q r"), (9001, "m n q zz"), (9002, "a a b a"), (9003, None)], "doc_id long, text string")
+    for df in (odd.select("doc_id", "text").unionByName(extra), docs.select("doc_id", "text")):
+        want = dict(sorted(((d, brute.classified(t, *model)) for d, t in pairs(df)), key=repr))
+        for parts in (1, 5):
+            found = {r.doc_id: r.score for r in classifier.score(df.repartition(parts), model).collect()}
+            assert found.keys() == want.keys() and all(abs(found[d] - want[d]) < 1e-9 for d in want)
+    assert classifier.score(docs.limit(0), model).count() == 0
+
+
+def test_spans_of_long_texts_hash_alike(monkeypatch):
+    from tidemill.llm import _text
+
+    data = np.frombuffer(b"ab " + b"x" * 5000 + b" ab cd " + b"y" * 90 + b" " + b"x" * 5000, np.uint8)
+    starts, ends, _ = _text.word_spans(data, np.array([0, len(data)]), _text.NOT_SPACE)
+    whole = _text.span_hashes(data, starts, ends)
+    monkeypatch.setattr(_text, "SLICE_BYTES", 64)
+    assert (_text.span_hashes(data, starts, ends) == whole).all() and whole[0] == whole[2] and whole[1] == whole[5]
+
+
 def _auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))

@@ -18,7 +18,7 @@ LOWER[65:91] += 32
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 
-#: Text bytes that are worked on at once; bounds a task's memory, never what is read.
+#: Text bytes that are worked on at once. A longer text comes alone; what is made of it takes a few bytes for each of its own.
 SLICE_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
@@ -69,12 +69,33 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
-    p, q = _powers(len(data) + 1)
+    """A 64-bit hash of each span's bytes, the same wherever the span stands. Spans are in order and apart; SLICE_BYTES of them are
+    worked on at once, so that a long text takes no more memory than a short one."""
+    p, q = _powers(SLICE_BYTES + 1)
+    out, i = np.empty(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
-        s = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[: len(data)], out=s[1:])
-        return mixed((s[ends] - s[starts]) * q[starts])
+        while i < len(starts):
+            low = starts[i]
+            j = int(np.searchsorted(ends, low + SLICE_BYTES, "right"))
+            if j <= i:
+                out[i], j = _long_hash(data[low : ends[i]]), i + 1
+            else:
+                s = np.zeros(ends[j - 1] - low + 1, np.uint64)
+                np.cumsum((data[low : ends[j - 1]] + np.uint64(1)) * p[: len(s) - 1], out=s[1:])
+                at = starts[i:j] - low
+                out[i:j] = (s[ends[i:j] - low] - s[at]) * q[at]
+            i = j
+    return mixed(out)
+
+
+def _long_hash(data: np.ndarray) -> np.uint64:
+    """What span_hashes mixes, of one span above SLICE_BYTES."""
+    p, total, power = _powers(SLICE_BYTES + 1)[0], 0, 1
+    for i in range(0, len(data), SLICE_BYTES):
+        part = data[i : i + SLICE_BYTES]
+        total += power * int(((part + np.uint64(1)) * p[: len(part)]).sum(dtype=np.uint64))
+        power = power * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+    return np.uint64(total % (1 << 64))
 
 
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
