@@ -10,16 +10,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bits of a Bloom filter: 2 MB whatever the number of keys. Beyond its capacity it lets more rows through to the exact join, never fewer.
-BLOOM_BITS = 1 << 24
+#: Bits of a Bloom filter: 12 a key, from 128 kB to 16 MB in all. Beyond its capacity it lets more rows through to the exact join,
+#: never fewer.
+BLOOM_BITS = (1 << 20, 1 << 27)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder (spark.checkpoint.dir); only where that is unset, as in tests, one of our own."""
+    """The cluster's checkpoint folder (spark.checkpoint.dir); only where that is unset on one machine, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getCheckpointDir()
         if found is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             found = tempfile.mkdtemp(prefix="tidemill-")
             spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -41,13 +44,34 @@ def gathered(df: DataFrame, rows: int, each: int = 200_000) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
+#: Keys that `lookup` broadcasts at most, and rows of one key below which it doesn't care.
+HOT_KEYS, HOT_ROWS = 4096, 1000
+
+
+def lookup(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The inner join of left with right, which has each key once, whatever share of left one key has.
+
+    A key with more than one in HOT_KEYS of left's rows is hot: there are HOT_KEYS at most, and their rows of right are broadcast. All
+    others are joined by shuffle. left and right are read more than once and should be cut.
+    """
+    counts = left.groupBy(on).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    found = [r[0] for r in counts.where(F.col("_n") > max(HOT_ROWS, total // HOT_KEYS)).select(on).collect()]
+    if not found:
+        return left.join(right, on)
+    hot = F.broadcast(left.sparkSession.createDataFrame([(k,) for k in found], left.select(on).schema))
+    often = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on)
+    return often.unionByName(left.join(hot, on, "left_anti").join(right, on))
+
+
 def row_key(*texts: str) -> Column:
     """A hash that tells apart rows which share an id."""
     return F.xxhash64(*[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in texts])
 
 
-def bloom(df: DataFrame, column: str, bits: int = BLOOM_BITS) -> np.ndarray:
-    """A filter (`bits` bits as 64-bit words) of a long column; the driver gets bits / 64 words at most."""
+def bloom(df: DataFrame, column: str) -> np.ndarray:
+    """A filter (64-bit words) of a long column; the driver gets BLOOM_BITS / 64 words at most. df is read twice and should be cut."""
+    bits = min(max(1 << (12 * df.count()).bit_length(), BLOOM_BITS[0]), BLOOM_BITS[1])
     low, high = F.col(column), F.shiftrightunsigned(F.col(column), 32)
     at = df.select(F.explode(F.array(F.pmod(low, F.lit(bits)), F.pmod(high, F.lit(bits)))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b")).toPandas()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text, graph
-from ._spark import among, cut, row_key, without
+from ._spark import among, cut, lookup, row_key, without
 
 BITS = 64
 #: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already.
@@ -249,59 +249,64 @@ def _part_links(nodes: DataFrame) -> DataFrame:
     return _verified(nodes.select("node", "check", "parts").mapInArrow(sign, "key bigint, fp bigint, node bigint"), _Verifier(1, CHECK_DISTANCE, None))
 
 
-def _alike(sets: list[np.ndarray], checks: np.ndarray, at: int, left: np.ndarray) -> np.ndarray:
-    """Which of the sets `left` share SIMILAR of all their members with the set `at`."""
+#: Members that meet a copy of their leader's text in one group.
+GROUP = 2_000
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share SIMILAR of all their members."""
     share, of = SIMILAR
-    one, size = sets[at], np.fromiter((len(sets[i]) for i in left), np.int64, len(left))
-    out = (of * np.minimum(size, len(one)) >= share * np.maximum(size, len(one))) & (size > 0) & (np.bitwise_count(checks[left] ^ checks[at]) <= CHECK_DISTANCE)
-    maybe = np.flatnonzero(out)
-    for i in range(0, len(maybe), 256):
-        some = maybe[i : i + 256]
-        members = np.concatenate([sets[j] for j in left[some]])
-        hit = one[np.minimum(np.searchsorted(one, members), len(one) - 1)] == members
-        both = np.add.reduceat(hit, np.cumsum(size[some]) - size[some], dtype=np.int64)
-        out[some] = of * both >= share * (size[some] + len(one) - both)
-    return out
+    if not len(x) or of * min(len(x), len(y)) < share * max(len(x), len(y)):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return of * both >= share * (len(x) + len(y) - both)
 
 
-def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """(a, b) pairs of nodes whose shingle sets are SIMILAR, enough to join every component, given candidates `found`.
+def _verified_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are SIMILAR.
 
-    Candidates that hang together meet in one task, each text once; the task keeps their shingles, 8 bytes each.
+    The members b of a leader a meet copies of its text in groups of some GROUP, by hash; a task keeps one leader's shingles at a
+    time and passes its members by, so no group is ever held, however many a leader has.
     """
-    groups = graph.components(found)
-    wanted = nodes.join(groups, "node").select("one.id", "one.row", "node", "check", "root")
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    leaders = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.col("a").alias("node"), F.lit(0).alias("role"))
+    salted = lookup(pairs, cut(sizes), "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("salt"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    wanted = lookup(cut(leaders.unionByName(salted)), nodes.select("node", "one"), "node").select("one.id", "one.row", "a", "salt", "role", "node")
 
     def run(batches):
-        root, sets, kept = None, [], []
+        leader, own = None, None
         for batch in batches:
             for rows, data, offsets in _text.text_slices([batch], "text"):
-                raw = _text.LOWER[data].tobytes()
-                for (r, node, check), i, j in zip(zip(*(rows.column(c).to_pylist() for c in range(3))), offsets[:-1], offsets[1:]):
-                    if r != root:
-                        yield links_of(sets, kept)
-                        root, sets, kept = r, [], []
-                    if not kept or kept[-1][0] != node:
-                        sets.append(np.unique(_shingles(raw[i:j].split(), shingle, 42)))
-                        kept.append((node, check))
-        yield links_of(sets, kept)
-
-    def links_of(sets, kept):
-        a, b, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(len(sets))
-        names, checks = (np.array([k[i] for k in kept], np.int64) for i in (0, 1))
-        while len(left) > 1:
-            todo, left = [left[0]], left[1:]
-            while todo and len(left):
-                at = todo.pop()
-                hit = _alike(sets, checks.view(np.uint64), at, left)
-                near, left = left[hit], left[~hit]
-                a.append(np.full(len(near), names[at]))
-                b.append(names[near])
-                todo.extend(near)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                raw, a, b = _text.LOWER[data].tobytes(), [], []
+                for lead, salt, role, node, i, j in zip(*(rows.column(c).to_pylist() for c in range(4)), offsets[:-1], offsets[1:]):
+                    if role == 0 and leader == (lead, salt):
+                        continue  # a repeated row
+                    found = np.unique(_shingles(raw[i:j].split(), shingle, 42))
+                    if role == 0:
+                        leader, own = (lead, salt), found
+                    elif _alike(own, found):
+                        a.append(lead)
+                        b.append(node)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    texts = among(docs, wanted, id_column, text).select("a", "salt", "role", "node", F.col("_among_text").alias("text"))
+    return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a bigint, b bigint")
+
 
-    texts = among(docs, wanted, id_column, text).select("root", "node", "check", F.col("_among_text").alias("text"))
-    return texts.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, "a bigint, b bigint")
+def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """(a, b) pairs of nodes whose shingle sets are SIMILAR, given candidates `found`.
+
+    First all candidates that hang together are compared with the one of least node among them, one comparison each. Then those
+    candidate pairs are compared of which not both are like that one.
+    """
+    found = cut(found.where("a <> b").distinct())
+    stars = graph.components(found).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    first = cut(_verified_pairs(docs, nodes, cut(stars), id_column, text, shingle).distinct())
+    placed = first.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(first.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    known = lookup(cut(ends), cut(placed), "node").groupBy("a", "b").agg(F.count("*").alias("n"))
+    left = found.join(known.where("n = 2"), ["a", "b"], "left_anti")
+    return first.unionByName(_verified_pairs(docs, nodes, cut(left), id_column, text, shingle))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -332,10 +337,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def _named(prints: DataFrame, nodes: DataFrame, found: DataFrame, node: str) -> DataFrame:
     """prints (id, row, <node>, ...) with component_id, the smallest id of the node's component."""
-    roots = graph.components(found).withColumnsRenamed({"node": "_node", "root": "_root"})
-    named = nodes.join(roots, F.col(node) == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", node))
-    least = named.groupBy("_root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select(node, "_root").join(least, "_root").select(node, "component_id"), node)
+    roots = graph.components(found)
+    members = cut(roots.join(nodes.select(F.col(node).alias("node"), "least"), "node"))
+    names = cut(members.groupBy("root").agg(F.min("least").alias("component_id")))
+    linked = lookup(members.select("node", "root"), names, "root").select(F.col("node").alias("_node"), "component_id", F.lit(True).alias("_linked"))
+    named = nodes.join(linked, F.col(node) == F.col("_node"), "left").select(node, F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    return lookup(prints, cut(named), node)
 
 
 def survivors(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
