@@ -153,6 +153,11 @@ def test_decontamination(spark, odd, docs):
     assert got(decontam.report(odd, items)) == brute.decontaminate(pairs(odd), pairs(items, "item_id", "text"))
     assert decontam.report(docs, bench.limit(0)).where("contaminated").count() == 0
     assert decontam.report(docs.limit(0), bench).count() == 0
+    many = spark.createDataFrame([(i, "shared passage of ten words that many items hold alike " + f"and then {i} own words") for i in range(40)], "item_id long, text string")
+    held = spark.createDataFrame([(i, f"{i} before " + " ".join(f"shared passage of ten words that many items hold alike and then {j} own" for j in range(i))) for i in range(12)], "doc_id long, text string")
+    assert got(decontam.report(held, many)) == brute.decontaminate(pairs(held), pairs(many, "item_id", "text"))
+    spans = decontam.spans(held, many).collect()
+    assert {r.id: sum(x.stop - x.start for x in spans if x.id == r.id) for r in spans} == {r.doc_id: r.n_hit for r in decontam.report(held, many).collect() if r.n_hit}
     dirty = {r.doc_id for r in decontam.report(docs, bench).collect() if r.contaminated}
     assert {r.doc_id for r in decontam.clean(docs, bench).collect()} == {d for d, _ in pairs(docs)} - dirty
 

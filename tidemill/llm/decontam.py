@@ -6,133 +6,135 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import _text
-from ._spark import bloom, cut, in_bloom, row_key, without
+from ._spark import bloom, cut, in_bloom, lookup, row_key, without
 
 #: Words of a shared span that are always found, and words of a gram. A window of SPAN words has SPAN - GRAM + 1 grams.
 SPAN = 10
 GRAM = 5
 
-_CANDIDATES = "array<struct<h:bigint,size:int,at:int,left:array<string>,core:string,right:array<string>>>"
+_WINDOWS = "array<struct<start:int,size:int,w:bigint,h:bigint>>"
 
 
-def _chosen(g: np.ndarray, text: np.ndarray, window: int, span: int) -> np.ndarray:
-    """Which grams are the least of some `window` consecutive ones of one text; all of equal least ones."""
-    if len(text) < span:
-        return np.zeros(len(g), bool)
-    n = len(g) - window + 1
+def _windows(h: np.ndarray, text: np.ndarray, span: int, gram: int, filter_words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where windows of `span` words of one text begin, their hashes and their fingerprints, the least gram hash of each (winnowing).
+    With a filter only those whose fingerprint passes."""
+    if len(h) < span:
+        return (np.zeros(0, np.int64), *(np.zeros(0, np.uint64),) * 2)
+    g, n = _text.gram_hashes(h, gram), len(h) - span + 1
     least = g[:n].copy()
-    for i in range(1, window):
+    for i in range(1, span - gram + 1):
         np.minimum(least, g[i : i + n], out=least)
-    least[text[:n] != text[span - 1 :]] = 0
-    top = np.zeros(len(g), np.uint64)
-    for i in range(window):
-        np.maximum(top[i : i + n], least, out=top[i : i + n])
-    return (g == top) & (top > 0)
-
-
-def _rows(batches, column: str, span: int, gram: int, short: list[int], filter_words: np.ndarray | None, item: bool):
-    """For each row its words' number and, as candidates, the chosen grams (and, for each length in `short`, all runs of that
-    length) that the filter lets through, each with the words around it that a span through it may hold."""
-    window = span - gram + 1
-    for rows, data, offsets in _text.text_slices(batches, column):
-        low = _text.LOWER[data]
-        starts, ends, first = _text.word_spans(low, offsets, _text.WORD)
-        h = _text.span_hashes(low, starts, ends)
-        text = np.repeat(np.arange(rows.num_rows), np.diff(first))
-        count = np.diff(first)
-        found = []
-        g = _text.gram_hashes(h, gram)
-        at = np.flatnonzero(_chosen(g, text, window, span))
-        if item:
-            at = at[count[text[at]] >= span]
-        found.append((at, gram, g, True))
-        for size in short:
-            g = _text.gram_hashes(h, size)
-            same = text[: len(g)] == text[size - 1 :] if len(g) else np.zeros(0, bool)
-            if item:
-                same &= count[text[: len(g)]] == size
-            with np.errstate(over="ignore"):
-                found.append((np.flatnonzero(same), size, _text.mixed(g + np.uint64(size)), False))
-        raw, by_row = low.tobytes(), [[] for _ in range(rows.num_rows)]
-        for at, size, g, wide in found:
-            if filter_words is not None:
-                at = at[in_bloom(filter_words, g[at])]
-            for i in at.tolist():
-                t = text[i]
-                lo, hi = (max(first[t], i - span + gram), min(first[t + 1], i + span)) if wide else (i, i + size)
-                words = [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                cut_l, cut_r = i - lo, i - lo + size
-                by_row[t].append({"h": int(g[i].view(np.int64)), "size": size, "at": int(i - first[t]), "left": words[:cut_l][::-1], "core": " ".join(words[cut_l:cut_r]), "right": words[cut_r:]})
-        yield rows, count, by_row
-
-
-def _candidates(df: DataFrame, text: str, keys: list[str], span: int, gram: int, short: list[int], shared, item: bool) -> DataFrame:
-    schema = df.schema
-    kinds = ", ".join(f"`{k}` {schema[k].dataType.simpleString()}" for k in keys)
+    same = text[:n] == text[span - 1 :]
+    if filter_words is None:
+        start = np.flatnonzero(same)
+    else:
+        # neighbouring windows mostly share their fingerprint: it is looked up where it changes
+        first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        start = np.flatnonzero(np.repeat(in_bloom(filter_words, least[first]), np.diff(np.append(first, n))) & same)
+    return start, _text.gram_hashes(h, span)[start] if len(start) else np.zeros(0, np.uint64), least[start]
+
+
+def _found(df: DataFrame, keys: list[str], span: int, gram: int, short: list[int], shared, item: bool) -> DataFrame:
+    """keys, n_words and the windows c of each text: those of `span` words, and runs of the lengths in `short`; an item's only where
+    it has no more words. `shared` is a filter of fingerprints; a run's fingerprint is its own hash."""
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    kind = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("w", pa.int64()), ("h", pa.int64())])
 
     def run(batches):
-        words = shared.value if shared is not None else None
-        for rows, count, by_row in _rows(batches, text, span, gram, short, words, item):
-            kept = [rows.column(rows.schema.get_field_index(k)) for k in keys]
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("left", pa.list_(pa.string())), ("core", pa.string()), ("right", pa.list_(pa.string()))]))
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(count, pa.int64()), pa.array(by_row, kind)], names=[*keys, "n_words", "c"])
-
-    return df.mapInArrow(run, f"{kinds}, n_words bigint, c {_CANDIDATES}")
-
-
-def _extended(batches, span: int):
-    """Joined candidates as spans of the document: the gram with as many equal words on both sides as `span` needs."""
-    for batch in batches:
-        rows = batch.to_pylist()
-        out = []
-        for r in rows:
-            if r["core"] != r["item_core"]:
-                continue
-            left = right = 0
-            for x, y in zip(r["left"], r["item_left"]):
-                if x != y:
-                    break
-                left += 1
-            for x, y in zip(r["right"], r["item_right"]):
-                if x != y:
-                    break
-                right += 1
-            if r["whole"] or left + r["size"] + right >= span:
-                out.append({"id": r["id"], "row": r["row"], "item_id": r["item_id"], "start": r["at"] - left, "stop": r["at"] + r["size"] + right})
-        if out:
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field("id"), batch.schema.field("row"), batch.schema.field("item_id"), ("start", pa.int32()), ("stop", pa.int32())]))
-
-
-def spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): rows has (id, row, n_words) of every document; spans has (id, row, item_id, start, stop), the word spans of
-    documents that `span` consecutive words of an item cover (all words of an item of fewer than `span`).
-
-    Winnowing keeps the least gram hash of every span - gram + 1 consecutive ones, so two texts that share `span` words share a kept
-    gram. Documents' grams pass a Bloom filter of fixed size made of the items' before they are joined by shuffle, then the words
-    themselves are compared and hits extended. Items shorter than `span` are looked up whole among all runs of their length.
+        filter_words = shared.value if shared is not None else None
+        for rows, data, offsets in _text.text_slices(batches, "text"):
+            low = _text.LOWER[data]
+            starts, ends, first = _text.word_spans(low, offsets, _text.WORD)
+            h, count = _text.span_hashes(low, starts, ends), np.diff(first)
+            text = np.repeat(np.arange(rows.num_rows), count)
+            start, w, own = _windows(h, text, span, gram, filter_words)
+            found = [(start, np.full(len(start), span), w, own)]
+            for size in short:
+                g = _text.gram_hashes(h, size)
+                with np.errstate(over="ignore"):
+                    g = _text.mixed(g + np.uint64(size))
+                ok = text[: len(g)] == text[size - 1 :] if len(g) else np.zeros(0, bool)
+                if item:
+                    ok &= count[text[: len(g)]] == size
+                start = np.flatnonzero(ok & in_bloom(filter_words, g)) if filter_words is not None else np.flatnonzero(ok)
+                found.append((start, np.full(len(start), size), g[start], g[start]))
+            start, size, w, own = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(start, kind="stable")
+            start, size, w, own = start[order], size[order], w[order], own[order]
+            of = text[start]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(rows.num_rows + 1)), pa.int32()), pa.StructArray.from_arrays(
+                [pa.array((start - first[of]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(w.view(np.int64)), pa.array(own.view(np.int64))], fields=list(kind)))
+            yield pa.RecordBatch.from_arrays([*(rows.column(rows.schema.get_field_index(k)) for k in keys), pa.array(count, pa.int64()), lists], names=[*keys, "n_words", "c"])
+
+    return df.select(*keys, "text").mapInArrow(run, f"{kinds}, n_words bigint, c {_WINDOWS}")
+
+
+def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", span: int = SPAN, gram: int = GRAM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, found, windows): rows has (id, row, n_words) of every document; found has (id, row, start, size, w), every occurrence of an
+    item's window in a document; windows has (w, item_id) of the items.
+
+    Winnowing keeps the least gram hash of each window of `span` words, so equal windows have equal fingerprints. Documents' windows
+    whose fingerprint passes a filter made of the items' are joined with the items' distinct windows by fingerprint and by the window
+    itself: each meets one row at most, however many items or documents share it. Items shorter than `span` are one window, looked up
+    among all runs of their length. 64-bit hashes stand for words.
     """
     spark = docs.sparkSession
     source = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    lengths = list(range(1, span))
-    marked = cut(_candidates(source, "text", ["item_id"], span, gram, lengths, None, True).where("size(c) > 0").select("item_id", F.explode("c").alias("c")).select("item_id", "c.*"))
-    short = sorted(r[0] for r in marked.where("size(left) + size(right) = 0").select("size").distinct().collect())
-    shared = spark.sparkContext.broadcast(bloom(marked, "h"))
+    theirs = cut(_found(source, ["item_id"], span, gram, list(range(1, span)), None, True).select("item_id", F.explode("c").alias("c")).select("item_id", "c.size", "c.w", "c.h").distinct())
+    distinct = cut(theirs.select("w", F.col("h").alias("item_h"), "size").distinct())
+    short = sorted(r[0] for r in distinct.where(F.col("size") < span).select("size").distinct().collect())
+    shared = spark.sparkContext.broadcast(bloom(distinct, "item_h"))
     wanted = docs.select(F.col(doc_id).alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    found = cut(_candidates(wanted, "text", ["id", "row"], span, gram, short, shared, False))
-    mine = found.where("size(c) > 0").select("id", "row", F.explode("c").alias("c")).select("id", "row", "c.*").distinct()
-    theirs = marked.select("item_id", "h", F.col("left").alias("item_left"), F.col("core").alias("item_core"), F.col("right").alias("item_right"), F.expr("size(left) + size(right) = 0").alias("whole")).distinct()
-    pairs = mine.join(theirs, "h")
-    ids = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    joined = pairs.mapInArrow(lambda b: _extended(b, span), f"id {ids['id']}, row bigint, item_id {ids['item_id']}, start int, stop int")
-    return found.select("id", "row", "n_words"), joined
+    own = cut(_found(wanted, ["id", "row"], span, gram, short, shared, False))
+    mine = cut(own.where("size(c) > 0").select("id", "row", F.explode("c").alias("c")).select("id", "row", "c.*").distinct())
+    found = lookup(mine, distinct.select("w", "item_h", F.col("size").alias("_size")), "w").where("h = item_h AND size = _size")
+    return own.select("id", "row", "n_words"), found.select("id", "row", "start", "size", "w"), theirs.select("w", "item_id")
+
+
+def _in_turn():
+    return Window.partitionBy("id", "row").orderBy("start", "stop")
+
+
+def _reached(found: DataFrame) -> DataFrame:
+    """found with each occurrence's stop and how far those before it in its document reach."""
+    return found.withColumn("stop", F.col("start") + F.col("size")).withColumn("before", F.coalesce(F.max("stop").over(_in_turn().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
+def spans(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+    """(id, row, start, stop) of the maximal runs of words of documents that items' windows cover: hits extended as far as they go."""
+    marked = _reached(matches(docs, items, **names)[1]).withColumn("run", F.sum(F.when(F.col("start") > F.col("before"), 1).otherwise(0)).over(_in_turn()))
+    return marked.groupBy("id", "row", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("run")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without a span of any item, with the columns of docs. Null and empty texts stay."""
-    _, joined = spans(docs, items)
-    return without(docs, joined)
+    """The rows of docs without a window of any item, with the columns of docs. Null and empty texts stay; rows that repeat share
+    their fate; without items, or items with words, all stay; an empty table gives an empty one."""
+    return without(docs, matches(docs, items)[1])
+
+
+def _listed(found: DataFrame, windows: DataFrame) -> DataFrame:
+    """(id, row, n_items, items_sha256) of the documents that hold windows of items with an id.
+
+    Windows of the same items, and then documents with the same windows' items, are told by sums of hashes, and items are listed once
+    for each such kind of document: a passage that many items and many documents share makes no row for each of both.
+    """
+
+    def kind(*c):  # of a set, whatever the order
+        return F.struct(F.count("*").alias("n"), F.sum(F.xxhash64(*c) % (1 << 40)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), *c)).alias("y"))
+
+    named = cut(windows.where("item_id IS NOT NULL").select("w", F.col("item_id").cast("string").alias("item")).distinct())
+    sets = named.groupBy("w").agg(kind("item").alias("items"))
+    one = cut(sets.groupBy("items").agg(F.min("w").alias("w1")))
+    held = cut(lookup(cut(found.select("id", "row", "w").distinct()), cut(sets), "w").select("id", "row", "items").distinct())
+    docs = held.groupBy("id", "row").agg(kind("items.n", "items.x", "items.y").alias("all"))
+    first = docs.groupBy("all").agg(F.min(F.struct("id", "row")).alias("d")).select("all", "d.*")
+    same = first["id"].eqNullSafe(held["id"]) & (first["row"] == held["row"])
+    listed = held.join(first, same).select("all", "items").join(one, "items").select("all", F.col("w1").alias("w")).join(named, "w").select("all", "item").distinct()
+    told = listed.groupBy("all").agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    return docs.join(told, "all").select("id", "row", "n_items", "items_sha256")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -141,14 +143,13 @@ def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     Null and empty texts have no words; an item without words, or with a null text, never occurs. An item with a null id marks words
     but isn't listed or counted. Rows that repeat a document each get its result. Empty tables: no rows, or no hits.
     """
-    rows, joined = spans(docs, items)
-    joined = cut(joined)
-    hits = joined.select("id", "row", "start", "stop").distinct().groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("s"))
-    merged = F.expr("aggregate(s, struct(0 AS n, 0 AS reached), (a, x) -> struct(a.n + greatest(0, x.stop - greatest(x.start, a.reached)) AS n, greatest(a.reached, x.stop) AS reached), a -> cast(a.n AS bigint))")
-    listed = joined.select("id", "row", F.col("item_id").cast("string").alias("item")).distinct().groupBy("id", "row").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    marked = hits.select("id", "row", merged.alias("n_hit")).join(listed, (hits["id"].eqNullSafe(listed["id"])) & (hits["row"] == listed["row"]), "left").select(hits["id"].alias("hit_id"), hits["row"].alias("hit_row"), "n_hit", "items")
-    items_of = F.coalesce("items", F.array().cast("array<string>"))
-    return rows.join(marked, rows["id"].eqNullSafe(F.col("hit_id")) & (rows["row"] == F.col("hit_row")), "left").select(
-        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
-        F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    rows, found, windows = matches(docs, items)
+    found = cut(found)
+    hits = _reached(found).groupBy("id", "row").agg(F.sum(F.greatest(F.lit(0), F.col("stop") - F.greatest("start", "before"))).alias("n_hit"))
+    listed = _listed(found, windows).withColumnsRenamed({"id": "l_id", "row": "l_row"})
+    marked = hits.join(listed, F.col("id").eqNullSafe(F.col("l_id")) & (F.col("row") == F.col("l_row")), "left").select(F.col("id").alias("hit_id"), F.col("row").alias("hit_row"), "n_hit", "n_items", "items_sha256")
+    joined = rows.join(marked, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("row") == F.col("hit_row")), "left")
+    return joined.select(
+        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
