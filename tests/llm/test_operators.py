@@ -243,7 +243,7 @@ def test_feistel_is_a_bijection(spark):
         assert sorted(out) == list(range(n))
 
 
-def test_warc(spark, tmp_path):
+def test_warc(spark, tmp_path, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html")
     trap = 'x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: 9\r\n\r\n'
     extra = [(900, "u v\r\nX: 1", trap), (901, None, ""), (902, "", None), (903, "a", trap), (899, "b", trap), (904, "c", "é\x00"), (899, "b", trap)]
@@ -257,6 +257,11 @@ def test_warc(spark, tmp_path):
     want = sorted((p, len(h), base64.b32encode(hashlib.sha1(h).digest()).decode(), "response" if first[h] == p else "revisit", None if first[h] == p else first[h]) for p, h in rows)
     assert sorted(back, key=repr) == sorted(want, key=repr)
     assert warc.report(pages.limit(0)).count() == 0
+    for name, value in (("EXACT_KEYS", -1), ("FILE_BYTES", 1 << 12), ("LARGE", 300)):  # the ways of larger tables
+        monkeypatch.setattr(warc, name, value)
+    warc.write(df, f"{tmp_path}/v", file_records=7)
+    again = sorted((int(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to and int(r.refers_to)) for r in warc.read(spark, f"{tmp_path}/v").collect())
+    assert again == back
 
 
 def test_chat(spark):
