@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 from tests.llm import brute
 from tidemill.llm import chat, classifier, decontam, mixing, packing, quality_rules, secrets, shards, simhash, warc
@@ -215,6 +217,50 @@ def test_packing_plan_uses_exact_complements():
     assert packing.plan({2000: 1, 1500: 1, 500: 1, 96: 1}) == [(1, [2000, 1500, 500, 96])]
 
 
+def test_packing_index_finds_every_exact_fill():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        count = np.zeros(41, np.int64)
+        np.add.at(count, rng.integers(1, 41, rng.integers(1, 9)), 1)
+        sums = packing.Sums(count)
+        for _ in range(12):
+            gap = int(rng.integers(1, 41))
+            here = np.repeat(np.arange(41), count).tolist()
+            want = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(here, k))
+            found = sums.fill(gap)
+            assert bool(found) == want and (not found or sum(found) == gap and len(found) < 4)
+            assert (np.bincount(found, minlength=41) <= count).all() if found else True
+            if found:
+                np.subtract.at(count, found, 1)
+
+
+def slot_of(x, n, key):
+    """The permutation's rule: four rounds of a balanced Feistel network, walked until below n."""
+    half = max(1, -(-max(1, n - 1).bit_length() // 2))
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    long = lambda v, seed: xxhash.xxh64_intdigest((v % (1 << 64)).to_bytes(8, "little"), seed % (1 << 64))
+    four = lambda v, seed: xxhash.xxh64_intdigest(v.to_bytes(4, "little"), seed % (1 << 64))
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for r in range(shards.ROUNDS):
+            left, right = right, left ^ (signed(long(right, four(r, long(key, 42)))) & (1 << half) - 1)
+        x = left << half | right
+        if x < n:
+            return x
+
+
+def test_slots_follow_the_feistel_rule(spark):
+    for n, key in ((1, 3), (17, 3), (1000, 9), (4097, -5)):
+        rows = spark.range(n).select("id", shards.permuted(shards.F.col("id"), n, key).alias("slot")).collect()
+        assert all(r.slot == slot_of(r.id, n, key) for r in rows)
+
+
+def test_ids_too_wide_for_a_shard_are_an_error(docs, monkeypatch):
+    monkeypatch.setattr(shards, "END_ID", 70_000)
+    with pytest.raises(Exception, match="70000"):
+        shards.sequences(docs.limit(3), packing.tokenizer_path()).collect()
+
+
 def test_shards(spark, docs, odd, tmp_path):
     import zstandard
     from tokenizers import Tokenizer

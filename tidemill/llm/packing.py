@@ -99,37 +99,53 @@ def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
     return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _fill(count: np.ndarray, gap: int) -> list[int]:
-    """One, two or three available lengths that fill the gap exactly, or none. count is indexed by length."""
-    if gap < len(count) and count[gap]:
-        return [gap]
-    have = np.flatnonzero(count[: gap + 1])
-    have = have[have > 0]
-    if not len(have):
-        return []
-    other = gap - have
-    pair = np.flatnonzero((other >= have) & (count[other] > (other == have)))
-    if len(pair):
-        a = int(have[pair[0]])
-        return [gap - a, a]
-    # is the gap among the sums of three available lengths at all?
-    there = np.zeros(gap + 1)
-    there[have] = 1
-    size = 1 << (3 * gap).bit_length()
-    spectrum = np.fft.rfft(there, size)
-    if np.fft.irfft(spectrum**3, size)[gap] < 0.5:
+class Sums:
+    """Index of the sums of one, two and three available lengths: each sum's witness, 0 for none.
+
+    Lengths only become fewer, so a sum without a combination stays without; a witness that has run out is looked for again.
+    """
+
+    def __init__(self, count: np.ndarray):
+        self.count, most = count, len(count) - 1
+        self.pair, self.triple = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        have = np.flatnonzero(count)
+        for a in have[::-1].tolist():
+            other = have[: np.searchsorted(have, min(a, most - a), "right")]
+            self.pair[a + other[(other < a) | (count[a] > 1)]] = a
+        for c in have.tolist():
+            self.triple[c + np.flatnonzero(self.pair[: most - c + 1])] = c
+
+    def fill(self, gap: int) -> list[int]:
+        """One, two or three available lengths that fill the gap exactly, or none."""
+        return [gap] if self.count[gap] else self._two(gap) or self._three(gap)
+
+    def _two(self, gap: int, reserved: bool = False) -> list[int]:
+        a = int(self.pair[gap])
+        if not a:
+            return []
+        if self.count[a] > (2 * a == gap) and self.count[gap - a]:
+            return [a, gap - a]
+        a = np.flatnonzero(self.count[:gap])
+        a = a[2 * a >= gap]
+        a = a[self.count[gap - a] > (2 * a == gap)]
+        if not reserved:
+            self.pair[gap] = a[0] if len(a) else 0
+        return [int(a[0]), gap - int(a[0])] if len(a) else []
+
+    def _three(self, gap: int) -> list[int]:
+        c = int(self.triple[gap])
+        if not c:
+            return []
+        have = np.flatnonzero(self.count[:gap])[::-1]
+        for c in (*([c] if self.count[c] else []), *have[self.pair[gap - have] > 0].tolist()):
+            self.count[c] -= 1
+            two = self._two(gap - c, reserved=True)
+            self.count[c] += 1
+            if two:
+                self.triple[gap] = c
+                return [c, *two]
+        self.triple[gap] = 0
         return []
-    for a in have[::-1].tolist():
-        if 3 * a < gap:
-            break
-        b = have[have <= min(a, gap - a)]
-        c = gap - a - b
-        b, c = b[(c > 0) & (c <= b)], c[(c > 0) & (c <= b)]
-        ok = (count[c] > 0) & ((b != c) | (count[b] >= 2)) & ((b != a) | (count[a] >= 2)) & ((c != a) | (count[a] >= 3))
-        if ok.any():
-            i = int(np.flatnonzero(ok)[0])
-            return [a, int(b[i]), int(c[i])]
-    return []
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, list[int]]]:
@@ -141,13 +157,13 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[int, lis
     count = np.zeros(length + 1, np.int64)
     for n, c in histogram.items():
         count[n] = c
-    out = []
+    sums, out = Sums(count), []
     for top in range(length, 0, -1):
         while count[top]:
             count[top] -= 1
             pattern, gap = [top], length - top
             while gap:
-                exact = _fill(count, gap)
+                exact = sums.fill(gap)
                 if exact:
                     np.subtract.at(count, exact, 1)
                     pattern += exact

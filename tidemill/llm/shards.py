@@ -30,7 +30,9 @@ def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENG
     """(task, at, n_ids, ids): the documents' ids, each followed by an end id, as one stream a task, cut into sequences of `length`
     (a task's last may be shorter). ids are little-endian 16-bit, compressed. Null counts as empty: an end id.
 
-    No document is padded. The stream follows the table's own order within a task and tasks in turn, as `numbered` counts them.
+    No document is padded. The stream follows the table's own order within a task and tasks in turn, as `ordered` counts them: a table
+    that is dealt to tasks in another way, as another cluster may do, is cut into other sequences; the same way gives the same. Ids
+    that don't fit WIDTH bytes are an error.
     """
     size = WIDTH * length
 
@@ -50,7 +52,10 @@ def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENG
         for _, data, offsets in _text.text_slices(batches, "text"):
             raw = data.tobytes()
             ids = b"".join([known.of(raw[i:j]) + end for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
-            yield from rows(rest + np.frombuffer(ids, "<u4").astype("<u2").tobytes(), False)
+            wide = np.frombuffer(ids, "<u4")
+            if wide.max() >= 1 << 8 * WIDTH:
+                raise ValueError(f"the tokenizer gives the id {wide.max()}, which {WIDTH} bytes don't hold")
+            yield from rows(rest + wide.astype("<u2").tobytes(), False)
         yield from rows(rest, True)
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "task int, at bigint, n_ids int, ids binary")
@@ -95,7 +100,8 @@ def ordered(cut_sequences: DataFrame, key: int) -> DataFrame:
 
 def write(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
     """Writes shards of `shard` slots under path/shard=<n>: a file holds its slots in order, each WIDTH * length bytes of ids (padded)
-    and one separator byte, which Spark's text sink adds. Its commits leave nothing of a lost task behind."""
+    and one separator byte, which Spark's text sink adds. Its commits leave nothing of a lost task behind. Slots are dealt to tasks by
+    ranges of whole shards."""
     size, pad = WIDTH * length, np.asarray([PAD_ID], "<u2").tobytes()
 
     def opened(batches):
@@ -106,7 +112,7 @@ def write(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHAR
                 ids = [unpack(x.as_py(), max_output_size=size) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + pad * ((size - len(x)) // WIDTH) for x in ids], pa.binary())], names=["shard", "value"])
 
-    dealt = slotted.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "ids").repartition("shard").sortWithinPartitions("shard", "slot")
+    dealt = slotted.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "ids").repartitionByRange("shard").sortWithinPartitions("slot")
     lines = dealt.select("shard", "ids").mapInArrow(opened, "shard bigint, value binary")
     lines.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
