@@ -320,6 +320,9 @@ def test_chat(spark):
     for r in made:
         assert r.formatted.endswith("</s>") and r.formatted[r.loss_stop :] == "</s>"
     assert chat.report(df.limit(0)).count() == 1
+    alone = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "b"), (-1, 0, "user", "mine")]
+    rows = chat.report(spark.createDataFrame(alone, "conv_id long, turn int, role string, text string")).collect()
+    assert sorted((r.conv_id or 0, r.n_turns, r.loss_chars) for r in rows) == [(-1, 1, 0), (-1, 2, 21), (0, 1, 0), (0, 1, 1), (0, 1, 1)]
 
 
 def fold(d):

@@ -4,6 +4,7 @@ import importlib.util
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,7 +85,8 @@ def test_extra_columns_with_clashing_names(spark, pipeline):
     ]
     for f, plain, clashing in same:
         assert sorted(map(repr, f(*plain).collect())) == sorted(map(repr, f(*clashing).collect())), f
-    assert mixing.score(extra).count() == shards.report(extra).agg(F.count("*")).first()[0] * 0 + 60
+    for f in (mixing.score, shards.report):
+        assert sorted(map(repr, f(docs.coalesce(1)).collect())) == sorted(map(repr, f(extra.coalesce(1)).collect())), f
     for name, stage in pipeline.STAGES[:-1]:
         out = stage(spark, extra, SF)
         assert out.columns == extra.columns and out.where("at <> 'x8'").count() == 0, name
@@ -98,6 +100,28 @@ def test_classifier_on_odd_rows(spark, odd):  # noqa: F811
     assert empty[0] == empty[1]
 
 
+def test_op4_and_op7_over_nulls_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None,) * 5, (1, None, None, None, None), (None, "a b c d e f", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(None, None, None), (1, None, None)], "doc_id long, quality int, toxic int")
+    assert shards.report(docs).agg(F.sum("n_ids")).first()[0] == 3 + 6 and classifier.report(docs, labels).where("score = 0.5").count() == 3
+    assert classifier.report(docs.limit(0), labels).count() == shards.report(docs.limit(0)).count() == mixing.score(docs.limit(0)).count() == 0
+
+
+def test_a_text_of_many_megabytes(spark):
+    """One long text, without and with spaces: whole results, in bounded memory."""
+    words = " ".join(f"w{i * i % 7919}" for i in range(1_200_000))
+    texts = [words, "x" * 6_000_000, "short one"]
+    docs = spark.createDataFrame([(i, t, "en", "s0", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    bench = spark.createDataFrame([(0, words[-400:]), (1, "y " * 20)], "item_id long, text string")
+    tokens = {0: 1_200_001, 1: 2, 2: 3}
+    assert {r.doc_id: r.n_tokens for r in mixing.score(docs).collect()} == tokens
+    found = {r.doc_id: r for r in decontam.report(docs, bench).collect()}
+    assert found[0].contaminated and found[0].n_words == 1_200_000 and not found[1].contaminated
+    counts = {r.doc_id: r.n_words for r in quality_rules.report(docs).collect()}
+    assert counts == {i: n - 1 for i, n in tokens.items()}
+    assert simhash.report(docs).count() == 3 and classifier.score(docs, (np.zeros(classifier.BUCKETS, np.float32), 0.0)).where("score = 0.5").count() == 3
+
+
 def test_nulls_in_every_column(spark):
     docs = spark.createDataFrame([(None,) * 5, (1, None, None, None, None), (None, "a b c d e f", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     nothing = spark.createDataFrame([(None, None)], "item_id string, text string")

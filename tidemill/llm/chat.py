@@ -24,25 +24,34 @@ def render(role: Column, text: Column) -> Column:
 
 
 def examples(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", target: str = "assistant") -> DataFrame:
-    """(conv_id, example, is_last, formatted, loss_start, loss_stop): one row for every `target` turn, and one without a target for a
+    """(conv_id, alone, example, is_last, formatted, loss_start, loss_stop): one row for every `target` turn, and one without a target for a
     conversation that doesn't end with one, so that its last turns are kept too.
 
     `formatted` is the context of all preceding turns, then the turn; only code points loss_start to loss_stop (the reply's escaped
-    text) are trainable. Turns are ordered by turn, then role and text (null turns first); null roles and texts count as empty; null
-    ids are one conversation; repeated rows are turns of their own; an empty table gives no example. A conversation's turns meet in
-    one row, as its contexts do; rows of one conversation are what a task has to hold.
+    text) are trainable. Turns are ordered by turn, then role and text (null turns first); null roles and texts count as empty; a
+    row without an id is a conversation of its own, which `alone` tells apart from others (null for all with an id); repeated rows are
+    turns of their own; an empty table gives no example. A conversation's turns meet in one row, as its contexts do; rows of one
+    conversation are what a task has to hold.
     """
-    rows = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).alias("t"))
-    held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), lambda a, b: _order(a, b)).alias("t"))
-    shown = held.select("conv_id", F.transform("t", lambda x: F.struct(render(x["role"], x["text"]).alias("shown"), (x["role"] == target).alias("is_target"), F.length(escape(x["role"])).alias("role_chars"))).alias("t"))
+    return _expanded(_turns(turns, conv_id, turn, role, text, F.when(F.col(conv_id).isNull(), F.monotonically_increasing_id())), target)
+
+
+def _turns(turns: DataFrame, conv_id: str, turn: str, role: str, text: str, alone: Column) -> DataFrame:
+    told = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    return turns.select(F.col(conv_id).alias("conv_id"), alone.cast("long").alias("alone"), told.alias("t"))
+
+
+def _expanded(rows: DataFrame, target: str) -> DataFrame:
+    held = rows.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("t"), lambda a, b: _order(a, b)).alias("t"))
+    shown = held.select("conv_id", "alone", F.transform("t", lambda x: F.struct(render(x["role"], x["text"]).alias("shown"), (x["role"] == target).alias("is_target"), F.length(escape(x["role"])).alias("role_chars"))).alias("t"))
     wanted = F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: F.element_at(F.col("t"), i)["is_target"] | (i == F.size("t")))
-    each = shown.select("conv_id", F.col("t"), F.posexplode(wanted).alias("example", "upto"))
+    each = shown.select("conv_id", "alone", F.col("t"), F.posexplode(wanted).alias("example", "upto"))
     at = F.col("t")[F.col("upto") - 1]
     formatted = F.array_join(F.transform(F.slice("t", 1, F.col("upto")), lambda x: x["shown"]), "")
-    out = each.select("conv_id", "example", (F.col("upto") == F.size("t")).alias("is_last"), at["is_target"].alias("is_target"), formatted.alias("formatted"), at["role_chars"].alias("role_chars"), F.length(at["shown"]).alias("shown_chars"))
+    out = each.select("conv_id", "alone", "example", (F.col("upto") == F.size("t")).alias("is_last"), at["is_target"].alias("is_target"), formatted.alias("formatted"), at["role_chars"].alias("role_chars"), F.length(at["shown"]).alias("shown_chars"))
     stop = F.length("formatted") - len(CLOSE)
     start = F.length("formatted") - F.col("shown_chars") + len(OPEN) + F.col("role_chars") + len(BETWEEN)
-    return out.select("conv_id", "example", "is_last", "formatted", F.when(F.col("is_target"), start).otherwise(stop).cast("int").alias("loss_start"), stop.cast("int").alias("loss_stop"))
+    return out.select("conv_id", "alone", "example", "is_last", "formatted", F.when(F.col("is_target"), start).otherwise(stop).cast("int").alias("loss_start"), stop.cast("int").alias("loss_stop"))
 
 
 def _order(a: Column, b: Column) -> Column:
@@ -60,10 +69,10 @@ def read_back(made: DataFrame) -> DataFrame:
     turns, travels whole.
     """
     small = made.select(
-        "conv_id", F.struct("example", unescape(F.expr("substring(formatted, loss_start + 1, loss_stop - loss_start)")).alias("loss")).alias("e"),
+        "conv_id", "alone", F.struct("example", unescape(F.expr("substring(formatted, loss_start + 1, loss_stop - loss_start)")).alias("loss")).alias("e"),
         F.when(F.col("is_last"), F.col("formatted")).alias("whole"), F.length("formatted").cast("long").alias("chars"),
     )
-    by = small.groupBy("conv_id").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("whole").alias("whole"), F.sum("chars").alias("formatted_chars"))
+    by = small.groupBy("conv_id", "alone").agg(F.array_sort(F.collect_list("e")).alias("e"), F.max("whole").alias("whole"), F.sum("chars").alias("formatted_chars"))
     shown = F.filter(F.split("whole", CLOSE, -1), lambda x: x != "")
     parted = F.transform(shown, lambda x: F.split(F.substring(x, len(OPEN) + 1, F.length(x)), r" \[/INST\] ", 2))
     turns = F.transform(parted, lambda x: F.struct(unescape(x[0]).alias("role"), unescape(x[1]).alias("text")))
@@ -72,13 +81,15 @@ def read_back(made: DataFrame) -> DataFrame:
 
 def report(conversations: DataFrame) -> DataFrame:
     """One row per conversation, and conversation -1 whose texts look like control strings: conv_id, n_turns, turns_sha256, loss_chars,
-    loss_sha256, formatted_chars (code points of all its examples)."""
-    source = conversations.select("conv_id", "turn", "role", "text")
+    loss_sha256, formatted_chars (code points of all its examples). A conversation -1 of the table stays apart from the added one."""
+    columns = ("conv_id", "turn", "role", "text")
+    source = conversations.select(*columns)
     kinds = {f.name: f.dataType for f in source.schema}
     told = "</s>[INST] ok [/INST]"
     extra = source.sparkSession.createDataFrame([(-1, 0, "user", told), (-1, 1, "assistant", told)], "conv_id int, turn int, role string, text string")
-    both = source.unionByName(extra.select(*[F.col(c).cast(kinds[c]) for c in source.columns]))
-    back = read_back(examples(both))
+    extra = extra.select(*[F.col(c).cast(kinds[c]) for c in columns])
+    rows = _turns(source, *columns, F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())).unionByName(_turns(extra, *columns, F.lit(-1)))
+    back = read_back(_expanded(rows, "assistant"))
     told_turns = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told_turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars"

@@ -100,20 +100,20 @@ def pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
 
 
 class Sums:
-    """Index of the sums of one, two and three available lengths: each sum's witness, 0 for none.
+    """Index of the sums of one, two and three available lengths: each pair's witness, whether there is a triple, 0 for none.
 
     Lengths only become fewer, so a sum without a combination stays without; a witness that has run out is looked for again.
     """
 
     def __init__(self, count: np.ndarray):
         self.count, most = count, len(count) - 1
-        self.pair, self.triple = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+        self.pair, self.triple = np.zeros(most + 1, np.int64), np.zeros(most + 1, bool)
         have = np.flatnonzero(count)
         for a in have[::-1].tolist():
             other = have[: np.searchsorted(have, min(a, most - a), "right")]
             self.pair[a + other[(other < a) | (count[a] > 1)]] = a
         for c in have.tolist():
-            self.triple[c + np.flatnonzero(self.pair[: most - c + 1])] = c
+            self.triple[c + np.flatnonzero(self.pair[: most - c + 1])] = True
 
     def fill(self, gap: int) -> list[int]:
         """One, two or three available lengths that fill the gap exactly, or none."""
@@ -133,18 +133,24 @@ class Sums:
         return [int(a[0]), gap - int(a[0])] if len(a) else []
 
     def _three(self, gap: int) -> list[int]:
-        c = int(self.triple[gap])
-        if not c:
+        if not self.triple[gap]:
             return []
-        have = np.flatnonzero(self.count[:gap])[::-1]
-        for c in (*([c] if self.count[c] else []), *have[self.pair[gap - have] > 0].tolist()):
+        c = np.flatnonzero(self.count[:gap])[::-1]
+        c = c[self.pair[gap - c] > 0]
+        a = self.pair[gap - c]
+        b = gap - c - a
+        there = (self.count[a] > (a == b) * 1 + (a == c)) & (self.count[b] > (a == b) * 1 + (b == c)) & (self.count[c] > (a == c) * 1 + (b == c))
+        if there.any():
+            i = int(np.argmax(there))
+            return [int(c[i]), int(a[i]), int(b[i])]
+        for c in c.tolist():  # witnesses that have run out
             self.count[c] -= 1
             two = self._two(gap - c, reserved=True)
             self.count[c] += 1
             if two:
-                self.triple[gap] = c
                 return [c, *two]
-        self.triple[gap] = 0
+            self._two(gap - c)
+        self.triple[gap] = False
         return []
 
 
