@@ -24,6 +24,38 @@ def retrieval_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 5, 10), by: tu
     return ranks.groupBy(*by).agg(F.count("*").alias("queries"), *found, F.round(F.avg(X.reciprocal_rank(r)), 6).alias("mrr"))
 
 
+def recall_by_source(ranks: DataFrame, sources: DataFrame, k: int = 5) -> DataFrame:
+    """(config, source, queries, recall_k) of ranks (config, query_id, rank) and each query's source (query_id, source)."""
+    named = ranks.join(sources.select("query_id", F.coalesce("source", F.lit("unknown")).alias("source")), "query_id")
+    return named.groupBy("config", "source").agg(F.count("*").alias("queries"), F.round(F.avg(X.recall_at(F.col("rank"), k)), 6).alias(f"recall_{k}"))
+
+
+def search_report(ranks: DataFrame, answered: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """retrieval_metrics of the queries that a configuration answered (config, query_id), and how many it `failed`: those without a
+    result. A configuration that answered nothing has zeros."""
+    told = ranks.join(answered.repartition("config", "query_id").select("config", "query_id", F.lit(True).alias("answered")).distinct(), ["config", "query_id"], "left")
+    found = retrieval_metrics(told.where("answered"), ks)
+    counts = told.groupBy("config").agg(F.count_if(F.col("answered").isNull()).alias("failed"))
+    return counts.join(found, "config", "left").fillna(0)
+
+
+def compare_rerank(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, dimension: int = 64, depth: int = 50, pool: int = 20, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """Metrics of hybrid search without and with reranking: vectors and keywords fused (`rrf`), and the best `pool` of those ranked
+    anew by the pair score (`rrf_rerank`).
+
+    queries: (query_id, text), corpus: (id, text), relevant: (query_id, relevant_id). Each list holds `depth` results a query.
+    """
+    store = embedding.hashing_embedding(corpus, dimension)
+    asked = embedding.hashing_embedding(queries.select(F.col("query_id").alias("id"), "text"), dimension).withColumnRenamed("id", "query_id")
+    fused = retrieval.fuse(retrieval.hybrid_lists(asked, store, queries, corpus, depth))
+    ranked = retrieval.rank_by(fused, F.desc("score"), "first_list", "first_rank", "id")
+    near = ranked.where(F.col("rank") <= pool).join(corpus.withColumnRenamed("text", "found"), "id").join(queries, "query_id")
+    again = retrieval.rerank(near, lambda: retrieval.pair_score(F.col("text"), F.col("found")), pool, pool)
+    results = ranked.select(F.lit("rrf").alias("config"), "query_id", "id", "rank").unionByName(again.select(F.lit("rrf_rerank").alias("config"), "query_id", "id", "rank"))
+    # dealt anew: both branches are spread by query already, which Spark doesn't always keep through a union
+    return retrieval_metrics(relevant_ranks(results.repartition("query_id", "config"), relevant, ["rrf", "rrf_rerank"]), ks)
+
+
 def evaluation_set(qa: DataFrame, corpus_text: str, query_parts: list[str]) -> tuple[DataFrame, DataFrame]:
     """(id, text) and (query_id, text, relevant_id) of QA rows (id, ...): rows without a corpus text or a query are passed over."""
     asked = qa.select("id", X.strip(F.concat_ws(" ", *query_parts)).alias("q"), X.strip(F.col(corpus_text)).alias("text")).where("q <> '' AND text <> ''")

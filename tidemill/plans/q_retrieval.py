@@ -18,7 +18,7 @@ def _store(s, d):
 
 
 def _queries(s, d):
-    own = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("department"))
+    own = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit("d"), F.col("label") % 3).alias("department"), F.col("embedding").alias("asked"))
     return own.join(_store(s, d).withColumnRenamed("id", "query_id"), "query_id")
 
 
@@ -26,25 +26,13 @@ def _documents(s, d):
     return embeddings(s, d).select(F.col("vec_id").alias("id"), (F.col("label") % 5 + 1).alias("tier"), F.array(F.concat(F.lit("d"), F.col("label") % 3)).alias("departments"), "embedding")
 
 
-def _search(s, d, top_k=5, rerank=True, boosts=True):
-    docs = _documents(s, d)
-    asked = embeddings(s, d).where("vec_id % 20 = 0").select(F.col("vec_id").alias("_q"), F.col("embedding").alias("asked"))
-    if not rerank:
-        return R.hybrid_search(_queries(s, d), _store(s, d), docs, top_k, boosts=boosts)
-    providers = sorted(_HALF)
-    q, store = _queries(s, d), _store(s, d)
-    lists = None
-    for i, p in enumerate(providers):
-        one = R.vector_topk(q.where(F.col("provider") == p), store.where(F.col("provider") == p), R.candidates_per_provider(top_k)).withColumn("list_no", F.lit(i))
-        lists = one if lists is None else lists.unionByName(one)
-    found = R.fuse(lists).join(docs, "id").join(q.select("query_id", "department").distinct(), "query_id").join(asked, F.col("query_id") == F.col("_q"))
-    found = found.withColumn("score", F.round(R.boosted(F.col("score"), F.col("tier"), F.col("departments"), F.col("department")), 9))
-    return R.rerank(found, lambda: X.cosine(F.col("asked"), F.col("embedding")), top_k).select("query_id", "rank", "id", "score")
+def _search(s, d, top_k=5):
+    return R.hybrid_search(_queries(s, d), _store(s, d), _documents(s, d), top_k, lambda: X.cosine(F.col("asked"), F.col("embedding")))
 
 
 _N = 20
 _SQL_LISTS = """e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings), store AS (SELECT 0 AS list_no, id, v[1:32] AS v FROM e UNION ALL SELECT 1, id, v[33:64] FROM e),
-sims AS (SELECT q.id AS query_id, c.list_no, c.id, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM store q JOIN store c USING (list_no) WHERE q.id % 50 = 0),
+sims AS (SELECT q.id AS query_id, c.list_no, c.id, round(list_cosine_similarity(q.v, c.v), 9) AS score FROM store q JOIN store c USING (list_no) WHERE q.id % 20 = 0),
 lists AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, list_no ORDER BY score DESC, id) AS rank FROM sims) WHERE rank <= 20),
 fused AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no) AS first_list, arg_min(rank, list_no) AS first_rank FROM lists GROUP BY query_id, id),
 boosts AS (SELECT f.query_id, f.id, f.first_list, f.first_rank, round(f.score * CASE d.label % 5 + 1 WHEN 1 THEN 1.15::DOUBLE WHEN 2 THEN 1.08::DOUBLE WHEN 4 THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN d.label % 3 = q.label % 3 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score, d.v AS dv, q.v AS qv
@@ -58,22 +46,18 @@ def _vector_lists(s, d):
 
 
 def _both_lists(s, d):
-    out = None
-    for i, p in enumerate(sorted(_HALF)):
-        one = R.vector_topk(_queries(s, d).where(F.col("provider") == p), _store(s, d).where(F.col("provider") == p), _N).withColumn("list_no", F.lit(i))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return R.vector_lists(_queries(s, d), _store(s, d), _N)
 
 
 def _passages(s, d):
     """Benchmark texts that a document holds verbatim, with the least such document."""
     b, t = benchmark(s, d), documents(s, d)
-    # the first eight words are the equality key of the containment test
-    key = lambda c: F.array_join(F.slice(F.split(c, "[ \n]"), 1, 8), " ")
-    words = t.select("doc_id", "text", F.split("text", "[ \n]").alias("w"))
-    grams = words.select("doc_id", "text", F.explode(F.expr("transform(sequence(1, greatest(1, size(w) - 7)), i -> array_join(slice(w, i, 8), ' '))")).alias("key"))
-    met = grams.join(b.select("item_id", F.col("text").alias("query"), key("text").alias("key")), "key").where(F.contains("text", F.col("query")))
-    return met.groupBy("item_id", "query").agg(F.min("doc_id").alias("relevant_id"))
+    # the first eight words are the equality key of the containment test; texts are fetched for the few that have it
+    key = lambda c: F.xxhash64(F.array_join(F.slice(F.split(c, "[ \n]"), 1, 8), " "))
+    words = t.select("doc_id", F.split("text", "[ \n]").alias("w"))
+    grams = words.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(w) - 7)), i -> xxhash64(array_join(slice(w, i, 8), ' '))))")).alias("key"))
+    near = grams.join(b.select("item_id", F.col("text").alias("query"), key("text").alias("key")), "key").select("doc_id", "item_id", "query")
+    return t.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", F.col("query"))).groupBy("item_id", "query").agg(F.min("doc_id").alias("relevant_id"))
 
 
 _PASSAGES = "passages AS (SELECT b.item_id, b.text AS query, min(d.doc_id) AS relevant_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1, 2)"
@@ -81,14 +65,15 @@ _WORDS = r"regexp_extract_all(lower({}), '[\pL\pM\p{{Nd}}\p{{Pc}}]+')"
 
 
 def _bm25(s, d, k=10):
-    q = _passages(s, d).select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("query", " "), 1, 6), " ").alias("text"))
+    q = _passages(s, d).select(F.col("item_id").alias("query_id"), F.col("query").alias("text"))
     return R.bm25(q, documents(s, d).select(F.col("doc_id").alias("id"), "text"), k)
 
 
-_BM25 = f"""WITH {_PASSAGES}, q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS.format("array_to_string(string_split(query, ' ')[1:6], ' ')")})) AS term FROM passages),
+_BM25_SCORES = f"""q AS (SELECT item_id AS query_id, unnest(list_distinct({_WORDS.format("query")})) AS term FROM passages),
 t AS (SELECT doc_id AS id, {_WORDS.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t), u AS (SELECT id, len(w) AS length, unnest(w) AS term FROM t),
 tf AS (SELECT id, term, length, count(*) AS tf FROM u WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-sc AS (SELECT q.query_id, tf.id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)
+sc AS (SELECT q.query_id, tf.id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * (tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)))), 9) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY ALL)"""
+_BM25 = f"""WITH {_PASSAGES}, {_BM25_SCORES}
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc) WHERE rank <= 10"""
 
 
@@ -107,6 +92,17 @@ def _configs(s, d):
     return {"a": lists.where("list_no = 0"), "b": lists.where("list_no = 1"), "rrf": fused}
 
 
+def _failures(s, d):
+    """A third of the queries find nothing in list a."""
+    configs = _configs(s, d)
+    configs["a"] = configs["a"].where("query_id % 3 > 0")
+    answered = None
+    for name, df in configs.items():
+        one = df.select(F.lit(name).alias("config"), "query_id")
+        answered = one if answered is None else answered.unionByName(one)
+    return V.search_report(_evaluation(s, d, configs), answered)
+
+
 _RANKS = f"""WITH {_SQL_LISTS}, all_lists AS (SELECT CASE list_no WHEN 0 THEN 'a' ELSE 'b' END AS config, query_id, id, rank FROM lists
 UNION ALL SELECT 'rrf', query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_list, first_rank, id) AS rank FROM fused) WHERE rank <= 10),
 ranks AS (SELECT config, query_id, min(rank) FILTER (id = query_id) AS rank FROM all_lists GROUP BY ALL)"""
@@ -142,13 +138,31 @@ def _terms_sql(source: str) -> str:
     return _TERMS.replace("SELECT item_id AS id, t, count(*) AS n FROM (SELECT item_id, unnest(" + _WORDS.format("text") + ") AS t FROM benchmark)", f"SELECT id, t, count(*) AS n FROM (SELECT id, unnest({_WORDS.format('text')}) AS t FROM {source})")
 
 
-_EVL2 = f"""WITH {_PASSAGES}, corpus AS (SELECT doc_id AS id, text FROM documents WHERE doc_id IN (SELECT relevant_id FROM passages)), asked AS (SELECT item_id AS id, query AS text FROM passages),
+_EVL2 = f"""WITH {_PASSAGES}, corpus AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS id, query AS text FROM passages),
 ct AS ({_terms_sql('corpus')}), qt AS ({_terms_sql('asked')}), cv AS ({_VEC.format('corpus', 'ct')}), qv AS ({_VEC.format('asked', 'qt')}),
 r AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT qv.id AS query_id, cv.id, round(list_cosine_similarity(qv.v, cv.v), 9) AS score FROM qv, cv)),
 ranks AS (SELECT 'hashing' AS config, p.item_id AS query_id, min(CASE WHEN r.rank <= 5 THEN r.rank END) AS rank FROM passages p LEFT JOIN r ON r.query_id = p.item_id AND r.id = p.relevant_id GROUP BY 2)
 SELECT *, 64 AS dimension FROM ({_metrics((1, 5))})"""
 
 
+def _top7(s, d):
+    p = _passages(s, d).select(F.col("item_id").alias("query_id"), F.col("query").alias("text"), "relevant_id")
+    return V.compare_rerank(p.select("query_id", "text"), documents(s, d).select(F.col("doc_id").alias("id"), "text"), p.select("query_id", "relevant_id"))
+
+
+_TOP7 = f"""WITH {_PASSAGES}, corpus AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS id, query AS text FROM passages),
+ct AS ({_terms_sql('corpus')}), qt AS ({_terms_sql('asked')}), cv AS ({_VEC.format('corpus', 'ct')}), qv AS ({_VEC.format('asked', 'qt')}), {_BM25_SCORES},
+dense AS (SELECT qv.id AS query_id, cv.id, coalesce(round(list_cosine_similarity(qv.v, cv.v), 9), 0) AS score FROM qv, cv),
+both_lists AS (SELECT * FROM (SELECT 0 AS list_no, *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dense UNION ALL SELECT 1, *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM sc) WHERE rank <= 50),
+f AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(list_no) AS first_list, arg_min(rank, list_no) AS first_rank FROM both_lists GROUP BY ALL),
+rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_list, first_rank, id) AS rank FROM f),
+pool AS (SELECT rrf.query_id, rrf.id, rank AS before, list_distinct({_WORDS.format('asked.text')}) AS a, list_distinct({_WORDS.format('corpus.text')}) AS b FROM rrf JOIN asked ON asked.id = query_id JOIN corpus ON corpus.id = rrf.id WHERE rank <= 20),
+again AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)), 9) DESC, before) AS rank FROM pool),
+results AS (SELECT 'rrf' AS config, query_id, id, rank FROM rrf UNION ALL SELECT 'rrf_rerank', query_id, id, rank FROM again),
+ranks AS (SELECT c.config, p.item_id AS query_id, min(r.rank) AS rank FROM passages p CROSS JOIN (VALUES ('rrf'), ('rrf_rerank')) c(config) LEFT JOIN results r ON r.config = c.config AND r.query_id = p.item_id AND r.id = p.relevant_id GROUP BY ALL)
+{_metrics((1, 5, 10))}"""
+
+
 def _chunks(s, d):
     """Sentence-like chunks of documents, with a status and two providers' vectors by id."""
     return documents(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "chunk"), "source").select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "doc_id", "chunk_index", "chunk", "source")
@@ -159,7 +173,7 @@ _CHUNKS = r"chunks AS (SELECT doc_id * 1000 + i - 1 AS chunk_id, doc_id, i - 1 A
 
 def _searchable(s, d):
     docs = documents(s, d).select("doc_id", F.element_at(F.array(*map(F.lit, ("completed", "dataset_import", "processing"))), (F.col("doc_id") % 3 + 1).cast("int")).alias("status"))
-    return docs.where(F.col("status").isin("completed", "dataset_import"))
+    return R.searchable(docs)
 
 
 def _jn1(s, d):
@@ -174,11 +188,7 @@ def _jn7(s, d):
 
 
 def _votes(s, d):
-    """AGG17: the department that most of a query's first five results name; ties to the first seen."""
-    top = _search(s, d).join(_documents(s, d).select("id", "departments"), "id")
-    count = top.select("query_id", "rank", F.explode("departments").alias("department")).groupBy("query_id", "department").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    best = count.groupBy("query_id").agg(F.max_by(F.struct("department", "n"), F.struct("n", -F.col("first"))).alias("b"))
-    return best.select("query_id", "b.department", F.when(F.col("b.n") >= 2, "높음").otherwise("중간").alias("confidence"))
+    return R.department_votes(_search(s, d).join(_documents(s, d).select("id", "departments"), "id"))
 
 
 def _block(s, d):
@@ -209,7 +219,7 @@ QUERIES = {
     "top5_hybrid_search": lambda s, d: _search(s, d),
     "top5_hybrid_search_plain": lambda s, d: R.hybrid_search(_queries(s, d), _store(s, d), _documents(s, d), 5, boosts=False),
     "top6_bm25": _bm25,
-    "top7_dense_and_keyword": lambda s, d: V.retrieval_metrics(_evaluation(s, d, _configs(s, d)), (1, 5, 10)),
+    "top7_dense_and_keyword": _top7,
     "jn1_searchable_chunks": _jn1,
     "jn7_benchmark_queries": _jn7,
     "jn8_similarity_block": lambda s, d: R.vector_topk(_queries(s, d).where("provider = 'b'"), _store(s, d).where("provider = 'b'"), 3, block=4),
@@ -219,6 +229,8 @@ QUERIES = {
     "win12_relevant_rank": lambda s, d: _evaluation(s, d, _configs(s, d)),
     "scl14_metrics": lambda s, d: _evaluation(s, d, _configs(s, d)).select("config", "query_id", X.recall_at(F.col("rank"), 5).alias("recall"), X.precision_at(F.col("rank"), 5).alias("precision"), X.reciprocal_rank(F.col("rank")).alias("rr"), F.round(X.ndcg_at(F.col("rank"), 5), 9).alias("ndcg")),
     "agg13_retrieval_metrics": lambda s, d: V.retrieval_metrics(_evaluation(s, d, _configs(s, d))),
+    "agg13_recall_by_source": lambda s, d: V.recall_by_source(_evaluation(s, d, _configs(s, d)), embeddings(s, d).select(F.col("vec_id").alias("query_id"), F.concat(F.lit("s"), F.col("label") % 4).alias("source"))),
+    "agg13_search_report": _failures,
     "agg17_department_vote": _votes,
     "agg21_reference_block": _block,
     "emb1_hashing_terms": _emb_terms,
@@ -239,7 +251,7 @@ SQL = {
     "top5_hybrid_search": _TOP5,
     "top5_hybrid_search_plain": f"WITH {_SQL_LISTS} SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_list, first_rank, id) AS rank FROM fused) WHERE rank <= 5",
     "top6_bm25": _BM25,
-    "top7_dense_and_keyword": f"{_RANKS} {_metrics((1, 5, 10))}",
+    "top7_dense_and_keyword": _TOP7,
     "jn1_searchable_chunks": f"WITH {_CHUNKS} SELECT chunk_id, c.doc_id, CASE c.doc_id % 3 WHEN 0 THEN 'completed' ELSE 'dataset_import' END AS status FROM chunks c JOIN embeddings e ON c.chunk_id = e.vec_id * 1000 WHERE c.doc_id % 3 < 2",
     "jn7_benchmark_queries": f"WITH {_PASSAGES} SELECT query, relevant_id * 1000 AS relevant_chunk_id, source FROM passages JOIN documents ON doc_id = relevant_id",
     "jn8_similarity_block": f"WITH {_SQL_LISTS} SELECT query_id, id, score, rank FROM lists WHERE list_no = 1 AND rank <= 3",
@@ -249,6 +261,9 @@ SQL = {
     "win12_relevant_rank": f"{_RANKS} SELECT config, query_id, rank FROM ranks",
     "scl14_metrics": f"{_RANKS} SELECT config, query_id, CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END AS recall, CASE WHEN rank <= 5 THEN 0.2::DOUBLE ELSE 0 END AS precision, coalesce(1.0::DOUBLE / rank, 0) AS rr, round(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / log2(rank + 1) ELSE 0 END, 9) AS ndcg FROM ranks",
     "agg13_retrieval_metrics": f"{_RANKS} {_metrics((1, 5, 10))}",
+    "agg13_recall_by_source": f"{_RANKS} SELECT config, 's' || label % 4 AS source, count(*) AS queries, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5 FROM ranks JOIN embeddings ON vec_id = query_id GROUP BY ALL",
+    "agg13_search_report": f"""{_RANKS}, known AS (SELECT * FROM ranks WHERE config <> 'a' OR query_id % 3 > 0), lost AS (SELECT config, count(*) FILTER (WHERE config = 'a' AND query_id % 3 = 0) AS failed FROM ranks GROUP BY config)
+SELECT m.*, failed FROM ({_metrics((1, 5, 10)).replace("FROM ranks", "FROM known")}) m JOIN lost USING (config)""",
     "agg17_department_vote": f"""WITH t AS ({_TOP5}), c AS (SELECT query_id, 'd' || label % 3 AS department, count(*) AS n, min(rank) AS first FROM t JOIN embeddings ON vec_id = id GROUP BY ALL)
 SELECT query_id, department, CASE WHEN n >= 2 THEN '높음' ELSE '중간' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""",
     "agg21_reference_block": f"""WITH {_CHUNKS} SELECT source, string_agg('[' || n || '] ' || CASE WHEN length(chunk) > 80 THEN chunk[1:80] || '…' ELSE chunk END, chr(10) ORDER BY n) AS block
