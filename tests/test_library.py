@@ -306,3 +306,39 @@ def test_queries_are_registered_without_a_session():
 
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q); print(len(q))"], capture_output=True, text=True, cwd=str(__import__("pathlib").Path(__file__).parent.parent))
     assert int(said.stdout) > 150, said.stderr
+
+
+def test_a_batch_written_again_is_seen_once(spark, tmp_path):
+    """A batch that fails half way and is run again under its name, and one that is written twice, show their last attempt alone."""
+    store = Store(spark, f"{tmp_path}/again")
+    docs = spark.createDataFrame([("k1",), ("k2",)], "document_key string")
+    lost = docs.withColumn("chunk", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        store.write("stream-0", {"documents": docs, "chunks": lost})
+    assert store.visible("documents").count() == 0
+    for _ in range(2):
+        store.write("stream-0", {"documents": docs, "chunks": docs.withColumn("chunk", F.lit("c"))})
+        assert store.visible("documents").count() == store.visible("chunks").count() == 2
+    vectors = docs.select("document_key", F.lit("p").alias("provider"), F.array(F.lit(1.0)).alias("vector"))
+    store.write("stream-1", {"embeddings": vectors})
+    assert {r.provider for r in store.visible("embeddings").collect()} == {"p"}
+
+
+def test_the_newest_version_of_a_document_is_the_last_completed(spark, tmp_path):
+    store = Store(spark, f"{tmp_path}/versions")
+    for n in (8, 9, 10, 11):
+        seen = store.replace_document(f"stream-{n}", spark.createDataFrame([("a", f"v{n}"), *([("b", "only")] if n == 8 else [])], "document_key string, chunk string"))
+        assert {(r.document_key, r.chunk) for r in seen.collect()} == {("a", f"v{n}"), ("b", "only")}
+
+
+def test_first_by_and_numbered_places(spark):
+    """The first row of each key with null places and exact ties, and places within kinds, against plain sorting."""
+    rows = [("a", None, 1), ("a", 2, 2), ("a", None, 1), ("b", 1, 3), (None, 5, 4), ("c", 1, None)] + [("hot", i % 50, i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, p int, n int")
+    found = {(r.k, r.p, r.n) for r in sft.first_of(df, F.col("k"), "p", "n").collect()}
+    assert found == {("a", None, 1), ("b", 1, 3), (None, 5, 4), ("c", 1, None), ("hot", 0, 0)}
+    kinds = spark.createDataFrame([(i, ("x", "y", None)[i % 3]) for i in range(3000)], "id long, kind string")
+    placed = sft._numbered(kinds, "kind", "id", 42).withColumn("h", sft._shuffled("id", 42)).collect()
+    for kind in ("x", "y", None):
+        own = sorted((r for r in placed if r.kind == kind), key=lambda r: (r.h, r.id))
+        assert [r["_n"] for r in own] == list(range(1, 1001)) and {r["_of"] for r in own} == {1000}

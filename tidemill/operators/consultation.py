@@ -25,6 +25,7 @@ DEPARTMENT_KEYWORDS = {
     "정신건강의학과": ("불안", "우울", "불면", "잠이 안", "공황", "스트레스"),
     "소아청소년과": ("아기가", "영유아", "신생아", "소아"),
 }
+BLOCK_HEADER = "[참고 의료 정보]"
 HIGH, MIDDLE, LOW = "높음", "중간", "낮음"
 SPECIAL_TOKEN = "</?s>"
 MARKDOWN = ((r"(?m)^\s*```\w*\s*$", ""), (r"`([^`\n]+?)`", "$1"), (r"\*\*(.+?)\*\*", "$1"), (r"(?<!\*)\*([^\*\n]+?)\*(?!\*)", "$1"), (r"(?m)^[ \t]*[*\-•][ \t]+", ""), (r"(?m)^[ \t]*#{1,6}[ \t]*", ""))
@@ -260,3 +261,15 @@ def first_seen_vote(votes: DataFrame) -> DataFrame:
     """The commonest department of each query's (query_id, rank, department) rows, ties to the best rank."""
     counted = votes.groupBy("query_id", "department").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
     return counted.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).where("_k = 1").drop("_k")
+
+
+def reference_block(chunks: DataFrame, by: str, order: str, most: int = 5, most_chars: int = 800, text: str = "chunk", origin: str = "origin", tier: str = "tier", departments: str = "departments", header: str = BLOCK_HEADER) -> DataFrame:
+    """(by, block): the first `most` chunks with a text of each group, told apart by number, origin, tier and departments, where they have
+    them. A text beyond most_chars is cut and marked; a group without a text has no block. Only the first chunks of a group are shuffled."""
+    own = chunks.select(by, order, X.strip(F.col(text)).alias("_t"), F.col(origin).alias("_o"), F.col(tier).alias("_tier"), F.col(departments).alias("_d")).where("_t <> ''")
+    first = own.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_n") <= most)
+    said = F.when(F.length("_t") > most_chars, F.concat(F.regexp_replace(F.substring("_t", 1, most_chars), r"\s+$", ""), F.lit("…"))).otherwise(F.col("_t"))
+    source = F.when(X.strip(F.coalesce("_o", F.lit(""))) != "", F.concat(F.lit("\n출처: "), X.strip(F.col("_o")), F.coalesce(F.concat(F.lit(" (신뢰도: "), "_tier", F.lit(")")), F.lit("")))).otherwise("")
+    named = F.when(F.size("_d") > 0, F.concat(F.lit("\n관련 진료과: "), F.array_join("_d", ", "))).otherwise("")
+    line = F.concat(F.lit("\n\n[문서 "), F.col("_n"), F.lit("]"), source, named, F.lit("\n"), said)
+    return first.groupBy(by).agg(F.concat(F.lit(header), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("l")))), lambda x: x["l"]), "")).alias("block"))

@@ -94,4 +94,7 @@ def sticky_category(answers: DataFrame) -> DataFrame:
 
 
 def by_category(conversations: DataFrame) -> DataFrame:
-    return conversations.groupBy(F.coalesce("category", F.lit(OTHER)).alias("category")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("conv_id")).alias("conv_ids"))
+    """(category, conv_id, n): each conversation under its category, with how many that has. Categories are few, conversations aren't:
+    ids stay rows, and only the counts are joined."""
+    named = conversations.select(F.coalesce("category", F.lit(OTHER)).alias("category"), "conv_id")
+    return named.join(named.groupBy("category").agg(F.count("*").alias("n")), "category")

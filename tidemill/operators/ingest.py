@@ -8,7 +8,6 @@ from bisect import bisect_right
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
 
@@ -19,19 +18,21 @@ LEAST_PART = 0.6
 # --- end of fixed values ---
 
 
-def first_by(df: DataFrame, key: list[str], order: list) -> DataFrame:
-    """The first row of each key. A grouped minimum rather than a window: partial sums leave one candidate a key and task, so a key
-    that many rows share is no task's burden."""
-    columns = df.columns
-    best = df.groupBy(*key).agg(F.min(F.struct(*order, F.struct(*columns).alias("_row"))).alias("_best"))
-    return best.select("_best._row.*")
+def first_by(df: DataFrame, key: str, order: list) -> DataFrame:
+    """The first row of each key by order, with the columns of df.
+
+    A grouped minimum of the order alone, then a join on key and order: partial minima leave one candidate a key and task, and rows of
+    one key are spread by their order, so a key that many rows share is no task's burden.
+    """
+    placed = df.withColumn("_order", F.struct(*order))
+    best = placed.groupBy(key).agg(F.min("_order").alias("_order"))
+    return placed.join(best, [key, "_order"], "left_semi").dropDuplicates([key, "_order"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def dedup_content(records: DataFrame, priority: str, order: str) -> DataFrame:
     """One record per stripped content: least priority, then arrival."""
     keyed = records.withColumn("content_hash", X.content_hash(F.col("content")))
-    own = Window.partitionBy("content_hash").orderBy(priority, order)
-    return keyed.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+    return first_by(keyed, "content_hash", [priority, order])
 
 
 def unseen(records: DataFrame, index: DataFrame) -> DataFrame:
@@ -49,7 +50,7 @@ def new_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: str
     """Chunks whose text isn't stored, the first of each text by order. Texts meet by their hash."""
     own = chunks.withColumn("_h", F.sha2(text, 256))
     fresh = own.join(stored.select(F.sha2(text, 256).alias("_h")), "_h", "left_anti")
-    return fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_h").orderBy(*order))).where("_n = 1").drop("_n", "_h")
+    return first_by(fresh, "_h", order).drop("_h")
 
 
 def gate_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: str = "chunk") -> tuple[DataFrame, DataFrame]:
@@ -65,14 +66,16 @@ def gate_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: st
 def ingest(records: DataFrame, priority: str = "priority", order: str = "idx", observers: dict | None = None) -> DataFrame:
     """Every record with `status`: cleaned away (its reason), duplicate, or kept, and its cleaned content.
 
-    One pass of gates and one shuffle on the hash. observers: {stage: function of a DataFrame} are called with raw, processed,
+    One pass of gates, a grouped minimum by hash and a join on hash and place; `order` names each record once. observers: {stage: function of a DataFrame} are called with raw, processed,
     duplicate and record rows; they cannot change the result.
     """
     stripped = records.withColumn("_stripped", X.strip(F.col("content"))).withColumn("reason", X.reject_reason(F.col("_stripped")))
     judged = stripped.withColumn("cleaned", F.when(F.col("reason").isNull(), F.col("_stripped"))).drop("_stripped")
     hashed = judged.withColumn("content_hash", F.when(F.col("reason").isNull(), F.sha2("cleaned", 256)).otherwise(F.concat(F.lit("-"), F.col(order).cast("string"))))
-    placed = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("content_hash").orderBy(priority, order)))
-    out = placed.withColumn("status", F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_n") > 1, "duplicate").otherwise("kept")).drop("_n")
+    first = hashed.where("reason IS NULL").groupBy("content_hash").agg(F.min(F.struct(priority, order)).alias("_place")).withColumn("_first", F.lit(True))
+    placed = hashed.withColumn("_place", F.struct(priority, order)).join(first, ["content_hash", "_place"], "left")
+    status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_first"), "kept").otherwise("duplicate")
+    out = placed.withColumn("status", status).select(*[F.col(f"`{c}`") for c in (*hashed.columns, "status")])
     for stage, see in (observers or {}).items():
         see({"raw": records, "processed": out.where("reason IS NULL"), "duplicate": out.where("status = 'duplicate'"), "record": out.where("status = 'kept'")}[stage])
     return out

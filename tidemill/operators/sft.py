@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions import text as X
+from tidemill.operators.ingest import first_by
 
 # --- fixed values ---
 QA_CANDIDATES = (("question", None, "answer"), ("instruction", "input", "output"), ("prompt", None, "response"))
@@ -147,8 +148,9 @@ def priority_of(source: Column, order: list[str]) -> Column:
 
 
 def first_of(df: DataFrame, key: Column, *order: Column | str) -> DataFrame:
-    """The first row of each key by order."""
-    return df.withColumn("_key", key).withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy(*order))).where("_n = 1").drop("_n", "_key")
+    """The first row of each key by order, which names a key's rows once; rows with a null key are one key."""
+    keyed = df.withColumn("_key", F.coalesce(F.sha2(key, 256), F.lit("")))
+    return first_by(keyed, "_key", list(order)).drop("_key")
 
 
 def first_question(messages: Column) -> Column:
@@ -160,6 +162,20 @@ def _shuffled(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def _numbered(df: DataFrame, kind: str, key: str, seed: int) -> DataFrame:
+    """df with `_n`, a row's place in its kind by hashed key, and `_of`, how many the kind has.
+
+    Places are counted within 4,096 ranges of the hash, whose counts add up to the places before them: no kind is one task's to sort.
+    """
+    placed = df.withColumn("_hash", _shuffled(key, seed)).withColumn("_range", F.substring("_hash", 1, 3))
+    sizes = placed.groupBy(F.col(kind).alias("_kind"), F.col("_range").alias("_r")).agg(F.count("*").alias("_size"))
+    own = Window.partitionBy("_kind")
+    before = sizes.select("_kind", "_r", (F.sum("_size").over(own.orderBy("_r")) - F.col("_size")).alias("_before"), F.sum("_size").over(own).alias("_of"))
+    ranked = placed.withColumn("_in", F.row_number().over(Window.partitionBy(kind, "_range").orderBy("_hash", key)))
+    met = ranked.join(before, F.col(kind).eqNullSafe(F.col("_kind")) & (F.col("_range") == F.col("_r")))
+    return met.withColumn("_n", F.col("_before") + F.col("_in")).select(*[F.col(f"`{c}`") for c in df.columns], "_n", "_of")
+
+
 def cap_per_source(df: DataFrame, source: str, key: str, cap: int | None, seed: int = 42) -> DataFrame:
     """`cap` random rows of each source, by hashed keys; None keeps all. Spark cuts each task's rows to the cap before the shuffle."""
     if cap is None:
@@ -174,13 +190,12 @@ def mix(df: DataFrame, kind: str, key: str, ratios: dict[str, float] = RATIOS, s
     target = F.lit(0)
     for k, r in ratios.items():
         target = F.when(F.col(kind) == k, int(feasible * r)).otherwise(target)
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(kind).orderBy(_shuffled(key, seed), key))).where(F.col("_n") <= target).drop("_n")
+    return _numbered(df.where(F.col(kind).isin(*ratios)), kind, key, seed).where(F.col("_n") <= target).drop("_n", "_of")
 
 
 def split(df: DataFrame, kind: str, key: str, held: float = SPLIT, seed: int = 42) -> DataFrame:
     """df with `split`: within each kind a share of `held` rows leaves train, halved into validation and test."""
-    own = Window.partitionBy(kind)
-    ranked = df.withColumns({"_n": F.row_number().over(own.orderBy(_shuffled(key, seed), key)), "_of": F.count("*").over(own)})
+    ranked = _numbered(df, kind, key, seed)
     out = F.ceil(F.col("_of") * held)
     test = F.floor(out / 2)
     return ranked.withColumn("split", F.when(F.col("_n") <= test, "test").when(F.col("_n") <= out, "validation").otherwise("train")).drop("_n", "_of")

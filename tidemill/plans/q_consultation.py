@@ -36,7 +36,7 @@ def _fill(s, d):
 
 
 def _outcomes(s, d):
-    p = V.pairs(_turns(s, d)).withColumns({"chunks": F.slice(F.split("question", " "), 1, 3), "answer": F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("answer"))})
+    p = V.pairs(_turns(s, d)).withColumns({"chunks": F.split("question", " "), "answer": F.when(F.col("turn") % 5 == 0, " ").otherwise(F.col("answer"))})
     return C.outcomes(p, "question", "answer", "chunks", F.contains("question", F.lit("idiot"))).select("conv_id", "turn", "is_emergency", "is_fallback", "error_type", "rag_hit_count")
 
 
@@ -69,7 +69,7 @@ SQL = {
     "con2_resolved": f"SELECT conv_id, turn, CASE WHEN turn % 3 = 0 AND turn % 2 = 0 THEN 'given' WHEN conv_id % 2 = 0 THEN 'voted' WHEN turn % 3 = 0 THEN 'given' ELSE department END AS department FROM ({_CON1})",
     "con3_filled_from_answer": f"SELECT conv_id, turn, coalesce(CASE WHEN turn % 4 = 1 THEN 'kept' END, {_SINGLE}) AS department, CASE WHEN turn % 4 <> 1 AND ({_SINGLE}) IS NOT NULL THEN '중간' ELSE '높음' END AS confidence FROM conversations WHERE role = 'assistant'",
     "con4_outcomes": f"""WITH {_PAIRS} SELECT conv_id, turn, contains(question, 'idiot') AS is_emergency, NOT contains(question, 'idiot') AND turn % 5 = 0 AS is_fallback, CASE WHEN NOT contains(question, 'idiot') AND turn % 5 = 0 THEN 'NonAnswerFiltered' END AS error_type,
-CASE WHEN contains(question, 'idiot') THEN 0 ELSE len(string_split(question, ' ')[1:3])::INT END AS rag_hit_count FROM pairs""",
+CASE WHEN contains(question, 'idiot') THEN 0 ELSE len(string_split(question, ' '))::INT END AS rag_hit_count FROM pairs""",
     "con5_prompts": f"""WITH {_PAIRS} SELECT conv_id, count(*) * 2 + 2 AS messages, (8 + sum(length(question) + length(answer)) + 6 + CASE WHEN conv_id % 2 = 0 THEN 6 ELSE 0 END + length(arg_max(question, turn)))::BIGINT AS chars FROM pairs GROUP BY conv_id""",
     "con6_single_department": f"SELECT conv_id, turn, {_SINGLE} AS department FROM conversations",
 }

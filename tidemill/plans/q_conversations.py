@@ -68,7 +68,7 @@ l AS (SELECT *, lag(text, 1) OVER w AS t1, lag(text, 2) OVER w AS t2, lag(text,
 SELECT conv_id, turn, CASE WHEN dep IS NOT NULL THEN text WHEN d1 IS NOT NULL THEN concat_ws(' ', t1, text) WHEN d2 IS NOT NULL THEN concat_ws(' ', t2, t1, text) WHEN d3 IS NOT NULL THEN concat_ws(' ', t3, t2, t1, text) ELSE text END AS query FROM l""",
     "win10_titles": r"""SELECT conv_id, CASE WHEN length(t) > 40 THEN t[1:40] || '…' ELSE t END AS title FROM (SELECT conv_id, trim(replace(arg_min(text, turn), chr(10), ' ')) AS t FROM conversations WHERE role = 'user' GROUP BY conv_id)""",
     "win11_sticky_category": f"SELECT conv_id, arg_min(coalesce({_SQL_LANG}, '기타'), turn) AS category FROM conversations WHERE role = 'assistant' AND length(text) >= 200 GROUP BY conv_id",
-    "agg22_by_category": f"WITH {_HEADS} SELECT coalesce(category, '기타') AS category, count(*) AS n, list_sort(list(conv_id)) AS conv_ids FROM heads GROUP BY 1",
+    "agg22_by_category": f"WITH {_HEADS} SELECT coalesce(category, '기타') AS category, conv_id, count(*) OVER (PARTITION BY coalesce(category, '기타')) AS n FROM heads",
     "top11_newest_first": f"WITH {_HEADS} SELECT user_id, conv_id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, conv_id) AS place FROM heads",
 }
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as X
 from tidemill.operators import ingest as I
 from tidemill.plans.q_text import _REASON, _S, _SENT, _SQL_PAIRS, _pairs
-from tidemill.plans.tables import documents, pages
+from tidemill.plans.tables import documents, pages, scratch
 from tidemill.sources import adapters as A
+from tidemill.sources.stores import Store
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 
@@ -16,13 +17,13 @@ def _raw(s, d):
     p = _pairs(s, d)
     q, a = F.col("question"), F.col("answer")
     return p.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("idx"), q.alias("instruction"), F.when(F.col("turn") % 4 == 0, F.lit("<noinput>")).otherwise(F.substring(a, 1, 40)).alias("input"), a.alias("output"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("idx"), q.alias("instruction"), F.when(F.col("turn") % 4 == 0, F.lit("<noinput>")).otherwise(F.concat(q, F.lit(" / "), a)).alias("input"), a.alias("output"),
         q.alias("question"), a.alias("explanation"), F.lit("").alias("exam"), F.when(F.col("turn") % 4 == 0, F.col("conv_id")).alias("question_id"), F.element_at(F.array(F.lit("Cardiology"), F.lit("unknown"), F.lit(None)), (F.col("conv_id") % 3 + 1).cast("int")).alias("category"),
         F.lit(None).cast("string").alias("chief_complaint"), F.lit("book").alias("source"), q.alias("question_ko"), a.alias("answer_ko"), F.col("turn").alias("id"),
     )
 
 
-_RAW = f"""{_SQL_PAIRS}, raw AS (SELECT conv_id * 100 + turn AS idx, {_TRIM.format('question')} AS q, {_TRIM.format('answer')} AS a, CASE WHEN turn % 4 = 0 THEN '' ELSE {_TRIM.format('answer[1:40]')} END AS i, conv_id, turn FROM pairs)"""
+_RAW = f"""{_SQL_PAIRS}, raw AS (SELECT conv_id * 100 + turn AS idx, {_TRIM.format('question')} AS q, {_TRIM.format('answer')} AS a, CASE WHEN turn % 4 = 0 THEN '' ELSE {_TRIM.format("question || ' / ' || answer")} END AS i, conv_id, turn FROM pairs)"""
 _NAMES = ("the", "then", "der", "dans")
 
 
@@ -41,6 +42,15 @@ def _chunks(s, d):
 _CHUNKS = "chunks AS (SELECT doc_id, source, i - 1 AS chunk_index, l[i] AS chunk FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
 
+def _replaced(s, d):
+    """All documents' chunks, then new ones of every twentieth document, twice."""
+    store = Store(s, scratch(s, "replaced"))
+    store.write("b-9", {"chunks": _chunks(s, d).drop("source")})
+    again = documents(s, d).where("doc_id % 20 = 0").select("doc_id", F.lit(0).alias("chunk_index"))
+    store.replace_document("b-11", again.withColumn("chunk", F.lit("second")), "doc_id")
+    return store.replace_document("b-10", again.withColumn("chunk", F.lit("third")), "doc_id").select("doc_id", "chunk_index", "chunk")
+
+
 def _gate(s, d, part):
     return I.gate_chunks(_chunks(s, d), _chunks(s, d).where("doc_id % 10 = 0"), ["doc_id", "chunk_index"])[part]
 
@@ -64,7 +74,7 @@ QUERIES = {
     "adp4_instruct": lambda s, d: _fields(A.instruct(_raw(s, d), least=0.6)),
     "adp4_instruct_reasons": lambda s, d: A.instruct_reasons(_raw(s, d), ("All rights",)).groupBy("reason").agg(F.count("*").alias("n")),
     "adp5_dialogue": lambda s, d: A.dialogue(_raw(s, d), names=_NAMES).select("original_id", "content", "department", "metadata.generated_metadata"),
-    "adp6_government": lambda s, d: A.government(pages(s, d).select(F.col("page_id").alias("serial"), F.col("url").alias("title"), F.array(F.struct(F.lit("body").alias("name"), F.substring("html", 1, 50).alias("text"))).alias("sections"))).select("original_id", "content", "title"),
+    "adp6_government": lambda s, d: A.government(pages(s, d).select(F.col("page_id").alias("serial"), F.col("url").alias("title"), F.array(F.struct(F.lit("body").alias("name"), F.col("html").alias("text"))).alias("sections"))).select("original_id", "content", "title"),
     "adp7_registry": lambda s, d: A.adapter("consumer_qa")(_raw(s, d)).groupBy("source_type").agg(F.count("*").alias("n")),
     "adp8_document_metadata": lambda s, d: A.document_metadata(A.consumer_qa(_raw(s, d)), "(the|der)").select("original_id", "metadata.language", "metadata.reliability", "metadata.reliability_tier", "metadata.generated_metadata", "metadata.needs_review"),
     "adp9_upload_metadata": lambda s, d: A.upload_metadata(pages(s, d).select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("url"), F.concat(F.lit("page"), "page_id").alias("file_name"), F.col("html").alias("text")), "script").select("page_id", "source", "needs_review"),
@@ -79,14 +89,14 @@ QUERIES = {
     "set1_concatenate": lambda s, d: A.article(_raw(s, d)).unionByName(A.consumer_qa(_raw(s, d))).groupBy("source").agg(F.count("*").alias("n")),
     "set2_hash_union": lambda s, d: _records(s, d).where("idx < 600").select(X.content_hash(F.col("content")).alias("h")).union(_records(s, d).where("idx >= 300").select(X.content_hash(F.col("content")))).distinct(),
     "set3_existing_keys": lambda s, d: _records(s, d).where("idx < 600").select("document_key").intersect(_records(s, d).where("idx >= 300").select("document_key")),
-    "set4_ordered_unique": lambda s, d: documents(s, d).select("doc_id", F.array_distinct(F.slice(F.split("text", " "), 1, 30)).alias("words")),
+    "set4_ordered_unique": lambda s, d: documents(s, d).select("doc_id", F.array_distinct(F.split("text", " ")).alias("words")),
     "chk1_token_chunks": lambda s, d: I.chunk_documents(documents(s, d), "doc_id", "text", 80, 16),
     "chk1_chunk_counts": lambda s, d: I.chunk_documents(documents(s, d), "doc_id", "text", 10**9, 0).groupBy("id").agg(F.count("*").alias("n")),
     "chk2_character_chunks": lambda s, d: I.character_chunk_documents(documents(s, d), "doc_id", "text", 500, 50),
     "chk3_chunk_gate": lambda s, d: _gate(s, d, 0).select("doc_id", "chunk_index", "chunk"),
     "chk3_chunk_gate_counts": lambda s, d: _gate(s, d, 1),
     "chk4_chunk_metadata": lambda s, d: _chunks(s, d).select("doc_id", "chunk_index", "source"),
-    "snk4_replace_document": lambda s, d: _chunks(s, d).join(documents(s, d).where("doc_id < 50").select("doc_id"), "doc_id", "left_anti").select("doc_id", "chunk_index").unionByName(documents(s, d).where("doc_id < 50").select("doc_id", F.lit(0).alias("chunk_index"))),
+    "snk4_replace_document": _replaced,
     "snk8_dry_run": lambda s, d: I.report(I.ingest(_records(s, d))).join(I.split_existing(_records(s, d), _records(s, d).where("idx % 3 = 0"))[1].groupBy("source").agg(F.count("*").alias("would_skip")), "source"),
     "agg7_pipeline_report": lambda s, d: I.report(I.ingest(_records(s, d))),
 }
@@ -102,7 +112,7 @@ SQL = {
 CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS department, 2 AS source_tier FROM raw""",
     "adp3_consumer_qa": f"WITH {_RAW} SELECT turn::VARCHAR AS original_id, q || chr(10) || chr(10) || a AS content, q AS title, 3 AS source_tier FROM raw",
     "adp5_dialogue": f"WITH {_RAW}, r2 AS (SELECT idx, i, CASE WHEN turn % 4 = 0 THEN '<noinput>' ELSE i END AS q2, a FROM raw), r3 AS (SELECT *, {_DEPT_SQL} AS dep FROM r2) SELECT idx::VARCHAR AS original_id, q2 || chr(10) || chr(10) || a AS content, CASE WHEN dep IS NULL THEN []::VARCHAR[] ELSE [dep] END AS department, CASE WHEN dep IS NOT NULL THEN true END AS generated_metadata FROM r3",
-    "adp6_government": "SELECT page_id::VARCHAR AS original_id, '## body' || chr(10) || html[1:50] AS content, url AS title FROM pages",
+    "adp6_government": r"SELECT page_id::VARCHAR AS original_id, '## body' || chr(10) || regexp_replace(html, '^\s+|\s+$', '', 'g') AS content, url AS title FROM pages",
     "adp7_registry": f"WITH {_RAW} SELECT 'consumer_qa' AS source_type, count(*) AS n FROM raw",
     "adp8_document_metadata": f"WITH {_RAW} SELECT turn::VARCHAR AS original_id, 'ko' AS language, 'ai_generated_unverified' AS reliability, '확인 필요' AS reliability_tier, false AS generated_metadata, regexp_matches(q || chr(10) || chr(10) || a, '(the|der)') AS needs_review FROM raw",
     "adp9_upload_metadata": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'page' || page_id END AS source, contains(html, 'script') AS needs_review FROM pages",
@@ -116,12 +126,12 @@ CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS depar
     "set1_concatenate": f"WITH {_RAW} SELECT source, count(*) AS n FROM raw, (VALUES ('article'), ('consumer_qa')) v(source) GROUP BY source",
     "set2_hash_union": f"WITH {_RECORDS} SELECT DISTINCT sha256({_CONTENT}) AS h FROM records",
     "set3_existing_keys": f"WITH {_RECORDS} SELECT document_key FROM records WHERE idx >= 300 AND idx < 600",
-    "set4_ordered_unique": "SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]) AS words FROM (SELECT doc_id, string_split(text, ' ')[1:30] AS w FROM documents)",
+    "set4_ordered_unique": "SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]) AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
     "chk1_chunk_counts": r"SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n+')) AS b FROM documents) WHERE len(regexp_extract_all(b, '[가-힣a-zA-Z0-9]')) >= 2 GROUP BY doc_id",
     "chk3_chunk_gate": f"{_GATED} SELECT doc_id, chunk_index, chunk FROM kept",
     "chk3_chunk_gate_counts": f"{_GATED} SELECT (SELECT count(*) FROM chunks) AS total, (SELECT count(*) FROM chunks) - (SELECT count(*) FROM cleaned) AS rejected, (SELECT count(*) FROM cleaned) - (SELECT count(*) FROM kept) AS duplicate, (SELECT count(*) FROM kept) AS kept",
     "chk4_chunk_metadata": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, source FROM chunks",
-    "snk4_replace_document": f"WITH {_CHUNKS} SELECT doc_id, chunk_index FROM chunks WHERE doc_id >= 50 UNION ALL SELECT doc_id, 0 FROM documents WHERE doc_id < 50",
+    "snk4_replace_document": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk FROM chunks WHERE doc_id % 20 > 0 UNION ALL SELECT doc_id, 0, 'third' FROM documents WHERE doc_id % 20 = 0",
     "snk8_dry_run": f"{_INGEST} SELECT *, (SELECT count(*) FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source) AS would_skip FROM ({_REPORT}) x WHERE EXISTS (SELECT 1 FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source)",
     "agg7_pipeline_report": f"{_INGEST} {_REPORT}",
 }

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
+from tidemill.operators import consultation as C
 from tidemill.operators import embedding as E
 from tidemill.operators import evaluation as V
 from tidemill.operators import retrieval as R
@@ -192,11 +193,9 @@ def _votes(s, d):
 
 
 def _block(s, d):
-    """AGG21: a reference block of each source's first five chunks, each cut at 80 characters."""
-    w = R.Window.partitionBy("source").orderBy("chunk_id")
-    five = _chunks(s, d).where(X.strip(F.col("chunk")) != "").withColumn("n", F.row_number().over(w)).where("n <= 5")
-    line = F.concat(F.lit("["), F.col("n"), F.lit("] "), F.when(F.length("chunk") > 80, F.concat(F.substring("chunk", 1, 80), F.lit("…"))).otherwise(F.col("chunk")))
-    return five.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n").alias("block"))
+    """Each source's first five chunks, some with a tier and departments."""
+    tier = F.when(F.col("doc_id") % 3 == 0, "높음").when(F.col("doc_id") % 3 == 1, "낮음")
+    return C.reference_block(_chunks(s, d).withColumns({"tier": tier, "departments": F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("d1"), F.lit("d2")))}), "source", "chunk_id", origin="source")
 
 
 _LEX = {"en": ("the", "and", "with"), "de": ("der", "und", "nicht"), "fr": ("les", "dans")}
@@ -238,7 +237,7 @@ QUERIES = {
     "emb2_provider_embedding": lambda s, d: E.embed(documents(s, d).select(F.col("doc_id").alias("id"), "text"), lambda: E.HashingProvider("hashing", 64)),
     "emb3_multi_provider": lambda s, d: E.embed_all(benchmark(s, d).select(F.col("item_id").alias("id"), "text"), {"h64": (lambda: E.HashingProvider("h64", 64), 64), "h128": (lambda: E.HashingProvider("h128", 128), 128)}).groupBy("provider", "problem").agg(F.count("*").alias("n")),
     "emb4_model_comparison": lambda s, d: V.retrieval_metrics(_evaluation(s, d, {k: v for k, v in _configs(s, d).items() if k != "rrf"}), (1, 5)).withColumn("dimension", F.lit(32)),
-    "evl1_evaluation_set": lambda s, d: V.evaluation_set(benchmark(s, d).select(F.col("item_id").alias("id"), "text", F.substring("text", 1, 20).alias("complaint"), F.substring("text", 21, 20).alias("question")), "text", ["complaint", "question"])[1],
+    "evl1_evaluation_set": lambda s, d: V.evaluation_set(benchmark(s, d).select(F.col("item_id").alias("id"), "text", F.substring_index("text", " ", 1).alias("complaint"), F.expr("substring(text, length(substring_index(text, ' ', 1)) + 2)").alias("question")), "text", ["complaint", "question"])[1],
     "evl2_retrieval_evaluation": _evl2,
     "flt14_searchable": _searchable,
 }
@@ -266,13 +265,15 @@ SQL = {
 SELECT m.*, failed FROM ({_metrics((1, 5, 10)).replace("FROM ranks", "FROM known")}) m JOIN lost USING (config)""",
     "agg17_department_vote": f"""WITH t AS ({_TOP5}), c AS (SELECT query_id, 'd' || label % 3 AS department, count(*) AS n, min(rank) AS first FROM t JOIN embeddings ON vec_id = id GROUP BY ALL)
 SELECT query_id, department, CASE WHEN n >= 2 THEN '높음' ELSE '중간' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""",
-    "agg21_reference_block": f"""WITH {_CHUNKS} SELECT source, string_agg('[' || n || '] ' || CASE WHEN length(chunk) > 80 THEN chunk[1:80] || '…' ELSE chunk END, chr(10) ORDER BY n) AS block
-FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS n FROM chunks WHERE trim(chunk) <> '') WHERE n <= 5 GROUP BY source""",
+    "agg21_reference_block": f"""WITH {_CHUNKS}, cut AS (SELECT *, regexp_replace(chunk, '^\\s+|\\s+$', '', 'g') AS c FROM chunks)
+SELECT source, '[참고 의료 정보]' || string_agg(chr(10) || chr(10) || '[문서 ' || n || ']' || chr(10) || '출처: ' || source || CASE doc_id % 3 WHEN 0 THEN ' (신뢰도: 높음)' WHEN 1 THEN ' (신뢰도: 낮음)' ELSE '' END
+|| CASE WHEN doc_id % 2 = 0 THEN chr(10) || '관련 진료과: d1, d2' ELSE '' END || chr(10) || CASE WHEN length(c) > 800 THEN regexp_replace(c[1:800], '\\s+$', '') || '…' ELSE c END, '' ORDER BY n) AS block
+FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS n FROM cut WHERE c <> '') WHERE n <= 5 GROUP BY source""",
     "emb1_hashing_terms": _TERMS,
     "emb1_hashing_embedding": "SELECT item_id AS id, 64 AS width, 1.0::DOUBLE AS norm FROM benchmark",
     "emb3_multi_provider": "SELECT provider, NULL::VARCHAR AS problem, count(*) AS n FROM benchmark, (VALUES ('h64'), ('h128')) p(provider) GROUP BY provider",
     "emb4_model_comparison": f"{_RANKS} SELECT *, 32 AS dimension FROM ({_metrics((1, 5))}) WHERE config <> 'rrf'",
-    "evl1_evaluation_set": "SELECT item_id AS query_id, trim(text[1:20] || ' ' || text[21:40]) AS text, item_id AS relevant_id FROM benchmark",
+    "evl1_evaluation_set": "SELECT item_id AS query_id, trim(text) AS text, item_id AS relevant_id FROM benchmark",
     "evl2_retrieval_evaluation": _EVL2,
     "flt14_searchable": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'completed' ELSE 'dataset_import' END AS status FROM documents WHERE doc_id % 3 < 2",
 }

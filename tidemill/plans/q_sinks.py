@@ -34,7 +34,7 @@ def _records_of(kind):
 
 def _truth(s, d):
     b = benchmark(s, d)
-    return L.ground_truth(b.select(F.col("item_id").alias("idx"), F.when(F.col("item_id") % 2 == 0, F.substring("text", 1, 20)).alias("query"), F.when(F.col("item_id") % 7 > 0, F.col("text")).alias("ground_truth")))
+    return L.ground_truth(b.select(F.col("item_id").alias("idx"), F.when(F.col("item_id") % 2 == 0, F.col("text")).alias("query"), F.when(F.col("item_id") % 7 > 0, F.col("text")).alias("ground_truth")))
 
 
 def _decoded(s, d):
@@ -110,7 +110,7 @@ QUERIES = {
     "src2_read_parquet": _records_of("parquet"),
     "src2_read_jsonl_root": _records_of("jsonl"),
     "src3_ground_truth": _truth,
-    "src4_labelled_text": lambda s, d: L.ground_truth_text(benchmark(s, d).where("item_id < 1").select(F.concat(F.lit("question: q\nanswer: "), F.regexp_replace("text", "\n", " "), F.lit("\nmore\n---\nanswer: b")).alias("value"))).select("idx", "question", "expected_answer"),
+    "src4_labelled_text": lambda s, d: L.ground_truth_text(benchmark(s, d).select(F.concat(F.lit("question: q\nanswer: "), F.regexp_replace("text", "\n", " "), F.lit("\nmore\n---\nanswer: b")).alias("value"))).select("idx", "question", "expected_answer"),
     "src5_decoded_files": _decoded,
     "src7_xml_pages": _xml,
     "snk1_stage_writers": _stages,
@@ -129,8 +129,8 @@ SQL = {
     "src2_read_csv": "SELECT conv_id, turn, role FROM conversations",
     "src2_read_parquet": "SELECT conv_id, turn, role FROM conversations",
     "src2_read_jsonl_root": "SELECT conv_id, turn, role FROM conversations",
-    "src3_ground_truth": "SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN trim(text[1:20]) ELSE '항목 ' || item_id END AS question, CASE WHEN item_id % 7 > 0 THEN text ELSE '' END AS expected_answer, CASE WHEN item_id % 7 = 0 THEN 'empty_answer' END AS error FROM benchmark",
-    "src4_labelled_text": "SELECT 1 AS idx, 'q' AS question, replace(text, chr(10), ' ') || chr(10) || 'more' AS expected_answer FROM benchmark WHERE item_id < 1 UNION ALL SELECT 2, '항목 2', 'b' FROM benchmark WHERE item_id < 1",
+    "src3_ground_truth": "SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN trim(text) ELSE '항목 ' || item_id END AS question, CASE WHEN item_id % 7 > 0 THEN text ELSE '' END AS expected_answer, CASE WHEN item_id % 7 = 0 THEN 'empty_answer' END AS error FROM benchmark",
+    "src4_labelled_text": "SELECT 1 AS idx, 'q' AS question, replace(text, chr(10), ' ') || chr(10) || 'more' AS expected_answer FROM benchmark UNION ALL SELECT 2, '항목 2', 'b' FROM benchmark",
     "src5_decoded_files": "SELECT text FROM benchmark",
     "src7_xml_pages": "SELECT page_id AS serial, url AS title, 1 AS n, 'page ' || page_id AS text FROM pages",
     "snk2_store": f"SELECT {_KEY} AS document_key, doc_id AS idx, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE doc_id % 3 < 2",

@@ -1,12 +1,14 @@
 """Sinks: stage outputs, the document, chunk and embedding store with atomic publication, the committed-hash index.
 
-A store is a folder with Parquet tables `documents`, `chunks`, `embeddings` (by provider), each partitioned by batch, and a `batches`
-table of one row a state change. Readers see the rows of batches whose last state is completed; nothing is visible before that row
-is written, and that write is one job's commit.
+A store is a folder with Parquet tables `documents`, `chunks`, `embeddings` (by provider), each partitioned by batch and attempt, and a
+`batches` table of one row a state change, which names the attempt. Readers see the rows of the attempt whose completion is its batch's
+last state; nothing is visible before that row is written, and that write is one job's commit. A batch may be written again under its
+name, after a failure too: what an earlier attempt has left is never seen.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from py4j.protocol import Py4JJavaError
@@ -17,7 +19,7 @@ from pyspark.errors import AnalysisException, PySparkException
 from tidemill.functions import text as X
 
 TABLES = ("documents", "chunks", "embeddings")
-STATES = "batch string, state string, at timestamp, note string"
+STATES = "batch string, attempt string, state string, at timestamp, note string"
 
 
 def write_stages(stages: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
@@ -30,9 +32,9 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _mark(self, batch: str, state: str, note: str | None = None) -> None:
-        row = self.spark.createDataFrame([(batch, state, note)], "batch string, state string, note string").withColumn("at", F.current_timestamp())
-        row.select("batch", "state", "at", "note").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+    def _mark(self, batch: str, attempt: str, state: str, note: str | None = None) -> None:
+        row = self.spark.createDataFrame([(batch, attempt, state, note)], "batch string, attempt string, state string, note string").withColumn("at", F.current_timestamp())
+        row.select("batch", "attempt", "state", "at", "note").coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
 
     def _read(self, table: str, schema: str | None = None) -> DataFrame | None:
         try:
@@ -47,27 +49,28 @@ class Store:
         found = self._read("batches", STATES)
         if found is None:
             return self.spark.createDataFrame([], STATES)
-        return found.groupBy("batch").agg(F.max_by(F.struct("state", "note"), F.struct("at", F.col("state") != "processing")).alias("s")).select("batch", "s.*")
+        return found.groupBy("batch").agg(F.max_by(F.struct("attempt", "state", "at", "note"), F.struct("at", F.col("state") != "processing")).alias("s")).select("batch", "s.*")
 
     def write(self, batch: str, tables: dict[str, DataFrame]) -> None:
         """Stages all tables of a batch, then publishes it; an error leaves the batch aborted and invisible, and is raised."""
-        self._mark(batch, "processing")
+        attempt = uuid.uuid4().hex
+        self._mark(batch, attempt, "processing")
         try:
             for name, df in tables.items():
-                by = ["batch", "provider"] if name == "embeddings" else ["batch"]
-                df.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy(*by).parquet(f"{self.path}/{name}")
+                by = ["batch", "attempt", *(["provider"] if name == "embeddings" else [])]
+                df.withColumns({"batch": F.lit(batch), "attempt": F.lit(attempt)}).write.mode("append").partitionBy(*by).parquet(f"{self.path}/{name}")
         except Exception as e:
-            self._mark(batch, "aborted", str(e)[:500])
+            self._mark(batch, attempt, "aborted", str(e)[:500])
             raise
-        self._mark(batch, "completed")
+        self._mark(batch, attempt, "completed")
 
     def visible(self, table: str) -> DataFrame | None:
-        """The rows of completed batches; the batch list is a handful of rows, and prunes partitions."""
+        """The rows of completed batches, by a join with their states that prunes partitions."""
         df = self._read(table)
         if df is None:
             return None
-        done = [r["batch"] for r in self.states().where("state = 'completed'").collect()]
-        return df.where(F.col("batch").cast("string").isin(done))
+        df = df.withColumns({c: F.col(c).cast("string") for c in ("batch", "attempt")})
+        return df.join(self.states().where("state = 'completed'"), ["batch", "attempt"], "left_semi").drop("attempt")
 
     def write_batches(self, batches: Iterable[tuple[str, Callable[[], dict[str, DataFrame]]]], keys: Callable[[str], DataFrame]) -> None:
         """Batches one by one: those that fail leave their documents' keys in `errors`, and later ones go on."""
@@ -78,10 +81,12 @@ class Store:
                 keys(batch).select(F.col("document_key"), F.lit(batch).alias("batch"), F.lit(str(e)[:500]).alias("error")).write.mode("append").parquet(f"{self.path}/errors")
 
     def replace_document(self, batch: str, chunks: DataFrame, key: str = "document_key") -> DataFrame:
-        """Writes a document's new chunks as a batch; what readers then see of the document is its newest batch."""
+        """Writes documents' new chunks as a batch, and gives what readers then see: of each document the chunks of the batch that was
+        completed last, whatever batches are called. Documents that no later batch holds keep theirs."""
         self.write(batch, {"chunks": chunks})
         seen = self.visible("chunks")
-        newest = seen.groupBy(key).agg(F.max("batch").alias("batch"))
+        dated = seen.select(key, "batch").distinct().join(self.states().select("batch", "at"), "batch")
+        newest = dated.groupBy(key).agg(F.max_by("batch", F.struct("at", "batch")).alias("batch"))
         return seen.join(newest, [key, "batch"], "left_semi")
 
 

@@ -16,7 +16,7 @@ from tidemill.sources.stores import HashIndex, Store
 
 def ingest_stream(stream: DataFrame, store: Store, index: HashIndex, checkpoint: str, most_tokens: int = ingest.MAX_TOKENS, overlap: int = ingest.OVERLAP_TOKENS) -> StreamingQuery:
     """Rows (document_key, content, source, priority, idx) cleaned, deduplicated against the index and stored documents, chunked and
-    published batch by batch. A batch that is run again after a failure finds its documents stored, or isn't visible and is written anew.
+    published batch by batch. A batch that is run again after a failure is written anew, or, if it had been completed, only adds its hashes to the index.
     """
 
     def each(batch: DataFrame, number: int) -> None:
@@ -25,8 +25,11 @@ def ingest_stream(stream: DataFrame, store: Store, index: HashIndex, checkpoint:
         kept = ingest.unseen(ingest.ingest(fresh).where("status = 'kept'"), index.read()).select("document_key", "source", "cleaned", "content_hash").persist()
         try:
             chunks = ingest.chunk_documents(kept, "document_key", "cleaned", most_tokens, overlap).withColumnRenamed("id", "document_key")
-            store.write(f"stream-{number}", {"documents": kept, "chunks": chunks})
-            index.append(kept)
+            name = f"stream-{number}"
+            if store.states().where((F.col("batch") == name) & (F.col("state") == "completed")).isEmpty():
+                store.write(name, {"documents": kept, "chunks": chunks})
+            # from what is stored: the plan of `kept` reads the store and would now find its documents there
+            index.append(store.visible("documents").where(F.col("batch") == name))
         finally:
             kept.unpersist()
 
