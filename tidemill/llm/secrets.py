@@ -128,7 +128,8 @@ def ratio(value: Column, model: list[float]) -> Column:
 def scan(docs: DataFrame, model: list[float], text: str = "text", least_ratio: float = LEAST_RATIO, into: str = "_secret_spans") -> DataFrame:
     """docs with `into`: base spans and those that the models add, by start and then kind. Added spans overlap no base span.
 
-    Null and empty texts have none. One pass over whole texts, no shuffle, no Python; other columns pass through.
+    Null and empty texts have none; spans that start together stand in the order of kinds; rows that repeat each get theirs; an empty
+    table gives an empty one. One pass over whole texts, no shuffle, no Python; other columns pass through.
     """
     t = _texts(docs, text)
     based = base_spans(docs, text, "_secret_base")
