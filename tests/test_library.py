@@ -5,6 +5,7 @@ import math
 import zipfile
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
@@ -157,6 +158,10 @@ def test_pipeline_counts_and_observers(spark):
     out = ingest.ingest(df, observers={k: (lambda d, k=k: seen.__setitem__(k, d.count())) for k in ("raw", "processed", "duplicate", "record")})
     r = ingest.report(out).first()
     assert (r.raw, r.after_clean, r.duplicate, r.after_dedup) == (4, 3, 1, 2) and seen == {"raw": 4, "processed": 3, "duplicate": 1, "record": 2}
+    observation = Observation("stages")
+    assert ingest.observed(ingest.ingest(df), observation).count() == 4 and observation.get == seen
+    more = ingest.report(out, skipped=df.limit(1), failed=df.limit(0)).first()
+    assert (more.skipped, more.failed) == (1, 0)
 
 
 def test_store_publishes_whole_batches(spark, tmp_path):

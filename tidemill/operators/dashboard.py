@@ -28,14 +28,18 @@ def _rate(part, whole):
     return F.round(part / F.nullif(whole, F.lit(0)), 6)
 
 
-def kpis(log: DataFrame, today: str) -> DataFrame:
-    """One row for today: total, rag_hits, fallbacks, emergencies, users, their rates (null without rows), mean response time."""
+def kpis(log: DataFrame, today: str, documents: DataFrame | None = None, chunks: DataFrame | None = None) -> DataFrame:
+    """One row for today: total, rag_hits, fallbacks, emergencies, users, their rates (null without rows), mean response time; with a
+    store's documents and chunks also how many it holds."""
     own = window_of(log, today, 1)
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     one = own.agg(
         F.count("*").alias("total"), count(F.col("rag_hit_count") > 0).alias("rag_hits"), count(F.col("is_fallback")).alias("fallbacks"), count(F.col("is_emergency")).alias("emergencies"),
         F.countDistinct("user_id").alias("users"), F.round(F.avg("response_time_ms"), 6).alias("avg_response_ms"),
     )
+    for name, held in (("documents", documents), ("chunks", chunks)):
+        if held is not None:
+            one = one.crossJoin(held.agg(F.count("*").alias(name)))  # one row and one row
     return one.withColumns({"rag_hit_rate": _rate(F.col("rag_hits"), F.col("total")), "fallback_rate": _rate(F.col("fallbacks"), F.col("total"))})
 
 

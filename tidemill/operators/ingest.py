@@ -6,7 +6,7 @@ import re
 from bisect import bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
@@ -81,13 +81,25 @@ def ingest(records: DataFrame, priority: str = "priority", order: str = "idx", o
     return out
 
 
-def report(ingested: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+def observed(ingested: DataFrame, observation: Observation) -> DataFrame:
+    """What `ingest` gives, with its stages' counts (raw, processed, duplicate, record) put into `observation` by whichever job first
+    reads it: no job of their own."""
+    status = F.col("status")
+    return ingested.observe(
+        observation, F.count(F.lit(1)).alias("raw"), F.count_if(F.col("reason").isNull()).alias("processed"), F.count_if(status == "duplicate").alias("duplicate"), F.count_if(status == "kept").alias("record")
+    )
+
+
+def report(ingested: DataFrame, chunks: DataFrame | None = None, skipped: DataFrame | None = None, failed: DataFrame | None = None) -> DataFrame:
+    """Counts by source of what `ingest` gives and, where they are passed, of its chunks, of the records `skipped` as already stored
+    and of those whose batch `failed`: each with a source, grouped before it is joined."""
     counted = ingested.groupBy("source").agg(
         F.count("*").alias("raw"), F.count_if(F.col("reason").isNull()).alias("after_clean"), F.count_if(F.col("status") == "duplicate").alias("duplicate"), F.count_if(F.col("status") == "kept").alias("after_dedup"),
     )
-    if chunks is None:
-        return counted
-    return counted.join(chunks.groupBy("source").agg(F.count("*").alias("chunks")), "source", "left").fillna(0, ["chunks"])
+    for name, more in (("chunks", chunks), ("skipped", skipped), ("failed", failed)):
+        if more is not None:
+            counted = counted.join(more.groupBy("source").agg(F.count("*").alias(name)), "source", "left").fillna(0, [name])
+    return counted
 
 
 class Words:

@@ -1,8 +1,9 @@
 """AGG1-AGG6, AGG18, STR5 over events as consultation logs."""
 
+from pyspark.sql import functions as F
 
 from tidemill.operators import dashboard as D
-from tidemill.plans.tables import SQL_LOG, TODAY, events, log
+from tidemill.plans.tables import SQL_LOG, TODAY, documents, events, log
 
 
 def _window(days: int) -> str:
@@ -30,7 +31,7 @@ _MODELS = f"""SELECT model_id, count(*) AS total, sum(CASE WHEN is_fallback THEN
 FROM log WHERE {_window(14)} AND model_id IS NOT NULL GROUP BY model_id"""
 
 QUERIES = {
-    "agg1_kpis": lambda s, d: D.kpis(log(s, d), TODAY),
+    "agg1_kpis": lambda s, d: D.kpis(log(s, d), TODAY, documents(s, d), documents(s, d).select(F.explode(F.split("text", "\n")).alias("chunk"))),
     "agg1_kpis_no_rows": lambda s, d: D.kpis(log(s, d), "2025-06-01"),
     "agg2_daily": lambda s, d: D.daily(log(s, d), TODAY).select("day", "total"),
     "agg3_daily_emergency": lambda s, d: D.daily(log(s, d), TODAY, 30),
@@ -42,7 +43,7 @@ QUERIES = {
 }
 
 SQL = {
-    "agg1_kpis": f"WITH {SQL_LOG} {_KPIS}",
+    "agg1_kpis": f"WITH {SQL_LOG}, k AS ({_KPIS}) SELECT *, (SELECT count(*) FROM documents) AS documents, (SELECT sum(len(string_split(text, chr(10)))) FROM documents)::BIGINT AS chunks FROM k",
     "agg1_kpis_no_rows": f"WITH {SQL_LOG} {_KPIS}".replace(TODAY, "2025-06-01"),
     "agg2_daily": f"WITH {SQL_LOG} SELECT day, total FROM ({_daily(14)})",
     "agg3_daily_emergency": f"WITH {SQL_LOG} {_daily(30)}",

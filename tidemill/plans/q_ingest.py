@@ -51,6 +51,12 @@ def _replaced(s, d):
     return store.replace_document("b-10", again.withColumn("chunk", F.lit("third")), "doc_id").select("doc_id", "chunk_index", "chunk")
 
 
+def _report(s, d):
+    """Every third record is stored already, every seventh's batch has failed."""
+    r = _records(s, d)
+    return I.report(I.ingest(r), _chunks(s, d), I.split_existing(r, r.where("idx % 3 = 0"))[1], r.where("idx % 7 = 0"))
+
+
 def _gate(s, d, part):
     return I.gate_chunks(_chunks(s, d), _chunks(s, d).where("doc_id % 10 = 0"), ["doc_id", "chunk_index"])[part]
 
@@ -98,7 +104,7 @@ QUERIES = {
     "chk4_chunk_metadata": lambda s, d: _chunks(s, d).select("doc_id", "chunk_index", "source"),
     "snk4_replace_document": _replaced,
     "snk8_dry_run": lambda s, d: I.report(I.ingest(_records(s, d))).join(I.split_existing(_records(s, d), _records(s, d).where("idx % 3 = 0"))[1].groupBy("source").agg(F.count("*").alias("would_skip")), "source"),
-    "agg7_pipeline_report": lambda s, d: I.report(I.ingest(_records(s, d))),
+    "agg7_pipeline_report": _report,
 }
 
 _CONTENT = _TRIM.format("content")
@@ -133,6 +139,7 @@ CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS depar
     "chk4_chunk_metadata": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, source FROM chunks",
     "snk4_replace_document": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk FROM chunks WHERE doc_id % 20 > 0 UNION ALL SELECT doc_id, 0, 'third' FROM documents WHERE doc_id % 20 = 0",
     "snk8_dry_run": f"{_INGEST} SELECT *, (SELECT count(*) FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source) AS would_skip FROM ({_REPORT}) x WHERE EXISTS (SELECT 1 FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source)",
-    "agg7_pipeline_report": f"{_INGEST} {_REPORT}",
+    "agg7_pipeline_report": f"""{_INGEST}, lines AS ({_CHUNKS[len('chunks AS ('):-1]}) SELECT r.*, (SELECT count(*) FROM lines l WHERE l.source = r.source) AS chunks,
+(SELECT count(*) FROM records k WHERE k.source = r.source AND k.idx % 3 = 0) AS skipped, (SELECT count(*) FROM records k WHERE k.source = r.source AND k.idx % 7 = 0) AS failed FROM ({_REPORT}) r""",
 }
 

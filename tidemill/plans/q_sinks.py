@@ -1,11 +1,12 @@
 """SRC1, SRC2, SRC3, SRC5, SRC7, SNK1-SNK3, SNK5-SNK7, HOOK1: what is written is read back."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.operators import ingest as I
 from tidemill.operators import sft as S
-from tidemill.plans.q_ingest import _records
+from tidemill.plans.q_ingest import _INGEST, _REPORT, _records
 from tidemill.plans.q_sft import _typed
 from tidemill.plans.tables import benchmark, conversations, documents, pages, scratch
 from tidemill.sources import files as L
@@ -98,10 +99,11 @@ def _sft_outputs(s, d):
 
 
 def _hooks(s, d):
-    """Observers count what they see, through observations of one pass each, and don't change the result."""
-    seen = {}
-    I.ingest(_records(s, d), observers={k: (lambda df, k=k: seen.__setitem__(k, df.count())) for k in ("raw", "processed", "duplicate", "record")})
-    return s.createDataFrame(list(seen.items()), "stage string, n long")
+    """The stages' counts, observed by the job that writes the records."""
+    seen, path = Observation("stages"), scratch(s, "observed")
+    I.observed(I.ingest(_records(s, d)), seen).select("idx", "status").write.parquet(path)
+    stages = s.createDataFrame(list(seen.get.items()), "stage string, n long")
+    return stages.withColumn("written", F.lit(s.read.parquet(path).count()).cast("long"))
 
 
 QUERIES = {
@@ -133,6 +135,8 @@ SQL = {
     "src4_labelled_text": "SELECT 1 AS idx, 'q' AS question, replace(text, chr(10), ' ') || chr(10) || 'more' AS expected_answer FROM benchmark UNION ALL SELECT 2, '항목 2', 'b' FROM benchmark",
     "src5_decoded_files": "SELECT text FROM benchmark",
     "src7_xml_pages": "SELECT page_id AS serial, url AS title, 1 AS n, 'page ' || page_id AS text FROM pages",
+    "hook1_observers": f"""{_INGEST}, r AS ({_REPORT}) SELECT stage, n::BIGINT AS n, (SELECT count(*) FROM documents) AS written
+FROM (SELECT 'raw' AS stage, sum(raw) AS n FROM r UNION ALL SELECT 'processed', sum(after_clean) FROM r UNION ALL SELECT 'duplicate', sum(duplicate) FROM r UNION ALL SELECT 'record', sum(after_dedup) FROM r)""",
     "snk2_store": f"SELECT {_KEY} AS document_key, doc_id AS idx, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE doc_id % 3 < 2",
     "snk3_staged_publish": f"SELECT {_KEY} AS document_key FROM documents WHERE doc_id % 3 < 2",
     "snk5_hash_index": f"SELECT DISTINCT sha256({_TRIM}) AS content_hash FROM documents",
