@@ -69,13 +69,14 @@ def ingest(records: DataFrame, priority: str = "priority", order: str = "idx", o
     One pass of gates, a grouped minimum by hash and a join on hash and place; `order` names each record once. observers: {stage: function of a DataFrame} are called with raw, processed,
     duplicate and record rows; they cannot change the result.
     """
-    stripped = records.withColumn("_stripped", X.strip(F.col("content"))).withColumn("reason", X.reject_reason(F.col("_stripped")))
-    judged = stripped.withColumn("cleaned", F.when(F.col("reason").isNull(), F.col("_stripped"))).drop("_stripped")
-    hashed = judged.withColumn("content_hash", F.when(F.col("reason").isNull(), F.sha2("cleaned", 256)).otherwise(F.concat(F.lit("-"), F.col(order).cast("string"))))
-    first = hashed.where("reason IS NULL").groupBy("content_hash").agg(F.min(F.struct(priority, order)).alias("_place")).withColumn("_first", F.lit(True))
-    placed = hashed.withColumn("_place", F.struct(priority, order)).join(first, ["content_hash", "_place"], "left")
+    stripped = records.withColumn("_stripped", X.strip(F.col("content"))).withColumns({"_key": F.sha2("_stripped", 256), "_place": F.struct(priority, order)})
+    # a content is rejected or not wherever it stands, so its first record is found without asking the gates
+    first = stripped.groupBy("_key").agg(F.min("_place").alias("_place")).withColumn("_first", F.lit(True))
+    placed = stripped.join(first, ["_key", "_place"], "left").withColumn("reason", X.reject_reason(F.col("_stripped")))
+    kept = F.col("reason").isNull()
+    placed = placed.withColumns({"cleaned": F.when(kept, F.col("_stripped")), "content_hash": F.when(kept, F.col("_key")).otherwise(F.concat(F.lit("-"), F.col(order).cast("string")))})
     status = F.when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("_first"), "kept").otherwise("duplicate")
-    out = placed.withColumn("status", status).select(*[F.col(f"`{c}`") for c in (*hashed.columns, "status")])
+    out = placed.withColumn("status", status).select(*[F.col(f"`{c}`") for c in (*records.columns, "reason", "cleaned", "content_hash", "status")])
     for stage, see in (observers or {}).items():
         see({"raw": records, "processed": out.where("reason IS NULL"), "duplicate": out.where("status = 'duplicate'"), "record": out.where("status = 'kept'")}[stage])
     return out
