@@ -22,7 +22,9 @@ WORD[48:58] = WORD[97:123] = WORD[128:] = True
 SLICE_BYTES = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15
-_powers_of: list[np.ndarray] = []
+#: Another base, for hashes that are independent of the first.
+OTHER_BASE = 0xD6E8FEB86659FD93
+_powers_of: dict[int, list[np.ndarray]] = {}
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -52,12 +54,13 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _powers_of or len(_powers_of[0]) < n:
+def _powers(n: int, base: int = _BASE) -> list[np.ndarray]:
+    """n powers at least of the base and of its inverse, modulo 2^64."""
+    if base not in _powers_of or len(_powers_of[base][0]) < n:
         size = max(n, SLICE_BYTES + 1)
         with np.errstate(over="ignore"):
-            _powers_of[:] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64))) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64)))]
-    return _powers_of
+            _powers_of[base] = [np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, b, np.uint64), dtype=np.uint64))) for b in (np.uint64(base), np.uint64(pow(base, -1, 1 << 64)))]
+    return _powers_of[base]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,17 +71,17 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = _BASE) -> np.ndarray:
     """A 64-bit hash of each span's bytes, the same wherever the span stands. Spans are in order and apart; SLICE_BYTES of them are
     worked on at once, so that a long text takes no more memory than a short one."""
-    p, q = _powers(SLICE_BYTES + 1)
+    p, q = _powers(SLICE_BYTES + 1, base)
     out, i = np.empty(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
         while i < len(starts):
             low = starts[i]
             j = int(np.searchsorted(ends, low + SLICE_BYTES, "right"))
             if j <= i:
-                out[i], j = _long_hash(data[low : ends[i]]), i + 1
+                out[i], j = _long_hash(data[low : ends[i]], base), i + 1
             else:
                 s = np.zeros(ends[j - 1] - low + 1, np.uint64)
                 np.cumsum((data[low : ends[j - 1]] + np.uint64(1)) * p[: len(s) - 1], out=s[1:])
@@ -88,16 +91,32 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed(out)
 
 
-def _long_hash(data: np.ndarray) -> np.uint64:
+def _long_hash(data: np.ndarray, base: int = _BASE) -> np.uint64:
     """What span_hashes mixes, of one span above SLICE_BYTES."""
-    p, total, power = _powers(SLICE_BYTES + 1)[0], 0, 1
+    p, total, power = _powers(SLICE_BYTES + 1, base)[0], 0, 1
     for i in range(0, len(data), SLICE_BYTES):
         part = data[i : i + SLICE_BYTES]
         total += power * int(((part + np.uint64(1)) * p[: len(part)]).sum(dtype=np.uint64))
-        power = power * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+        power = power * pow(base, len(part), 1 << 64) % (1 << 64)
     return np.uint64(total % (1 << 64))
 
 
+class Prefixes:
+    """Prefix polynomials of a row of hashes modulo 2^64: the fingerprint of any run of them is one difference (Rabin-Karp)."""
+
+    def __init__(self, h: np.ndarray, base: int = _BASE):
+        p, self._inverse = _powers(len(h) + 1, base)
+        self._sums = np.zeros(len(h) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(h * p[: len(h)], out=self._sums[1:])
+
+    def of(self, n: int) -> np.ndarray:
+        """Fingerprints of the runs of n hashes, by their first; none where there are fewer."""
+        m = max(0, len(self._sums) - n)
+        with np.errstate(over="ignore"):
+            return (self._sums[n:] - self._sums[:m]) * self._inverse[:m]
+
+
 def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n hashes, by its first; len(h) - n + 1 of them, none for fewer."""
     if len(h) < n:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, decontam, mixing, packing, quality_rules, secrets, shards, simhash, warc
+from . import chat, classifier, collocations, decontam, mixing, packing, quality_rules, secrets, shards, simhash, warc
 
 
 def _table(name: str):
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": lambda s, d: chat.report(conversations(s, d)),
     "op9_secrets": lambda s, d: secrets.report(documents(s, d)),
     "op10_quality_rules": lambda s, d: quality_rules.report(documents(s, d)),
+    "op11_collocations": lambda s, d: collocations.report(documents(s, d)),
     "pipeline": _pipeline,
 }
 
@@ -52,6 +53,14 @@ sizes AS (SELECT DISTINCT n FROM iw), dw AS (SELECT doc_id, k, n, array_to_strin
 m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n), hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY 1),
 items AS (SELECT doc_id, list_sort(list(DISTINCT item_id::VARCHAR)) AS l FROM m GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(l), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(l, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_collocations": rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOW.format("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t), totals AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS k FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, unnest(range(1, 6)) AS s(m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m >= 2), held AS (SELECT lang, phrase, max(k) AS longer FROM (SELECT lang, k, array_to_string(w[i:i + z - 1], ' ') AS phrase FROM (SELECT lang, k, w, z, unnest(range(1, m - z + 2)) AS i FROM c, unnest(range(2, 5)) AS s(z) WHERE z < m)) GROUP BY ALL),
+cuts AS (SELECT c.lang, c.phrase, c.k AS a, j, l.k AS l, r.k AS r, n, (1000::HUGEINT * c.k * n) // (l.k::HUGEINT * r.k) AS score FROM (SELECT *, unnest(range(1, m)) AS j FROM c LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * k) c
+JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM lowest QUALIFY rank <= 2000""",
     "op8_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, 23 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')} AS n, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS of FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM t)
