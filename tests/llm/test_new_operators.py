@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemill.llm import collocations
+from tidemill.llm import collocations, negatives, topk
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -67,3 +67,100 @@ def test_phrase_scores_beyond_64_bits(spark):
     big = 10**15
     found = spark.createDataFrame([("en", 0, "", 7 * big), ("en", 1, "a", big + 1), ("en", 1, "b", big + 3), ("en", 2, "a b", big)], "lang string, n int, phrase string, k long")
     assert collocations.scored(found).first()["score"] == 1000 * big * 7 * big // ((big + 1) * (big + 3))
+
+
+def whole(rows):
+    """(id, label, integer vector) of the rows that take part, once each."""
+    out = {(i, label, tuple(math.floor(256 * x) for x in v)) for i, v, label in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    return sorted(out, key=repr)
+
+
+def dot(a, b):
+    return sum(x * y for x, y in zip(a, b))
+
+
+def brute_topk(rows, k=5):
+    vectors = {(i, v) for i, _, v in whole(rows)}
+    out = []
+    for i, q in vectors:
+        if i % 50 == 0:
+            found = sorted({(-dot(q, v), j) for j, v in vectors if j != i})[:k]
+            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found)]
+    return sorted(out)
+
+
+def brute_negatives(rows, k=5):
+    vectors = [(i, (label + 1) % 10 if i % 7 == 0 else label, v) for i, label, v in whole(rows) if label is not None]
+    out = []
+    for i, y, q in vectors:
+        if i % 100:
+            continue
+        scores = {(-dot(q, v), j, z == y) for j, z, v in vectors if j != i}
+        for p, j, _ in sorted(x for x in scores if x[2])[:k]:
+            fit = sorted((s, m) for s, m, same in scores if not same and 80 * -p <= 100 * -s <= 100 * -p)[:k]
+            out += [(i, j, r + 1, m, -p, -s) for r, (s, m) in enumerate(fit)]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def vector_rows():
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(0, 0.3, 6).astype(np.float32).tolist(), int(rng.integers(0, 4))) for i in range(1200)]
+    same = rng.normal(0, 0.3, 6).astype(np.float32).tolist()
+    rows += [(2000 + i, same, i % 3) for i in range(300)]  # one vector, many ids
+    rows += [(3000 + i, (np.array(same) * 2).tolist(), 1) for i in range(101)]
+    nan, inf = float("nan"), float("inf")
+    rows += [(5000, None, 1), (5050, [], 1), (5100, [0.0] * 6, 2), (5150, [nan] + [1.0] * 5, 1), (5200, [1.0] * 5 + [-inf], 1), (5250, [1.0, None], 1), (5300, [1.0, 2.0], None), (5350, [3.0, -1.0], 2), (None, [9.0] * 6, 1)]
+    rows += [(5400, [30000.5] * 6, 1), (5401, [-30000.25, 30000.0, 1.0], 2), (5500, [200000.0] * 6, 2)]
+    return [*rows, rows[0], rows[50], rows[100]]  # repeated rows
+
+
+VECTORS = "vec_id long, embedding array<double>, label int"
+
+
+def test_threshold_search(spark, vector_rows):
+    df = spark.createDataFrame(vector_rows, VECTORS)
+    want = brute_topk(vector_rows)
+    assert sorted(map(tuple, topk.report(df).collect())) == want
+    clashing = df.select("*", *[df.vec_id.alias(c) for c in ("id", "v", "query", "score", "rank")])
+    assert sorted(map(tuple, topk.report(clashing, block=64, query_bytes=2000).collect())) == want  # many blocks of rows and of queries
+    assert topk.report(df.limit(0)).count() == topk.report(df.where("vec_id = 50").distinct()).count() == 0
+
+
+def test_threshold_search_stops_early():
+    rng = np.random.default_rng(3)
+    rows = np.floor(np.abs(rng.standard_cauchy((8000, 4))) * 50).clip(0, 5000)
+    lists, read = topk.Lists(rows, np.arange(8000), 5), 0
+    for q in rng.integers(1, 9, (20, 4)).astype(float):
+        best = topk.Best(5)
+        read += lists.search(q, -1, best)
+        s = (rows @ q).astype(int)
+        assert best.ids.tolist() == np.lexsort((np.arange(8000), -s))[:5].tolist()
+    assert read < 20 * 8000 / 4
+
+
+def test_hard_negatives(spark, vector_rows):
+    df = spark.createDataFrame(vector_rows, VECTORS)
+    want = brute_negatives(vector_rows)
+    assert len(want) > 100 and sorted(map(tuple, negatives.report(df).collect())) == want
+    clashing = df.select("*", *[df.vec_id.alias(c) for c in ("id", "v", "anchor", "score", "windows", "rank")])
+    assert sorted(map(tuple, negatives.report(clashing, block=256, query_bytes=500).collect())) == want
+    assert negatives.report(df.limit(0)).count() == negatives.report(df.where("vec_id = 100")).count() == negatives.report(df.where("label IS NULL")).count() == 0
+
+
+def test_boxes_prune():
+    rng = np.random.default_rng(4)
+    rows = np.floor(rng.normal(0, 100, (4000, 2)))
+    tree = negatives.Tree(rows, rng.integers(0, 5, 4000), np.arange(4000), leaf=32, fanout=4)
+    for level in tree.levels:
+        for i in range(len(level.low)):
+            assert (level.low[i] <= level.high[i]).all()
+    q = np.array([[3.0, -2.0]])
+    bounds = [(low[0].tolist(), high[0].tolist()) for low, high in tree.bounds(q)]
+    s = (tree.vectors @ q[0]).astype(int)
+    for window, same in (((-math.inf, math.inf), True), ((100.0, 300.0), False)):
+        best = [negatives.Best(5)]
+        read = tree.walk(q[0], bounds, [window], best, 3, same, -1)
+        fit = [(-x, i) for x, i, y in zip(s.tolist(), tree.ids.tolist(), tree.labels.tolist()) if (y == 3) == same and window[0] <= x <= window[1]]
+        assert list(zip((-best[0].scores).tolist(), best[0].ids.tolist())) == sorted(fit)[:5]
+        assert read < 4000 / 32 / 2

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, collocations, decontam, mixing, packing, quality_rules, secrets, shards, simhash, warc
+from . import chat, classifier, collocations, decontam, mixing, negatives, packing, quality_rules, secrets, shards, simhash, topk, warc
 
 
 def _table(name: str):
     return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-documents, pages, benchmark, labels, conversations = map(_table, ("documents", "pages", "benchmark", "labels", "conversations"))
+documents, embeddings, pages, benchmark, labels, conversations = map(_table, ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"))
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": lambda s, d: secrets.report(documents(s, d)),
     "op10_quality_rules": lambda s, d: quality_rules.report(documents(s, d)),
     "op11_collocations": lambda s, d: collocations.report(documents(s, d)),
+    "op12_hard_negatives": lambda s, d: negatives.report(embeddings(s, d)),
+    "op13_exact_topk": lambda s, d: topk.report(embeddings(s, d)),
     "pipeline": _pipeline,
 }
 
@@ -42,6 +44,7 @@ _WORDS = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGEST = f"""array_to_string(list_transform(range(32), lambda i: '{_BASE32}'[('0b' || bits[i * 5 + 1:i * 5 + 5])::INT + 1]), '')"""
 _BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111'][instr('0123456789abcdef', c)]), '')"
+_VECTORS = "list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 _ESCAPED = r"length(regexp_replace(coalesce({}, ''), '([<\[\\])', '\1\\', 'g'))"
 
 ORACLE_SQL: dict[str, str] = {
@@ -61,6 +64,13 @@ cuts AS (SELECT c.lang, c.phrase, c.k AS a, j, l.k AS l, r.k AS r, n, (1000::HUG
 JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:j], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[j + 1:], ' ') JOIN totals t ON t.lang = c.lang),
 lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM lowest QUALIFY rank <= 2000""",
+    "op12_hard_negatives": f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_VECTORS} AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS own, b.vec_id, b.label, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE label = own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, (row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id))::INT AS rank, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.own AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score QUALIFY rank <= 5""",
+    "op13_exact_topk": f"""WITH e AS (SELECT vec_id, {_VECTORS}), s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
     "op8_chat": rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 t AS (SELECT *, 23 + {_ESCAPED.format('role')} + {_ESCAPED.format('text')} AS n, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS of FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
 s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY k) AS upto FROM t)
