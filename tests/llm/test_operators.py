@@ -273,8 +273,8 @@ def test_shards(spark, docs, odd, tmp_path):
         ids = np.array([i for _, t in pairs(one) for i in [*encode(t or "", add_special_tokens=False).ids, 1]], "<u2")
         want = [np.pad(ids[i : i + 4096], (0, max(0, 4096 - len(ids[i : i + 4096])))).tobytes() for i in range(0, len(ids), 4096)]
         assert list(rows.ids_crc32) == [shards.zlib.crc32(w) for w in want]
-    made = shards.ordered(shards.cut(shards.sequences(docs.repartition(3), packing.tokenizer_path(), length=64)), 5)
-    shards.write(made, f"{tmp_path}/s", length=64, shard=64)
+    made, n = shards.ordered(shards.cut(shards.sequences(docs.repartition(3), packing.tokenizer_path(), length=64)), 5)
+    shards.write(made, n, f"{tmp_path}/s", length=64, shard=64)
     unpack = zstandard.ZstdDecompressor().decompress
     want = {r.slot: shards.zlib.crc32(unpack(r.ids, max_output_size=128).ljust(128, b"\0")) for r in made.collect()}
     assert sorted(want) == list(range(len(want)))
@@ -283,6 +283,30 @@ def test_shards(spark, docs, odd, tmp_path):
     assert shards.report(docs.limit(0)).count() == 0
 
 
+SPILLED = """
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.shuffle.spill.numElementsForceSpillThreshold", "1000").getOrCreate()
+from tidemill.llm import shards
+docs = spark.read.parquet(sys.argv[1])
+rows = shards.report(docs, length=16, shard=512).collect()  # checks each sequence's CRC
+assert sorted(r.slot for r in rows) == list(range(len(rows))) and len(rows) > 10_000
+made, n = shards.ordered(shards.cut(shards.sequences(docs, shards.tokenizer_path(), length=16)), 5)
+print("rows", len(rows), "sorts", shards.lines(made, n, 16, 512)._jdf.queryExecution().optimizedPlan().toString().count("Sort "))
+"""
+
+
+def test_shards_keep_their_order_when_sorts_spill():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    done = subprocess.run([sys.executable, "-c", SPILLED, f"{SF}/documents.parquet"], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert done.stdout.split()[0] == "rows" and done.stdout.split()[-1] == "1"
+
+
 def test_feistel_is_a_bijection(spark):
     for n in (1, 2, 3, 17, 1000, 4097):
         out = [r[0] for r in spark.range(n).select(shards.permuted(shards.F.col("id"), n, 9)).collect()]

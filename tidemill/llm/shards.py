@@ -27,8 +27,9 @@ WIDTH = 2
 
 
 def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(task, at, n_ids, ids): the documents' ids, each followed by an end id, as one stream a task, cut into sequences of `length`
-    (a task's last may be shorter). ids are little-endian 16-bit, compressed. Null counts as empty: an end id.
+    """(task, at, n_ids, crc32, ids): the documents' ids, each followed by an end id, as one stream a task, cut into sequences of `length`
+    (a task's last may be shorter). ids are little-endian 16-bit, compressed; crc32 is that of the padded sequence. Null counts as
+    empty: an end id.
 
     No document is padded. The stream follows the table's own order within a task and tasks in turn, as `ordered` counts them: a table
     that is dealt to tasks in another way, as another cluster may do, is cut into other sequences; the same way gives the same. Ids
@@ -38,7 +39,7 @@ def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENG
 
     def run(batches):
         known, end, pack = word_ids(path), np.asarray([END_ID], "<u4").tobytes(), zstandard.ZstdCompressor(level=3).compress
-        task, at, rest = TaskContext.get().partitionId(), 0, b""
+        task, at, rest, pad = TaskContext.get().partitionId(), 0, b"", np.asarray([PAD_ID], "<u2").tobytes()
 
         def rows(stream: bytes, whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal at, rest
@@ -46,7 +47,7 @@ def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENG
             parts = [stream[i : min(i + size, stop)] for i in range(0, stop, size)]
             rest = stream[stop:]
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(at, at + len(parts)), pa.int64()), pa.array([len(p) // WIDTH for p in parts], pa.int32()), pa.array([pack(p) for p in parts], pa.binary())], names=["task", "at", "n_ids", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([task] * len(parts), pa.int32()), pa.array(range(at, at + len(parts)), pa.int64()), pa.array([len(p) // WIDTH for p in parts], pa.int32()), pa.array([zlib.crc32(p + pad * ((size - len(p)) // WIDTH)) for p in parts], pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=["task", "at", "n_ids", "crc32", "ids"])
                 at += len(parts)
 
         for _, data, offsets in _text.text_slices(batches, "text"):
@@ -58,7 +59,7 @@ def sequences(docs: DataFrame, path: str, text: str = "text", length: int = LENG
             yield from rows(rest + wide.astype("<u2").tobytes(), False)
         yield from rows(rest, True)
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "task int, at bigint, n_ids int, ids binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "task int, at bigint, n_ids int, crc32 bigint, ids binary")
 
 
 def permuted(index: Column, n: int, key: int) -> Column:
@@ -87,21 +88,25 @@ def permuted(index: Column, n: int, key: int) -> Column:
 WALK = 256
 
 
-def ordered(cut_sequences: DataFrame, key: int) -> DataFrame:
-    """cut_sequences with `sequence`, a dense number by task and place, and `slot`, that number permuted under the key.
-
-    Only the tasks' counts are added up, one row a task; sequences stay where they are.
-    """
-    sizes = cut_sequences.groupBy("task").agg(F.count("*").alias("_n"))
+def ordered(cut_sequences: DataFrame, key: int) -> tuple[DataFrame, int]:
+    """cut_sequences with `sequence`, a dense number by task and place, and `slot`, that number permuted under the key; and how many
+    there are. Only the tasks' counts are added up, one row a task; sequences stay where they are."""
+    sizes = cut(cut_sequences.groupBy("task").agg(F.count("*").alias("_n")))
     before = sizes.select("task", (F.sum("_n").over(Window.orderBy("task")) - F.col("_n")).alias("_before"))
-    n = cut_sequences.count()
-    return cut_sequences.join(F.broadcast(before), "task").withColumn("sequence", F.col("_before") + F.col("at")).withColumn("slot", permuted(F.col("sequence"), n, key)).drop("_before")
+    n = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    return cut_sequences.join(F.broadcast(before), "task").withColumn("sequence", F.col("_before") + F.col("at")).withColumn("slot", permuted(F.col("sequence"), max(1, n), key)).drop("_before"), n
+
+
+#: Shards of a task that writes them, at most.
+TASK_SHARDS = 16
 
 
-def write(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
-    """Writes shards of `shard` slots under path/shard=<n>: a file holds its slots in order, each WIDTH * length bytes of ids (padded)
-    and one separator byte, which Spark's text sink adds. Its commits leave nothing of a lost task behind. Slots are dealt to tasks by
-    ranges of whole shards."""
+def lines(slotted: DataFrame, n: int, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
+    """(shard, value) of n slots, as they are written: padded ids, dealt to tasks by ranges of whole shards and sorted by slot.
+
+    Slots are dense, so ranges are known without sampling. Rows are opened first and sorted last: the write finds them in the order
+    that it needs, by shard, and doesn't sort again, which could mix the slots of a shard.
+    """
     size, pad = WIDTH * length, np.asarray([PAD_ID], "<u2").tobytes()
 
     def opened(batches):
@@ -109,12 +114,21 @@ def write(slotted: DataFrame, path: str, length: int = LENGTH, shard: int = SHAR
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                ids = [unpack(x.as_py(), max_output_size=size) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x + pad * ((size - len(x)) // WIDTH) for x in ids], pa.binary())], names=["shard", "value"])
+                ids = [unpack(x.as_py(), max_output_size=size) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x + pad * ((size - len(x)) // WIDTH) for x in ids], pa.binary())], names=["shard", "slot", "value"])
+
+    shards = max(1, -(-n // shard))
+    tasks = min(shards, max(int(slotted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-shards // TASK_SHARDS)))
+    numbered = slotted.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "ids")
+    dealt = numbered.repartitionById(tasks, F.floor(F.col("shard") * tasks / shards).cast("int"))
+    sorted_lines = dealt.mapInArrow(opened, "shard bigint, slot bigint, value binary").sortWithinPartitions("shard", "slot")
+    return sorted_lines.select("shard", F.col("value").cast("string").alias("value"))
+
 
-    dealt = slotted.select(F.floor(F.col("slot") / shard).cast("long").alias("shard"), "slot", "ids").repartitionByRange("shard").sortWithinPartitions("slot")
-    lines = dealt.select("shard", "ids").mapInArrow(opened, "shard bigint, value binary")
-    lines.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", "\n").text(path)
+def write(slotted: DataFrame, n: int, path: str, length: int = LENGTH, shard: int = SHARD) -> None:
+    """Writes the shards of n slots under path/shard=<number>: a file holds its slots in order, each WIDTH * length bytes of ids
+    (padded) and one separator byte, which Spark's text sink adds. Its commits leave nothing of a lost task behind."""
+    lines(slotted, n, length, shard).write.partitionBy("shard").option("lineSep", "\n").text(path)
 
 
 def read(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHARD, from_slot: int = 0) -> DataFrame:
@@ -132,17 +146,18 @@ def read(spark: SparkSession, path: str, length: int = LENGTH, shard: int = SHAR
     return files.select(F.col("shard").cast("long").alias("shard"), "content").where(F.col("shard") >= from_slot // shard).mapInArrow(run, "slot bigint, ids_crc32 bigint")
 
 
-def report(docs: DataFrame, key: int = 20_240_601, path: str | None = None) -> DataFrame:
+def report(docs: DataFrame, key: int = 20_240_601, path: str | None = None, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """Writes all documents' sequences in training order into the shared folder and reads the shards back: sequence, n_ids, slot,
-    shard, place (in its shard), ids_crc32 (of the padded sequence, as read back).
+    shard, place (in its shard), ids_crc32 (of the padded sequence, as read back; that another was written is an error).
 
     Null and empty texts are an end id; repeated rows are repeated in the stream; an empty table writes nothing.
     """
     spark = docs.sparkSession
-    slotted = ordered(cut(sequences(docs, tokenizer_path())), key)
-    small = slotted.select("sequence", "n_ids", "slot", F.floor(F.col("slot") / SHARD).cast("long").alias("shard"), (F.col("slot") % SHARD).alias("place"))
-    if slotted.isEmpty():
-        return small.withColumn("ids_crc32", F.lit(0).cast("long"))
+    slotted, n = ordered(cut(sequences(docs, tokenizer_path(), length=length)), key)
+    small = slotted.select("sequence", "n_ids", "slot", F.floor(F.col("slot") / shard).cast("long").alias("shard"), (F.col("slot") % shard).alias("place"), "crc32")
+    if not n:
+        return small.withColumnRenamed("crc32", "ids_crc32")
     path = path or new_path(spark, "shards")
-    write(slotted, path)
-    return small.join(read(spark, path), "slot").select("sequence", "n_ids", "slot", "shard", "place", "ids_crc32")
+    write(slotted, n, path, length, shard)
+    checked = F.when(F.col("ids_crc32") == F.col("crc32"), F.col("ids_crc32")).otherwise(F.raise_error(F.concat(F.lit("another sequence was read back from slot "), F.col("slot").cast("string"))).cast("long"))
+    return small.join(read(spark, path, length, shard), "slot").select("sequence", "n_ids", "slot", "shard", "place", checked.alias("ids_crc32"))
