@@ -31,8 +31,16 @@ INWORD[[9, 32]] = False
 #: Bits of a fingerprint. Tests narrow it so that fingerprints collide.
 BITS = 64
 
-_GRAM = "n int, f bigint, c0 bigint, c1 bigint, doc bigint, k bigint"
-_GRAM_NAMES = ["n", "f", "c0", "c1", "doc", "k"]
+
+def _grouped(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts f, and where its groups of equal values begin in that order."""
+    order = np.argsort(f)
+    f = f[order]
+    return order, np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if len(f) else np.zeros(0, np.int64)
+
+
+def _batch(columns: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32 if k == "n" else np.int64)) for k, c in zip(names, columns)], names=names)
 
 
 class _Slice:
@@ -93,8 +101,8 @@ def _slices(batches, mask: int) -> Iterator[_Slice]:
 
 
 def _counted(source: DataFrame, n: int, known, mask: int, least: int) -> DataFrame:
-    """(n, f, c0, c1, doc, k) of the phrases of n words that occur `least` times at least: fingerprint, least and greatest check,
-    least document key that holds one, occurrences. Phrases are counted where both runs of n - 1 words in them may be frequent."""
+    """(n, f, k): fingerprints of phrases of n words and their occurrences, where these are `least` at least; with n = 1 also one row
+    of n = 0 a language. Phrases are counted where both runs of n - 1 words in them may be frequent."""
 
     def run(batches):
         for s in _slices(batches, mask):
@@ -103,18 +111,15 @@ def _counted(source: DataFrame, n: int, known, mask: int, least: int) -> DataFra
             if known is not None:
                 below = in_bloom(known.value, s.prints(n - 1))
                 ok &= below[: len(f)] & below[1 : len(f) + 1]
-            at = np.flatnonzero(ok)
-            f, order = f[at], np.argsort(f[at])
-            f = f[order]
-            first = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if len(f) else np.zeros(0, np.int64)
-            c, doc = s.checks(n)[at][order].view(np.int64), s.doc[at][order]
-            found = [np.full(len(first), n), f[first].view(np.int64), *((np.minimum.reduceat(c, first), np.maximum.reduceat(c, first), np.minimum.reduceat(doc, first)) if len(first) else (c, c, doc)), np.diff(np.append(first, len(f)))]
+            f = f[ok]
+            order, first = _grouped(f)
+            found = [np.full(len(first), n), f[order[first]].view(np.int64), np.diff(np.append(first, len(f)))]
             if n == 1:
-                lang, g, c, doc, words = s.totals()
-                found = [np.concatenate(x) for x in zip(found, (np.zeros(len(lang), np.int64), g, c, c, doc, words))]
-            yield pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in found[1:])], names=_GRAM_NAMES)
+                _, g, _, _, words = s.totals()
+                found = [np.concatenate(x) for x in zip(found, (np.zeros(len(g), np.int64), g, words))]
+            yield _batch(found, ["n", "f", "k"])
 
-    grams = source.mapInArrow(run, _GRAM).groupBy("n", "f").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("doc").alias("doc"), F.sum("k").alias("k"))
+    grams = source.mapInArrow(run, "n int, f bigint, k bigint").groupBy("n", "f").agg(F.sum("k").alias("k"))
     return grams.where((F.col("k") >= least) | (F.col("n") == 0))
 
 
@@ -132,6 +137,28 @@ def _frequent(source: DataFrame, longest: int, least: int, mask: int) -> DataFra
     return found
 
 
+def _located(source: DataFrame, grams: DataFrame, longest: int, mask: int) -> DataFrame:
+    """grams with c0 and c1, the least and the greatest check of their occurrences, and doc, the least document key that holds one."""
+    shared = source.sparkSession.sparkContext.broadcast(bloom(grams, "f"))
+    names = ["n", "f", "c0", "c1", "doc"]
+
+    def run(batches):
+        for s in _slices(batches, mask):
+            _, g, c, doc, _ = s.totals()
+            yield _batch([np.zeros(len(g)), g, c, c, doc], names)
+            for n in range(1, longest + 1):
+                f = s.prints(n)
+                at = np.flatnonzero(s.inside(n, len(f)) & in_bloom(shared.value, f))
+                if len(at):
+                    order, first = _grouped(f[at])
+                    at = at[order]
+                    c, doc = s.checks(n)[at].view(np.int64), s.doc[at]
+                    yield _batch([np.full(len(first), n), f[at][first].view(np.int64), *(g.reduceat(x, first) for g, x in ((np.minimum, c), (np.maximum, c), (np.minimum, doc)))], names)
+
+    places = source.mapInArrow(run, "n int, f bigint, c0 bigint, c1 bigint, doc bigint").groupBy("n", "f").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), F.min("doc").alias("doc"))
+    return grams.join(places, ["n", "f"])
+
+
 def _pointed(source: DataFrame, grams: DataFrame, longest: int, mask: int) -> DataFrame:
     """(lang, n, phrase, k) of grams, each read from the document that its pointer names. Only those documents are looked at."""
     wanted = cut(grams.select("n", "f", "doc", "k").withColumn("_pair", F.xxhash64("n", "f", "doc")))
@@ -187,15 +214,15 @@ def phrases(docs: DataFrame, text: str = "text", lang: str = "lang", longest: in
     texts, with its occurrences, and one row of n = 0 a language with all its words.
 
     Tasks hash every word and find each phrase's fingerprint as a difference of prefix polynomials; one shuffle a length adds up
-    fingerprints with a pointer to a document that holds one. Lengths are taken in turn, so that only phrases whose parts are frequent
-    are counted; what passes from one length to the next is a filter of bounded size. A fingerprint whose occurrences don't agree in a
+    fingerprints. Lengths are taken in turn, so that only phrases whose parts are frequent are counted; what passes from one length to
+    the next is a filter of bounded size. The frequent ones then get a pointer to a document that holds them. A fingerprint whose occurrences don't agree in a
     second, independent hash of their words belongs to several phrases: these are told apart and counted by their text. All others
     become text once, where their pointers lead. Null texts are empty, a null language is UNKNOWN; rows that repeat count each time.
     """
     mask = (1 << bits) - 1
     named = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"))
     source = named.withColumn("doc", F.xxhash64("text", "lang"))
-    grams = cut(_frequent(source, longest, least, mask))
+    grams = cut(_located(source, cut(_frequent(source, longest, least, mask)), longest, mask))
     several = grams.where("c0 <> c1")
     found = _pointed(source, grams.where("c0 = c1"), longest, mask)
     if not several.isEmpty():
