@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 
 import xxhash
 
+from tidemill.llm import secrets
+
 LOWER = {c: c + 32 for c in range(65, 91)}
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -187,3 +189,31 @@ def classified(text, slope, bias):
                 found.append(finalised((h + (n << 56)) % (1 << 64)))
     total = sum(float(slope[f % c.BUCKETS]) for f in found)
     return 1 / (1 + math.exp(-(total / max(1, len(found)) + bias)))
+
+
+def secret_spans(text, model):
+    """All spans (kind, start, stop) of a text, those that the models add too, in the operator's order."""
+    text = text or ""
+    base = secret_bases_only(text)
+    size, at = len(secrets.ALPHABET) + 1, {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    out = list(base)
+    for m in re.finditer(secrets.CANDIDATE, text):
+        v, (a, b) = m.group(), m.span()
+        codes = [at.get(c, 0) for c in v]
+        ratio = sum(model[x * size + y] for x, y in zip(codes, codes[1:])) / (len(v) - 1)
+        if re.search("[0-9]", v) and ratio >= secrets.LEAST_RATIO and not any(s < b and a < e for s, e, _ in base):
+            out.append((a, b, "markov"))
+    return sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[2]), x[1]))
+
+
+def secret_bases_only(text):
+    return [(int(a), int(b), k) for k, a, b in (x.split(":") for x in base_spans(text))]
+
+
+def redacted(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for a, b, _ in spans:
+        if a >= at:
+            out += [text[at:a], mark]
+        at = max(at, b)
+    return "".join([*out, text[at:]])

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -186,6 +187,37 @@ def test_secret_bases_and_models(spark):
     assert clean[3] == "id [SECRET] ok" and clean[4] == texts[4] and "hunter2" not in clean[0]
 
 
+def many_secrets(n):
+    rng = random.Random(8)
+    forms = [lambda: "".join(rng.choices("0123456789abcdef", k=32)), lambda: base64.b64encode(rng.randbytes(30)).decode(), lambda: "token=" + "".join(rng.choices("abcdef0123456789", k=rng.randint(6, 40))), lambda: "AKIA" + "X7" * rng.randint(5, 9), lambda: "é" * rng.randint(1, 3), lambda: "plainwords_of_some_length_here", lambda: "日本 \U0001f600"]
+    return " ".join(rng.choice(forms)() for _ in range(n))
+
+
+def test_added_secrets_and_redaction(spark, odd, docs):
+    model = secrets.train(secrets.samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    rng = random.Random(9)
+    texts = [many_secrets(n) for n in (1, 3, 60, 61, 63, 64, 65, 66, 700, 5000)] + ["".join(rng.choice(["0" * 40, "a1b2" * 9, "token=", "AKIA" + "Q1" * 9, "-", "/", " "]) for _ in range(40)) for _ in range(60)]
+    for df in (spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), odd.where("text IS NOT NULL").select("doc_id", "text").distinct(), docs.select("doc_id", "text")):
+        rows = pairs(df)
+        want = {(d, t): brute.secret_spans(t, model) for d, t in rows}
+        for r in secrets.scan(df, model).collect():
+            assert [(x.start, x.stop, x.kind) for x in r["_secret_spans"]] == want[r.doc_id, r.text]
+        assert got(secrets.redact(df, model)) == sorted([(d, brute.redacted(t, want[d, t])) for d, t in rows], key=repr)
+    assert sum(k == "markov" for w in [brute.secret_spans(t, model) for t in texts] for _, _, k in w) > 100
+
+
+def test_secrets_of_a_very_long_text(spark):
+    text = many_secrets(250_000)
+    assert len(text) > 5_000_000
+    model = secrets.train(secrets.samples(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    began = time.time()
+    row = secrets.redact(secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), model, into="spans"), model).first()
+    assert time.time() - began < 60 and len(row.spans) > 100_000
+    want = brute.secret_bases_only(text)
+    assert [(x.start, x.stop, x.kind) for x in row.spans if x.kind != "markov"] == want
+    assert row.text == brute.redacted(text, [(x.start, x.stop, x.kind) for x in row.spans])
+
+
 def test_packing(odd, docs):
     from tokenizers import Tokenizer
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,32 +27,66 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST_RATIO = 0.7
 #: Documents from which labelled samples are taken: those with the least hashed ids.
 SAMPLE_DOCS = 20_000
+#: Beyond any text; code points of the pages that a text is cut into where pieces of it are read.
+END = (1 << 31) - 1
+PAGE = 1024
 
 
 def _texts(docs: DataFrame, text: str) -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _higher(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def _lower(a: Column, b: Column) -> Column:
+    return F.least(a, b)
+
+
+#: Numbers that a running combination takes at once, and levels of such blocks.
+RUN, RUN_LEVELS = 64, 2
+
+
+def _running(values: Column, combine: Callable[[Column, Column], Column], start: int, levels: int = RUN_LEVELS) -> Column:
+    """For each of an array's integers, the combination of those before it. Blocks of RUN are combined by themselves and then with
+    what stands before them, so that time is linear in the array's length."""
+    none = F.expr("cast(array() AS array<int>)")
+    if not levels:
+        grown = lambda a, x: F.struct(combine(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(values, F.struct(F.lit(start).alias("at"), none.alias("out")), grown, lambda a: a["out"])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int")), lambda b: F.slice(values, b * RUN + 1, F.lit(RUN)))
+
+    def joined(cut: Column) -> Column:
+        totals = F.transform(cut, lambda b: F.aggregate(b, F.lit(start), combine))
+        before = _bind(totals, lambda t: _running(t, combine, start, levels - 1))
+        both = F.transform(F.arrays_zip(cut.alias("block"), before.alias("before")), lambda z: F.transform(_running(z["block"], combine, start, 0), lambda x: combine(z["before"], x)))
+        return F.flatten(both)
+
+    return F.when(F.size(values) > 0, _bind(blocks, joined)).otherwise(none)
+
+
 def _places(text: Column, pattern: str, kind: str, group: int, least: int) -> Column:
     """All leftmost non-overlapping matches as structs of start, stop (code points, end exclusive), kind and value, failing ones dropped."""
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    walked = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), found.alias("hit"), values.alias("value")),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start:int,stop:int,kind:string,value:string>>)").alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"),
-            F.when(
-                F.length(x["value"]) >= least,
-                F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"), F.lit(kind).alias("kind"), x["value"].alias("value")))),
-            ).otherwise(a["out"]).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), found.alias("hits"), values.alias("values"))
+
+    def placed(x: Column) -> Column:
+        steps = F.transform(F.arrays_zip(x["gaps"].alias("gap"), x["hits"].alias("hit")), lambda z: F.length(z["gap"]) + F.coalesce(F.length(z["hit"]), F.lit(0)))
+        before = _bind(steps, lambda s: _running(s, lambda a, b: a + b, 0))
+        rows = F.filter(F.arrays_zip(x["gaps"].alias("gap"), x["hits"].alias("hit"), x["values"].alias("value"), before.alias("before")), lambda z: F.length(z["value"]) >= least)
+        start = lambda z: z["before"] + F.length(z["gap"])
+        return F.transform(rows, lambda z: F.struct(start(z).alias("start"), (start(z) + F.length(z["hit"])).alias("stop"), F.lit(kind).alias("kind"), z["value"].alias("value")))
+
     none = F.expr("cast(array() AS array<struct<start:int,stop:int,kind:string,value:string>>)")
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    return F.when(text.rlike(pattern), _bind(parts, placed)).otherwise(none)
 
 
 def base_spans(docs: DataFrame, text: str = "text", into: str = "_secret_base") -> DataFrame:
@@ -133,26 +168,41 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", least_ratio: f
     """
     t = _texts(docs, text)
     based = base_spans(docs, text, "_secret_base")
-    runs = _places(t, CANDIDATE, "markov", 0, 20)
-    added = F.filter(
-        runs,
-        lambda x: ~F.exists(F.col("_secret_base"), lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])) & x["value"].rlike("[0-9]") & (ratio(x["value"], model) >= least_ratio),
-    )
-    return based.withColumn(into, _ordered(F.concat("_secret_base", added)))
+    base, runs = F.col("_secret_base"), _places(t, CANDIDATE, "markov", 0, 20)
+    kind = "struct<start:int,run:int,stop:int,value:string>"
+    marked = lambda spans, run: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(run).alias("run"), x["stop"].alias("stop"), F.when(F.lit(bool(run)), x["value"]).alias("value")))
+    every = F.array_sort(F.concat(marked(base, 0), marked(runs, 1))).cast(f"array<{kind}>")
+
+    def apart(e: Column) -> Column:
+        """Runs that no base span overlaps: those before, as far as they reach, end before the run; the next one starts after it."""
+        reach = _bind(F.transform(e, lambda x: F.when(x["run"] == 0, x["stop"]).otherwise(0)), lambda v: _running(v, _higher, 0))
+        beyond = _bind(F.transform(F.reverse(e), lambda x: F.when(x["run"] == 0, x["start"]).otherwise(END)), lambda v: _running(v, _lower, END))
+        zipped = F.arrays_zip(e.alias("x"), reach.alias("reach"), F.reverse(beyond).alias("next"))
+        free = F.filter(zipped, lambda z: (z["x"]["run"] == 1) & (z["reach"] <= z["x"]["start"]) & (z["next"] >= z["x"]["stop"]))
+        return F.transform(free, lambda z: F.struct(z["x"]["start"].alias("start"), z["x"]["stop"].alias("stop"), F.lit("markov").alias("kind"), z["x"]["value"].alias("value")))
+
+    added = F.filter(_bind(every, apart), lambda x: x["value"].rlike("[0-9]") & (ratio(x["value"], model) >= least_ratio))
+    return based.withColumn(into, F.when(F.size("_secret_base") + F.when(t.rlike(CANDIDATE), 1).otherwise(0) > 0, _ordered(F.concat(base, added))).otherwise(base))
 
 
 def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of `scan` replaced by `mark`; overlapping spans are replaced together. Texts without spans stay as they are."""
     scanned = scan(docs, model, text)
     t = F.col(text)
-    walked = F.aggregate(
-        F.col("_secret_spans"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["stop"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark)).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], x["stop"]).alias("at"), a["out"].alias("out"))
-        ),
-        lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))),
-    )
+
+    def piece(pages: Column, low: Column, high: Column) -> Column:
+        a, b = F.floor(low / PAGE).cast("int"), F.floor(high / PAGE).cast("int")
+        page = lambda i: F.coalesce(F.get(pages, i), F.lit(""))
+        ends = F.concat(F.substring(page(a), low - a * PAGE + 1, F.lit(PAGE)), F.array_join(F.slice(pages, a + 2, b - a - 1), ""), F.substring(page(b), F.lit(1), high - b * PAGE))
+        return F.when(a == b, F.substring(page(a), low - a * PAGE + 1, high - low)).otherwise(ends)
+
+    def replaced(x: Column) -> Column:
+        spans = F.filter(F.arrays_zip(x["spans"].alias("span"), x["reach"].alias("reach")), lambda z: z["span"]["start"] >= z["reach"])
+        gaps = F.transform(spans, lambda z: piece(x["pages"], z["reach"], z["span"]["start"]))
+        return F.array_join(F.concat(gaps, F.array(piece(x["pages"], F.array_max(x["spans"]["stop"]), F.length(t)))), mark)
+
+    reach = _bind(F.transform("_secret_spans", lambda x: x["stop"]), lambda v: _running(v, _higher, 0))
+    walked = _bind(F.struct(F.col("_secret_spans").alias("spans"), reach.alias("reach"), F.regexp_extract_all(t, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0)).alias("pages")), replaced)
     return scanned.withColumn(text, F.when(F.size("_secret_spans") > 0, walked).otherwise(t)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
