@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemill.llm import collocations, negatives, topk
+from tidemill.llm import classifier, collocations, negatives, quality_rules, simhash, topk
 
 SF = "/root/testdata/sf0.001"
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -164,3 +164,75 @@ def test_boxes_prune():
         fit = [(-x, i) for x, i, y in zip(s.tolist(), tree.ids.tolist(), tree.labels.tolist()) if (y == 3) == same and window[0] <= x <= window[1]]
         assert list(zip((-best[0].scores).tolist(), best[0].ids.tolist())) == sorted(fit)[:5]
         assert read < 4000 / 32 / 2
+
+
+def test_near_duplicates_in_groups_of_copies_with_edited_blocks(spark):
+    """Thirty groups of forty copies, each with one to three blocks of its own: similarities lie around 0.8, links hang together in all ways."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=6))
+    texts = []
+    for _ in range(30):
+        base = [word() for _ in range(200)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randint(1, 3)):
+                at, n = rng.randrange(190), rng.randint(2, 10)
+                own[at : at + n] = [word() for _ in range(n)]
+            texts.append(own)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for g in range(0, len(texts), 40):
+        for i in range(g, g + 40):
+            for j in range(g, i):
+                if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    pairs += 1
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+    assert pairs > 1000
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert {r.id: r.component_id for r in found.collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_fences_follow_their_rule(spark):
+    """Quartiles of logarithmic buckets, blended with those of the language, whose own are blended with those of everything."""
+    rng = random.Random(6)
+    rows = [(" ".join("ab$"[: rng.randint(1, 3)] * rng.randint(1, 4) for _ in range(rng.randint(1, 60))), g, h) for g, h, n in (("en", "x", 150), ("en", "y", 3), ("fr", "x", 40), (None, None, 1)) for _ in range(n)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    found = {(r.lang, r.source): r for r in quality_rules.thresholds(quality_rules.measure(docs)).collect()}
+    gamma = (1 + quality_rules.ACCURACY) / (1 - quality_rules.ACCURACY)
+
+    def quartiles(values):
+        b = sorted(-(10**9) if v == 0 else math.ceil(math.log(v) / math.log(gamma)) for v in values)
+        at = [b[math.ceil(len(b) * q) - 1] for q in (0.25, 0.75)]
+        return [0.0 if x == -(10**9) else gamma**x * 2 / (1 + gamma) for x in at], len(b)
+
+    def blended(own, wide):
+        (q, n), w = own, quality_rules.BLEND
+        return [(n * a + w * b) / (n + w) for a, b in zip(q, wide)]
+
+    for m, value in (("symbol_share", lambda t: t.count("$") / len(t.replace(" ", ""))), ("word_length", lambda t: len(t.replace(" ", "")) / len(t.split()))):
+        least, every = quality_rules.MEASURES[m][2], quartiles([value(t) for t, _, _ in rows])[0]
+        for (g, h), r in found.items():
+            by_lang = blended(quartiles([value(t) for t, x, _ in rows if x == g]), every)
+            q1, q3 = blended(quartiles([value(t) for t, x, y in rows if (x, y) == (g, h)]), by_lang)
+            reach = max(least, quality_rules.REACH * (q3 - q1))
+            assert r[f"{m}_low"] == pytest.approx(q1 - reach) and r[f"{m}_high"] == pytest.approx(q3 + reach)
+
+
+def test_model_of_repeated_ids(spark):
+    """Labels and documents that repeat an id give one model, whatever order they come in."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    docs += [(r.doc_id, docs[(i * 7) % len(docs)].text) for i, r in enumerate(docs[:60])]
+    labels = [(r[0], i % 2) for i, r in enumerate(docs)]
+    models = []
+    for seed in (1, 2):
+        d, y = random.Random(seed).sample(docs, len(docs)), random.Random(seed).sample(labels, len(labels))
+        models.append(classifier.train(spark.createDataFrame(d, "doc_id long, text string"), spark.createDataFrame(y, "doc_id long, quality int")))
+    assert models[0][1] == models[1][1] and (models[0][0] == models[1][0]).all()

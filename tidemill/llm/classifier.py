@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import row_key
 
 #: Rows of vectors, their width, and the character n-grams of a word (the last may hold its end).
 BUCKETS = 1 << 17
@@ -112,13 +113,14 @@ def held_out(id_column: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
     """The folded model, fitted in one task on a bounded sample: labelled rows that aren't held out, `most` at most, balanced as far
-    as each label goes. Rows with a null label or id are passed over; of rows that repeat an id one is taken; documents tied for the
+    as each label goes. Rows with a null label or id are passed over; of labels that repeat an id the least counts, of documents
+    that do the one of least row key; documents tied for the
     bound go by id. Without both labels, or without documents, the model answers 0.5."""
-    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out("id")).dropDuplicates(["id"])
+    known = labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"))
     by_label = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(most // 2) for y in (0, 1)]
     chosen = by_label[0].unionByName(by_label[1])
     sample = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(chosen), "id")
-    one = sample.dropDuplicates(["id"]).groupBy(F.lit(1).alias("one")).applyInPandas(_fit_group, "slope binary, bias double")
+    one = sample.groupBy("id").agg(F.min("label").alias("label"), F.min_by("text", row_key("text")).alias("text")).groupBy(F.lit(1).alias("one")).applyInPandas(_fit_group, "slope binary, bias double")
     row = one.first()
     if row is None:
         return np.zeros(BUCKETS, np.float32), 0.0
