@@ -40,8 +40,8 @@ MEASURES = {
 ACCURACY = 0.01
 #: Fences stand this many interquartile ranges beyond the quartiles.
 REACH = 4.0
-#: A group of fewer documents takes the thresholds of its language, and a language of fewer those of all.
-LEAST_GROUP = 100
+#: A group's quartiles are blended with those of its language, which count as so many documents more; a language's with those of all.
+BLEND = 100
 #: Broadcast the thresholds up to so many groups (some 100 bytes each); beyond that, Spark joins them by shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -102,12 +102,13 @@ def _measures(df: DataFrame) -> DataFrame:
     return df.withColumns({PRE + m: value(e) for m, (e, _, _) in MEASURES.items()})
 
 
-def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", reach: float = REACH, least_group: int = LEAST_GROUP) -> DataFrame:
+def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source", reach: float = REACH, blend: int = BLEND) -> DataFrame:
     """Fences of each measure by (lang, source): `<measure>_low`, `<measure>_high`.
 
     A sketch is a count by logarithmic bucket (DDSketch: relative accuracy ACCURACY); sketches merge by adding counts, so tasks
     count their own rows and only buckets are shuffled, and those of sources add up to those of a language and of everything.
-    Deterministic however rows are dealt out. Rows without words take no part. Null languages and sources are groups of their own.
+    Deterministic however rows are dealt out. A group's quartiles weigh as many as it has documents, against `blend` for those of its
+    language, so that no size changes the rule. Rows without words take no part. Null languages and sources are groups of their own.
     """
     gamma = (1 + ACCURACY) / (1 - ACCURACY)
     long = _measures(measured).select(
@@ -126,22 +127,17 @@ def thresholds(measured: DataFrame, lang: str = "lang", source: str = "source",
     ranked = levels.withColumns({"below": F.sum("n").over(over.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(over)})
     value = F.when(F.col("b") > -(10**9), F.pow(F.lit(gamma), F.col("b")) * (2 / (1 + gamma))).otherwise(F.lit(0.0))
     at = {q: F.min(F.when(F.col("below") >= F.ceil(F.col("total") * q), F.struct("b", value.alias("v")))).getField("v") for q in (0.25, 0.75)}
-    fences = ranked.groupBy(*group).agg(at[0.25].alias("q1"), at[0.75].alias("q3"), F.max("total").alias("total"))
+    found = ranked.groupBy(*group).agg(at[0.25].alias("q1"), at[0.75].alias("q3"), F.max("total").alias("total"))
+    wider = lambda level, *names: found.where(F.col("level") == level).select(*names, *[F.col(c).alias(f"wide_{c}") for c in ("q1", "q3", "m")])
+    mixed = lambda c: ((F.col("total") * F.col(c) + blend * F.col(f"wide_{c}")) / (F.col("total") + blend)).alias(c)
+    every = F.broadcast(wider(2))  # one row a measure
+    by_lang = found.where("level = 1").join(every, F.col("m") == F.col("wide_m")).select(F.col("lang").alias("wide_lang"), F.col("m").alias("wide_m"), mixed("q1").alias("wide_q1"), mixed("q3").alias("wide_q3"))
+    same = F.col("lang").eqNullSafe(F.col("wide_lang")) & (F.col("m") == F.col("wide_m"))
+    blended = found.where("level = 0").join(by_lang, same).select("lang", "source", "m", mixed("q1"), mixed("q3"))
     least = F.element_at(F.create_map(*[F.lit(x) for m, (_, _, d) in MEASURES.items() for x in (m, d)]), F.col("m"))
     reached = F.greatest(least, reach * (F.col("q3") - F.col("q1")))
-    fences = fences.select(*group, "total", (F.col("q1") - reached).alias("low"), (F.col("q3") + reached).alias("high"))
-    wide = fences.groupBy("level", "lang", "source").agg(
-        F.max("total").alias("total"), *[F.max(F.when(F.col("m") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")]
-    )
-    kept = [f"{m}_{e}" for m in MEASURES for e in ("low", "high")]
-    by_lang = wide.where("level = 1").select(F.col("lang").alias("l1"), F.struct("total", *kept).alias("by_lang"))
-    everything = wide.where("level = 2").first()  # one row, whatever the corpus
-    joined = wide.where("level = 0").join(by_lang, F.col("lang").eqNullSafe(F.col("l1")), "left")
-
-    def chosen(c: str) -> Column:
-        return F.when(F.col("total") >= least_group, F.col(c)).when(F.col("by_lang.total") >= least_group, F.col(f"by_lang.{c}")).otherwise(F.lit(everything[c] if everything else None).cast("double"))
-
-    return joined.select("lang", "source", *[chosen(c).alias(c) for c in kept])
+    fences = blended.select("lang", "source", "m", (F.col("q1") - reached).alias("low"), (F.col("q3") + reached).alias("high"))
+    return fences.groupBy("lang", "source").agg(*[F.max(F.when(F.col("m") == m, F.col(e))).alias(f"{m}_{e}") for m in MEASURES for e in ("low", "high")])
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:

@@ -14,8 +14,9 @@ from . import _text, graph
 from ._spark import among, cut, lookup, row_key, without
 
 BITS = 64
-#: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already.
-PAIRWISE = 8
+#: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already. Links
+#: of fingerprints are exact, so a search finds every component; candidates of near-duplicates are not, so more of them stay pairs.
+PAIRWISE, CANDIDATE_PAIRWISE = 8, 64
 
 
 def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -80,7 +81,8 @@ def _signatures(fp: np.ndarray, segments: int, first: int = 0) -> np.ndarray:
 class _Verifier:
     """Links among rows that stand under one key. Columns: fingerprint, check (or nothing), node; the last names the row."""
 
-    def __init__(self, segments: int, distance: int, check: int | None):
+    def __init__(self, segments: int, distance: int, check: int | None, pairwise: int = PAIRWISE):
+        self.pairwise = pairwise
         self.cuts, self.segments, self.distance, self.check = _cuts(segments), segments, distance, check
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ class _Verifier:
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(start, len(keys)))
         a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        for n in range(2, PAIRWISE + 1):
+        for n in range(2, self.pairwise + 1):
             own = start[size == n]
             if len(own):
                 i, j = np.triu_indices(n, 1)
@@ -114,7 +116,7 @@ class _Verifier:
                 near = self.near(x, y)
                 a.append(x[near, -1])
                 b.append(y[near, -1])
-        for i, n in zip(start[size > PAIRWISE], size[size > PAIRWISE]):
+        for i, n in zip(start[size > self.pairwise], size[size > self.pairwise]):
             members, place = rows[i : i + n], int(keys[i] >> np.uint64(48)) & 0xFF
             if place < 0xFF:  # without both values of the bit left out, the whole segment's own key has these pairs
                 low = self.cuts[int(keys[i] >> np.uint64(56)) % self.segments][0]
@@ -139,7 +141,7 @@ def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), c
     kept = [check[0], node] if check else []
     columns = ["fp", *(["check", "node"] if check else [])]
     kind = ", ".join(f"{c} bigint" for c in ("key", *columns))
-    verifier = _Verifier(segments, distance, check[1] if check else None)
+    verifier = _Verifier(segments, distance, *((check[1], CANDIDATE_PAIRWISE) if check else (None,)))
 
     def sign(batches):
         for batch in batches:
@@ -246,7 +248,7 @@ def _part_links(nodes: DataFrame) -> DataFrame:
                 check, node = (np.repeat(batch.column(i).to_numpy(), PARTS) for i in (1, 0))
                 yield pa.RecordBatch.from_arrays([_array(keys), _array(check), _array(node)], names=["key", "fp", "node"])
 
-    return _verified(nodes.select("node", "check", "parts").mapInArrow(sign, "key bigint, fp bigint, node bigint"), _Verifier(1, CHECK_DISTANCE, None))
+    return _verified(nodes.select("node", "check", "parts").mapInArrow(sign, "key bigint, fp bigint, node bigint"), _Verifier(1, CHECK_DISTANCE, None, CANDIDATE_PAIRWISE))
 
 
 #: Members that meet a copy of their leader's text in one group.
