@@ -50,28 +50,6 @@ def similar(a, b, least: float):
     return F.coalesce(both & (sequence_ratio(F.when(both, a), F.when(both, b)) >= least), F.lit(False))
 
 
-@_lazily("string")
-def cut_repeated_lines(s: pd.Series) -> pd.Series:
-    """Without units of one to four lines that a text repeats three times or more at its end; blank lines don't count.
-    The sanitiser's own rule says the same in native expressions."""
-    return s.map(_cut_repeated, na_action="ignore")
-
-
-def _cut_repeated(text: str, most_lines: int = 4, least_times: int = 3) -> str:
-    lines = text.split("\n")
-    at = [i for i, x in enumerate(lines) if x.strip()]
-    said = [lines[i].strip().lower() for i in at]
-    cut = None
-    for unit in range(1, most_lines + 1):
-        tail, times = said[len(said) - unit :], 0
-        while len(said) >= unit * (times + 1) and said[len(said) - unit * (times + 1) : len(said) - unit * times] == tail:
-            times += 1
-        if times >= least_times:
-            start = at[len(said) - unit * times]
-            cut = start if cut is None else min(cut, start)
-    return text if cut is None else "\n".join(lines[:cut]).rstrip()
-
-
 def decode_text(raw: bytes) -> str | None:
     """UTF-16 or UTF-8 by byte-order mark, UTF-8, else CP949; None for NUL characters and undecodable bytes."""
     kinds = ["utf-16"] if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ["utf-8-sig", "cp949"]

@@ -257,12 +257,6 @@ def rule_report(sanitized: DataFrame) -> DataFrame:
     return sanitized.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-def first_seen_vote(votes: DataFrame) -> DataFrame:
-    """The commonest department of each query's (query_id, rank, department) rows, ties to the best rank."""
-    counted = votes.groupBy("query_id", "department").agg(F.count("*").alias("n"), F.min("rank").alias("first"))
-    return counted.withColumn("_k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "first"))).where("_k = 1").drop("_k")
-
-
 def reference_block(chunks: DataFrame, by: str, order: str, most: int = 5, most_chars: int = 800, text: str = "chunk", origin: str = "origin", tier: str = "tier", departments: str = "departments", header: str = BLOCK_HEADER) -> DataFrame:
     """(by, block): the first `most` chunks with a text of each group, told apart by number, origin, tier and departments, where they have
     them. A text beyond most_chars is cut and marked; a group without a text has no block. Only the first chunks of a group are shuffled."""

@@ -44,11 +44,32 @@ _CHUNKS = "chunks AS (SELECT doc_id, source, i - 1 AS chunk_index, l[i] AS chunk
 
 def _replaced(s, d):
     """All documents' chunks, then new ones of every twentieth document, twice."""
-    store = Store(s, scratch(s, "replaced"))
+    store = Store(s, scratch(s, "replaced"), "doc_id")
     store.write("b-9", {"chunks": _chunks(s, d).drop("source")})
     again = documents(s, d).where("doc_id % 20 = 0").select("doc_id", F.lit(0).alias("chunk_index"))
-    store.replace_document("b-11", again.withColumn("chunk", F.lit("second")), "doc_id")
-    return store.replace_document("b-10", again.withColumn("chunk", F.lit("third")), "doc_id").select("doc_id", "chunk_index", "chunk")
+    store.replace_document("b-11", again.withColumn("chunk", F.lit("second")))
+    return store.replace_document("b-10", again.withColumn("chunk", F.lit("third"))).select("doc_id", "chunk_index", "chunk")
+
+
+def _versions(s, d):
+    """Chunks and embeddings of all documents; every tenth is replaced twice, every seventh comes to have no chunk, and every third
+    gets one more chunk from a batch that replaces nothing."""
+    store = Store(s, scratch(s, "versions"), "doc_id")
+    docs = documents(s, d).select("doc_id", "text")
+
+    def tables(df, text):
+        chunks = df.select("doc_id", F.posexplode(F.split(text, "\n")).alias("chunk_index", "chunk"))
+        return chunks, chunks.select("doc_id", "chunk_index", F.lit("p").alias("provider"), F.array(F.length("chunk").cast("float")).alias("vector"))
+
+    chunks, vectors = tables(docs, F.col("text"))
+    store.write("b1", {"chunks": chunks, "embeddings": vectors})
+    tenth = docs.where("doc_id % 10 = 0")
+    for batch, text in (("b2", F.upper("text")), ("b0", F.lower(F.substring_index("text", "\n", 2)))):
+        store.replace_document(batch, *tables(tenth, text))
+    store.replace_document("b3", chunks.limit(0), keys=docs.where("doc_id % 7 = 0"))
+    more = docs.where("doc_id % 3 = 0").select("doc_id", F.lit(-1).alias("chunk_index"), F.lit("more").alias("chunk"))
+    store.write("b4", {"chunks": more})
+    return store
 
 
 def _report(s, d):
@@ -91,10 +112,10 @@ QUERIES = {
     "jn2_split_existing": lambda s, d: I.split_existing(_records(s, d), _records(s, d).where("idx % 3 = 0"))[0].select("idx", "document_key"),
     "jn2_skipped_existing": lambda s, d: I.split_existing(_records(s, d), _records(s, d).where("idx % 3 = 0"))[1].select("idx", "document_key"),
     "jn3_new_chunks": lambda s, d: I.new_chunks(_chunks(s, d), _chunks(s, d).where("doc_id % 10 = 0"), ["doc_id", "chunk_index"]).select("doc_id", "chunk_index"),
-    "jn4_unseen": lambda s, d: I.unseen(_records(s, d).withColumn("content_hash", X.content_hash(F.col("content"))), _records(s, d).where("idx < 300").select(X.content_hash(F.col("content")).alias("content_hash"))).select("idx"),
+    "jn4_unseen": lambda s, d: I.unseen(_records(s, d).withColumn("content_hash", X.content_hash(F.col("content"))), _records(s, d).where("idx % 3 = 0").select(X.content_hash(F.col("content")).alias("content_hash"))).select("idx"),
     "set1_concatenate": lambda s, d: A.article(_raw(s, d)).unionByName(A.consumer_qa(_raw(s, d))).groupBy("source").agg(F.count("*").alias("n")),
     "set2_hash_union": lambda s, d: _records(s, d).where("idx < 600").select(X.content_hash(F.col("content")).alias("h")).union(_records(s, d).where("idx >= 300").select(X.content_hash(F.col("content")))).distinct(),
-    "set3_existing_keys": lambda s, d: _records(s, d).where("idx < 600").select("document_key").intersect(_records(s, d).where("idx >= 300").select("document_key")),
+    "set3_existing_keys": lambda s, d: _records(s, d).where("idx % 2 = 0").select("document_key").intersect(_records(s, d).where("idx % 3 = 0").select("document_key")),
     "set4_ordered_unique": lambda s, d: documents(s, d).select("doc_id", F.array_distinct(F.split("text", " ")).alias("words")),
     "chk1_token_chunks": lambda s, d: I.chunk_documents(documents(s, d), "doc_id", "text", 80, 16),
     "chk1_chunk_counts": lambda s, d: I.chunk_documents(documents(s, d), "doc_id", "text", 10**9, 0).groupBy("id").agg(F.count("*").alias("n")),
@@ -103,6 +124,8 @@ QUERIES = {
     "chk3_chunk_gate_counts": lambda s, d: _gate(s, d, 1),
     "chk4_chunk_metadata": lambda s, d: _chunks(s, d).select("doc_id", "chunk_index", "source"),
     "snk4_replace_document": _replaced,
+    "snk4_visible_chunks": lambda s, d: _versions(s, d).visible("chunks").select("doc_id", "chunk_index", "chunk"),
+    "snk4_visible_embeddings": lambda s, d: _versions(s, d).visible("embeddings").select("doc_id", "chunk_index", "provider", F.get("vector", F.lit(0)).cast("long").alias("length")),
     "snk8_dry_run": lambda s, d: I.report(I.ingest(_records(s, d))).join(I.split_existing(_records(s, d), _records(s, d).where("idx % 3 = 0"))[1].groupBy("source").agg(F.count("*").alias("would_skip")), "source"),
     "agg7_pipeline_report": _report,
 }
@@ -112,6 +135,9 @@ _INGEST = f"""WITH {_RECORDS}, j AS (SELECT *, {_REASON.replace('text', 'content
 p AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, h ORDER BY priority, idx) END AS n FROM j)"""
 _REPORT = "SELECT source, count(*) AS raw, count(*) FILTER (reason IS NULL) AS after_clean, count(*) FILTER (n > 1) AS duplicate, count(*) FILTER (n = 1) AS after_dedup FROM p GROUP BY source"
 
+_VERSIONS = """now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN lower(array_to_string(string_split(text, chr(10))[1:2], chr(10))) ELSE text END AS text FROM documents WHERE doc_id % 7 > 0),
+seen AS (SELECT doc_id, i - 1 AS chunk_index, l[i] AS chunk FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM now))"""
+
 SQL = {
     "adp1_article": f"WITH {_RAW} SELECT idx::VARCHAR AS original_id, concat_ws(chr(10) || chr(10), q, a, nullif(i, '')) AS content, q AS title, 1 AS source_tier FROM raw",
     "adp2_clinical_qa": f"""WITH {_RAW} SELECT CASE WHEN turn % 4 = 0 THEN conv_id ELSE idx END::VARCHAR AS original_id, concat_ws(chr(10) || chr(10), array_to_string({_SENT.replace('text', 'q')}, ' '), a) AS content, CASE conv_id % 3 WHEN 0 THEN 'Cardiology' WHEN 1 THEN 'unknown' END AS category,
@@ -128,16 +154,18 @@ CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS depar
     "jn2_split_existing": f"WITH {_RECORDS} SELECT idx, document_key FROM records WHERE idx % 3 <> 0",
     "jn2_skipped_existing": f"WITH {_RECORDS} SELECT idx, document_key FROM records WHERE idx % 3 = 0",
     "jn3_new_chunks": f"WITH {_CHUNKS} SELECT doc_id, chunk_index FROM (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, chunk_index) AS n FROM chunks WHERE chunk NOT IN (SELECT chunk FROM chunks WHERE doc_id % 10 = 0)) WHERE n = 1",
-    "jn4_unseen": f"WITH {_RECORDS} SELECT idx FROM records WHERE sha256({_CONTENT}) NOT IN (SELECT sha256({_CONTENT}) FROM records WHERE idx < 300)",
+    "jn4_unseen": f"WITH {_RECORDS} SELECT idx FROM records WHERE sha256({_CONTENT}) NOT IN (SELECT sha256({_CONTENT}) FROM records WHERE idx % 3 = 0)",
     "set1_concatenate": f"WITH {_RAW} SELECT source, count(*) AS n FROM raw, (VALUES ('article'), ('consumer_qa')) v(source) GROUP BY source",
     "set2_hash_union": f"WITH {_RECORDS} SELECT DISTINCT sha256({_CONTENT}) AS h FROM records",
-    "set3_existing_keys": f"WITH {_RECORDS} SELECT document_key FROM records WHERE idx >= 300 AND idx < 600",
+    "set3_existing_keys": f"WITH {_RECORDS} SELECT document_key FROM records WHERE idx % 6 = 0",
     "set4_ordered_unique": "SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]) AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
     "chk1_chunk_counts": r"SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n+')) AS b FROM documents) WHERE len(regexp_extract_all(b, '[가-힣a-zA-Z0-9]')) >= 2 GROUP BY doc_id",
     "chk3_chunk_gate": f"{_GATED} SELECT doc_id, chunk_index, chunk FROM kept",
     "chk3_chunk_gate_counts": f"{_GATED} SELECT (SELECT count(*) FROM chunks) AS total, (SELECT count(*) FROM chunks) - (SELECT count(*) FROM cleaned) AS rejected, (SELECT count(*) FROM cleaned) - (SELECT count(*) FROM kept) AS duplicate, (SELECT count(*) FROM kept) AS kept",
     "chk4_chunk_metadata": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, source FROM chunks",
     "snk4_replace_document": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, chunk FROM chunks WHERE doc_id % 20 > 0 UNION ALL SELECT doc_id, 0, 'third' FROM documents WHERE doc_id % 20 = 0",
+    "snk4_visible_chunks": f"WITH {_VERSIONS} SELECT doc_id, chunk_index, chunk FROM seen UNION ALL SELECT doc_id, -1, 'more' FROM documents WHERE doc_id % 3 = 0",
+    "snk4_visible_embeddings": f"WITH {_VERSIONS} SELECT doc_id, chunk_index, 'p' AS provider, length(chunk)::BIGINT AS length FROM seen",
     "snk8_dry_run": f"{_INGEST} SELECT *, (SELECT count(*) FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source) AS would_skip FROM ({_REPORT}) x WHERE EXISTS (SELECT 1 FROM records r WHERE r.idx % 3 = 0 AND r.source = x.source)",
     "agg7_pipeline_report": f"""{_INGEST}, lines AS ({_CHUNKS[len('chunks AS ('):-1]}) SELECT r.*, (SELECT count(*) FROM lines l WHERE l.source = r.source) AS chunks,
 (SELECT count(*) FROM records k WHERE k.source = r.source AND k.idx % 3 = 0) AS skipped, (SELECT count(*) FROM records k WHERE k.source = r.source AND k.idx % 7 = 0) AS failed FROM ({_REPORT}) r""",

@@ -28,9 +28,14 @@ SQL_LOG = """log AS (SELECT event_id, ts AS created_at, user_id, event_type AS m
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path that driver and executors share: in the cluster's checkpoint folder, or where that is unset in a temporary one."""
+    """A new path that driver and executors share: in the cluster's checkpoint folder; only where that is unset on one machine, as in
+    tests, in a temporary one."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemill-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidemill-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

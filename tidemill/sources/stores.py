@@ -4,6 +4,10 @@ A store is a folder with Parquet tables `documents`, `chunks`, `embeddings` (by
 `batches` table of one row a state change, which names the attempt. Readers see the rows of the attempt whose completion is its batch's
 last state; nothing is visible before that row is written, and that write is one job's commit. A batch may be written again under its
 name, after a failure too: what an earlier attempt has left is never seen.
+
+A batch may also replace documents. It then names them in a table `versions`, by table, whether it holds rows of them or not: of these
+documents readers see what that batch and later ones hold, and nothing older, so a document may come to have no chunk. Embeddings are
+replaced with the chunks that they were made of.
 """
 
 from __future__ import annotations
@@ -19,6 +23,8 @@ from pyspark.errors import AnalysisException, PySparkException
 from tidemill.functions import text as X
 
 TABLES = ("documents", "chunks", "embeddings")
+#: Tables whose rows go when their document is replaced, whatever the new batch holds.
+REPLACED = ("chunks", "embeddings")
 STATES = "batch string, attempt string, state string, at timestamp, note string"
 
 
@@ -29,8 +35,8 @@ def write_stages(stages: dict[str, DataFrame], path: str, kind: str = "parquet")
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    def __init__(self, spark: SparkSession, path: str, key: str = "document_key"):
+        self.spark, self.path, self.key = spark, path, key
 
     def _mark(self, batch: str, attempt: str, state: str, note: str | None = None) -> None:
         row = self.spark.createDataFrame([(batch, attempt, state, note)], "batch string, attempt string, state string, note string").withColumn("at", F.current_timestamp())
@@ -51,11 +57,16 @@ class Store:
             return self.spark.createDataFrame([], STATES)
         return found.groupBy("batch").agg(F.max_by(F.struct("attempt", "state", "at", "note"), F.struct("at", F.col("state") != "processing")).alias("s")).select("batch", "s.*")
 
-    def write(self, batch: str, tables: dict[str, DataFrame]) -> None:
-        """Stages all tables of a batch, then publishes it; an error leaves the batch aborted and invisible, and is raised."""
+    def write(self, batch: str, tables: dict[str, DataFrame], replaced: DataFrame | None = None) -> None:
+        """Stages all tables of a batch, then publishes it; an error leaves the batch aborted and invisible, and is raised. `replaced`
+        holds the keys of documents of which older batches' chunks and embeddings, and any other table that the batch has, are no
+        longer seen."""
         attempt = uuid.uuid4().hex
         self._mark(batch, attempt, "processing")
         try:
+            if replaced is not None:
+                of = F.explode(F.array(*map(F.lit, sorted({*REPLACED, *tables})))).alias("of")
+                tables = tables | {"versions": replaced.select(F.col(self.key).cast("string").alias("replaced")).distinct().select("replaced", of)}
             for name, df in tables.items():
                 by = ["batch", "attempt", *(["provider"] if name == "embeddings" else [])]
                 df.withColumns({"batch": F.lit(batch), "attempt": F.lit(attempt)}).write.mode("append").partitionBy(*by).parquet(f"{self.path}/{name}")
@@ -64,13 +75,25 @@ class Store:
             raise
         self._mark(batch, attempt, "completed")
 
+    def _published(self, table: str, schema: str | None = None) -> DataFrame | None:
+        """The rows of completed attempts, by a join with their states that prunes partitions, with the completion's time `_at`."""
+        df = self._read(table, schema)
+        if df is None:
+            return None
+        done = self.states().where("state = 'completed'").select("batch", "attempt", F.col("at").alias("_at"))
+        return df.withColumns({c: F.col(c).cast("string") for c in ("batch", "attempt")}).join(done, ["batch", "attempt"]).drop("attempt")
+
     def visible(self, table: str) -> DataFrame | None:
-        """The rows of completed batches, by a join with their states that prunes partitions."""
-        df = self._read(table)
+        """What readers see of a table: the rows of completed batches, without those of documents that a later batch has replaced."""
+        df = self._published(table)
         if df is None:
             return None
-        df = df.withColumns({c: F.col(c).cast("string") for c in ("batch", "attempt")})
-        return df.join(self.states().where("state = 'completed'"), ["batch", "attempt"], "left_semi").drop("attempt")
+        versions = self._published("versions", "replaced string, of string, batch string, attempt string") if self.key in df.columns else None
+        if versions is not None:
+            newest = versions.where(F.col("of") == table).groupBy("replaced").agg(F.max(F.struct("_at", "batch")).alias("_newest"))
+            of = df.join(newest, F.col(self.key).cast("string") == F.col("replaced"), "left")
+            df = of.where(F.col("_newest").isNull() | (F.struct("_at", "batch") >= F.col("_newest"))).drop("replaced", "_newest")
+        return df.drop("_at")
 
     def write_batches(self, batches: Iterable[tuple[str, Callable[[], dict[str, DataFrame]]]], keys: Callable[[str], DataFrame]) -> None:
         """Batches one by one: those that fail leave their documents' keys in `errors`, and later ones go on."""
@@ -80,14 +103,12 @@ class Store:
             except (PySparkException, Py4JJavaError, RuntimeError, ValueError) as e:
                 keys(batch).select(F.col("document_key"), F.lit(batch).alias("batch"), F.lit(str(e)[:500]).alias("error")).write.mode("append").parquet(f"{self.path}/errors")
 
-    def replace_document(self, batch: str, chunks: DataFrame, key: str = "document_key") -> DataFrame:
-        """Writes documents' new chunks as a batch, and gives what readers then see: of each document the chunks of the batch that was
-        completed last, whatever batches are called. Documents that no later batch holds keep theirs."""
-        self.write(batch, {"chunks": chunks})
-        seen = self.visible("chunks")
-        dated = seen.select(key, "batch").distinct().join(self.states().select("batch", "at"), "batch")
-        newest = dated.groupBy(key).agg(F.max_by("batch", F.struct("at", "batch")).alias("batch"))
-        return seen.join(newest, [key, "batch"], "left_semi")
+    def replace_document(self, batch: str, chunks: DataFrame, embeddings: DataFrame | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """Writes documents' new chunks (and their embeddings) as a batch that replaces them, and gives the chunks that readers then
+        see. `keys` names the documents, those that now have no chunk too; by default those of the chunks. Other documents keep theirs."""
+        tables = {"chunks": chunks} | ({} if embeddings is None else {"embeddings": embeddings})
+        self.write(batch, tables, chunks if keys is None else keys)
+        return self.visible("chunks")
 
 
 class HashIndex:
