@@ -6,6 +6,7 @@ from tidemill.functions import text as X
 from tidemill.operators import consultation as C
 from tidemill.operators import embedding as E
 from tidemill.operators import evaluation as V
+from tidemill.operators import lexicon as L
 from tidemill.operators import retrieval as R
 from tidemill.plans.tables import benchmark, documents, embeddings
 
@@ -202,11 +203,19 @@ _LEX = {"en": ("the", "and", "with"), "de": ("der", "und", "nicht"), "fr": ("les
 
 
 def _lexicon(s, d):
-    """JN9: keyword hits by generated expressions, which a broadcast keyword join would only repeat per row."""
-    hits = F.array(*[F.when(F.contains("text", F.lit(f" {w} ")), F.struct(F.lit(k).alias("lexicon"), F.lit(w).alias("word"))) for k, ws in _LEX.items() for w in ws])
-    return documents(s, d).select("doc_id", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("h")).groupBy("h.lexicon", "h.word").agg(F.count("*").alias("n")).toDF("lexicon", "word", "n")
+    """JN9: how many texts hold each word between spaces."""
+    padded = s.createDataFrame([(k, f" {w} ") for k, ws in _LEX.items() for w in ws], "lexicon string, word string")
+    return L.match(documents(s, d), padded, whole_words=False).groupBy("lexicon", F.trim("word").alias("word")).agg(F.count("*").alias("n"))
 
 
+def _lexicon_matches(s, d):
+    """JN9: the words of the benchmark's items, in five lexicons, as whole words of the documents."""
+    words = benchmark(s, d).select(F.concat(F.lit("b"), F.col("item_id") % 5).alias("lexicon"), F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{Nd}_]+"), F.lit(0))).alias("word"))
+    return L.match(documents(s, d), words.where(F.length("word") >= 4).distinct())
+
+
+_LEXICON = r"""lex AS (SELECT DISTINCT lexicon, word FROM (SELECT 'b' || item_id % 5 AS lexicon, unnest(regexp_extract_all(text, '[\pL\p{Nd}_]+')) AS word FROM benchmark) WHERE length(word) >= 4),
+m AS (SELECT doc_id AS id, lexicon, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\pL\p{Nd}_]+')) AS word FROM documents) JOIN lex USING (word) GROUP BY ALL)"""
 _LEX_SQL = " UNION ALL ".join(f"SELECT '{k}' AS lexicon, '{w}' AS word, count(*) AS n FROM documents WHERE contains(text, ' {w} ')" for k, ws in _LEX.items() for w in ws)
 _R5 = "SELECT query_id, id, rank, score FROM"
 
@@ -223,6 +232,8 @@ QUERIES = {
     "jn7_benchmark_queries": _jn7,
     "jn8_similarity_block": lambda s, d: R.vector_topk(_queries(s, d).where("provider = 'b'"), _store(s, d).where("provider = 'b'"), 3, block=4),
     "jn9_lexicon": _lexicon,
+    "jn9_lexicon_matches": _lexicon_matches,
+    "jn9_lexicon_votes": lambda s, d: L.votes(_lexicon_matches(s, d)),
     "jn10_rank_fusion": lambda s, d: R.fuse(_both_lists(s, d)).select("query_id", "id", "score"),
     "win9_rank_columns": lambda s, d: _both_lists(s, d),
     "win12_relevant_rank": lambda s, d: _evaluation(s, d, _configs(s, d)),
@@ -255,6 +266,8 @@ SQL = {
     "jn7_benchmark_queries": f"WITH {_PASSAGES} SELECT query, relevant_id * 1000 AS relevant_chunk_id, source FROM passages JOIN documents ON doc_id = relevant_id",
     "jn8_similarity_block": f"WITH {_SQL_LISTS} SELECT query_id, id, score, rank FROM lists WHERE list_no = 1 AND rank <= 3",
     "jn9_lexicon": f"SELECT * FROM ({_LEX_SQL}) WHERE n > 0",
+    "jn9_lexicon_matches": f"WITH {_LEXICON} SELECT id, lexicon, word, n FROM m",
+    "jn9_lexicon_votes": f"WITH {_LEXICON} SELECT id, lexicon, words, n FROM (SELECT id, lexicon, count(*) AS words, sum(n)::BIGINT AS n FROM m GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY id ORDER BY words DESC, n DESC, lexicon) = 1",
     "jn10_rank_fusion": f"WITH {_SQL_LISTS} SELECT query_id, id, score FROM fused",
     "win9_rank_columns": f"WITH {_SQL_LISTS} SELECT query_id, id, score, rank, list_no FROM lists",
     "win12_relevant_rank": f"{_RANKS} SELECT config, query_id, rank FROM ranks",

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.functions import udfs
+from tidemill.operators import reports as R
 from tidemill.plans.tables import benchmark, conversations, documents, embeddings, events, labels, pages
 
 _JUNK = r"[^가-힣a-zA-Z0-9\s.,%()\-/·α-ω]"
@@ -44,21 +45,30 @@ def _doc(s, d, *columns):
     return documents(s, d).select("doc_id", *columns)
 
 
-def _confusion(s, d):
-    flagged = documents(s, d).select("doc_id", X.contains_any(F.lower(F.col("text")), ("idiot", "clown", "worthless")).alias("flag")).join(labels(s, d), "doc_id")
-    one = flagged.agg(*[F.sum(F.when(c, 1).otherwise(0)).cast("long").alias(n) for n, c in (("tp", (F.col("toxic") == 1) & F.col("flag")), ("fn", (F.col("toxic") == 1) & ~F.col("flag")), ("fp", (F.col("toxic") == 0) & F.col("flag")), ("tn", (F.col("toxic") == 0) & ~F.col("flag")))])
-    return one.withColumns({"recall": F.round(F.col("tp") / F.nullif(F.col("tp") + F.col("fn"), F.lit(0)), 6), "fpr": F.round(F.col("fp") / F.nullif(F.col("fp") + F.col("tn"), F.lit(0)), 6)})
+def _flagged(s, d):
+    """Labelled documents and whether an insult's keyword is in them."""
+    flag = X.contains_any(F.lower(F.col("text")), ("idiot", "clown", "worthless"))
+    return documents(s, d).join(labels(s, d), "doc_id").select("doc_id", "text", flag.alias("flag"), (F.col("toxic") == 1).alias("truth"))
 
 
 def _chunk_flags(s, d):
-    t, sent = F.col("text"), X.split_sentences(F.col("text"))
-    return documents(s, d).select(
-        "doc_id", "text", (F.length(X.strip(t)) < 30).alias("too_short"), (F.length(t) > 2000).alias("too_long"), (X.junk_ratio(t) > 0.3).alias("meaningless"),
-        ((X.strip(t) != "") & ~X.ends_with_any(F.regexp_replace(t, X.UNICODE + r"\s+$", ""), X.FINAL_ENDINGS)).alias("mid_cut"),
-        ((F.size(sent) >= 3) & F.exists(F.array_distinct(sent), lambda x: F.size(F.filter(sent, lambda y: y == x)) >= 3)).alias("repetition"), F.col("source").isNull().alias("no_metadata"),
-    )
+    return R.chunk_flags(documents(s, d).select("doc_id", "text", "source")).drop("source")
 
 
+def _answers(s, d):
+    """Questions with five choices, the fifths of the answer; the right one as a letter or a number, or as neither; and responses that
+    name it, that hold its text, or that do neither."""
+    p = _pairs(s, d).withColumn("w", F.ceil(F.length("answer") / 5).cast("int"))
+    choices = {k: F.when((F.col("turn") + i) % 5 != 0, F.substring("answer", i * F.col("w") + 1, F.col("w"))) for i, k in enumerate("ABCDE")}
+    told = F.element_at(F.array(*map(F.lit, ("A", "2", "E", "7", "b"))), (F.col("conv_id") % 5 + 1).cast("int"))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("I say "), F.upper(told), F.lit(", surely. "), "question")).when(F.col("turn") % 3 == 1, F.concat("question", F.lit(" "), "answer")).otherwise(F.col("question"))
+    return p.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "question", *[c.alias(k) for k, c in choices.items()], told.alias("answer"), said.alias("response"))
+
+
+_ANSWERS = f"""{_SQL_PAIRS}, w AS (SELECT *, ceil(length(answer) / 5.0)::INT AS w, ['A', '2', 'E', '7', 'b'][conv_id % 5 + 1] AS told, ['A', 'B', 'E', NULL, 'B'][conv_id % 5 + 1] AS gold_letter FROM pairs),
+e AS (SELECT conv_id * 100 + turn AS id, question, gold_letter, coalesce(trim(regexp_replace(CASE WHEN (turn + strpos('ABCDE', gold_letter) - 1) % 5 <> 0 THEN substr(answer, (strpos('ABCDE', gold_letter) - 1) * w + 1, w) END, '\\s+', ' ', 'g')), '') AS gold_text,
+CASE turn % 3 WHEN 0 THEN 'I say ' || upper(told) || ', surely. ' || question WHEN 1 THEN question || ' ' || answer ELSE question END AS response FROM w),
+graded AS (SELECT *, coalesce(regexp_matches(response[1:20], '(^|[^\\pL\\pM\\p{{Nd}}\\p{{Pc}}])' || gold_letter || '([^\\pL\\pM\\p{{Nd}}\\p{{Pc}}]|$)'), false) OR (gold_text <> '' AND contains(response, gold_text)) AS correct FROM e)"""
 _ENDS = " OR ".join(f"ends_with(regexp_replace(text, '\\s+$', ''), '{e}')" for e in X.FINAL_ENDINGS)
 _FLAGS = rf"""flags AS (SELECT doc_id, text, length({_S}) < 30 AS too_short, length(text) > 2000 AS too_long,
 CASE WHEN length({_S}) = 0 THEN true ELSE (length({_S}) - length(regexp_replace({_S}, '{_JUNK}', '', 'g'))) / length({_S}) > 0.3 END AS meaningless,
@@ -67,18 +77,7 @@ CASE WHEN length({_S}) = 0 THEN true ELSE (length({_S}) - length(regexp_replace(
 _FLAG_NAMES = ("too_short", "too_long", "meaningless", "mid_cut", "repetition", "no_metadata")
 
 
-def _flag_report(s, d):
-    flags = _chunk_flags(s, d)
-    one = flags.agg(F.count("*").alias("of"), *[F.sum(F.col(f).cast("int")).cast("long").alias(f) for f in _FLAG_NAMES])
-    pairs = ", ".join(f"'{f}', {f}" for f in _FLAG_NAMES)
-    return one.select("of", F.expr(f"stack({len(_FLAG_NAMES)}, {pairs}) AS (flag, n)")).select("flag", "n", F.round(100.0 * F.col("n") / F.col("of"), 4).alias("percent"))
-
-
-def _review(s, d):
-    words = {"legal": "(licen[sc]ed|rights reserved)", "contact": r"@|\+\d", "secret": "(token|password)"}
-    found = documents(s, d).select(F.explode(F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in words.items()]), lambda x: x.isNotNull())).alias("category"))
-    n = documents(s, d).count()
-    return found.groupBy("category").agg(F.count("*").alias("n")).withColumn("share", F.round(F.col("n") / F.lit(n), 6))
+_REVIEW = {"legal": "(licen[sc]ed|rights reserved)", "contact": r"@|\+\d", "secret": "(token|password)"}
 
 
 QUERIES = {
@@ -123,11 +122,15 @@ QUERIES = {
         F.count("*").alias("raw"), F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).cast("long").alias("cleaned"), (F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)) - F.countDistinct(F.when(F.col("reason").isNull(), F.col("hash")))).cast("long").alias("duplicates")
     ),
     "agg8_filter_statistics": lambda s, d: _reports(s, d).groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n")),
-    "agg9_review_categories": _review,
-    "agg10_chunk_quality": _flag_report,
+    "agg9_review_categories": lambda s, d: R.review_categories(documents(s, d), "text", _REVIEW),
+    "agg9_default_categories": lambda s, d: R.review_categories(documents(s, d).select(F.concat_ws(" ", "text", F.when(F.col("doc_id") % 3 == 0, "수술  적응 용량"), F.when(F.col("doc_id") % 5 == 0, "진단 기준, 응급")).alias("text"))),
+    "agg10_chunk_quality": lambda s, d: R.chunk_quality(_chunk_flags(s, d), "doc_id"),
     "agg14_answer_metrics": lambda s, d: _pairs(s, d).agg(F.count("*").alias("cases"), F.round(F.avg(X.exact_match(F.col("question"), F.col("answer"))), 6).alias("exact_match"), F.round(F.avg(X.token_f1(F.col("question"), F.col("answer"))), 6).alias("token_f1")),
-    "agg15_detector": _confusion,
-    "agg16_mcq_accuracy": lambda s, d: documents(s, d).select(F.avg((F.substring("text", 1, 20).rlike("(?i)(^|[^a-z])(the|le|der)([^a-z]|$)") | F.contains(F.col("text"), F.lit("and"))).cast("double")).alias("accuracy")).select(F.round("accuracy", 6).alias("accuracy")),
+    "agg15_detector": lambda s, d: R.detector(_flagged(s, d)),
+    "agg15_detector_faults": lambda s, d: R.detector_faults(_flagged(s, d)).select("doc_id", "fault", R.preview(F.col("text")).alias("preview")),
+    "agg16_mcq_accuracy": lambda s, d: R.mcq_accuracy(R.mcq_graded(_answers(s, d))),
+    "agg16_mcq_graded": lambda s, d: R.mcq_graded(_answers(s, d)).select("id", "gold_letter", "gold_text", "correct"),
+    "agg16_mcq_wrong": lambda s, d: R.mcq_wrong(R.mcq_graded(_answers(s, d)), "id"),
 }
 
 SQL = {
@@ -171,10 +174,16 @@ FROM (SELECT source, {_REASON} AS reason, sha256({_S}) AS hash FROM documents) G
     "agg8_filter_statistics": f"SELECT coalesce({_REASON}, 'passed') AS reason, count(*) AS n FROM documents GROUP BY 1",
     "agg9_review_categories": r"""WITH c AS (SELECT 'legal' AS category, regexp_matches(text, '(licen[sc]ed|rights reserved)') AS hit FROM documents UNION ALL SELECT 'contact', regexp_matches(text, '@|\+\d') FROM documents
 UNION ALL SELECT 'secret', regexp_matches(text, '(token|password)') FROM documents) SELECT category, sum(hit::INT)::BIGINT AS n, round(sum(hit::INT) / count(*), 6) AS share FROM c GROUP BY category HAVING sum(hit::INT) > 0""",
-    "agg10_chunk_quality": f"WITH {_FLAGS} SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, sum({f}::INT)::BIGINT AS n, round(100.0 * sum({f}::INT) / count(*), 4) AS percent FROM flags" for f in _FLAG_NAMES) + ")",
+    "agg9_default_categories": r"""WITH c AS (SELECT doc_id, unnest(['수술 적응', '용량', '확진/진단기준', '응급/긴급']) AS category, unnest([3, 3, 5, 5]) AS every FROM documents)
+SELECT category, count(*) FILTER (doc_id % every = 0) AS n, round(count(*) FILTER (doc_id % every = 0) / count(*), 6) AS share FROM c GROUP BY category""",
+    "agg10_chunk_quality": f"WITH {_FLAGS}, line AS (SELECT *, replace({_S}, chr(10), ' ') AS t FROM flags), shown AS (SELECT *, CASE WHEN length(t) > 120 THEN t[1:120] || '…' ELSE t END AS p FROM line) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, sum({f}::INT)::BIGINT AS n, round(100.0 * sum({f}::INT) / count(*), 4) AS percent, coalesce(list(p ORDER BY doc_id) FILTER ({f}), [])[1:3] AS samples FROM shown" for f in _FLAG_NAMES) + ")",
     "agg14_answer_metrics": f"WITH {_SQL_PAIRS} SELECT count(*) AS cases, round(avg(({_NORM.format('question')} = {_NORM.format('answer')})::INT), 6) AS exact_match, round(avg({_f1('question', 'answer')}), 6) AS token_f1 FROM pairs",
     "agg15_detector": """WITH f AS (SELECT toxic = 1 AS t, regexp_matches(lower(text), 'idiot|clown|worthless') AS flag FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT sum((t AND flag)::INT)::BIGINT AS tp, sum((t AND NOT flag)::INT)::BIGINT AS fn, sum((NOT t AND flag)::INT)::BIGINT AS fp, sum((NOT t AND NOT flag)::INT)::BIGINT AS tn FROM f)
 SELECT *, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr FROM c""",
-    "agg16_mcq_accuracy": r"SELECT round(avg((regexp_matches(text[1:20], '(?i)(^|[^a-z])(the|le|der)([^a-z]|$)') OR contains(text, 'and'))::INT), 6) AS accuracy FROM documents",
+    "agg15_detector_faults": f"""WITH f AS (SELECT doc_id, toxic = 1 AS t, regexp_matches(lower(text), 'idiot|clown|worthless') AS flag, replace({_S}, chr(10), ' ') AS line FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, CASE WHEN t THEN 'missed' ELSE 'false_alarm' END AS fault, CASE WHEN length(line) > 120 THEN line[1:120] || '…' ELSE line END AS preview FROM f WHERE t <> flag""",
+    "agg16_mcq_accuracy": f"WITH {_ANSWERS} SELECT count(*) AS of, count(*) FILTER (correct) AS correct, round(count(*) FILTER (correct) / count(*), 6) AS accuracy FROM graded",
+    "agg16_mcq_graded": f"WITH {_ANSWERS} SELECT id, gold_letter, gold_text, correct FROM graded",
+    "agg16_mcq_wrong": f"WITH {_ANSWERS} SELECT id, question[1:60] AS question, coalesce(gold_letter, '') || '. ' || gold_text AS gold, response[1:150] AS response FROM graded WHERE NOT correct ORDER BY id LIMIT 5",
 }
