@@ -34,20 +34,19 @@ def message_counts(conversations: DataFrame, messages: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "user_id").join(counted, "conv_id").groupBy("user_id", "role").agg(F.sum("n").alias("n"))
 
 
+def attachment_counts(conversations: DataFrame, messages: DataFrame, attachments: DataFrame) -> DataFrame:
+    """(user_id, n) of owners with attachments (message_id): counted by message, then by conversation, before they meet their owner."""
+    by_message = attachments.groupBy("message_id").agg(F.count("*").alias("n"))
+    by_conversation = messages.select("message_id", "conv_id").join(by_message, "message_id").groupBy("conv_id").agg(F.sum("n").alias("n"))
+    return conversations.select("conv_id", "user_id").join(by_conversation, "conv_id").groupBy("user_id").agg(F.sum("n").alias("n"))
+
+
 def remap_owner(df: DataFrame, mapping: DataFrame, column: str = "user_id") -> DataFrame:
     """df with owners replaced where mapping (old_id, new_id) has them, and `remapped` to count by."""
     kept = [c for c in df.columns if c != column]
     return df.join(mapping, F.col(column) == F.col("old_id"), "left").select(*kept, F.coalesce("new_id", column).alias(column), F.col("new_id").isNotNull().alias("remapped"))
 
 
-def erase_users(users: DataFrame, conversations: DataFrame, messages: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
-    """What stays after the users' data go: conversations, messages of those; documents all stay, without their erased owner."""
-    kept = conversations.join(users.select("user_id"), "user_id", "left_anti")
-    gone = users.select(F.col("user_id").alias("_gone")).distinct()
-    owned = documents.join(gone, F.col("user_id") == F.col("_gone"), "left").withColumn("user_id", F.when(F.col("_gone").isNull(), F.col("user_id"))).drop("_gone")
-    return {"conversations": kept, "messages": messages.join(kept.select("conv_id"), "conv_id", "left_semi"), "documents": owned}
-
-
 def _blank(c: str) -> Column:
     return X.strip(F.coalesce(c, F.lit(""))) == ""
 

@@ -90,8 +90,22 @@ def overview_rows(log: DataFrame, today: str, days: int | None = None) -> DataFr
 
 
 def lifetime_quota(events: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:
-    """events with `allowed`: whether fewer than `limit` of its key's events came before. Keys are dealt by hash; each is ranked once."""
-    return events.withColumn("allowed", F.row_number().over(Window.partitionBy(key).orderBy(*order)) <= limit)
+    """events with `allowed`: whether fewer than `limit` of its key's events came before.
+
+    Only a key's limit-th event matters: each task passes on the first `limit` events of a key that it has (Spark limits groups before
+    their shuffle), and all events are compared with where the limit falls. A key that very many events share is never gathered.
+    `order` names each event of a key once; events without a key are a key of their own.
+    """
+    placed = events.withColumn("_order", F.struct(*order))
+    first = placed.select(key, "_order").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).where(F.col("_n") <= limit)
+    last = first.groupBy(F.col(key).alias("_key")).agg(F.max(F.when(F.col("_n") == limit, F.col("_order"))).alias("_last"))
+    met = placed.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return met.withColumn("allowed", F.lit(limit > 0) & (F.col("_last").isNull() | (F.col("_order") <= F.col("_last")))).select(*events.columns, "allowed")
+
+
+def quota_used(events: DataFrame, key: str) -> DataFrame:
+    """(key, used) of events that were made before a stream of them begins: the state it starts from."""
+    return events.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("used"))
 
 
 def user_summary(conversations: DataFrame) -> DataFrame:

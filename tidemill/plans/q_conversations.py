@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidemill.operators import cascade
 from tidemill.operators import conversations as C
 from tidemill.plans.tables import conversations, documents
 
@@ -26,9 +27,25 @@ def _mapping(s):
     return s.createDataFrame([(3, 100), (5, 101)], "old_id long, new_id long")
 
 
+def _messages(s, d):
+    """Turns as messages with an id of their own."""
+    return conversations(s, d).select((F.col("conv_id") * 100 + F.col("turn")).alias("message_id"), "conv_id", "turn", "role", "text")
+
+
+def _attachments(s, d):
+    """One to three files of every third turn."""
+    own = _messages(s, d).where("turn % 3 = 0").select("message_id", F.explode(F.sequence(F.lit(1), (F.col("conv_id") % 3 + 1).cast("int"))).alias("place"))
+    return own.select((F.col("message_id") * 10 + F.col("place")).alias("attachment_id"), "message_id")
+
+
 def _erased(s, d, part):
-    docs = documents(s, d).select("doc_id", (F.col("doc_id") % 17).alias("user_id"))
-    return C.erase_users(s.createDataFrame([(3,), (5,)], "user_id long"), _heads(s, d), conversations(s, d), docs)[part]
+    """What stays of each table after two users' data go."""
+    heads = _heads(s, d)
+    tables = {
+        "users": heads.select("user_id").distinct(), "conversations": heads, "messages": _messages(s, d), "attachments": _attachments(s, d),
+        "logs": _messages(s, d).where("role = 'assistant'").select(F.col("message_id").alias("log_id"), "message_id"), "documents": documents(s, d).select("doc_id", (F.col("doc_id") % 17).alias("user_id")),
+    }
+    return cascade.erase(tables, cascade.USER_DATA, "users", s.createDataFrame([(3,), (5,)], "user_id long"))[part]
 
 
 def _user_turns(s, d):
@@ -39,9 +56,12 @@ QUERIES = {
     "jn5_search": lambda s, d: C.search(_heads(s, d), conversations(s, d), "ing th").select("conv_id", "title"),
     "jn5_search_blank": lambda s, d: C.search(_heads(s, d), conversations(s, d), "  ").select("conv_id", "title"),
     "jn6_message_counts": lambda s, d: C.message_counts(_heads(s, d), conversations(s, d)),
+    "jn6_attachment_counts": lambda s, d: C.attachment_counts(_heads(s, d), _messages(s, d), _attachments(s, d)),
     "jn11_remap_owner": lambda s, d: C.remap_owner(_heads(s, d), _mapping(s)).select("conv_id", "user_id", "remapped"),
     "jn12_erase_conversations": lambda s, d: _erased(s, d, "conversations").select("conv_id", "user_id"),
     "jn12_erase_messages": lambda s, d: _erased(s, d, "messages").select("conv_id", "turn"),
+    "jn12_erase_attachments": lambda s, d: _erased(s, d, "attachments"),
+    "jn12_erase_logs": lambda s, d: _erased(s, d, "logs"),
     "jn12_erase_documents": lambda s, d: _erased(s, d, "documents"),
     "win6_pairs": lambda s, d: C.pairs(conversations(s, d)),
     "win7_history": lambda s, d: C.history(C.pairs(conversations(s, d)), 6, 2000).select("conv_id", "turn", "back", "sum_chars"),
@@ -56,9 +76,12 @@ SQL = {
     "jn5_search": f"""WITH {_HEADS} SELECT conv_id, title FROM heads h WHERE title ILIKE '%ing th%' OR category ILIKE '%ing th%' OR EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = h.conv_id AND c.text ILIKE '%ing th%')""",
     "jn5_search_blank": f"WITH {_HEADS} SELECT conv_id, title FROM heads",
     "jn6_message_counts": f"WITH {_HEADS} SELECT user_id, role, count(*) AS n FROM heads JOIN conversations USING (conv_id) GROUP BY ALL",
+    "jn6_attachment_counts": "SELECT conv_id % 17 AS user_id, sum(conv_id % 3 + 1)::BIGINT AS n FROM conversations WHERE turn % 3 = 0 GROUP BY 1",
     "jn11_remap_owner": f"WITH {_HEADS} SELECT conv_id, CASE user_id WHEN 3 THEN 100 WHEN 5 THEN 101 ELSE user_id END AS user_id, user_id IN (3, 5) AS remapped FROM heads",
     "jn12_erase_conversations": f"WITH {_HEADS} SELECT conv_id, user_id FROM heads WHERE user_id NOT IN (3, 5)",
     "jn12_erase_messages": "SELECT conv_id, turn FROM conversations WHERE conv_id % 17 NOT IN (3, 5)",
+    "jn12_erase_attachments": "SELECT (conv_id * 100 + turn) * 10 + unnest(range(1, conv_id % 3 + 2)) AS attachment_id, conv_id * 100 + turn AS message_id FROM conversations WHERE turn % 3 = 0 AND conv_id % 17 NOT IN (3, 5)",
+    "jn12_erase_logs": "SELECT conv_id * 100 + turn AS log_id, conv_id * 100 + turn AS message_id FROM conversations WHERE role = 'assistant' AND conv_id % 17 NOT IN (3, 5)",
     "jn12_erase_documents": "SELECT doc_id, CASE WHEN doc_id % 17 NOT IN (3, 5) THEN doc_id % 17 END AS user_id FROM documents",
     "win6_pairs": f"WITH {_PAIRS} SELECT * FROM pairs",
     "win7_history": f"""WITH {_PAIRS} SELECT conv_id, turn, back, sum_chars FROM (SELECT *, row_number() OVER w AS back, (sum(length(question) + length(answer)) OVER w)::BIGINT AS sum_chars FROM pairs

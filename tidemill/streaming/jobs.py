@@ -114,5 +114,39 @@ def throttle_stream(events: DataFrame, limit: int, hours: int) -> DataFrame:
     return keyed.transformWithStateInPandas(Throttle(limit, hours), THROTTLED, "append", "none")
 
 
+QUOTED = "event_id long, key string, allowed boolean"
+
+
+class Quota(StatefulProcessor):
+    """Events of a key are allowed until `limit` of them have been; the state is how many have come."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("used", "used long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        self.state.update((int(initialState["used"].sum()),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        used = self.state.get()[0] if self.state.exists() else 0
+        self.state.update((used + len(events),))
+        allowed = [used + i < self.limit for i in range(len(events))]
+        yield pd.DataFrame({"event_id": events["event_id"], "key": str(key[0]), "allowed": allowed})
+
+    def close(self) -> None:
+        pass
+
+
+def quota_stream(events: DataFrame, limit: int, used: DataFrame | None = None) -> DataFrame:
+    """(event_id, key, allowed) of a stream (event_id, key, ts), by keyed state that begins with `used` (key, used), what the batch
+    history has counted (`dashboard.quota_used`). The state is one number a key. Needs the RocksDB state store (`use_rocksdb`)."""
+    keyed = events.select("event_id", F.col("key").cast("string").alias("key"), "ts").groupBy("key")
+    begun = used.select(F.col("key").cast("string").alias("key"), F.col("used").cast("long").alias("used")).groupBy("key") if used is not None else None
+    return keyed.transformWithStateInPandas(Quota(limit), QUOTED, "append", "none", begun)
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
