@@ -68,25 +68,35 @@ def usage_histogram(log: DataFrame, today: str, days: int | None = None) -> Data
     return names.join(own.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("users")), "bucket", "left").select("bucket", F.coalesce("users", F.lit(0)).cast("long").alias("users"))
 
 
-def overview(log: DataFrame, today: str, days: int | None = None) -> dict[str, DataFrame]:
-    """All of the above over one cached window, to be unpersisted by the caller (`overview(...)["base"]`)."""
-    base = window_of(log, today, clamp_days(days)).cache()
-    return {"base": base, "kpis": kpis(base, today), "daily": daily(base, today, days), "models": model_usage(base, today, days), "usage": usage_histogram(base, today, days)}
-
-
-def overview_rows(log: DataFrame, today: str, days: int | None = None) -> DataFrame:
-    """The overview as (part, name, value), for one result."""
-    k = kpis(log, today)
-    parts = [k.select(F.lit("kpis").alias("part"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in ("total", "rag_hits", "fallbacks", "emergencies", "users")]
-    parts += [
-        daily(log, today, days).select(F.lit("daily").alias("part"), F.col("day").cast("string").alias("name"), F.col("total").cast("double").alias("value")),
-        model_usage(log, today, days).select(F.lit("models").alias("part"), F.col("model_id").alias("name"), F.col("total").cast("double").alias("value")),
-        usage_histogram(log, today, days).select(F.lit("usage").alias("part"), F.col("bucket").alias("name"), F.col("users").cast("double").alias("value")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def overview(log: DataFrame, today: str, days: int | None = None) -> DataFrame:
+    """(part, name, value): today's KPIs, the daily series, model usage and the usage histogram, zeros included, from one scan.
+
+    Every row counts in three grouping sets, its day, its model and its user; users are then counted by how much they used. Both
+    levels combine counts before they shuffle, so a hot day, model or user is one row a task.
+    """
+    days = clamp_days(days)
+    end = F.lit(today).cast("date")
+    now = F.to_date("created_at") == end
+    shaped = window_of(log, today, days).select(
+        F.to_date("created_at").alias("day"), "model_id", "user_id", now.cast("int").alias("now"), (now & F.coalesce(F.col("rag_hit_count") > 0, F.lit(False))).cast("int").alias("rag"),
+        (now & F.coalesce("is_fallback", F.lit(False))).cast("int").alias("fallback"), (now & F.coalesce("is_emergency", F.lit(False))).cast("int").alias("emergency"),
+    )
+    sets = shaped.groupingSets([["day"], ["model_id"], ["user_id"]], "day", "model_id", "user_id").agg(
+        F.grouping_id().alias("of"), F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("now", "rag", "fallback", "emergency")]
+    )
+    row = lambda part, name, value: F.struct(F.lit(part).alias("part"), name.cast("string").alias("name"), value.cast("double").alias("value"))
+    kpi = [row("kpis", F.lit(k), F.col(c)) for k, c in (("total", "now"), ("rag_hits", "rag"), ("fallbacks", "fallback"), ("emergencies", "emergency"))]
+    bucket = F.lit(None).cast("string")
+    for name, low, high in reversed(BUCKETS):
+        bucket = F.when((F.col("n") >= low) & (F.lit(high is None) | (F.col("n") <= F.lit(high))), name).otherwise(bucket)
+    of_user = F.array(row("usage", bucket, F.lit(1)), row("kpis", F.lit("users"), (F.col("now") > 0).cast("int")))
+    # bits of grouping_id: 1 where a column isn't of the set, the first column's bit the highest
+    told = F.when(F.col("of") == 0b011, F.array(row("daily", F.col("day"), F.col("n")), *kpi)).when((F.col("of") == 0b101) & F.col("model_id").isNotNull(), F.array(row("models", F.col("model_id"), F.col("n"))))
+    told = told.when((F.col("of") == 0b110) & F.col("user_id").isNotNull(), of_user)
+    zeros = [("kpis", k, 0.0) for k in ("total", "rag_hits", "fallbacks", "emergencies", "users")] + [("usage", b[0], 0.0) for b in BUCKETS]
+    calendar = log.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(end, days - 1), end)).alias("day")).select(F.lit("daily").alias("part"), F.col("day").cast("string").alias("name"), F.lit(0.0).alias("value"))
+    every = sets.select(F.explode(told).alias("r")).select("r.*").unionByName(log.sparkSession.createDataFrame(zeros, "part string, name string, value double")).unionByName(calendar)
+    return every.groupBy("part", "name").agg(F.sum("value").alias("value"))
 
 
 def lifetime_quota(events: DataFrame, key: str, order: list[str], limit: int) -> DataFrame:

@@ -19,14 +19,14 @@ LEAST_PART = 0.6
 
 
 def first_by(df: DataFrame, key: str, order: list) -> DataFrame:
-    """The first row of each key by order, with the columns of df.
+    """The first row of each key by order, with the columns of df; exact ties are settled by a hash of the row.
 
-    A grouped minimum of the order alone, then a join on key and order: partial minima leave one candidate a key and task, and rows of
-    one key are spread by their order, so a key that many rows share is no task's burden.
+    One grouped minimum that carries its row: df is derived once, and partial minima leave one candidate a key and task, so a key that
+    many rows share is no task's burden.
     """
-    placed = df.withColumn("_order", F.struct(*order))
-    best = placed.groupBy(key).agg(F.min("_order").alias("_order"))
-    return placed.join(best, [key, "_order"], "left_semi").dropDuplicates([key, "_order"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    best = df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*columns), F.struct(*order, F.xxhash64(*columns))).alias("_row"))
+    return best.select("_row.*")
 
 
 def dedup_content(records: DataFrame, priority: str, order: str) -> DataFrame:
@@ -53,14 +53,34 @@ def new_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: str
     return first_by(fresh, "_h", order).drop("_h")
 
 
+def judge_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: str = "chunk") -> DataFrame:
+    """chunks with their text stripped and `status`: rejected by a gate, duplicate (its text is stored, or stands before by order), or kept.
+
+    A text is rejected or not wherever it stands, so its first place is found by its hash alone, and the gates are asked once a chunk.
+    `order` names each chunk once; rows that repeat it share their status.
+    """
+    own = chunks.withColumn(text, X.strip(F.col(text))).withColumns({"_h": F.sha2(text, 256), "_place": F.struct(*order)})
+    held = stored.select(F.sha2(text, 256).alias("_h")).distinct()
+    first = own.groupBy("_h").agg(F.min("_place").alias("_place")).join(held, "_h", "left_anti").withColumn("_first", F.lit(True))
+    placed = own.join(first, ["_h", "_place"], "left")
+    status = F.when(X.reject_reason(F.col(text)).isNotNull(), "rejected").when(F.col("_first"), "kept").otherwise("duplicate")
+    return placed.withColumn("status", status).select(*[F.col(f"`{c}`") for c in chunks.columns], "status")
+
+
 def gate_chunks(chunks: DataFrame, stored: DataFrame, order: list[str], text: str = "chunk") -> tuple[DataFrame, DataFrame]:
     """(chunks to store, counts): cleaned, then those that aren't stored and first of their text. counts: total, rejected, duplicate,
-    kept; storing nothing at all is left to the caller to refuse."""
-    cleaned = chunks.withColumn(text, X.clean_content(F.col(text))).where(F.col(text).isNotNull())
-    kept = new_chunks(cleaned, stored, order, text)
-    counts = [df.agg(F.count("*").cast("long").alias("n")).select(F.lit(k).alias("k"), "n") for k, df in (("total", chunks), ("cleaned", cleaned), ("kept", kept))]
-    one = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy().pivot("k", ["total", "cleaned", "kept"]).agg(F.first("n"))
-    return kept, one.select("total", (F.col("total") - F.col("cleaned")).alias("rejected"), (F.col("cleaned") - F.col("kept")).alias("duplicate"), "kept")
+    kept, from one pass; `require_kept` refuses to go on where nothing is left."""
+    judged = judge_chunks(chunks, stored, order, text)
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return judged.where("status = 'kept'").drop("status"), judged.agg(F.count("*").alias("total"), count("rejected"), count("duplicate"), count("kept"))
+
+
+def require_kept(counts: DataFrame) -> dict[str, int]:
+    """The counts of `gate_chunks`; an error where no chunk is left to store."""
+    found = counts.first().asDict()
+    if not found["kept"]:
+        raise ValueError(f"no chunk is left to store: of {found['total']}, {found['rejected']} were rejected and {found['duplicate']} are known already")
+    return found
 
 
 def ingest(records: DataFrame, priority: str = "priority", order: str = "idx", observers: dict | None = None) -> DataFrame:

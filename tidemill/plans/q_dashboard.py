@@ -37,7 +37,7 @@ QUERIES = {
     "agg3_daily_emergency": lambda s, d: D.daily(log(s, d), TODAY, 30),
     "agg4_model_usage": lambda s, d: D.model_usage(log(s, d), TODAY),
     "agg5_usage_histogram": lambda s, d: D.usage_histogram(log(s, d), TODAY, 5),
-    "agg6_overview": lambda s, d: D.overview_rows(log(s, d), TODAY, 14),
+    "agg6_overview": lambda s, d: D.overview(log(s, d), TODAY, 14),
     "agg18_user_summary": lambda s, d: D.user_summary(events(s, d).withColumnRenamed("ts", "created_at")),
     "str5_lifetime_quota": lambda s, d: D.lifetime_quota(events(s, d), "user_id", ["ts", "event_id"], 20).select("event_id", "user_id", "allowed"),
 }
