@@ -5,6 +5,8 @@ A message list is array<struct<role,content>>. Adapters give null where a row ca
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -207,17 +209,38 @@ def shares(df: DataFrame, by: str) -> DataFrame:
     return counted.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
 
 
-def conversion_report(df: DataFrame, by: str, messages: str = "messages") -> DataFrame:
+def conversion_report(df: DataFrame, by: str, messages: str = "messages", explanation: str | None = None) -> DataFrame:
+    """By source: rows, how many were kept and their share, turns and characters of those; with an explanation column also how many
+    rows have one."""
     size = F.size(messages)
     chars = F.aggregate(messages, F.lit(0), lambda a, m: a + F.length(m["content"]))
     ok = F.col(messages).isNotNull()
+    more = [F.count_if(X.strip(F.coalesce(F.col(explanation).cast("string"), F.lit(""))) != "").alias("explained")] if explanation else []
     return df.groupBy(by).agg(
         F.count("*").alias("total"), F.count_if(ok).alias("kept"), F.round(F.count_if(ok) / F.count("*"), 6).alias("ratio"), F.round(F.avg(F.when(ok, size)), 6).alias("avg_turns"), F.min(F.when(ok, size)).alias("min_turns"), F.max(F.when(ok, size)).alias("max_turns"),
-        F.round(F.avg(F.when(ok, chars)), 6).alias("avg_chars"), F.max(F.when(ok, chars)).alias("max_chars"),
+        F.round(F.avg(F.when(ok, chars)), 6).alias("avg_chars"), F.max(F.when(ok, chars)).alias("max_chars"), *more,
     )
 
 
-def write(df: DataFrame, path: str) -> None:
-    """Splits as partitions of one Parquet table, their statistics beside it."""
+def conversion_reasons(df: DataFrame, by: str, reason: str = "reason") -> DataFrame:
+    """(by, reason, n, total): rows that a conversion has dropped, by source and reason, and by reason over all sources."""
+    counted = df.where(F.col(reason).isNotNull()).groupBy(by, reason).agg(F.count("*").alias("n"))
+    return counted.withColumn("total", F.sum("n").over(Window.partitionBy(reason)))
+
+
+def mcq_reason(question: str, keys: str, answer: str, messages: str = "messages") -> Column:
+    """Why a multiple-choice row gave no messages, or null where it did."""
+    texts = F.filter(F.array(*[_clean(F.col(k)) for k in keys]), lambda t: t != "")
+    why = F.when(F.coalesce(_clean(F.col(question)), F.lit("")) == "", "no_question").when(F.size(texts) < 2, "few_choices").when(F.col(answer).isNull(), "no_answer").otherwise("unknown_answer")
+    return F.when(F.col(messages).isNull(), why)
+
+
+def write(df: DataFrame, path: str, config: dict | None = None) -> None:
+    """Splits as partitions of one Parquet table; beside it their statistics, a log of this and earlier writes, and the configuration
+    as JSON. Statistics are counted from what was written."""
+    spark = df.sparkSession
     df.write.mode("overwrite").partitionBy("split").parquet(f"{path}/messages")
-    df.groupBy("split").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/statistics")
+    written = spark.read.parquet(f"{path}/messages").groupBy("split").agg(F.count("*").alias("n"))
+    written.write.mode("overwrite").parquet(f"{path}/statistics")
+    spark.read.parquet(f"{path}/statistics").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{path}/log")
+    spark.createDataFrame([(json.dumps(config or {}, ensure_ascii=False, sort_keys=True),)], "value string").write.mode("overwrite").text(f"{path}/config")

@@ -34,11 +34,17 @@ _ORDER = "md5('42:' || doc_id), doc_id"
 
 
 def _exam(s, d):
-    p = _pairs(s, d)
-    w = F.split("answer", " ")
-    opt = {k: F.when((F.col("turn") + i) % 5 != 0, F.get(w, F.lit(i))) for i, k in enumerate("ABCDE")}
-    return p.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "question", *[c.alias(k) for k, c in opt.items()], (F.col("turn") % 4).alias("answer_idx"), F.element_at(F.array(*map(F.lit, ("A", "2", "E", "7", "b"))), (F.col("conv_id") % 5 + 1).cast("int")).alias("answer"), F.lit("because").alias("explanation"),
-                    F.map_from_arrays(F.array(F.lit("option_A"), F.lit("option_B")), F.array(F.get(w, F.lit(0)), F.get(w, F.lit(1)))).alias("options"))
+    """Questions whose choices are the fifths of the whole answer (in a map, its halves), some left out; the right one by index, or as
+    a letter, a number or neither."""
+    p = _pairs(s, d).withColumns({"w": F.ceil(F.length("answer") / 5).cast("int"), "h": F.ceil(F.length("answer") / 2).cast("int")})
+    opt = {k: F.when((F.col("turn") + i) % 5 != 0, F.substring("answer", i * F.col("w") + 1, F.col("w"))) for i, k in enumerate("ABCDE")}
+    return p.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "conv_id", "question", *[c.alias(k) for k, c in opt.items()], (F.col("turn") % 4).alias("answer_idx"), F.element_at(F.array(*map(F.lit, ("A", "2", "E", "7", "b"))), (F.col("conv_id") % 5 + 1).cast("int")).alias("answer"),
+                    F.when(F.col("turn") % 3 > 0, "because").alias("explanation"), F.map_from_arrays(F.array(F.lit("option_A"), F.lit("option_B")), F.array(F.substring("answer", F.lit(1), F.col("h")), F.substring("answer", F.col("h") + 1, F.col("h")))).alias("options"))
+
+
+def _converted(s, d):
+    numbered = S.mcq_numbered(_exam(s, d))
+    return numbered.withColumns({"source_dataset": F.col("conv_id") % 4, "reason": S.mcq_reason("question", "ABCDE", "answer")})
 
 
 def _priority(s, d):
@@ -68,6 +74,8 @@ QUERIES = {
     "top10_split": lambda s, d: S.split(_typed(s, d), "data_type", "doc_id").select("doc_id", "data_type", "split"),
     "top12_sample": lambda s, d: documents(s, d).select("doc_id").orderBy(F.md5(F.concat(F.lit("42:"), F.col("doc_id").cast("string"))), "doc_id").limit(10),
     "agg11_conversion_report": lambda s, d: S.conversion_report(_messages(s, d).withColumn("source_dataset", F.col("conv_id") % 4), "source_dataset"),
+    "agg11_explanations": lambda s, d: S.conversion_report(_converted(s, d), "source_dataset", explanation="explanation").select("source_dataset", "total", "kept", "explained"),
+    "agg11_reasons": lambda s, d: S.conversion_reasons(_converted(s, d), "source_dataset"),
     "agg12_mixture": lambda s, d: S.shares(_typed(s, d), "data_type"),
 }
 
@@ -75,7 +83,34 @@ _Q, _A = _cm("question"), _cm("answer")
 _SHOWN = "array_to_string(list_transform({}, lambda x: '<' || x.role || '>' || chr(10) || x.content || chr(10) || '</' || x.role || '>'), chr(10))"
 _PAIR_SHOWN = f"'<user>' || chr(10) || {_Q} || chr(10) || '</user>' || chr(10) || '<assistant>' || chr(10) || {_A} || chr(10) || '</assistant>'"
 
+def _clean(x):
+    return f"coalesce({_CLEAN.replace('<x>', x)}, '')"
+
+
+def _masked(x):
+    return _MASK.replace("<x>", f"({x})")
+
+
+_PART = "CASE WHEN (turn + {i}) % 5 <> 0 THEN substr(answer, {i} * w + 1, w) END"
+_CHOICES = ", ".join("{'key': '" + k + "', 'text': " + _clean(_PART.format(i=i)) + "}" for i, k in enumerate("ABCDE"))
+_EXAM = f"""{_SQL_PAIRS}, halves AS (SELECT *, ceil(length(answer) / 5.0)::INT AS w, ceil(length(answer) / 2.0)::INT AS h FROM pairs),
+exam AS (SELECT conv_id * 100 + turn AS id, conv_id, {_clean('question')} AS question, list_filter([{_CHOICES}], lambda o: o.text <> '') AS five, turn % 4 AS answer_idx, ['A', '2', 'E', '7', 'b'][conv_id % 5 + 1] AS answer, ['A', 'B', 'E', NULL, 'B'][conv_id % 5 + 1] AS letter,
+CASE WHEN turn % 3 > 0 THEN 'because' ELSE '' END AS explanation, {_clean('substr(answer, 1, h)')} AS a, {_clean('substr(answer, h + 1, h)')} AS b FROM halves)"""
+_TWO = "'<user>' || chr(10) || {} || chr(10) || '</user>' || chr(10) || '<assistant>' || chr(10) || {} || chr(10) || '</assistant>'"
+_ASK = "'다음 의학 문제에 답하세요.' || chr(10) || chr(10) || '질문:' || chr(10) || question"
+_LIST = "array_to_string(list_transform({}, lambda o: o.key || '{} ' || o.text), chr(10))"
+
 SQL = {
+    "sft2_mcq_columns": f"""WITH {_EXAM}, four AS (SELECT *, list_filter(five, lambda o: o.key <> 'E') AS opts, ['A', 'B', 'C', 'D'][answer_idx + 1] AS l FROM exam), t AS (SELECT *, coalesce(list_filter(opts, lambda x: x.key = l)[1].text, upper(answer)) AS r FROM four)
+SELECT id, CASE WHEN question <> '' AND len(opts) > 0 THEN {_TWO.format(_masked(_ASK + " || chr(10) || chr(10) || " + _LIST.format('opts', '.')), _masked("'정답은 ' || l || '입니다.' || chr(10) || chr(10) || l || '. ' || CASE WHEN r = upper(answer) THEN answer ELSE r END"))} END AS shown FROM t""",
+    "sft3_mcq_map": f"""WITH {_EXAM}, t AS (SELECT *, upper(answer) AS l, CASE upper(answer) WHEN 'A' THEN a WHEN 'B' THEN b ELSE '' END AS r, list_filter([{{'key': 'A', 'text': a}}, {{'key': 'B', 'text': b}}], lambda o: o.text <> '') AS opts FROM exam)
+SELECT id, CASE WHEN question <> '' AND len(opts) > 0 AND r <> '' THEN {_TWO.format(_masked(_ASK + " || chr(10) || chr(10) || '선택지:' || chr(10) || " + _LIST.format('opts', '.')), _masked("'정답은 ' || l || '입니다.' || chr(10) || chr(10) || l || '. ' || r || CASE WHEN explanation <> '' THEN chr(10) || chr(10) || '해설: ' || explanation ELSE '' END"))} END AS shown FROM t""",
+    "sft4_mcq_numbered": f"""WITH {_EXAM}, t AS (SELECT *, list_filter(five, lambda x: x.key = letter)[1].text AS r FROM exam)
+SELECT id, CASE WHEN question <> '' AND len(five) >= 2 AND r IS NOT NULL THEN {_TWO.format("'Answer: ' || question || chr(10) || " + _LIST.format('five', ')'), "letter || ') ' || r")} END AS shown FROM t""",
+    "flt12_mcq_valid": f"WITH {_EXAM} SELECT id, question <> '' AND len(five) >= 2 AS valid FROM exam",
+    "agg11_explanations": f"WITH {_EXAM} SELECT conv_id % 4 AS source_dataset, count(*) AS total, count(*) FILTER (question <> '' AND len(five) >= 2 AND list_filter(five, lambda x: x.key = letter)[1].text IS NOT NULL) AS kept, count(*) FILTER (explanation <> '') AS explained FROM exam GROUP BY 1",
+    "agg11_reasons": f"""WITH {_EXAM}, t AS (SELECT conv_id % 4 AS source_dataset, CASE WHEN question = '' THEN 'no_question' WHEN len(five) < 2 THEN 'few_choices' WHEN list_filter(five, lambda x: x.key = letter)[1].text IS NULL THEN 'unknown_answer' END AS reason FROM exam)
+SELECT source_dataset, reason, count(*) AS n, sum(count(*)) OVER (PARTITION BY reason)::BIGINT AS total FROM t WHERE reason IS NOT NULL GROUP BY source_dataset, reason""",
     "sft1_qa_messages": f"WITH {_SQL_PAIRS} SELECT conv_id, turn, {_PAIR_SHOWN} AS shown FROM pairs",
     "sft5_dialogue": f"WITH {_MESSAGES} SELECT conv_id, {_SHOWN.format('messages')} AS shown FROM messages",
     "sft6_merge_turns": """WITH t AS (SELECT conv_id, turn, text, CASE role WHEN 'system' THEN 'user' ELSE role END AS role FROM conversations), n AS (SELECT *, coalesce((lag(role) OVER w <> role)::INT, 1) AS new FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),

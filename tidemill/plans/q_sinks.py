@@ -7,6 +7,7 @@ from tidemill.functions import text as X
 from tidemill.operators import ingest as I
 from tidemill.operators import sft as S
 from tidemill.plans.q_ingest import _INGEST, _REPORT, _records
+from tidemill.plans.q_sft import SQL as _SFT_SQL
 from tidemill.plans.q_sft import _typed
 from tidemill.plans.tables import benchmark, conversations, documents, pages, scratch
 from tidemill.sources import files as L
@@ -27,7 +28,7 @@ def _records_of(kind):
         writer = out.write.option("header", "true")
         getattr(writer, "json" if kind == "jsonl" else kind)(f"{path}/deep/er")
         if kind == "jsonl":
-            return s.read.option("recursiveFileLookup", "true").json(path).select(F.explode("data.rows").alias("r")).select("r.*")
+            return L.read_records(s, path, kind, "data.rows", "*.json").select("conv_id", "turn", "role")
         return L.read_records(s, path, kind).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role")
 
     return run
@@ -46,11 +47,11 @@ def _decoded(s, d):
 
 
 def _xml(s, d):
-    p = pages(s, d)
-    safe = F.replace(F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    """Pages as XML bodies: the whole page as one section, an empty one and an excluded one."""
+    escaped = lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     section = lambda n, c: F.concat(F.lit(f"<cntntsCl><CNTNTS_CL_NM>{n}</CNTNTS_CL_NM><CNTNTS_CL_CN>"), c, F.lit("</CNTNTS_CL_CN></cntntsCl>"))
-    body = F.concat(F.lit("<response><svc><CNTNTSSJ>"), safe, F.lit("</CNTNTSSJ><cntntsClList>"), section("a", F.concat(F.lit("page "), "page_id")), section("b", F.lit("")), section("참고문헌", F.lit("x")), F.lit("</cntntsClList></svc></response>"))
-    return L.xml_pages(p.select(F.col("page_id").alias("serial"), body.alias("xml"))).select("serial", "title", F.size("sections").alias("n"), F.get("sections", F.lit(0))["text"].alias("text"))
+    body = F.concat(F.lit("<response><svc><CNTNTSSJ>"), escaped(F.col("url")), F.lit("</CNTNTSSJ><cntntsClList>"), section("a", F.concat(F.lit("page "), F.col("page_id").cast("string"), F.lit(" "), escaped(F.col("html")))), section("b", F.lit("")), section("참고문헌", F.lit("x")), F.lit("</cntntsClList></svc></response>"))
+    return L.xml_pages(pages(s, d).select(F.col("page_id").alias("serial"), body.alias("xml"))).select("serial", "title", F.size("sections").alias("n"), F.get("sections", F.lit(0))["text"].alias("text"))
 
 
 def _stages(s, d):
@@ -93,9 +94,12 @@ def _index(s, d):
 
 
 def _sft_outputs(s, d):
+    """Every row of the outputs as read back, with what statistics, log and configuration say of its split."""
     path = scratch(s, "sft")
-    S.write(S.split(_typed(s, d), "data_type", "doc_id"), path)
-    return s.read.parquet(f"{path}/statistics")
+    S.write(S.split(_typed(s, d), "data_type", "doc_id"), path, {"seed": 42, "held": S.SPLIT})
+    statistics = s.read.parquet(f"{path}/statistics").join(s.read.parquet(f"{path}/log").groupBy("split").agg(F.max("n").alias("logged")), "split")
+    config = s.read.json(f"{path}/config").select(F.col("seed").alias("seed"), "held")
+    return s.read.parquet(f"{path}/messages").join(F.broadcast(statistics), "split").crossJoin(F.broadcast(config)).select("doc_id", "data_type", "split", "n", "logged", "seed", "held")
 
 
 def _hooks(s, d):
@@ -126,6 +130,9 @@ QUERIES = {
 
 _KEY = "'hf-dataset://' || source || '/' || doc_id"
 _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+_UNESCAPED = r"""regexp_replace('page ' || page_id || ' ' || coalesce(html, ''), '^\s+|\s+$', '', 'g')"""
+for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_a}', '{_b}')"
 SQL = {
     "src1_read_jsonl": "SELECT item_id, text FROM benchmark WHERE item_id % 5 > 0",
     "src2_read_csv": "SELECT conv_id, turn, role FROM conversations",
@@ -134,7 +141,8 @@ SQL = {
     "src3_ground_truth": "SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN trim(text) ELSE '항목 ' || item_id END AS question, CASE WHEN item_id % 7 > 0 THEN text ELSE '' END AS expected_answer, CASE WHEN item_id % 7 = 0 THEN 'empty_answer' END AS error FROM benchmark",
     "src4_labelled_text": "SELECT 1 AS idx, 'q' AS question, replace(text, chr(10), ' ') || chr(10) || 'more' AS expected_answer FROM benchmark UNION ALL SELECT 2, '항목 2', 'b' FROM benchmark",
     "src5_decoded_files": "SELECT text FROM benchmark",
-    "src7_xml_pages": "SELECT page_id AS serial, url AS title, 1 AS n, 'page ' || page_id AS text FROM pages",
+    "src7_xml_pages": rf"""SELECT page_id AS serial, url AS title, 1 AS n, {_UNESCAPED} AS text FROM pages""",
+    "snk6_sft_outputs": f"""WITH s AS ({_SFT_SQL['top10_split']}), n AS (SELECT split, count(*) AS n FROM s GROUP BY split) SELECT doc_id, data_type, split, n, n AS logged, 42::BIGINT AS seed, 0.2::DOUBLE AS held FROM s JOIN n USING (split)""",
     "hook1_observers": f"""{_INGEST}, r AS ({_REPORT}) SELECT stage, n::BIGINT AS n, (SELECT count(*) FROM documents) AS written
 FROM (SELECT 'raw' AS stage, sum(raw) AS n FROM r UNION ALL SELECT 'processed', sum(after_clean) FROM r UNION ALL SELECT 'duplicate', sum(duplicate) FROM r UNION ALL SELECT 'record', sum(after_dedup) FROM r)""",
     "snk2_store": f"SELECT {_KEY} AS document_key, doc_id AS idx, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE doc_id % 3 < 2",

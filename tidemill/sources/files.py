@@ -35,9 +35,10 @@ def read_jsonl(spark: SparkSession, path: str, required: list[str], schema: str
     return df
 
 
-def read_records(spark: SparkSession, path: str, kind: str, root: str | None = None) -> DataFrame:
-    """A folder, to any depth, of json, jsonl, csv or parquet files. A JSON root is a dotted path to a list of records or to one."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}")
+def read_records(spark: SparkSession, path: str, kind: str, root: str | None = None, pattern: str | None = None) -> DataFrame:
+    """A folder, to any depth, of json, jsonl, csv or parquet files, known by their ending or by a pattern. A JSON root is a dotted
+    path to a list of records or to one."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern or f"*.{kind}")
     if kind == "csv":
         return reader.option("header", "true").csv(path)
     if kind == "parquet":
