@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,19 @@ def compare_rerank(queries: DataFrame, corpus: DataFrame, relevant: DataFrame, d
     return retrieval_metrics(relevant_ranks(results.repartition("query_id", "config"), relevant, ["rrf", "rrf_rerank"]), ks)
 
 
+def answer_cases(cases: DataFrame, expected: str = "expected", predicted: str = "predicted", similarity: Callable | None = None) -> DataFrame:
+    """cases with exact_match and token_f1 of each, and with `similarity` (a function of both texts) that of their characters."""
+    e, p = F.col(expected), F.col(predicted)
+    more = {"similarity": similarity(X.normalize_answer(e), X.normalize_answer(p))} if similarity else {}
+    return cases.withColumns({"exact_match": X.exact_match(e, p), "token_f1": X.token_f1(e, p), **more})
+
+
+def answer_metrics(scored: DataFrame) -> DataFrame:
+    """One row: cases, and the means over them of every measure that `answer_cases` has given; zeros without cases."""
+    means = [F.coalesce(F.round(F.avg(c), 6), F.lit(0.0)).alias(c) for c in ("exact_match", "token_f1", "similarity") if c in scored.columns]
+    return scored.agg(F.count("*").alias("cases"), *means)
+
+
 def evaluation_set(qa: DataFrame, corpus_text: str, query_parts: list[str]) -> tuple[DataFrame, DataFrame]:
     """(id, text) and (query_id, text, relevant_id) of QA rows (id, ...): rows without a corpus text or a query are passed over."""
     asked = qa.select("id", X.strip(F.concat_ws(" ", *query_parts)).alias("q"), X.strip(F.col(corpus_text)).alias("text")).where("q <> '' AND text <> ''")
@@ -67,7 +82,10 @@ def evaluate_embedding(corpus: DataFrame, queries: DataFrame, name: str, dimensi
     store = embedding.hashing_embedding(corpus, dimension)
     asked = embedding.hashing_embedding(queries.select(F.col("query_id").alias("id"), "text"), dimension).withColumnRenamed("id", "query_id")
     found = retrieval.vector_topk(asked, store, max(ks)).withColumn("config", F.lit(name))
-    return retrieval_metrics(relevant_ranks(found, queries.select("query_id", "relevant_id"), [name]), ks).withColumn("dimension", F.lit(dimension))
+    metrics = retrieval_metrics(relevant_ranks(found, queries.select("query_id", "relevant_id"), [name]), ks)
+    # without queries there is still a row, of zeros
+    named = corpus.sparkSession.createDataFrame([(name,)], "config string")
+    return named.join(metrics, "config", "left").fillna(0).withColumn("dimension", F.lit(dimension))
 
 
 def benchmark_queries(candidates: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -201,42 +201,67 @@ def chunk_documents(docs: DataFrame, id_column: str, text: str, most: int = MAX_
     return source.mapInArrow(run, f"id {kind}, chunk_index int, chunk string, token_count int")
 
 
+def break_places(codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each kind of natural break, the strongest first: its width, and where each one ends in a text of code points."""
+    out = []
+    for mark in NATURAL_BREAKS:
+        n = len(codes) - len(mark) + 1
+        hit = np.ones(max(n, 0), bool)
+        for i, c in enumerate(mark):
+            hit &= codes[i : i + len(hit)] == ord(c)
+        out.append((len(mark), np.flatnonzero(hit) + len(mark)))
+    return out
+
+
 def character_chunks(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
     """(place, piece) of a text. A piece ends at the last natural break of its final part (from LEAST_PART of the size on), tried from
-    the strongest kind of break to the weakest, else at its full size; the next opens `overlap` characters before that."""
+    the strongest kind of break to the weakest, else at its full size; the next opens `overlap` characters before that.
+
+    Breaks are found once over the whole text; each piece looks them up by bisection."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    breaks = [(len(mark), [m.start() + len(mark) for m in re.finditer(f"(?={re.escape(mark)})", text)]) for mark in NATURAL_BREAKS]
+    breaks = break_places(np.frombuffer(text.encode("utf-32-le"), "<u4"))
     out, opened = [], 0
     while opened < len(text):
-        limit = opened + size
+        limit, soft = opened + size, opened + int(size * LEAST_PART)
         stop = len(text)
         if limit < stop:
-            soft = opened + int(size * LEAST_PART)
-            ends = (places[i - 1] for width, places in breaks if (i := bisect_right(places, limit)) and places[i - 1] - width >= soft)
-            stop = next(ends, limit)
+            last = ((width, int(ends[i - 1])) for width, ends in breaks if (i := int(np.searchsorted(ends, limit, "right"))))
+            stop = next((end for width, end in last if end - width >= soft), limit)
         if piece := text[opened:stop].strip():
             out.append((opened, piece))
         opened = len(text) if stop == len(text) else max(stop - overlap, opened + 1)
     return out
 
 
-def character_chunk_documents(docs: DataFrame, id_column: str, text: str, size: int, overlap: int) -> DataFrame:
-    """(id, chunk_index, start, chunk) by a Python table function called laterally."""
-    from pyspark.sql.functions import udtf
+#: Characters of pieces that a task gives on at once.
+PIECE_CHARS = 4 << 20
+
 
+def character_chunk_documents(docs: DataFrame, id_column: str, text: str, size: int, overlap: int) -> DataFrame:
+    """(id, chunk_index, start, chunk) of every text; null and empty texts have no chunk. One pass over Arrow batches."""
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
+    kind = docs.schema[id_column].dataType.simpleString()
 
-    @udtf(returnType="chunk_index int, start int, chunk string")
-    class Chunker:
-        def eval(self, text: str):
-            for i, (start, piece) in enumerate(character_chunks(text or "", size, overlap)):
-                yield i, start, piece
-
-    spark = docs.sparkSession
-    spark.udtf.register("tidemill_chunk", Chunker)
-    docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).createOrReplaceTempView("tidemill_chunked")
-    return spark.sql("SELECT d.id, c.chunk_index, c.start, c.chunk FROM tidemill_chunked d, LATERAL tidemill_chunk(d.text) c")
-
-
+    def run(batches):
+        for batch in batches:
+            ids, at, start, chunk, held = [], [], [], [], 0
+
+            def made(batch=batch):
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), pa.array(at, pa.int32()), pa.array(start, pa.int32()), pa.array(chunk, pa.string())], names=["id", "chunk_index", "start", "chunk"])
+
+            for place, t in enumerate(batch.column(1)):
+                for i, (opened, piece) in enumerate(character_chunks(t.as_py() or "", size, overlap)):
+                    ids.append(place)
+                    at.append(i)
+                    start.append(opened)
+                    chunk.append(piece)
+                    held += len(piece)
+                    if held >= PIECE_CHARS:
+                        yield made()
+                        ids, at, start, chunk, held = [], [], [], [], 0
+            if ids:
+                yield made()
+
+    return docs.select(F.col(id_column).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, chunk_index int, start int, chunk string")

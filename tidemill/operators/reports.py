@@ -62,6 +62,13 @@ def review_categories(docs: DataFrame, text: str = "text", categories: dict[str,
     return one.select("_of", F.explode(rows).alias("c")).where("c.n > 0").select("c.*", F.round(F.col("c.n") / F.col("_of"), 6).alias("share")).orderBy(F.desc("n"), "category")
 
 
+def distributions(records: DataFrame, columns: list[str], unknown: str = "unknown") -> DataFrame:
+    """(part, name, n): how many records have each value of each column (its reason, tier, verification status); null is `unknown`.
+    One pass: each record counts once in every part."""
+    rows = F.array(*[F.struct(F.lit(c).alias("part"), F.coalesce(F.col(c).cast("string"), F.lit(unknown)).alias("name")) for c in columns])
+    return records.select(F.explode(rows).alias("r")).groupBy("r.part", "r.name").agg(F.count("*").alias("n"))
+
+
 def detector(cases: DataFrame, flag: str = "flag", truth: str = "truth") -> DataFrame:
     """tp, fn, fp, tn of booleans flag and truth, recall and false-positive rate (null where there is nothing to divide by)."""
     f, t = F.coalesce(F.col(flag), F.lit(False)), F.col(truth)

@@ -160,6 +160,12 @@ CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS depar
     "set3_existing_keys": f"WITH {_RECORDS} SELECT document_key FROM records WHERE idx % 6 = 0",
     "set4_ordered_unique": "SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]) AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
     "chk1_chunk_counts": r"SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n+')) AS b FROM documents) WHERE len(regexp_extract_all(b, '[가-힣a-zA-Z0-9]')) >= 2 GROUP BY doc_id",
+    "chk2_character_chunks": r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, 0 AS opened FROM d
+UNION ALL SELECT doc_id, CASE WHEN stop = n THEN n ELSE greatest(stop - 50, opened + 1) END FROM (SELECT doc_id, opened, n, <stop> AS stop FROM (SELECT w.doc_id, opened, n, text, text[opened + 301:opened + 500] AS z FROM w JOIN d USING (doc_id) WHERE opened < n)) WHERE CASE WHEN stop = n THEN n ELSE greatest(stop - 50, opened + 1) END < n),
+p AS (SELECT doc_id, opened, regexp_replace(text[opened + 1:stop], '^\s+|\s+$', '', 'g') AS chunk FROM (SELECT doc_id, opened, text, <stop> AS stop FROM (SELECT w.doc_id, opened, n, text, text[opened + 301:opened + 500] AS z FROM w JOIN d USING (doc_id))))
+SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY opened) - 1)::INT AS chunk_index, opened AS start, chunk FROM p WHERE chunk <> ''""".replace(
+        "<stop>", "CASE WHEN opened + 500 >= n THEN n " + " ".join(f"WHEN contains(z, {m}) THEN opened + 300 + length(z) - strpos(reverse(z), reverse({m})) + 1" for m in ("chr(10) || chr(10)", "chr(10)", "'. '", "' '")) + " ELSE opened + 500 END"
+    ),
     "chk3_chunk_gate": f"{_GATED} SELECT doc_id, chunk_index, chunk FROM kept",
     "chk3_chunk_gate_counts": f"{_GATED} SELECT (SELECT count(*) FROM chunks) AS total, (SELECT count(*) FROM chunks) - (SELECT count(*) FROM cleaned) AS rejected, (SELECT count(*) FROM cleaned) - (SELECT count(*) FROM kept) AS duplicate, (SELECT count(*) FROM kept) AS kept",
     "chk4_chunk_metadata": f"WITH {_CHUNKS} SELECT doc_id, chunk_index, source FROM chunks",

@@ -1,5 +1,9 @@
-"""SRC1, SRC2, SRC3, SRC5, SRC7, SNK1-SNK3, SNK5-SNK7, HOOK1: what is written is read back."""
+"""SRC1, SRC2, SRC3, SRC5-SRC7, SNK1-SNK3, SNK5-SNK7, HOOK1: what is written is read back."""
 
+import io
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -54,6 +58,21 @@ def _xml(s, d):
     return L.xml_pages(pages(s, d).select(F.col("page_id").alias("serial"), body.alias("xml"))).select("serial", "title", F.size("sections").alias("n"), F.get("sections", F.lit(0))["text"].alias("text"))
 
 
+def _archives(s, d):
+    """Pages in zip archives of sixteen; every fifth member is no text, every seventh can't be decoded."""
+    kind = F.when(F.col("page_id") % 5 == 0, "png").when(F.col("page_id") % 7 == 0, "txt").otherwise("html")
+
+    def packed(key, rows):
+        held = io.BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for r in rows.sort_values("page_id").itertuples():
+                archive.writestr(f"{r.page_id}.{r.kind}", b"\xff\x00\xff" if r.kind == "txt" else (r.html or "").encode())
+        return pd.DataFrame({"path": [f"a{key[0]}.zip"], "content": [held.getvalue()]})
+
+    own = pages(s, d).select("page_id", "html", kind.alias("kind"), F.floor(F.col("page_id") / 16).cast("long").alias("archive"))
+    return own.groupBy("archive").applyInPandas(packed, "path string, content binary")
+
+
 def _stages(s, d):
     path = scratch(s, "stages")
     r = _records(s, d)
@@ -118,6 +137,8 @@ QUERIES = {
     "src3_ground_truth": _truth,
     "src4_labelled_text": lambda s, d: L.ground_truth_text(benchmark(s, d).select(F.concat(F.lit("question: q\nanswer: "), F.regexp_replace("text", "\n", " "), F.lit("\nmore\n---\nanswer: b")).alias("value"))).select("idx", "question", "expected_answer"),
     "src5_decoded_files": _decoded,
+    "src6_zip_members": lambda s, d: L.zip_members(_archives(s, d)),
+    "src6_member_counts": lambda s, d: L.member_counts(L.zip_members(_archives(s, d))),
     "src7_xml_pages": _xml,
     "snk1_stage_writers": _stages,
     "snk2_store": _visible,
@@ -133,7 +154,11 @@ _TRIM = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _UNESCAPED = r"""regexp_replace('page ' || page_id || ' ' || coalesce(html, ''), '^\s+|\s+$', '', 'g')"""
 for _a, _b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
     _UNESCAPED = f"replace({_UNESCAPED}, '{_a}', '{_b}')"
+_ZIPPED = """z AS (SELECT 'a' || page_id // 16 || '.zip' AS archive, page_id || CASE WHEN page_id % 5 = 0 THEN '.png' WHEN page_id % 7 = 0 THEN '.txt' ELSE '.html' END AS member,
+CASE WHEN page_id % 5 = 0 THEN 'unsupported' WHEN page_id % 7 = 0 THEN 'undecodable' ELSE 'text' END AS status, CASE WHEN page_id % 5 > 0 AND page_id % 7 > 0 THEN coalesce(html, '') END AS text FROM pages)"""
 SQL = {
+    "src6_zip_members": f"WITH {_ZIPPED} SELECT * FROM z",
+    "src6_member_counts": f"WITH {_ZIPPED} SELECT archive, status, count(*) AS n FROM z GROUP BY ALL",
     "src1_read_jsonl": "SELECT item_id, text FROM benchmark WHERE item_id % 5 > 0",
     "src2_read_csv": "SELECT conv_id, turn, role FROM conversations",
     "src2_read_parquet": "SELECT conv_id, turn, role FROM conversations",

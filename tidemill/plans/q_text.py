@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import text as X
 from tidemill.functions import udfs
+from tidemill.operators import evaluation as V
 from tidemill.operators import reports as R
 from tidemill.plans.tables import benchmark, conversations, documents, embeddings, events, labels, pages
 
@@ -122,10 +123,12 @@ QUERIES = {
         F.count("*").alias("raw"), F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)).cast("long").alias("cleaned"), (F.sum(F.when(F.col("reason").isNull(), 1).otherwise(0)) - F.countDistinct(F.when(F.col("reason").isNull(), F.col("hash")))).cast("long").alias("duplicates")
     ),
     "agg8_filter_statistics": lambda s, d: _reports(s, d).groupBy(F.coalesce("reason", F.lit("passed")).alias("reason")).agg(F.count("*").alias("n")),
+    "agg8_distributions": lambda s, d: R.distributions(_reports(s, d).select("reason", (F.col("doc_id") % 4 + 1).alias("source_tier"), F.when(F.col("doc_id") % 3 > 0, F.when(F.col("doc_id") % 3 == 1, "verified").otherwise("unverified")).alias("verification_status")), ["reason", "source_tier", "verification_status"]),
     "agg9_review_categories": lambda s, d: R.review_categories(documents(s, d), "text", _REVIEW),
     "agg9_default_categories": lambda s, d: R.review_categories(documents(s, d).select(F.concat_ws(" ", "text", F.when(F.col("doc_id") % 3 == 0, "수술  적응 용량"), F.when(F.col("doc_id") % 5 == 0, "진단 기준, 응급")).alias("text"))),
     "agg10_chunk_quality": lambda s, d: R.chunk_quality(_chunk_flags(s, d), "doc_id"),
-    "agg14_answer_metrics": lambda s, d: _pairs(s, d).agg(F.count("*").alias("cases"), F.round(F.avg(X.exact_match(F.col("question"), F.col("answer"))), 6).alias("exact_match"), F.round(F.avg(X.token_f1(F.col("question"), F.col("answer"))), 6).alias("token_f1")),
+    "agg14_answer_metrics": lambda s, d: V.answer_metrics(V.answer_cases(_pairs(s, d), "question", "answer")),
+    "agg14_answer_cases": lambda s, d: V.answer_cases(_pairs(s, d), "question", "answer").select("conv_id", "turn", "exact_match", F.round("token_f1", 9).alias("token_f1")),
     "agg15_detector": lambda s, d: R.detector(_flagged(s, d)),
     "agg15_detector_faults": lambda s, d: R.detector_faults(_flagged(s, d)).select("doc_id", "fault", R.preview(F.col("text")).alias("preview")),
     "agg16_mcq_accuracy": lambda s, d: R.mcq_accuracy(R.mcq_graded(_answers(s, d))),
@@ -165,6 +168,7 @@ SQL = {
 WHEN length(question) > 200 OR length(answer) > 1000 THEN 'too_long' END AS reason FROM pairs""",
     "flt15_chunk_flags": f"WITH {_FLAGS} SELECT doc_id, too_short, too_long, meaningless, mid_cut, repetition, no_metadata FROM flags",
     "flt16_emergency": "SELECT doc_id, regexp_matches(text, 'idiot|clown.{0,15}th|worthless') AS emergency FROM documents",
+    "flt17_risky_dosage": r"SELECT doc_id, regexp_matches(text, '[0-9]+\s?(mg|[mM][lL])') AS risky FROM documents",
     "flt18_non_answer": "SELECT doc_id, contains(text, 'All rights reserved') AS non_answer FROM documents",
     "flt19_embedding_problem": "SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'dimension' END AS problem FROM embeddings",
     "flt20_canonical_url": r"""SELECT page_id, CASE WHEN length(url) <= 500 AND regexp_matches(url, '^(?i)https?://[^/?#\s@]+(/|\?|#|$)') AND (regexp_extract(url, '^[a-zA-Z]+://[^/?#]*?:(\d*)', 1) IN ('', CASE WHEN url ILIKE 'https%' THEN '443' ELSE '80' END))
@@ -172,11 +176,14 @@ THEN lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_replace
     "agg7_ingestion_report": f"""SELECT source, count(*) AS raw, sum((reason IS NULL)::INT)::BIGINT AS cleaned, (sum((reason IS NULL)::INT) - count(DISTINCT CASE WHEN reason IS NULL THEN hash END))::BIGINT AS duplicates
 FROM (SELECT source, {_REASON} AS reason, sha256({_S}) AS hash FROM documents) GROUP BY source""",
     "agg8_filter_statistics": f"SELECT coalesce({_REASON}, 'passed') AS reason, count(*) AS n FROM documents GROUP BY 1",
+    "agg8_distributions": f"""WITH r AS (SELECT coalesce({_REASON}, 'unknown') AS reason, (doc_id % 4 + 1)::VARCHAR AS source_tier, ['unknown', 'verified', 'unverified'][doc_id % 3 + 1] AS verification_status FROM documents)
+SELECT part, name, count(*) AS n FROM (SELECT unnest(['reason', 'source_tier', 'verification_status']) AS part, unnest([reason, source_tier, verification_status]) AS name FROM r) GROUP BY ALL""",
     "agg9_review_categories": r"""WITH c AS (SELECT 'legal' AS category, regexp_matches(text, '(licen[sc]ed|rights reserved)') AS hit FROM documents UNION ALL SELECT 'contact', regexp_matches(text, '@|\+\d') FROM documents
 UNION ALL SELECT 'secret', regexp_matches(text, '(token|password)') FROM documents) SELECT category, sum(hit::INT)::BIGINT AS n, round(sum(hit::INT) / count(*), 6) AS share FROM c GROUP BY category HAVING sum(hit::INT) > 0""",
     "agg9_default_categories": r"""WITH c AS (SELECT doc_id, unnest(['수술 적응', '용량', '확진/진단기준', '응급/긴급']) AS category, unnest([3, 3, 5, 5]) AS every FROM documents)
 SELECT category, count(*) FILTER (doc_id % every = 0) AS n, round(count(*) FILTER (doc_id % every = 0) / count(*), 6) AS share FROM c GROUP BY category""",
     "agg10_chunk_quality": f"WITH {_FLAGS}, line AS (SELECT *, replace({_S}, chr(10), ' ') AS t FROM flags), shown AS (SELECT *, CASE WHEN length(t) > 120 THEN t[1:120] || '…' ELSE t END AS p FROM line) SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS flag, sum({f}::INT)::BIGINT AS n, round(100.0 * sum({f}::INT) / count(*), 4) AS percent, coalesce(list(p ORDER BY doc_id) FILTER ({f}), [])[1:3] AS samples FROM shown" for f in _FLAG_NAMES) + ")",
+    "agg14_answer_cases": f"WITH {_SQL_PAIRS} SELECT conv_id, turn, ({_NORM.format('question')} = {_NORM.format('answer')})::INT::DOUBLE AS exact_match, round({_f1('question', 'answer')}, 9) AS token_f1 FROM pairs",
     "agg14_answer_metrics": f"WITH {_SQL_PAIRS} SELECT count(*) AS cases, round(avg(({_NORM.format('question')} = {_NORM.format('answer')})::INT), 6) AS exact_match, round(avg({_f1('question', 'answer')}), 6) AS token_f1 FROM pairs",
     "agg15_detector": """WITH f AS (SELECT toxic = 1 AS t, regexp_matches(lower(text), 'idiot|clown|worthless') AS flag FROM documents JOIN labels USING (doc_id)),
 c AS (SELECT sum((t AND flag)::INT)::BIGINT AS tp, sum((t AND NOT flag)::INT)::BIGINT AS fn, sum((NOT t AND flag)::INT)::BIGINT AS fp, sum((NOT t AND NOT flag)::INT)::BIGINT AS tn FROM f)

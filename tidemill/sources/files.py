@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 
 import pyarrow as pa
@@ -113,34 +112,46 @@ def decoded_files(files: DataFrame) -> DataFrame:
     return files.select("path", udfs.decoded(F.col("content")).alias("text")).withColumn("error", F.when(F.col("text").isNull(), "undecodable"))
 
 
+#: Characters of members that a task gives on at once.
+MEMBER_CHARS = 4 << 20
+_MEMBER = pa.schema([(c, pa.string()) for c in ("archive", "member", "status", "text")])
+
+
 def zip_members(files: DataFrame) -> DataFrame:
-    """(archive, member, status, text) of every member of binaryFile zip rows: text, unsupported, or undecodable; an archive with an
-    encrypted member, or one that can't be read, gives the one row of that status."""
+    """(archive, member, status, text) of every member of (path, content) zip rows, such as binaryFile gives: text, unsupported, or
+    undecodable; an archive with an encrypted member, or one that can't be read, gives the one row of that status. Members are opened
+    one after the other and given on in runs, so an archive's texts are never held together."""
 
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(_members(path, content.as_py()))
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([(c, pa.string()) for c in ("archive", "member", "status", "text")]))
+                held, size = [], 0
+                for row in _members(path, content.as_buffer() if content.is_valid else b""):
+                    held.append(row)
+                    size += len(row["text"] or "")
+                    if size >= MEMBER_CHARS:
+                        yield pa.RecordBatch.from_pylist(held, schema=_MEMBER)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pylist(held, schema=_MEMBER)
 
     return files.select("path", "content").mapInArrow(run, "archive string, member string, status string, text string")
 
 
-def _members(path: str, content: bytes):
+def _members(path: str, content):
     try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
+        archive = zipfile.ZipFile(pa.BufferReader(content))
     except zipfile.BadZipFile:
-        return [{"archive": path, "member": None, "status": "unreadable", "text": None}]
+        yield {"archive": path, "member": None, "status": "unreadable", "text": None}
+        return
     files = [i for i in archive.infolist() if not i.is_dir()]
     if any(i.flag_bits & 1 for i in files):
-        return [{"archive": path, "member": None, "status": "encrypted", "text": None}]
-    out = []
+        yield {"archive": path, "member": None, "status": "encrypted", "text": None}
+        return
     for i in files:
         known = i.filename.rpartition(".")[2].lower() in TEXT_EXTENSIONS
         text = udfs.decode_text(archive.read(i)) if known else None
-        out.append({"archive": path, "member": i.filename, "status": "unsupported" if not known else "text" if text is not None else "undecodable", "text": text})
-    return out
+        yield {"archive": path, "member": i.filename, "status": "unsupported" if not known else "text" if text is not None else "undecodable", "text": text}
 
 
 def member_counts(members: DataFrame) -> DataFrame:
