@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
+from collections import Counter
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import urljoin, urlparse
 
 import pyarrow as pa
@@ -37,15 +40,61 @@ def tidy(text: str) -> str:
     return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
+def _even(white: str) -> str:
+    """What `tidy` makes of white space between two words."""
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", white))
+
+
+def _measured(piece: str) -> tuple[str, int, str]:
+    """A piece of text as its white space at the front, the length of the rest once tidy, and the white space at its end (or all of it
+    in front)."""
+    s = _even(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", re.sub(r"\r\n?", "\n", unicodedata.normalize("NFKC", piece))))
+    word = s.strip()
+    return (s[: len(s) - len(s.lstrip())], len(word), s[len(s.rstrip()) :]) if word else (s, 0, "")
+
+
+class Lengths:
+    """How long any run of pieces is when it is joined and tidied: sums of a segment tree, so that overlapping runs aren't read again."""
+
+    def __init__(self, pieces: list[tuple[str, int, str]], mark: str):
+        self.mark, self.n = mark, 1 << max(0, len(pieces) - 1).bit_length()
+        self.sums: list = [None] * self.n + pieces + [None] * (self.n - len(pieces))
+        for i in range(self.n - 1, 0, -1):
+            self.sums[i] = self._both(self.sums[2 * i], self.sums[2 * i + 1])
+
+    def _both(self, a, b):
+        if a is None or b is None:
+            return a or b
+        if not a[1]:
+            return (_even(a[0] + self.mark + b[0]), b[1], b[2])
+        between = _even(a[2] + self.mark + b[0])
+        return (a[0], a[1] + len(between) + b[1], b[2]) if b[1] else (a[0], a[1], between)
+
+    def of(self, begin: int, end: int) -> tuple[str, int, str]:
+        left, right, a, b = None, None, begin + self.n, end + self.n
+        while a < b:
+            if a & 1:
+                left, a = self._both(left, self.sums[a]), a + 1
+            if b & 1:
+                b -= 1
+                right = self._both(self.sums[b], right)
+            a, b = a >> 1, b >> 1
+        return self._both(left, right) or ("", 0, "")
+
+
 class Page(HTMLParser):
     """A page as arrays in document order: node i holds the nodes and texts of the half-open ranges that end at stop[i] and said[i].
 
-    Everything a container's score needs is a sum over such a range, so no tree is walked.
+    Everything a container's score needs is a difference of running sums over such a range, or a sum of `Lengths`; what a node's
+    ancestors say is handed down as it opens. No tree is walked.
     """
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.up, self.stop, self.begin, self.said = [], [], [], [], [], []
+        self.gone: list[bool] = []  # whether the node or one above it is dropped
+        self.closed: list[int] = []  # how many nodes above it are closed blocks
+        self._named: Counter = Counter()
         self.texts: list[str] = []
         self.titles: list[str] = []
         self._open: list[int] = []
@@ -59,9 +108,7 @@ class Page(HTMLParser):
         i = self._open.pop()
         self.stop[i], self.said[i] = len(self.tag), len(self.texts)
         self._hidden -= self.tag[i] in DROPPED
-
-    def _names(self) -> list[str]:
-        return [self.tag[i] for i in self._open]
+        self._named[self.tag[i]] -= 1
 
     def handle_starttag(self, tag, attrs):
         closes = _CLOSES.get(tag, set()) | ({"p"} if tag in _OPENS_P else set())
@@ -70,16 +117,20 @@ class Page(HTMLParser):
         i = len(self.tag)
         self.tag.append(tag)
         self.attrs.append({k: v or "" for k, v in attrs})
-        self.up.append(self._open[-1] if self._open else -1)
+        up = self._open[-1] if self._open else -1
+        self.up.append(up)
+        self.gone.append(tag in DROPPED or (up >= 0 and self.gone[up]))
+        self.closed.append(self.closed[up] + (self.tag[up] in CLOSED_BLOCKS) if up >= 0 else 0)
         self.begin.append(len(self.texts))
         self.stop.append(i + 1)
         self.said.append(len(self.texts))
         if tag not in _VOID:
             self._open.append(i)
             self._hidden += tag in DROPPED
+            self._named[tag] += 1
 
     def handle_endtag(self, tag):
-        if tag in self._names():
+        if self._named[tag]:
             while self.tag[self._open[-1]] != tag:
                 self._shut()
             self._shut()
@@ -98,35 +149,48 @@ class Page(HTMLParser):
         return tidy(" ".join(self.texts[self.begin[i] : self.said[i]]))
 
     def inside(self, i: int, tags) -> list[int]:
-        return [j for j in range(i + 1, self.stop[i]) if self.tag[j] in tags and not self.dropped(j)]
+        return [j for j in range(i + 1, self.stop[i]) if self.tag[j] in tags and not self.gone[j]]
 
     def above(self, i: int):
         while (i := self.up[i]) >= 0:
             yield i
 
-    def dropped(self, i: int) -> bool:
-        return self.tag[i] in DROPPED or any(self.tag[j] in DROPPED for j in self.above(i))
+    def _measure(self) -> None:
+        """Running sums over the nodes, and lengths of texts and of blocks."""
+        self._lengths = Lengths([_measured(t) for t in self.texts], " ")
+        own = [j for j in range(len(self.tag)) if self.tag[j] in BLOCKS and not self.gone[j]]
+        self._blocks, pieces = own, []
+        for j in own:
+            a, n, z = self._lengths.of(self.begin[j], self.said[j])
+            if self.begin[j] < self.said[j] and self.texts[self.said[j] - 1].endswith("\r"):  # it and the line's end are one
+                a, z = (a, z[:-1]) if n else (a[:-1], z)
+            pieces.append((a, n, z))
+        self._block_lengths = Lengths(pieces, "\n")
+        links = [self._lengths.of(self.begin[j], self.said[j])[1] if t == "a" and not self.gone[j] else 0 for j, t in enumerate(self.tag)]
+        self._links = [0, *accumulate(links)]
+        self._controls = [0, *accumulate(t in CONTROLS and not g for t, g in zip(self.tag, self.gone))]
 
     def score(self, i: int) -> float:
         role, marker = self.attrs[i].get("role", "").lower(), self.marker(i)
-        blocks = tidy("\n".join(" ".join(self.texts[self.begin[j] : self.said[j]]) for j in self.inside(i, BLOCKS)))
         kind = 2000 if self.tag[i] == "main" or role == "main" else 1000 if self.tag[i] == "article" else 0
         gain = sum(v for k, v in CONTENT_BONUS.items() if k in marker) - (6000 if any(h in marker for h in NAVIGATION_HINTS) else 0)
-        links = sum(len(self.text(j)) for j in self.inside(i, ("a",)))
-        return len(blocks) + 0.08 * min(len(self.text(i)), 30_000) + kind + gain - 0.7 * links - 80 * len(self.inside(i, CONTROLS))
+        first, end = i + 1, self.stop[i]
+        blocks = self._block_lengths.of(bisect_left(self._blocks, first), bisect_left(self._blocks, end))[1]
+        text = self._lengths.of(self.begin[i], self.said[i])[1]
+        return blocks + 0.08 * min(text, 30_000) + kind + gain - 0.7 * (self._links[end] - self._links[first]) - 80 * (self._controls[end] - self._controls[first])
 
     def root(self) -> int | None:
-        kinds = [i for i, t in enumerate(self.tag) if (t in ("main", "article") or self.attrs[i].get("role") == "main") and not self.dropped(i)]
-        kinds += [i for i, t in enumerate(self.tag) if t in ("div", "section") and any(h in self.marker(i) for h in CONTENT_HINTS) and not self.dropped(i)]
+        kinds = [i for i, t in enumerate(self.tag) if (t in ("main", "article") or self.attrs[i].get("role") == "main") and not self.gone[i]]
+        kinds += [i for i, t in enumerate(self.tag) if t in ("div", "section") and any(h in self.marker(i) for h in CONTENT_HINTS) and not self.gone[i]]
         if kinds:
+            self._measure()
             return max(dict.fromkeys(kinds), key=self.score)
         return next((i for i, t in enumerate(self.tag) if t == "body"), 0 if self.tag else None)
 
     def blocks(self, root: int) -> list[str]:
-        out = []
+        out, outer = [], self.closed[root] + (self.tag[root] in CLOSED_BLOCKS)
         for i in self.inside(root, BLOCKS):
-            between = [self.tag[j] for j in self.above(i) if root < j]
-            text = "" if any(t in CLOSED_BLOCKS for t in between) else self.text(i)
+            text = "" if self.closed[i] > outer else self.text(i)  # within a closed block it has been said
             if text:
                 out.append(f"{'#' * int(self.tag[i][1])} {text}" if re.fullmatch("h[1-6]", self.tag[i]) else text)
         return out or [t for t in [self.text(root)] if t]
