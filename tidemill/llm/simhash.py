@@ -17,6 +17,8 @@ BITS = 64
 #: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already. Links
 #: of fingerprints are exact, so a search finds every component; candidates of near-duplicates are not, so more of them stay pairs.
 PAIRWISE, CANDIDATE_PAIRWISE = 8, 64
+#: Pairs that are compared at once (some 64 bytes each).
+PAIRS = 1 << 15
 
 
 def _shingles(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
@@ -109,9 +111,10 @@ class _Verifier:
         size = np.diff(np.append(start, len(keys)))
         a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for n in range(2, self.pairwise + 1):
-            own = start[size == n]
-            if len(own):
-                i, j = np.triu_indices(n, 1)
+            every = start[size == n]
+            i, j = np.triu_indices(n, 1)
+            step = max(1, PAIRS // len(i))
+            for own in (every[k : k + step] for k in range(0, len(every), step)):
                 x, y = rows[(own[:, None] + i).ravel()], rows[(own[:, None] + j).ravel()]
                 near = self.near(x, y)
                 a.append(x[near, -1])
