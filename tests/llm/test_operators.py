@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -427,6 +428,35 @@ def test_mixing_parts_of_long_texts(spark, monkeypatch):
     assert exact == [x[:5] for x in want] and np.allclose(base, [x[5] for x in want]) and (score < 0).all()
 
 
+def test_mixing_scores_do_not_depend_on_parts(docs):
+    """A text in parts, and whole: own weights, refinement, open words and phrases go on from part to part."""
+    rng, random_ = np.random.default_rng(5), random.Random(18)
+    words = ["".join(random_.choices("abcdefgé", k=random_.randint(1, 12))) for _ in range(400)]
+    texts = [" ".join(random_.choices(words, k=9000)), "  ".join(random_.choices(words, k=3000)), "x" * 9000, "y " * 4096, "word" * 1024 + " " + "z" * 9000]
+    model = small_model(rng, docs)
+    for text in texts:
+        batch = pa.RecordBatch.from_pydict({"text": [text]})
+        found = []
+        for size in (4096, 6144, 1 << 20):
+            mixer, gains, phrases, bits, many = mixing.Mixer(*model), [], [], [], 0
+            for _, symbols, at, skip, part, last in mixing.parts([batch], size):
+                l = mixing.lanes(symbols, at, model[0].of_pair, skip, part, last)
+                one, many = mixer.run(l, False, part), many + 1
+                total = np.concatenate(([0.0], np.cumsum(one, dtype=np.float64)))
+                own = np.diff(total[np.concatenate(([0], l.stops))])
+                if len(own):
+                    own[0] += part.bits
+                    part.bits = 0.0
+                part.bits += 0.0 if last else total[-1] - total[l.stops[-1] if len(l.stops) else 0]
+                gains.append(one)
+                phrases.append(l.phrases)
+                bits.append(own)
+            found.append([np.concatenate(x) for x in (gains, phrases, bits)])
+            assert (many == 1) == (size > len(text.encode()))
+        for one in found[:2]:
+            assert (one[1] == found[2][1]).all() and np.allclose(one[0], found[2][0], atol=1e-5) and np.allclose(one[2], found[2][2], rtol=1e-6)
+
+
 def small_model(rng, docs):
     texts = [brute.lower(t).encode() for _, t in pairs(docs)][:60]
     symbols = np.frombuffer(b"".join(t + b"\xff" for t in texts), np.uint8)

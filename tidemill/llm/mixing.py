@@ -48,9 +48,11 @@ OWN_BUCKETS, OWN_PRIOR = 16, 32.0
 LANE_BYTES = 512
 STEP_BYTES = 32_000
 RATE, OWN_RATE = 0.4, 0.08
-#: Text bytes whose contexts are laid out at once. A longer text is laid out in parts, each with so many symbols of context.
+#: Text bytes whose contexts are laid out at once, a multiple of 4 LANE_BYTES. A longer text is laid out in parts, which hand on what
+#: they know (`Part`), so that its score doesn't depend on where it is cut. A part's context reaches back over so many words, and no
+#: further than so many bytes.
 SLICE = 1 << 20
-BACK = 64
+BACK_WORDS, BACK = 5, 1 << 16
 #: Words of a phrase on average (a power of two), and the part of the probability that phrases of the corpus get.
 PHRASE_WORDS = 32
 PHRASE_SHARE = 1 / 16
@@ -106,6 +108,19 @@ def trees(of_pair: np.ndarray, counts: np.ndarray) -> Trees:
     return Trees(of_pair.astype(np.int64), code, np.asarray(steps, np.int64), packed_counts(seen[:, 0], seen[:, 1]))
 
 
+@dataclass
+class Part:
+    """What a part of a long text hands on to the next: the phrase that is open at its end (hash so far, symbols, log2 probability),
+    the text's own weights and refinement, and how many symbols have gone by."""
+
+    hash: int = 0
+    length: int = 0
+    bits: float = 0.0
+    own: np.ndarray | None = None
+    tally: np.ndarray | None = None
+    at: int = 0
+
+
 @dataclass
 class Lanes:
     """A slice of texts as symbols, each with its code's key and where its contexts' slots are in each counter; the phrases that the
@@ -124,17 +139,26 @@ def _symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def parts(batches, most: int):
-    """Rows in slices of about `most` bytes as (rows, symbols, offsets, skip, last). A longer text comes alone, in parts cut at
-    fixed places; the first `skip` symbols of a part are only there as the context of the others."""
+    """Rows in slices of about `most` bytes as (rows, symbols, offsets, skip, part, last). A longer text comes alone, in parts cut at
+    fixed places, with one `part` for all of them; the first `skip` symbols of a part are only there as the context of the others."""
     for rows, data, offsets in _text.text_slices(batches, "text", most):
+        part = Part()
         if len(data) <= most or rows.num_rows > 1:
-            yield rows, *_symbols(data, offsets), 0, True
+            yield rows, *_symbols(data, offsets), 0, part, True
             continue
         for i in range(0, len(data), most):
-            low, last = max(0, i - BACK), i + most >= len(data)
-            part = _text.LOWER[data[low : i + most]]
-            part = np.append(part, np.uint8(END)) if last else part
-            yield rows, part, np.array([0, len(part)]), i - low, last
+            low, last = _context(data, i), i + most >= len(data)
+            cut = _text.LOWER[data[low : i + most]]
+            cut = np.append(cut, np.uint8(END)) if last else cut
+            yield rows, cut, np.array([0, len(cut)]), i - low, part, last
+
+
+def _context(data: np.ndarray, i: int) -> int:
+    """Where the context of a text's symbols from i on begins: after a space BACK_WORDS words before, but within BACK bytes."""
+    low = max(0, i - BACK)
+    space = _text.SPACE[data[low:i]]
+    ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    return low + int(ends[-BACK_WORDS]) + 1 if len(ends) >= BACK_WORDS else low
 
 
 def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
@@ -147,8 +171,9 @@ def _before(symbols: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def lanes(symbols: np.ndarray, at: np.ndarray, of_pair: np.ndarray | None, skip: int = 0) -> Lanes:
-    """Without of_pair only the phrases."""
+def lanes(symbols: np.ndarray, at: np.ndarray, of_pair: np.ndarray | None, skip: int = 0, part: Part | None = None, last: bool = True) -> Lanes:
+    """Without of_pair only the phrases. Those of a long text's part begin with the one that the part before has left open; one that is
+    open at its end is handed on."""
     size = len(symbols)
     b1 = _before(symbols, at, 1)
     with np.errstate(over="ignore"):
@@ -172,7 +197,13 @@ def lanes(symbols: np.ndarray, at: np.ndarray, of_pair: np.ndarray | None, skip:
         ends = ends[(np.searchsorted(done, ends) >= first[text - 1] + 2) & (ends > skip)]
         stops = np.sort(np.concatenate((ends, at[1:])))
         starts = np.concatenate(([skip], stops[:-1]))
-        phrases = _text.mixed((s[stops] - s[starts]) * q[starts])
+        raw = (s[stops] - s[starts]) * q[starts]
+        if part is not None and part.length:
+            raw[0] = np.uint64((part.hash + pow(_text._BASE, part.length, 1 << 64) * int(raw[0])) % (1 << 64))
+        if not last:
+            part.hash, part.length = int(raw[-1]), int(stops[-1] - starts[-1]) + (part.length if len(raw) == 1 else 0)
+            stops, raw = stops[:-1], raw[:-1]
+        phrases = _text.mixed(raw)
         if of_pair is None:
             return Lanes(symbols[:0], [], at, stops, phrases)
         b2, b3, b4 = (_before(symbols, at, k) for k in (2, 3, 4))
@@ -234,14 +265,18 @@ class Mixer:
         self.prior = refined
         self.steps, self.mean = 0, np.zeros_like(weights)
 
-    def run(self, l: Lanes, learn: bool) -> np.ndarray:
+    def run(self, l: Lanes, learn: bool, part: Part | None = None) -> np.ndarray:
         """Log2 probability of each symbol. A text starts from the shared weights and refinement and adds its own corrections,
-        updated at lane_edges from the errors so far; texts move on side by side."""
+        updated at lane_edges from the errors so far; texts move on side by side. A long text's part goes on from the one before."""
         sizes = np.diff(l.offsets)
         gains = np.zeros(len(l.key), np.float32)
         order = np.argsort(-sizes, kind="stable")
         own, tally = np.zeros((len(sizes), INPUTS), np.float32), np.zeros((len(sizes), OWN_BUCKETS, 2), np.float32)
-        edges = lane_edges(int(sizes.max())) if len(l.key) else [0]
+        done_before = part.at if part is not None else 0
+        if done_before:
+            own, tally = part.own, part.tally
+        edges = lane_edges(done_before + int(sizes.max())) if len(l.key) else [0]
+        edges = [0, *(e - done_before for e in edges if e > done_before)] if done_before else edges
         for low, high in zip(edges, edges[1:]):
             live = order[: np.searchsorted(-sizes[order], -low)]
             many = np.minimum(sizes[live], high) - low
@@ -254,6 +289,8 @@ class Mixer:
                 pick = np.arange(edge[-1]) + np.repeat(l.offsets[texts] + low - (edge - n), n)
                 gains[pick], own[texts], tally[texts] = self._step(l, pick, edge, own[texts], tally[texts], learn)
                 i = j
+        if part is not None:
+            part.own, part.tally, part.at = own, tally, done_before + len(l.key)
         return gains
 
     def _step(self, l: Lanes, pick: np.ndarray, edge: np.ndarray, own: np.ndarray, tally: np.ndarray, learn: bool):
@@ -381,8 +418,8 @@ def gathered(source: DataFrame) -> DataFrame:
 
     def run(batches):
         triples, seen, texts, phrases, held, words = np.zeros(1 << 24, np.int32), Counter(), 0, [], 0, _Words()  # 64 MB
-        for _, symbols, at, skip, last in parts(batches, SLICE):
-            l = lanes(symbols, at, None, skip)
+        for _, symbols, at, skip, part, last in parts(batches, SLICE):
+            l = lanes(symbols, at, None, skip, part, last)
             phrases.append(l.phrases)
             held += len(l.phrases)
             np.add.at(triples, ((_before(symbols, at, 2) << 16 | _before(symbols, at, 1) << 8) | symbols)[skip:].astype(np.intp), np.int32(1))
@@ -434,8 +471,8 @@ def _counters(source: DataFrame, t: Trees) -> list[np.ndarray]:
     def count(batches):
         own = [np.zeros(2 * size, np.int32) for size in SLOTS[1:]]  # 42 MB, whatever the task reads
         group = TaskContext.get().partitionId() % SUMMED
-        for _, symbols, at, skip, _ in parts(batches, SLICE):
-            l = lanes(symbols, at, shared.value.of_pair, skip)
+        for _, symbols, at, skip, part, last in parts(batches, SLICE):
+            l = lanes(symbols, at, shared.value.of_pair, skip, part, last)
             for i in range(0, len(l.key), STEP_BYTES):
                 pick = slice(i, i + STEP_BYTES)
                 _, of, node, bit = decisions(shared.value, l.key[pick])
@@ -489,8 +526,8 @@ def _weights(source: DataFrame, t: Trees, tables: list[np.ndarray]) -> tuple[np.
 
     def run(batches):
         mixer = Mixer(*shared.value, start_weights(), plain_refinement())
-        for _, symbols, at, skip, _ in parts(batches, SLICE):
-            mixer.run(lanes(symbols, at, mixer.trees.of_pair, skip), learn=True)
+        for _, symbols, at, skip, part, last in parts(batches, SLICE):
+            mixer.run(lanes(symbols, at, mixer.trees.of_pair, skip, part, last), True, part)
         if mixer.steps:
             n = float(mixer.hits[:, 0].sum())
             flat = np.concatenate([(mixer.mean / mixer.steps).ravel() * n, mixer.hits.ravel()])
@@ -557,7 +594,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
     Null and empty texts: their end alone. Rows that repeat an id or a text are rows of their own, with equal scores if they are on the
     same side of held_out. Without training rows the model is uniform-like and N and V are 0. An empty table gives an empty one. A text
-    above SLICE bytes is worked on in parts, each with weights and a refinement of its own.
+    above SLICE bytes is worked on in parts, and scores as it would as a whole (words of more than some 13 kB that a part cuts aside).
     """
     spark = docs.sparkSession
     source = docs.select(fold(id_column).alias("fold"), F.col(text).alias("text"))
@@ -576,10 +613,14 @@ def score(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
         mixer, words, long = Mixer(t, tables, weights, refined), _Words(), None
         known: dict[bytes, float] = {}  # the common words met so far, HEAD_WORDS at most
         number = TaskContext.get().partitionId() << 40
-        for rows, symbols, at, skip, last in parts(batches, SLICE):
-            l = lanes(symbols, at, t.of_pair, skip)
-            total = np.concatenate(([0.0], np.cumsum(mixer.run(l, learn=False), dtype=np.float64)))
+        for rows, symbols, at, skip, part, last in parts(batches, SLICE):
+            l = lanes(symbols, at, t.of_pair, skip, part, last)
+            total = np.concatenate(([0.0], np.cumsum(mixer.run(l, False, part), dtype=np.float64)))
             bits = np.diff(total[np.concatenate(([0], l.stops))])
+            if len(bits):
+                bits[0] += part.bits
+                part.bits = 0.0
+            part.bits += 0.0 if last else total[-1] - total[l.stops[-1] if len(l.stops) else 0]
             edges = np.searchsorted(l.stops, l.offsets[1:], "right").tolist()
             said = words.of(symbols, at, skip, last)
             found = [list(map(known.get, w)) for w in said]
