@@ -127,46 +127,62 @@ class Words:
     """The default tokenizer of the chunker: words and single marks, with their places in the text."""
 
     pattern = re.compile(r"\w+|[^\w\s]")
+    #: A space parts tokens: those of joined texts are those of each.
+    parts_at_spaces = True
 
     def spans(self, text: str) -> list[tuple[int, int]]:
         return [m.span() for m in self.pattern.finditer(text)]
 
 
 class _Packer:
-    """Fills pieces with sentences, by token places; a piece that closes leaves its last tokens to the next where they fit."""
+    """Fills pieces with sentences, by token places; a piece that closes leaves its last tokens to the next where they fit.
+
+    `done` holds pieces and how many tokens they have. With a tokenizer that parts at spaces, places are handed on from sentence to
+    piece and from piece to piece, so a sentence is tokenised once.
+    """
 
     def __init__(self, tokenizer, most: int, overlap: int):
         self.spans, self.most, self.overlap = tokenizer.spans, most, overlap
-        self.done: list[str] = []
-        self.text, self.tokens = "", 0
+        self.handed = getattr(tokenizer, "parts_at_spaces", False)
+        self.done: list[tuple[str, int]] = []
+        self.text, self.tokens, self.places = "", 0, []
 
-    def close(self) -> str:
-        last, self.text, self.tokens = self.text, "", 0
+    def close(self) -> tuple[str, list[tuple[int, int]]]:
+        last, places = self.text, self.places
+        self.text, self.tokens, self.places = "", 0, []
         if last:
-            self.done.append(last)
-        return last
+            places = places if self.handed else self.spans(last)
+            self.done.append((last, len(places)))
+        return last, places
 
     def windows(self, sentence: str, spans: list[tuple[int, int]]) -> None:
         """A sentence beyond the budget: windows over its tokens, each `overlap` behind the end of the last."""
         self.close()
         stride = max(self.most - self.overlap, 1)
-        starts = range(0, max(len(spans) - self.most, 0) + stride, stride)
-        self.done += [sentence[spans[i][0] : spans[min(i + self.most, len(spans)) - 1][1]] for i in starts]
+        for i in range(0, max(len(spans) - self.most, 0) + stride, stride):
+            own = spans[i : i + self.most]
+            piece = sentence[own[0][0] : own[-1][1]]
+            self.done.append((piece, len(own) if self.handed else len(self.spans(piece))))
 
     def add(self, sentence: str) -> None:
         spans = self.spans(sentence)
         if len(spans) > self.most:
             return self.windows(sentence, spans)
         if self.tokens + len(spans) > self.most and self.text:
-            closed = self.close()
-            places = self.spans(closed)[-self.overlap :] if self.overlap else []
-            opening = closed[places[0][0] :] if places else ""
-            if len(places) + len(spans) <= self.most:
-                self.text, self.tokens = opening, len(places)
-        self.text, self.tokens = f"{self.text} {sentence}".strip(), self.tokens + len(spans)
-
-
-def pack_block(sentences: list[str], tokenizer, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
+            closed, places = self.close()
+            places = places[-self.overlap :] if self.overlap else []
+            if len(places) + len(spans) <= self.most and places:
+                start = places[0][0]
+                self.text, self.tokens, self.places = closed[start:], len(places), [(a - start, b - start) for a, b in places]
+        joined = f"{self.text} {sentence}"
+        white = len(joined) - len(joined.lstrip())
+        before = len(self.text) + 1 - white
+        self.text, self.tokens = joined.strip(), self.tokens + len(spans)
+        self.places.extend((a + before, b + before) for a, b in spans)
+
+
+def packed(sentences: list[str], tokenizer, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[tuple[str, int]]:
+    """Pieces of a block and their tokens."""
     packer = _Packer(tokenizer, most, overlap)
     for s in sentences:
         packer.add(s)
@@ -174,6 +190,10 @@ def pack_block(sentences: list[str], tokenizer, most: int = MAX_TOKENS, overlap:
     return packer.done
 
 
+def pack_block(sentences: list[str], tokenizer, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS) -> list[str]:
+    return [piece for piece, _ in packed(sentences, tokenizer, most, overlap)]
+
+
 def chunk_documents(docs: DataFrame, id_column: str, text: str, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, tokenizer=Words) -> DataFrame:
     """(id, chunk_index, chunk, token_count): blocks and sentences by native splits, garbage sentences dropped, then packed by a task
     over its own documents. Chunks never cross a block; garbage chunks are dropped before numbering."""
@@ -189,12 +209,12 @@ def chunk_documents(docs: DataFrame, id_column: str, text: str, most: int = MAX_
                 part = batch.slice(lo, 500)
                 ids, at, chunk, tokens = [], [], [], []
                 for i, doc in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    made = [c.strip() for b in doc or [] for c in pack_block(b, words, most, overlap)]
-                    made = [c for c in made if len(meaning.findall(c)) >= 2]
+                    made = [(c.strip(), n) for b in doc or [] for c, n in packed(b, words, most, overlap)]
+                    made = [x for x in made if len(meaning.findall(x[0])) >= 2]
                     ids += [i] * len(made)
                     at += range(len(made))
-                    chunk += made
-                    tokens += [len(words.spans(c)) for c in made]
+                    chunk += [c for c, _ in made]
+                    tokens += [n for _, n in made]
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(at, pa.int32()), pa.array(chunk), pa.array(tokens, pa.int32())], names=["id", "chunk_index", "chunk", "token_count"])
 

@@ -135,6 +135,25 @@ _INGEST = f"""WITH {_RECORDS}, j AS (SELECT *, {_REASON.replace('text', 'content
 p AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY reason IS NULL, h ORDER BY priority, idx) END AS n FROM j)"""
 _REPORT = "SELECT source, count(*) AS raw, count(*) FILTER (reason IS NULL) AS after_clean, count(*) FILTER (n > 1) AS duplicate, count(*) FILTER (n = 1) AS after_dedup FROM p GROUP BY source"
 
+_TOK = r"(?:[\pL\pM\p{Nd}\p{Pc}]+|[^\pL\pM\p{Nd}\p{Pc}\s])"
+
+
+def _many(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '{_TOK}'))"
+
+
+_SPACED = r"regexp_extract_all({}, '\s*" + _TOK.replace("{", "{{").replace("}", "}}") + "')"
+_WINDOWS = f"list_transform(range(0, greatest(t - 80, 0) + 64, 64), lambda i: ltrim(array_to_string(({_SPACED.format('said')})[i + 1:i + 80], ''), ' ' || chr(9) || chr(10) || chr(13)))"
+_CHK1 = rf"""WITH RECURSIVE b AS (SELECT doc_id, unnest(list_zip(range(len(l)), l)) AS z FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n\s*\n+'), lambda x: trim(x, ' ' || chr(10) || chr(9)) <> '') AS l FROM documents)),
+bs AS (SELECT doc_id, z[1] AS bi, list_filter({_SENT.replace('text', 'z[2]')}, lambda x: len(regexp_extract_all(x, '[가-힣a-zA-Z0-9]')) >= 2) AS ss FROM b),
+s AS MATERIALIZED (SELECT doc_id, bi, z[1] AS si, z[2] AS said, {_many('z[2]')} AS t, len(ss) AS of FROM (SELECT doc_id, bi, ss, unnest(list_zip(range(1, len(ss) + 1), ss)) AS z FROM bs WHERE len(ss) > 0)),
+r AS (SELECT DISTINCT doc_id, bi, 0::BIGINT AS si, ''::VARCHAR AS cur, 0::BIGINT AS n, []::VARCHAR[] AS out, 1::BIGINT AS of FROM s
+UNION ALL SELECT doc_id, bi, si, CASE WHEN t > 80 THEN '' WHEN NOT is_full THEN trim(cur || ' ' || said) WHEN carried + t <= 80 THEN opening || ' ' || said ELSE said END, CASE WHEN t > 80 THEN 0 WHEN NOT is_full THEN n + t WHEN carried + t <= 80 THEN carried + t ELSE t END,
+CASE WHEN t > 80 THEN list_concat(CASE WHEN cur <> '' THEN [cur] ELSE [] END, {_WINDOWS}) WHEN is_full THEN [cur] ELSE [] END, of
+FROM (SELECT s.*, cur, n, n + t > 80 AND cur <> '' AS is_full, least(16, n) AS carried, ltrim(array_to_string(({_SPACED.format('cur')})[-16:], ''), ' ' || chr(9) || chr(10) || chr(13)) AS opening FROM r JOIN s ON s.doc_id = r.doc_id AND s.bi = r.bi AND s.si = r.si + 1)),
+p AS (SELECT doc_id, bi, si, unnest(list_zip(range(len(o)), o)) AS z FROM (SELECT doc_id, bi, si, CASE WHEN si = of AND cur <> '' THEN list_concat(out, [cur]) ELSE out END AS o FROM r WHERE si > 0)),
+c AS (SELECT doc_id, bi, si, z[1] AS k, regexp_replace(z[2], '^\s+|\s+$', '', 'g') AS chunk FROM p)
+SELECT doc_id AS id, (row_number() OVER (PARTITION BY doc_id ORDER BY bi, si, k) - 1)::INT AS chunk_index, chunk, {_many('chunk')}::INT AS token_count FROM c WHERE len(regexp_extract_all(chunk, '[가-힣a-zA-Z0-9]')) >= 2"""
 _VERSIONS = """now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN lower(array_to_string(string_split(text, chr(10))[1:2], chr(10))) ELSE text END AS text FROM documents WHERE doc_id % 7 > 0),
 seen AS (SELECT doc_id, i - 1 AS chunk_index, l[i] AS chunk FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM now))"""
 
@@ -159,6 +178,7 @@ CASE conv_id % 3 WHEN 0 THEN ['순환기내과'] ELSE []::VARCHAR[] END AS depar
     "set2_hash_union": f"WITH {_RECORDS} SELECT DISTINCT sha256({_CONTENT}) AS h FROM records",
     "set3_existing_keys": f"WITH {_RECORDS} SELECT document_key FROM records WHERE idx % 6 = 0",
     "set4_ordered_unique": "SELECT doc_id, list_transform(list_filter(list_zip(w, range(len(w))), lambda p: list_position(w, p[1]) = p[2] + 1), lambda p: p[1]) AS words FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)",
+    "chk1_token_chunks": _CHK1,
     "chk1_chunk_counts": r"SELECT doc_id AS id, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n+')) AS b FROM documents) WHERE len(regexp_extract_all(b, '[가-힣a-zA-Z0-9]')) >= 2 GROUP BY doc_id",
     "chk2_character_chunks": r"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), w AS (SELECT doc_id, 0 AS opened FROM d
 UNION ALL SELECT doc_id, CASE WHEN stop = n THEN n ELSE greatest(stop - 50, opened + 1) END FROM (SELECT doc_id, opened, n, <stop> AS stop FROM (SELECT w.doc_id, opened, n, text, text[opened + 301:opened + 500] AS z FROM w JOIN d USING (doc_id) WHERE opened < n)) WHERE CASE WHEN stop = n THEN n ELSE greatest(stop - 50, opened + 1) END < n),
