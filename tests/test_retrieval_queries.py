@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.operators import retrieval
 from tidemill.plans import q_retrieval
@@ -53,3 +54,58 @@ def test_ties_and_text_ids(spark):
     found = sorted((r.query_id, r.rank, r.id) for r in retrieval.vector_topk(asked, corpus, 4).collect())
     assert found == [(1, i + 1, f"id{3 * i:02d}") for i in range(4)] + [(2, i + 1, f"id{3 * i + 2:02d}") for i in range(4)]
     assert retrieval.vector_topk(asked.limit(0), corpus, 4).count() == retrieval.bm25(spark.createDataFrame([(1, "")], "query_id long, text string"), corpus.select("id", "id").toDF("id", "text"), 3).count() == 0
+
+
+def test_postings_find_every_score_that_may_count():
+    """Scores by postings with a cut, against sums over all terms, at every threshold."""
+    import numpy as np
+
+    from tidemill.operators.retrieval import SLACK, _Postings, _Top
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        docs, terms = int(rng.integers(1, 60)), int(rng.integers(1, 30))
+        row, term = np.nonzero(rng.random((docs, terms)) < rng.random(terms) ** 2)
+        weight = np.round(rng.random(len(row)) * rng.random(terms)[term] * 5, 2) + 0.01
+        dense = np.zeros((docs, terms))
+        dense[row, term] = weight
+        order = rng.permutation(len(row))
+        postings = _Postings(row[order], term[order], weight[order])
+        asked = np.sort(rng.choice(terms + 5, int(rng.integers(1, terms + 5)), replace=False))
+        want = dense[:, asked[asked < terms]].sum(axis=1)
+        for least in (-np.inf, 0.0, *np.quantile(want, (0.5, 0.9, 1.0)), want.max() + 1):
+            found, scores = postings.search(asked, least)
+            assert np.allclose(scores, want[found]) and len(set(found.tolist())) == len(found)
+            assert set(np.flatnonzero((want > 0) & (want >= least))) <= set(found.tolist()) and (want[found] >= least - 2 * SLACK).all()
+        top = _Top(3)
+        for part in np.array_split(np.arange(docs), 4):
+            at = np.isin(row, part)
+            own = _Postings(row[at], term[at], weight[at])
+            found, scores = own.search(asked, top.least)
+            if len(found):
+                top.add(found, scores)
+        best = sorted((-round(w, 9), i) for i, w in enumerate(want.tolist()) if w > 0)[:3]
+        assert [(-s, i) for s, i in zip(top.scores.tolist(), top.ids.tolist() if top.ids is not None else [])] == best
+
+
+def test_chunks_that_are_all_known_are_refused(spark):
+    from tidemill.operators import ingest
+
+    rows = [(1, 0, "정상적인 의료 문장이 여기에 있습니다."), (1, 1, "짧음"), (2, 0, " 정상적인 의료 문장이 여기에 있습니다. "), (2, 1, "또 하나의 정상적인 문장이 여기에 있습니다"), (3, 0, None)]
+    chunks = spark.createDataFrame(rows, "doc long, place int, chunk string")
+    kept, counts = ingest.gate_chunks(chunks, chunks.limit(0), ["doc", "place"])
+    assert ingest.require_kept(counts) == {"total": 5, "rejected": 2, "duplicate": 1, "kept": 2}
+    assert sorted((r.doc, r.place) for r in kept.collect()) == [(1, 0), (2, 1)]
+    _, again = ingest.gate_chunks(chunks, kept, ["doc", "place"])
+    with pytest.raises(ValueError, match="no chunk is left"):
+        ingest.require_kept(again)
+
+
+def test_an_evaluation_without_queries_is_a_row_of_zeros(spark):
+    from tidemill.operators import evaluation
+
+    corpus = spark.createDataFrame([(1, "a b"), (2, "c")], "id long, text string")
+    queries = spark.createDataFrame([], "query_id long, text string, relevant_id long")
+    row = evaluation.evaluate_embedding(corpus, queries, "hashing", 16).first().asDict()
+    assert row.pop("config") == "hashing" and row.pop("dimension") == 16 and set(row.values()) == {0}
+    assert tuple(evaluation.answer_metrics(evaluation.answer_cases(corpus.limit(0).withColumn("expected", F.lit("")).withColumn("predicted", F.lit("")))).first()) == (0, 0.0, 0.0)

@@ -244,7 +244,7 @@ QUERIES = {
     "agg17_department_vote": _votes,
     "agg21_reference_block": _block,
     "emb1_hashing_terms": _emb_terms,
-    "emb1_hashing_embedding": lambda s, d: E.hashing_embedding(benchmark(s, d).select(F.col("item_id").alias("id"), "text"), 64).select("id", F.size("vector").alias("width"), F.round(X.norm(F.col("vector")), 6).alias("norm")),
+    "emb1_hashing_embedding": lambda s, d: E.hashing_embedding(benchmark(s, d).select(F.col("item_id").alias("id"), "text"), 64).select("id", F.size("vector").alias("width"), F.round(X.norm(F.col("vector")), 6).alias("norm"), F.transform("vector", lambda x: F.round(x.cast("double"), 5) + F.lit(0.0)).alias("vector")),
     "emb2_provider_embedding": lambda s, d: E.embed(documents(s, d).select(F.col("doc_id").alias("id"), "text"), lambda: E.HashingProvider("hashing", 64)),
     "emb3_multi_provider": lambda s, d: E.embed_all(benchmark(s, d).select(F.col("item_id").alias("id"), "text"), {"h64": (lambda: E.HashingProvider("h64", 64), 64), "h128": (lambda: E.HashingProvider("h128", 128), 128)}).groupBy("provider", "problem").agg(F.count("*").alias("n")),
     "emb4_model_comparison": lambda s, d: V.retrieval_metrics(_evaluation(s, d, {k: v for k, v in _configs(s, d).items() if k != "rrf"}), (1, 5)).withColumn("dimension", F.lit(32)),
@@ -283,7 +283,8 @@ SELECT source, '[참고 의료 정보]' || string_agg(chr(10) || chr(10) || '[
 || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '관련 진료과: d1, d2' ELSE '' END || chr(10) || CASE WHEN length(c) > 800 THEN regexp_replace(c[1:800], '\\s+$', '') || '…' ELSE c END, '' ORDER BY n) AS block
 FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chunk_id) AS n FROM cut WHERE c <> '') WHERE n <= 5 GROUP BY source""",
     "emb1_hashing_terms": _TERMS,
-    "emb1_hashing_embedding": "SELECT item_id AS id, 64 AS width, 1.0::DOUBLE AS norm FROM benchmark",
+    "emb1_hashing_embedding": f"""WITH corpus AS (SELECT item_id AS id, text FROM benchmark), ct AS ({_terms_sql('corpus')}), cv AS ({_VEC.format('corpus', 'ct')})
+SELECT id, 64 AS width, round(n / n, 6) AS norm, list_transform(v, lambda x: round(x / n, 5) + 0.0::DOUBLE) AS vector FROM (SELECT id, v, sqrt(list_inner_product(v, v)) AS n FROM cv)""",
     "emb3_multi_provider": "SELECT provider, NULL::VARCHAR AS problem, count(*) AS n FROM benchmark, (VALUES ('h64'), ('h128')) p(provider) GROUP BY provider",
     "emb4_model_comparison": f"{_RANKS} SELECT *, 32 AS dimension FROM ({_metrics((1, 5))}) WHERE config <> 'rrf'",
     "evl1_evaluation_set": "SELECT item_id AS query_id, trim(text) AS text, item_id AS relevant_id FROM benchmark",
