@@ -131,3 +131,18 @@ def test_versions_of_documents(spark, tmp_path):
     assert known("chunks", "chunk") == [("a", "three+"), ("b", "again")] and store.visible("documents").count() == 3
     store.write("b6", {"documents": spark.createDataFrame([("b",)], "document_key string")}, spark.createDataFrame([("b",)], "document_key string"))
     assert store.visible("documents").count() == 3 and known("chunks", "chunk") == [("a", "three+")]
+
+
+def test_flags_of_a_text_of_very_many_sentences(spark):
+    """Repetition is told in one split and one sort: the square of 20,000 sentences takes minutes."""
+    import time
+
+    many = [f"Sentence {i} ends." for i in range(20_000)]
+    texts = [" ".join(many), " ".join([*many, many[7], many[19_000]]), " ".join([many[7], *many, many[7]]), "a. b. a. b. ", "a. a. b. a.\x1c", "a? a? a?", "", None]
+    flagged = reports.chunk_flags(spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("source", F.lit("s")))
+    began = time.time()
+    found = {r.i: r for r in flagged.select("i", "repetition", "mid_cut").collect()}
+    assert time.time() - began < 30
+    assert [found[i].repetition for i in range(8)] == [False, False, True, False, True, True, False, None]
+    # the no-break space is white space, the separator 1C is not
+    assert [found[i].mid_cut for i in range(8)] == [False, False, False, False, True, False, False, None]

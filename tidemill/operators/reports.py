@@ -31,11 +31,11 @@ def samples(df: DataFrame, by: list[str], order: list, n: int = SAMPLES) -> Data
 def chunk_flags(chunks: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """chunks with a boolean column a fault: too_short, too_long, meaningless, mid_cut, repetition, no_metadata."""
     t = F.col(text)
-    sentences = X.split_sentences(t)
-    repeated = (F.size(sentences) >= REPEATED_SENTENCES) & F.exists(F.array_distinct(sentences), lambda x: F.size(F.filter(sentences, lambda y: y == x)) >= REPEATED_SENTENCES)
+    # sorted, a sentence that comes so often is equal to the one so many places on; bound to a variable, the split is made once a text
+    repeated = F.exists(F.array(F.sort_array(X.split_sentences(t))), lambda s: F.exists(F.zip_with(s, F.slice(s, REPEATED_SENTENCES, F.size(s)), lambda x, y: x.eqNullSafe(y)), lambda same: same))
     return chunks.withColumns({
         "too_short": F.length(X.strip(t)) < LEAST_CHUNK_CHARS, "too_long": F.length(t) > MOST_CHUNK_CHARS, "meaningless": X.junk_ratio(t) > X.JUNK_RATIO,
-        "mid_cut": (X.strip(t) != "") & ~X.ends_with_any(F.regexp_replace(t, X.UNICODE + r"\s+$", ""), X.FINAL_ENDINGS), "repetition": repeated, "no_metadata": F.coalesce(X.strip(F.col(source)), F.lit("")) == "",
+        "mid_cut": (X.strip(t) != "") & ~X.ends_with_any(F.rtrim(t, F.lit(X.WHITE)), X.FINAL_ENDINGS), "repetition": repeated, "no_metadata": F.coalesce(X.strip(F.col(source)), F.lit("")) == "",
     })
 
 
