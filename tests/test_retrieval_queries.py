@@ -151,3 +151,50 @@ def test_a_vector_search_takes_arrow_batches_in_parts(spark, monkeypatch):
 
     retrieval._nearest(spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>"), Corpus(), 3)
     assert sum(seen) == 10_000 and max(seen) <= 2048
+
+
+def test_evaluations_follow_their_sql_on_texts_without_a_direction(spark, tmp_path):
+    """Texts whose tokens cancel out in every bucket (NaN in SQL, sorted first), passages within words and of few words."""
+    from tidemill.operators.embedding import _place
+
+    places = {t: _place(t, 64) for t in (f"w{i}" for i in range(200))}
+    a, b = next((x, y) for x in places for y in places if places[x] == (places[y][0], -places[y][1]))
+    texts = [f"{a} {b}", f"{b} {a}", "the quick brown fox jumps over a lazy dog", "xthe quick brown fox jumps over a lazy dogs", "alpha beta", "gammalpha betas", f"{b} {a} {a} {b}", f"{a} {a} {b} {b}", "lazy dog", f"{a}, {b}!"]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = [(1, "he quick brown fox jumps over a lazy do"), (2, "lpha bet"), (3, "lazy dog"), (4, "absent"), (5, None), (6, f"{a} {b}")]
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("evl2_retrieval_evaluation", "top7_dense_and_keyword", "top6_bm25"):
+        df, out = q_retrieval.QUERIES[name](spark, str(tmp_path)), con.execute(q_retrieval.SQL[name])
+        assert rows(df.columns, map(tuple, df.collect())) == rows([c[0] for c in out.description], out.fetchall()), name
+
+
+def test_passages_are_found_wherever_they_stand(spark):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("ab é", k=rng.randint(0, 3000))) for _ in range(60)] + [None, ""]
+    cut = [t[i : i + n] for t in texts[:30] if t for n in (1, 7, 15, 16, 17, 40, 5000) for i in (0, len(t) // 2)]
+    passages = [(i, p) for i, p in enumerate([*cut, "", "nowhere in any text", None])]
+    for most in (retrieval.TEXT_BYTES, 100):
+        want = {(i, p, min(d for d, t in enumerate(texts) if t is not None and p in t)) for i, p in passages if p is not None and any(t is not None and p in t for t in texts)}
+        found = retrieval.first_holding(spark.createDataFrame(passages, "query_id long, text string"), spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)).collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+        whole = retrieval._Passages([p.encode() for p in cut])
+        old, retrieval.TEXT_BYTES = retrieval.TEXT_BYTES, most
+        assert all(whole.within(t.encode()) == {i for i, p in enumerate(cut) if p in t} for t in texts[:10])
+        retrieval.TEXT_BYTES = old
+
+
+def test_embeddings_in_one_pass_add_rows_that_share_an_id(spark):
+    from tidemill.operators import embedding
+
+    rows_ = [(1, "a b c a"), (2, None), (3, ""), (1, "c d"), (4, "é ß"), (None, "x"), (None, "y x")] + [(i, f"t{i} u{i % 7}") for i in range(10, 3000)]
+    got = {r.id: r.vector for r in embedding.hashing_embedding(spark.createDataFrame(rows_, "id long, text string").repartition(3), 16).collect()}
+    joined = {}
+    for i, t in rows_:
+        joined[i] = joined.get(i, "") + " " + (t or "")
+    want = dict(zip(joined, embedding.HashingProvider("h", 16).embed_texts(list(joined.values()))))
+    assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k]))

@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +40,71 @@ def hashing_terms(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     return counted.groupBy("id", bucket.alias("bucket")).agg(F.sum(sign * F.col("n")).cast("double").alias("value")).where("value <> 0")
 
 
+def _place(token: str, dimension: int) -> tuple[int, int]:
+    """A token's bucket and sign."""
+    at, sign = (hashlib.sha256(f"{salt}:{token}".encode()).digest() for salt in ("", "sign"))
+    return int.from_bytes(at[:8], "big") % dimension, -1 if sign[7] & 1 else 1
+
+
+#: Tokens whose places a task remembers; rows whose sums it gives on at once.
+PLACES, SUM_ROWS = 1 << 17, 1024
+
+
 def hashing_embedding(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """(id, vector): L2-normalised hashing embeddings of docs (id, text); texts without tokens get zeros."""
-    terms = hashing_terms(docs, dimension)
-    packed = terms.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("m"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.coalesce(F.element_at("m", i) / F.col("norm"), F.lit(0.0)))
-    return docs.select("id").distinct().join(packed, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dimension)).otherwise(dense).alias("vector"))
+    """(id, vector): L2-normalised hashing embeddings of docs (id, text); texts without tokens get zeros.
+
+    Tokens are taken natively and counted where they are read; only a text's sums are shuffled, to add those of rows that share an id.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def sums(batches):
+        places = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, SUM_ROWS):
+                part = batch.slice(at, SUM_ROWS)
+                sizes = pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+                told = pc.list_flatten(part.column(1)).dictionary_encode()
+                if len(places) > PLACES:
+                    places.clear()
+                own = [places.get(t) or places.setdefault(t, _place(t, dimension)) for t in told.dictionary.to_pylist()]
+                bucket, sign = np.array(own, np.int64).reshape(-1, 2)[told.indices.to_numpy(zero_copy_only=False)].T
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                flat = np.bincount(row * dimension + bucket, sign, len(sizes) * dimension)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimension), pa.array(flat))], names=["id", "sums"])
+
+    def unit(batches):
+        last, held = None, None
+
+        def made():
+            size = np.linalg.norm(held)
+            return pa.RecordBatch.from_arrays([last, pa.array([held / size if size else held], pa.list_(pa.float64()))], names=["id", "vector"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
+            ids = batch.column(0)
+            new = np.ones(len(v), bool)
+            if len(v) > 1:
+                new[1:] = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False) & ~(pc.is_null(ids[1:]).to_numpy(zero_copy_only=False) & pc.is_null(ids[:-1]).to_numpy(zero_copy_only=False))
+            start = np.flatnonzero(new)
+            added = np.add.reduceat(v, start, axis=0)
+            if last is not None:
+                if ids[0].as_py() == last[0].as_py():
+                    added[0] += held
+                else:
+                    yield made()
+            size = np.linalg.norm(added, axis=1, keepdims=True)
+            if len(start) > 1:
+                whole = np.divide(added, size, out=np.zeros_like(added), where=size > 0)[:-1]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(start[:-1])), pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32) * dimension), pa.array(whole.ravel()))], names=["id", "vector"])
+            last, held = ids.slice(int(start[-1]), 1), added[-1]
+        if last is not None:
+            yield made()
+
+    said = docs.select("id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(X.UNICODE + r"\w+"), F.lit(0)).alias("t"))
+    summed = said.mapInArrow(sums, f"id {kind}, sums array<double>")
+    return summed.repartition("id").sortWithinPartitions("id").mapInArrow(unit, f"id {kind}, vector array<double>")
 
 
 class HashingProvider:
@@ -53,13 +113,9 @@ class HashingProvider:
     def __init__(self, name: str = "hashing", dimension: int = DIMENSION):
         self.name, self.dimension = name, dimension
 
-    def _place(self, token: str) -> tuple[int, int]:
-        at, sign = (hashlib.sha256(f"{salt}:{token}".encode()).digest() for salt in ("", "sign"))
-        return int.from_bytes(at[:8], "big") % self.dimension, -1 if sign[7] & 1 else 1
-
     def embed_texts(self, texts: Sequence[str]) -> list[list[float]]:
         counts = [Counter(re.findall(r"\w+", t.lower())) for t in texts]
-        places = {t: self._place(t) for t in set().union(*counts)}
+        places = {t: _place(t, self.dimension) for t in set().union(*counts)}
         out = np.zeros((len(texts), self.dimension))
         for row, own in zip(out, counts):
             for token, n in own.items():

@@ -8,7 +8,7 @@ from tidemill.operators import embedding as E
 from tidemill.operators import evaluation as V
 from tidemill.operators import lexicon as L
 from tidemill.operators import retrieval as R
-from tidemill.plans.tables import benchmark, documents, embeddings
+from tidemill.plans.tables import benchmark, documents, embeddings, scratch
 
 # provider A: the first 32 dimensions, provider B: the last
 _HALF = {"a": 1, "b": 33}
@@ -52,14 +52,11 @@ def _both_lists(s, d):
 
 
 def _passages(s, d):
-    """Benchmark texts that a document holds verbatim, with the least such document."""
-    b, t = benchmark(s, d), documents(s, d)
-    # the first eight words are the equality key of the containment test; texts are fetched for the few that have it
-    key = lambda c: F.xxhash64(F.array_join(F.slice(F.split(c, "[ \n]"), 1, 8), " "))
-    words = t.select("doc_id", F.split("text", "[ \n]").alias("w"))
-    grams = words.select("doc_id", F.explode(F.expr("array_distinct(transform(sequence(1, greatest(1, size(w) - 7)), i -> xxhash64(array_join(slice(w, i, 8), ' '))))")).alias("key"))
-    near = grams.join(b.select("item_id", F.col("text").alias("query"), key("text").alias("key")), "key").select("doc_id", "item_id", "query")
-    return t.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", F.col("query"))).groupBy("item_id", "query").agg(F.min("doc_id").alias("relevant_id"))
+    """Benchmark texts that a document holds verbatim, with the least such document; a few rows, found once for all who read them."""
+    found = R.first_holding(benchmark(s, d).select(F.col("item_id").alias("query_id"), "text"), documents(s, d).select(F.col("doc_id").alias("id"), "text"))
+    path = scratch(s, "passages")
+    found.select(F.col("query_id").alias("item_id"), F.col("text").alias("query"), F.col("id").alias("relevant_id")).write.parquet(path)
+    return s.read.parquet(path)
 
 
 _PASSAGES = "passages AS (SELECT b.item_id, b.text AS query, min(d.doc_id) AS relevant_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1, 2)"
