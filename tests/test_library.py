@@ -347,3 +347,17 @@ def test_first_by_and_numbered_places(spark):
     for kind in ("x", "y", None):
         own = sorted((r for r in placed if r.kind == kind), key=lambda r: (r.h, r.id))
         assert [r["_n"] for r in own] == list(range(1, 1001)) and {r["_of"] for r in own} == {1000}
+
+
+def test_chunk_counts_follow_their_sql_on_odd_blocks(spark, tmp_path):
+    """Blocks whose sentences have a character each, other white space between lines, articles of a law."""
+    import duckdb
+
+    from tidemill.plans import q_ingest
+
+    texts = ["A. b. c.\n\nwhole block", "one\n \ntwo", "one\n \n\ntwo", "one\n\x0b\ntwo", "one\n\t \r\n\ntwo\n\n\n", "법\n제 1 조 하나\n제2조 둘", "x\n\n1!\n\n?", "", None, "\n\n", "1. 2. 3. 4.", "ab. ? cd"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(q_ingest.SQL["chk1_chunk_counts"]).fetchall())
+    assert sorted(map(tuple, q_ingest.QUERIES["chk1_chunk_counts"](spark, str(tmp_path)).collect())) == want
