@@ -361,3 +361,18 @@ def test_chunk_counts_follow_their_sql_on_odd_blocks(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     want = sorted(con.execute(q_ingest.SQL["chk1_chunk_counts"]).fetchall())
     assert sorted(map(tuple, q_ingest.QUERIES["chk1_chunk_counts"](spark, str(tmp_path)).collect())) == want
+
+
+def test_a_packer_asks_only_the_last_sentences_of_a_piece_for_their_places():
+    from tidemill.operators import ingest
+
+    class Counted(ingest.Words):
+        asked = 0
+
+        def spans(self, text):
+            self.asked += 1
+            return super().spans(text)
+
+    words = Counted()
+    pieces = ingest.packed([f"Sentence number {i} ends." for i in range(600)], words, 300, 60)
+    assert all(n == len(ingest.Words().spans(p)) <= 300 for p, n in pieces) and words.asked <= 14 * len(pieces) < 600
