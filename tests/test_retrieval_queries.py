@@ -198,3 +198,5 @@ def test_embeddings_in_one_pass_add_rows_that_share_an_id(spark):
         joined[i] = joined.get(i, "") + " " + (t or "")
     want = dict(zip(joined, embedding.HashingProvider("h", 16).embed_texts(list(joined.values()))))
     assert got.keys() == want.keys() and all(abs(x - y) < 1e-12 for k in want for x, y in zip(got[k], want[k]))
+    blank = embedding.hashing_embedding(spark.createDataFrame([(1, ""), (2, None)], "id long, text string").coalesce(1), 4).collect()
+    assert sorted((r.id, r.vector) for r in blank) == [(1, [0.0] * 4), (2, [0.0] * 4)]

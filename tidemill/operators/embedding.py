@@ -69,7 +69,7 @@ def hashing_embedding(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
                 own = [places.get(t) or places.setdefault(t, _place(t, dimension)) for t in told.dictionary.to_pylist()]
                 bucket, sign = np.array(own, np.int64).reshape(-1, 2)[told.indices.to_numpy(zero_copy_only=False)].T
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                flat = np.bincount(row * dimension + bucket, sign, len(sizes) * dimension)
+                flat = np.bincount(row * dimension + bucket, sign, len(sizes) * dimension).astype(np.float64)  # integers where no text has a token
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimension), pa.array(flat))], names=["id", "sums"])
 
     def unit(batches):
