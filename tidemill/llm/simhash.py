@@ -15,7 +15,8 @@ from ._spark import among, cut, lookup, row_key, without
 
 BITS = 64
 #: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already. Links
-#: of fingerprints are exact, so a search finds every component; candidates of near-duplicates are not, so more of them stay pairs.
+#: of fingerprints are exact, so a search finds every component. Candidates of near-duplicates are not: bunches of more of them that a
+#: search joins are given whole, for _across.
 PAIRWISE, CANDIDATE_PAIRWISE = 8, 64
 #: Pairs that are compared at once (some 64 bytes each).
 PAIRS = 1 << 15
@@ -91,11 +92,12 @@ class _Verifier:
         ok = np.bitwise_count(x[..., 0] ^ y[..., 0]) <= self.distance
         return ok if self.check is None else ok & (np.bitwise_count(x[..., 1] ^ y[..., 1]) <= self.check)
 
-    def spanning(self, rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Links that join all rows near each other into the right components, fewer than rows; memory is linear."""
+    def spanning(self, rows: np.ndarray, joined: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links that join all rows near each other into the right components, fewer than rows; memory is linear. `joined` gets the
+        nodes of each component."""
         left, out = rows[np.argsort(rows[:, -1], kind="stable")], []
         while len(left) > 1:
-            todo, left = [left[0]], left[1:]
+            todo, left, own = [left[0]], left[1:], [left[0, -1:]]
             while todo and len(left):
                 at = todo.pop()
                 hit = self.near(left, at)
@@ -103,13 +105,16 @@ class _Verifier:
                     found, left = left[hit], left[~hit]
                     out.append((np.full(len(found), at[-1], np.uint64), found[:, -1]))
                     todo.extend(found)
+                    own.append(found[:, -1])
+            if len(own) > 1:
+                joined.append(np.concatenate(own))
         return out
 
-    def linked(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """keys are sorted."""
+    def linked(self, keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Links (a, b), and the members (bunch, node) of what a search has joined; keys are sorted."""
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(np.append(start, len(keys)))
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        a, b, bunches, nodes = ([np.zeros(0, np.uint64)] for _ in range(4))
         for n in range(2, self.pairwise + 1):
             every = start[size == n]
             i, j = np.triu_indices(n, 1)
@@ -126,15 +131,20 @@ class _Verifier:
                 side = (members[:, 0] >> np.uint64(low + place)) & np.uint64(1)
                 if side.all() or not side.any():
                     continue
-            for x, y in self.spanning(members):
+            joined: list[np.ndarray] = []
+            for x, y in self.spanning(members, joined):
                 a.append(x)
                 b.append(y)
-        return np.concatenate(a), np.concatenate(b)
+            for own in joined:
+                bunches.append(np.full(len(own), _text.mixed(keys[i : i + 1] ^ _text.mixed(own[:1]))[0]))
+                nodes.append(own)
+        return tuple(np.concatenate(x) for x in (a, b, bunches, nodes))
 
 
 def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), check: tuple[str, int] | None = None, node: str = "fp") -> DataFrame:
     """(a, b) pairs of distinct nodes with a fingerprint at `distance` bits or fewer (and, where asked, a check value within its own
-    distance), enough to join every component.
+    distance), enough to join every component. With a check value these are candidates: `member` marks rows that are no pair, but a
+    bunch a and a node b of it (_verified).
 
     Cut into distance // 2 + 1 segments, one segment of a linked pair differs by one bit at most, so the pair shares that segment's
     signature with the right bit left out, or with none. Signatures are shuffled by hash and sorted; each group is verified by
@@ -156,7 +166,8 @@ def links(nodes: DataFrame, distance: int = 4, fps: tuple[str, ...] = ("fp",), c
                     yield pa.RecordBatch.from_arrays([_array(keys.ravel()), *(_array(np.tile(c, len(keys))) for c in (part[r], *part[len(fps) :]))], names=["key", *columns])
 
     signed = nodes.select(*fps, *kept).mapInArrow(sign, kind)
-    return _verified(signed, verifier)
+    found = _verified(signed, verifier)
+    return found if check else found.where("NOT member").drop("member")
 
 
 def _array(x: np.ndarray) -> pa.Array:
@@ -164,7 +175,8 @@ def _array(x: np.ndarray) -> pa.Array:
 
 
 def _verified(signed: DataFrame, verifier: _Verifier) -> DataFrame:
-    """The links (a, b) among rows (key, then the verifier's columns) that share a key."""
+    """The links (a, b) among rows (key, then the verifier's columns) that share a key; with `member`, the bunches a and nodes b of
+    groups that are too large for all their pairs."""
 
     def verify(batches):
         held: list[np.ndarray] = []
@@ -183,10 +195,11 @@ def _verified(signed: DataFrame, verifier: _Verifier) -> DataFrame:
             yield pairs(np.concatenate(held))
 
     def pairs(rows):
-        a, b = verifier.linked(rows[:, 0], rows[:, 1:]) if len(rows) else (np.zeros(0, np.uint64),) * 2
-        return pa.RecordBatch.from_arrays([_array(a), _array(b)], names=["a", "b"])
+        a, b, bunches, nodes = verifier.linked(rows[:, 0], rows[:, 1:]) if len(rows) else (np.zeros(0, np.uint64),) * 4
+        member = np.arange(len(a) + len(bunches)) >= len(a)
+        return pa.RecordBatch.from_arrays([_array(np.concatenate((a, bunches))), _array(np.concatenate((b, nodes))), pa.array(member)], names=["a", "b", "member"])
 
-    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint")
+    return signed.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a bigint, b bigint, member boolean")
 
 
 def clusters(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4, seed: int = 42) -> DataFrame:
@@ -242,7 +255,7 @@ def _parts(distinct: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _part_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) pairs of nodes (node, check, parts) that share a part's key and whose check values are near."""
+    """(a, b) pairs of nodes (node, check, parts) that share a part's key and whose check values are near, and members, as links."""
 
     def sign(batches):
         for batch in batches:
@@ -298,20 +311,103 @@ def _verified_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_colu
     return texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a bigint, b bigint")
 
 
+#: What a group of a bunch's texts weighs: a text counts 1 and as much again for each ACROSS_SHINGLES of its shingles, so that a task,
+#: which holds two groups, has some 10 MB of shingles at most besides a single text's.
+ACROSS, ACROSS_SHINGLES = 512, 1024
+
+
+def _across(docs: DataFrame, nodes: DataFrame, members: DataFrame, stars: DataFrame, similar: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """(a, b) pairs of nodes of one bunch (members: bunch, node) that are SIMILAR and that the pairs `similar` don't join.
+
+    Bunches that hang together (stars: node, star) and overlap so much that all their pairs are more than those of all their nodes are
+    compared as one. A bunch that is joined by now needs nothing. Any other is cut by hash into groups, and each two of them meet in
+    a tile: texts are copied once a group, and every pair is compared of which check values are near.
+    """
+    placed = cut(members.distinct().join(stars, "node"))
+    sizes = placed.groupBy("star", "bunch").agg(F.count("*").cast("double").alias("n")).groupBy("star").agg(F.sum(F.col("n") * F.col("n")).alias("squares"))
+    whole = placed.groupBy("star").agg(F.count_distinct("node").cast("double").alias("n")).join(sizes, "star").where("squares >= n * n").select("star", F.lit(True).alias("whole"))
+    bunches = placed.join(whole, "star", "left").select(F.when(F.col("whole"), F.col("star")).otherwise(F.col("bunch")).alias("bunch"), "node").distinct()
+    roots = graph.components(similar).withColumnRenamed("node", "_node")
+    named = cut(bunches.join(roots, F.col("node") == F.col("_node"), "left").select("bunch", "node", F.coalesce("root", "node").alias("root")))
+    named = lookup(named, cut(named.groupBy("bunch").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bunch")), "bunch")
+    own = cut(lookup(cut(named), nodes.select("node", "one", "check", "size"), "node"))
+    groups = own.groupBy("bunch").agg(F.ceil(F.sum(F.lit(1) + F.col("size") / ACROSS_SHINGLES) / ACROSS).cast("int").alias("groups"))
+    dealt = lookup(own, cut(groups), "bunch").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    wanted = dealt.select("one.id", "one.row", "bunch", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "check")
+    rows = among(docs, wanted, id_column, text).select("bunch", "x", "y", "mine", "node", "root", "check", F.col("_among_text").alias("text"))
+
+    def run(batches):
+        tile, held = None, {}
+        for batch in batches:
+            for part, data, offsets in _text.text_slices([batch], "text"):
+                raw = _text.LOWER[data].tobytes()
+                for *at, mine, node, root, check, i, j in zip(*(part.column(c).to_pylist() for c in range(7)), offsets[:-1], offsets[1:]):
+                    if at != tile:
+                        yield from _tile(tile, held)
+                        tile, held = at, {}
+                    if node not in held:  # else a repeated row
+                        held[node] = mine, root, check, np.unique(_shingles(raw[i:j].split(), shingle, 42))
+        yield from _tile(tile, held)
+
+    return rows.repartition("bunch", "x", "y").sortWithinPartitions("bunch", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _tile(tile: list | None, held: dict[int, tuple]):
+    """The SIMILAR pairs across roots of a tile's two groups (or within its one); held: node -> group, root, check value, shingles."""
+    if not held:
+        return
+    share, of = SIMILAR
+    node, mine, root, check = (np.array(x, np.int64) for x in (list(held), *([v[k] for v in held.values()] for k in range(3))))
+    sets, check = [v[3] for v in held.values()], check.view(np.uint64)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    second, a, b = np.flatnonzero((mine == tile[2]) & (size > 0)), [], []
+    for i in np.flatnonzero((mine == tile[1]) & (size > 0)).tolist():
+        j = second[node[second] > node[i]] if tile[1] == tile[2] else second
+        j = j[(root[j] != root[i]) & (np.bitwise_count(check[j] ^ check[i]) <= CHECK_DISTANCE) & (of * np.minimum(size[j], size[i]) >= share * np.maximum(size[j], size[i]))]
+        if len(j):
+            both = _shared(sets[i], [sets[k] for k in j.tolist()])
+            j = j[of * both >= share * (size[i] + size[j] - both)]
+            a += np.minimum(node[i], node[j]).tolist()
+            b += np.maximum(node[i], node[j]).tolist()
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of `others` shares with `own`; all are sorted sets with members, passed by in runs of some PAIRS of them."""
+    out, at = [], 0
+    while at < len(others):
+        to, n = at, 0
+        while to < len(others) and (to == at or n + len(others[to]) <= PAIRS):
+            n, to = n + len(others[to]), to + 1
+        run = np.concatenate(others[at:to])
+        hit = own[np.minimum(np.searchsorted(own, run), len(own) - 1)] == run
+        starts = np.cumsum([0, *map(len, others[at : to - 1])])
+        out.append(np.add.reduceat(hit.astype(np.int64), starts))
+        at = to
+    return np.concatenate(out)
+
+
 def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """(a, b) pairs of nodes whose shingle sets are SIMILAR, given candidates `found`.
+    """(a, b) pairs of nodes whose shingle sets are SIMILAR, enough to join every component, given candidates `found`.
 
     First all candidates that hang together are compared with the one of least node among them, one comparison each. Then those
-    candidate pairs are compared of which not both are like that one.
+    candidate pairs are compared of which not both are like that one. In bunches, whose candidates are a spanning set, all pairs that
+    aren't joined by then are compared as well.
     """
-    found = cut(found.where("a <> b").distinct())
-    stars = graph.components(found).where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    found = cut(found.distinct())
+    members, found = found.where("member").select(F.col("a").alias("bunch"), F.col("b").alias("node")), found.where("NOT member AND a <> b").select("a", "b")
+    roots = cut(graph.components(found))
+    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     first = cut(_verified_pairs(docs, nodes, cut(stars), id_column, text, shingle).distinct())
     placed = first.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(first.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     known = lookup(cut(ends), cut(placed), "node").groupBy("a", "b").agg(F.count("*").alias("n"))
     left = found.join(known.where("n = 2"), ["a", "b"], "left_anti")
-    return first.unionByName(_verified_pairs(docs, nodes, cut(left), id_column, text, shingle))
+    similar = first.unionByName(_verified_pairs(docs, nodes, cut(left), id_column, text, shingle))
+    if members.isEmpty():
+        return similar
+    similar = cut(similar)
+    return similar.unionByName(_across(docs, nodes, members, roots.withColumnRenamed("root", "star"), similar, id_column, text, shingle))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -319,7 +415,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Candidates are texts of which either of two fingerprints of the words is near (WORD_DISTANCE bits, three segments: scattered
     edits), or of which a part's fingerprint is the same (any edits, blocks cut off or added too). Candidates are then compared by
-    their shingles themselves. Texts without words form one group.
+    their shingles themselves; where more than CANDIDATE_PAIRWISE stand under one key, all that aren't joined yet are. Texts without
+    words form one group.
     """
 
     def run(batches):
@@ -329,12 +426,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
             prints = [np.fromiter((_word_fingerprint(w, s) for w in words), np.uint64, len(words)) for s in WORD_SEEDS]
             sets = [np.unique(_shingles(w, shingle, 42)) for w in words]
             parts, checks = zip(*map(_parts, sets))
-            prints += [np.array(checks, np.uint64), np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(_array, prints), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "row", "fp0", "fp1", "check", "node", "parts"])
+            prints += [np.array(checks, np.uint64), np.fromiter((xxhash.xxh64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)), np.fromiter(map(len, sets), np.uint64, len(sets))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *map(_array, prints), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "row", "fp0", "fp1", "check", "node", "size", "parts"])
 
     source = docs.select(F.col(id_column).alias("id"), row_key(text).alias("row"), F.col(text).alias("text"))
-    prints = cut(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp0 bigint, fp1 bigint, check bigint, node bigint, parts binary"))
-    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("one"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "check", "parts")]))
+    prints = cut(source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, row bigint, fp0 bigint, fp1 bigint, check bigint, node bigint, size bigint, parts binary"))
+    nodes = cut(prints.groupBy("node").agg(F.min("id").alias("least"), F.min(F.struct("id", "row")).alias("one"), *[F.first(c).alias(c) for c in ("fp0", "fp1", "check", "size", "parts")]))
     found = links(nodes, WORD_DISTANCE, ("fp0", "fp1"), ("check", CHECK_DISTANCE), "node").unionByName(_part_links(nodes))
     similar = _similar(docs, nodes, found, id_column, text, shingle)
     return _named(prints.select("id", "row", "node"), nodes.select("node", "least"), similar, "node").select("id", "row", "component_id")
