@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
 from functools import wraps
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 
-def _lazily(kind: str):
-    """A pandas UDF that is made at its first call: importing this module needs no session."""
+def _lazily(kind: str, maker: str = "pandas_udf"):
+    """A pandas (or Arrow) UDF that is made at its first call: importing this module needs no session."""
 
     def wrap(f):
         made = []
@@ -19,7 +21,7 @@ def _lazily(kind: str):
         @wraps(f)
         def call(*columns):
             if not made:
-                made.append(F.pandas_udf(f, kind))
+                made.append(getattr(F, maker)(f, kind))
             return made[0](*columns)
 
         return call
@@ -27,14 +29,25 @@ def _lazily(kind: str):
     return wrap
 
 
-@_lazily("string")
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+#: Texts that are normalised at once.
+RUN = 256
 
 
-@_lazily("string")
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _normalized(form: str, batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Texts in a Unicode normal form, in runs of RUN: besides Spark's batch, only a run of them is held."""
+    for batch in batches:
+        for i in range(0, len(batch), RUN):
+            yield pa.array([x if x is None else unicodedata.normalize(form, x) for x in batch.slice(i, RUN).to_pylist()], pa.string())
+
+
+@_lazily("string", "arrow_udf")
+def nfc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _normalized("NFC", batches)
+
+
+@_lazily("string", "arrow_udf")
+def nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    return _normalized("NFKC", batches)
 
 
 @_lazily("double")
