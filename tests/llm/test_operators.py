@@ -538,6 +538,24 @@ def test_spans_of_long_texts_hash_alike(monkeypatch):
     assert (_text.span_hashes(data, starts, ends) == whole).all() and whole[0] == whole[2] and whole[1] == whole[5]
 
 
+def test_slices_of_texts_take_little_memory():
+    """What a worker makes of texts at once stays far below an executor's limit, however many texts a batch has."""
+    import tracemalloc
+
+    from tidemill.llm import _text
+
+    text = " ".join(f"word{i % 997} of line {i}" for i in range(2000))
+    batch = pa.RecordBatch.from_pydict({"text": [text] * 150})  # some 5 MB
+    tracemalloc.start()
+    try:
+        for _, data, offsets in _text.text_slices([batch], "text"):
+            quality_rules._counts(data, offsets)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 << 20, peak
+
+
 def _auc(score, label):
     order = np.argsort(score)
     rank = np.empty(len(score))

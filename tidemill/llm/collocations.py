@@ -95,8 +95,12 @@ class _Slice:
         return at, f[at].view(np.int64), c[at], doc[at], words[at]
 
 
+#: Text bytes whose phrases a task adds up before it sends them on.
+COUNTED_BYTES = 1 << 21
+
+
 def _slices(batches, mask: int) -> Iterator[_Slice]:
-    for rows, data, offsets in _text.text_slices(batches, "text"):
+    for rows, data, offsets in _text.text_slices(batches, "text", COUNTED_BYTES):
         yield _Slice(rows, data, offsets, mask)
 
 
