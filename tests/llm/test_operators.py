@@ -538,6 +538,28 @@ def test_spans_of_long_texts_hash_alike(monkeypatch):
     assert (_text.span_hashes(data, starts, ends) == whole).all() and whole[0] == whole[2] and whole[1] == whole[5]
 
 
+def test_words_of_parts_are_those_of_the_whole():
+    """op1: words are hashed where they stand, all of a slice at once; parts that cut a word hand it on."""
+    from tidemill.llm import _text
+
+    text = b"one two\tone  three\x0bfour " + "f\u00fcnf ".encode() * 40 + b"x" * 300 + b" last"
+    end = bytes([mixing.END])
+    symbols = np.frombuffer(text + end + b" \n" + end + end + b"two" + end, np.uint8)
+    at = np.flatnonzero(np.concatenate(([True], symbols == mixing.END)))
+    key, first = mixing._Words().of(symbols, at, 0, True)
+    assert np.diff(first).tolist() == [len(text.split()), 0, 0, 1]
+    assert len(set(key.tolist())) == len(set(text.split())) and key[0] == key[2] and key[1] == key[-1]
+    for size in (7, 50, 1000):
+        words, own = mixing._Words(), []
+        for i in range(0, len(text), size):
+            last = i + size >= len(text)
+            cut = np.frombuffer(text[max(0, i - 5) : i + size] + end * last, np.uint8)
+            own.append(words.of(cut, np.array([0, len(cut)]), i - max(0, i - 5), last)[0])
+        assert (np.concatenate(own) == key[: first[1]]).all()
+    seen = mixing._summed(*mixing._summed(key[:2], np.full(2, 2), [key[2:5]]), [key[:1], key[4:6]])
+    assert seen[1].sum() == 10 and (np.diff(seen[0].astype(object)) > 0).all()
+
+
 def test_slices_of_texts_take_little_memory():
     """What a worker makes of texts at once stays far below an executor's limit, however many texts a batch has."""
     import tracemalloc
