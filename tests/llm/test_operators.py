@@ -627,3 +627,63 @@ def test_tiles_give_every_similar_pair_that_is_not_joined(monkeypatch):
             found += list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
     near = [(i, j) for i in range(n) for j in range(i + 1, n) if root[i] != root[j] and int((check[i] ^ check[j]).view(np.uint64)).bit_count() <= simhash.CHECK_DISTANCE]
     assert sorted(found) == [(i, j) for i, j in near if simhash._alike(sets[i], sets[j])] and 100 < len(found) < len(near)
+
+
+def _edited_copies(copies, edits, seed):
+    """A text of 300 words, and copies of it in each of which some words, apart from each other, are others."""
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 9))) for _ in range(20000)]
+    base = rng.choices(vocabulary, k=300)
+    texts = []
+    for _ in range(copies):
+        w = list(base)
+        for at in rng.sample(range(0, 300, 10), rng.choice(edits)):
+            w[at] = rng.choice(vocabulary)
+        texts.append(w)
+    return [*texts, base]
+
+
+def _components(sets):
+    least = list(range(len(sets)))
+    for _ in range(len(sets)):
+        before = list(least)
+        for j, t in enumerate(sets):
+            for i, s in enumerate(sets[:j]):
+                if least[i] != least[j] and 5 * len(s & t) >= 4 * len(s | t):
+                    least[i] = least[j] = min(least[i], least[j])
+        if least == before:
+            return least
+
+
+def test_edited_copies_of_a_text_are_compared_with_it_and_not_pair_by_pair(spark, monkeypatch):
+    """Pairs that are compared by texts, and those that a search's tiles give, grow with the copies, not with their square."""
+    monkeypatch.setattr(simhash, "CANDIDATE_PAIRWISE", 6)
+    monkeypatch.setattr(simhash, "ACROSS", 16)
+    compared, given = [], []
+
+    def counting(verified):
+        def counted(docs, nodes, pairs, *more):
+            compared.append(pairs.count())
+            return verified(docs, nodes, pairs, *more)
+
+        return counted
+
+    def across(docs, nodes, *more, own=simhash._across):
+        out = own(docs, nodes, *more)
+        given.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_verified_pairs", counting(simhash._verified_pairs))
+    monkeypatch.setattr(simhash, "_across", across)
+    texts = _edited_copies(90, (5, 6, 7, 8), 3)  # like the text: up to 6 edits; like each other: up to 3 apart
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    found = simhash.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string"))
+    assert {r.id: r.component_id for r in found.collect()} == dict(enumerate(_components(sets)))
+    assert sum(compared) < 2 * len(texts) and sum(given) < 10 * len(texts), (compared, given)
+
+
+def test_a_tile_gives_what_joins_its_roots():
+    rng = np.random.default_rng(8)
+    held = {i: (0, int(r), 0, np.arange(20, dtype=np.uint64)) for i, r in enumerate(rng.integers(0, 30, 200))}
+    pairs = [p for part in simhash._joining(simhash._tile([1, 0, 0], held), held) for p in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+    assert len(pairs) == 29 and all(held[a][1] != held[b][1] for a, b in pairs)

@@ -316,23 +316,44 @@ def _verified_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_colu
 ACROSS, ACROSS_SHINGLES = 512, 1024
 
 
-def _across(docs: DataFrame, nodes: DataFrame, members: DataFrame, stars: DataFrame, similar: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
-    """(a, b) pairs of nodes of one bunch (members: bunch, node) that are SIMILAR and that the pairs `similar` don't join.
-
-    Bunches that hang together (stars: node, star) and overlap so much that all their pairs are more than those of all their nodes are
-    compared as one. A bunch that is joined by now needs nothing. Any other is cut by hash into groups, and each two of them meet in
-    a tile: texts are copied once a group, and every pair is compared of which check values are near.
+def _leaders(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): for each component (roots: node, root) of candidate pairs, the node a that stands in most bunches, then pairs, and each
+    other node b: the text that many are edits of, if there is one."""
+    one, no = F.lit(1), F.lit(0)
+    seen = members.select("node", one.alias("m"), no.alias("p")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"), no.alias("m"), one.alias("p")))
+    counts = seen.groupBy("node").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
+    best = roots.join(counts, "node").groupBy("root").agg(F.max(F.struct("m", "p", "node"))["node"].alias("a"))
+    return lookup(roots, cut(best), "root").where("a <> node").select("a", F.col("node").alias("b"))
+
+
+def _bunches(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bunch, node, whole): the bunches (members: bunch, node) whose nodes are compared with each other. Those of one component of
+    candidates (roots: node, root) that overlap so much that all their pairs are more than those of all its nodes are one, the component
+    (`whole`). A bunch lies in one component, so its least node tells which: memberships meet nothing by node."""
+    sizes = cut(members.groupBy("bunch").agg(F.min("node").alias("node"), F.count("*").cast("double").alias("n")).join(roots, "node").select("bunch", "root", "n"))
+    squares = sizes.groupBy("root").agg(F.sum(F.col("n") * F.col("n")).alias("squares"))
+    whole = cut(roots.groupBy("root").agg(F.count("*").cast("double").alias("n")).join(squares, "root").where("squares >= n * n").select("root"))
+    apart = sizes.join(whole, "root", "left_anti").select("bunch")
+    return cut(lookup(roots, whole, "root").select(F.col("root").alias("bunch"), "node", F.lit(True).alias("whole")).unionByName(lookup(members, cut(apart), "bunch").select("bunch", "node", F.lit(False).alias("whole"))))
+
+
+def _across(docs: DataFrame, nodes: DataFrame, bunches: DataFrame, similar: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
+    """(a, b) pairs of nodes of one bunch (bunches: bunch, node) that are SIMILAR, enough to join all that the pairs `similar` don't join.
+
+    A bunch that is joined by now needs nothing. Any other is cut by hash into groups, first those of its largest joined part, then those
+    of all other nodes, and each two of them meet in a tile, but for two of the first: texts are copied once a group that they meet, and
+    every pair is compared of which check values are near.
     """
-    placed = cut(members.distinct().join(stars, "node"))
-    sizes = placed.groupBy("star", "bunch").agg(F.count("*").cast("double").alias("n")).groupBy("star").agg(F.sum(F.col("n") * F.col("n")).alias("squares"))
-    whole = placed.groupBy("star").agg(F.count_distinct("node").cast("double").alias("n")).join(sizes, "star").where("squares >= n * n").select("star", F.lit(True).alias("whole"))
-    bunches = placed.join(whole, "star", "left").select(F.when(F.col("whole"), F.col("star")).otherwise(F.col("bunch")).alias("bunch"), "node").distinct()
     roots = graph.components(similar).withColumnRenamed("node", "_node")
     named = cut(bunches.join(roots, F.col("node") == F.col("_node"), "left").select("bunch", "node", F.coalesce("root", "node").alias("root")))
-    named = lookup(named, cut(named.groupBy("bunch").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bunch")), "bunch")
+    parts = named.groupBy("bunch", "root").agg(F.count("*").alias("n")).groupBy("bunch").agg(F.count("*").alias("parts"), F.max(F.struct("n", "root"))["root"].alias("most"))
+    named = lookup(named, cut(parts.where("parts > 1").select("bunch", "most")), "bunch").withColumn("joined", F.col("root") == F.col("most"))
     own = cut(lookup(cut(named), nodes.select("node", "one", "check", "size"), "node"))
-    groups = own.groupBy("bunch").agg(F.ceil(F.sum(F.lit(1) + F.col("size") / ACROSS_SHINGLES) / ACROSS).cast("int").alias("groups"))
-    dealt = lookup(own, cut(groups), "bunch").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    weight = F.lit(1) + F.col("size") / ACROSS_SHINGLES
+    groups = own.groupBy("bunch").agg(*[F.ceil(F.sum(F.when(F.col("joined") == of, weight)) / ACROSS).cast("int").alias(name) for of, name in ((True, "first"), (False, "rest"))])
+    mine = F.when(F.col("joined"), F.pmod(F.xxhash64("node"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    others = F.sequence(F.when(F.col("joined"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)
+    dealt = lookup(own, cut(groups), "bunch").withColumn("mine", mine).withColumn("other", F.explode(others))
     wanted = dealt.select("one.id", "one.row", "bunch", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "node", "root", "check")
     rows = among(docs, wanted, id_column, text).select("bunch", "x", "y", "mine", "node", "root", "check", F.col("_among_text").alias("text"))
 
@@ -343,11 +364,11 @@ def _across(docs: DataFrame, nodes: DataFrame, members: DataFrame, stars: DataFr
                 raw = _text.LOWER[data].tobytes()
                 for *at, mine, node, root, check, i, j in zip(*(part.column(c).to_pylist() for c in range(7)), offsets[:-1], offsets[1:]):
                     if at != tile:
-                        yield from _tile(tile, held)
+                        yield from _joining(_tile(tile, held), held)
                         tile, held = at, {}
                     if node not in held:  # else a repeated row
                         held[node] = mine, root, check, np.unique(_shingles(raw[i:j].split(), shingle, 42))
-        yield from _tile(tile, held)
+        yield from _joining(_tile(tile, held), held)
 
     return rows.repartition("bunch", "x", "y").sortWithinPartitions("bunch", "x", "y").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -372,6 +393,25 @@ def _tile(tile: list | None, held: dict[int, tuple]):
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _joining(batches, held: dict[int, tuple]):
+    """Those of a tile's pairs (batches of a, b) that join what roots and the pairs before them don't: fewer than the tile has roots."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = x = up.get(y, y)
+        return x
+
+    for batch in batches:
+        kept = []
+        for k, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            x, y = top(held[a][1]), top(held[b][1])
+            if x != y:
+                up[x] = y
+                kept.append(k)
+        yield batch.take(pa.array(kept, pa.int64()))
+
+
 def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     """How many members each of `others` shares with `own`; all are sorted sets with members, passed by in runs of some PAIRS of them."""
     out, at = [], 0
@@ -390,24 +430,27 @@ def _shared(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str, text: str, shingle: int) -> DataFrame:
     """(a, b) pairs of nodes whose shingle sets are SIMILAR, enough to join every component, given candidates `found`.
 
-    First all candidates that hang together are compared with the one of least node among them, one comparison each. Then those
-    candidate pairs are compared of which not both are like that one. In bunches, whose candidates are a spanning set, all pairs that
-    aren't joined by then are compared as well.
+    First all candidates that hang together are compared with one among them (_leaders), one comparison each. Then those candidate
+    pairs are compared of which not both are like that one. In bunches, whose candidates are a spanning set, all pairs that aren't joined
+    by then are compared as well; pairs of a component that is compared whole are among these.
     """
-    found = cut(found.distinct())
+    low, high = (F.when(F.col("member"), F.col(c)).otherwise(f("a", "b")) for c, f in (("a", F.least), ("b", F.greatest)))
+    found = cut(found.select(low.alias("a"), high.alias("b"), "member").distinct())
     members, found = found.where("member").select(F.col("a").alias("bunch"), F.col("b").alias("node")), found.where("NOT member AND a <> b").select("a", "b")
     roots = cut(graph.components(found))
-    stars = roots.where("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    first = cut(_verified_pairs(docs, nodes, cut(stars), id_column, text, shingle).distinct())
+    first = cut(_verified_pairs(docs, nodes, cut(_leaders(found, members, roots)), id_column, text, shingle).distinct())
+    bunches = None if members.isEmpty() else _bunches(members, roots)
+    if bunches is not None:
+        found = cut(found.join(bunches.where("whole").select(F.col("node").alias("a")), "a", "left_anti"))
     placed = first.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(first.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     known = lookup(cut(ends), cut(placed), "node").groupBy("a", "b").agg(F.count("*").alias("n"))
     left = found.join(known.where("n = 2"), ["a", "b"], "left_anti")
     similar = first.unionByName(_verified_pairs(docs, nodes, cut(left), id_column, text, shingle))
-    if members.isEmpty():
+    if bunches is None:
         return similar
     similar = cut(similar)
-    return similar.unionByName(_across(docs, nodes, members, roots.withColumnRenamed("root", "star"), similar, id_column, text, shingle))
+    return similar.unionByName(_across(docs, nodes, bunches.select("bunch", "node"), similar, id_column, text, shingle))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
