@@ -23,10 +23,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         signature = tuple(found)
         rows = found[0]
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        now = gathered(now, rows)
+        both = gathered(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), rows)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(gathered(lookup(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct(), rows))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lookup(large, least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         now = cut(gathered(small.where("u > v").distinct(), rows))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return gathered(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), found[0])

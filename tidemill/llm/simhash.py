@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text, graph
-from ._spark import among, cut, lookup, row_key, without
+from ._spark import among, cut, gathered, lookup, row_key, without
 
 BITS = 64
 #: Values of a group up to this size are compared as pairs at once; larger ones by a search that skips what is linked already. Links
@@ -316,12 +316,12 @@ def _verified_pairs(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_colu
 ACROSS, ACROSS_SHINGLES = 512, 1024
 
 
-def _leaders(pairs: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+def _leaders(pairs: DataFrame, members: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """(a, b): for each component (roots: node, root) of candidate pairs, the node a that stands in most bunches, then pairs, and each
     other node b: the text that many are edits of, if there is one."""
     one, no = F.lit(1), F.lit(0)
     seen = members.select("node", one.alias("m"), no.alias("p")).unionByName(pairs.select(F.explode(F.array("a", "b")).alias("node"), no.alias("m"), one.alias("p")))
-    counts = seen.groupBy("node").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
+    counts = gathered(seen, rows).groupBy("node").agg(F.sum("m").alias("m"), F.sum("p").alias("p"))
     best = roots.join(counts, "node").groupBy("root").agg(F.max(F.struct("m", "p", "node"))["node"].alias("a"))
     return lookup(roots, cut(best), "root").where("a <> node").select("a", F.col("node").alias("b"))
 
@@ -436,20 +436,23 @@ def _similar(docs: DataFrame, nodes: DataFrame, found: DataFrame, id_column: str
     """
     low, high = (F.when(F.col("member"), F.col(c)).otherwise(f("a", "b")) for c, f in (("a", F.least), ("b", F.greatest)))
     found = cut(found.select(low.alias("a"), high.alias("b"), "member").distinct())
+    rows = found.count()
+    found, nodes = gathered(found, rows), gathered(nodes, nodes.count(), 1 << 16)
     members, found = found.where("member").select(F.col("a").alias("bunch"), F.col("b").alias("node")), found.where("NOT member AND a <> b").select("a", "b")
-    roots = cut(graph.components(found))
-    first = cut(_verified_pairs(docs, nodes, cut(_leaders(found, members, roots)), id_column, text, shingle).distinct())
-    bunches = None if members.isEmpty() else _bunches(members, roots)
+    roots = gathered(cut(graph.components(found)), rows)
+    stars = cut(gathered(_leaders(found, members, roots, rows), rows))
+    first = gathered(cut(gathered(_verified_pairs(docs, nodes, stars, id_column, text, shingle).distinct(), rows)), rows)
+    bunches = None if members.isEmpty() else gathered(_bunches(members, roots), rows)
     if bunches is not None:
-        found = cut(found.join(bunches.where("whole").select(F.col("node").alias("a")), "a", "left_anti"))
+        found = gathered(cut(found.join(bunches.where("whole").select(F.col("node").alias("a")), "a", "left_anti")), rows)
     placed = first.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(first.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    known = lookup(cut(ends), cut(placed), "node").groupBy("a", "b").agg(F.count("*").alias("n"))
+    known = gathered(lookup(gathered(cut(ends), rows), gathered(cut(placed), rows), "node"), rows).groupBy("a", "b").agg(F.count("*").alias("n"))
     left = found.join(known.where("n = 2"), ["a", "b"], "left_anti")
-    similar = first.unionByName(_verified_pairs(docs, nodes, cut(left), id_column, text, shingle))
+    similar = first.unionByName(_verified_pairs(docs, nodes, gathered(cut(left), rows), id_column, text, shingle))
     if bunches is None:
         return similar
-    similar = cut(similar)
+    similar = gathered(cut(similar), rows)
     return similar.unionByName(_across(docs, nodes, bunches.select("bunch", "node"), similar, id_column, text, shingle))
 
 
